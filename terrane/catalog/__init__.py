@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("sequences",)
+MODULES = ("sequences", "selections", "aggregates")
 
 
 def query(sql: str | None = None):

@@ -6,13 +6,14 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(math.lgamma, na_action="ignore").astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda z: 0.5 * (1.0 + math.erf(z / math.sqrt(2.0))), na_action="ignore").astype("float64")
