@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("sequences", "selections", "aggregates")
+MODULES = ("sequences", "selections", "aggregates", "spaces", "vectors", "evaluation", "plots")
 
 
 def query(sql: str | None = None):

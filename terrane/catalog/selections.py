@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.catalog import query
 from terrane.catalog.views import (
-    CUSTOMER, CUSTOMER_LENGTH, EMBED, LINE, LINE_SPACE, ORDER, ORDER_LENGTH, PART, PART_SPACE, customer_dna, dna_digits, embed_landscape,
+    CUSTOMER, CUSTOMER_LENGTH, EMBED, LINE, LINE_SPACE, ORDER, ORDER_LENGTH, PART, PART_SPACE, customer_dna, dna_digits, dna_digits_sql, embed_landscape,
     line_landscape, order_dna, part_landscape, r6, table,
 )
 from terrane.constants import codon_table
@@ -55,22 +55,28 @@ def induced_edges(spark, sf):
     return S.induced_edges(edges, nodes.where("y > 25"), n=PART_SPACE.n)
 
 
-_PATHS = """paths AS (SELECT o_custkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos, o_orderkey % 1024 AS idx FROM orders)"""
+_PATHS = f"""paths AS (SELECT o_orderkey AS path, s AS pos, substr({dna_digits_sql('o_orderkey', 5)}, 1, CAST(s AS INT)) || substr('AAAAA', CAST(s AS INT) + 1) AS seq
+    FROM orders, range(6) t(s))"""
 
 
-@query(f"""WITH {_PATHS} SELECT path, pos AS i, nxt AS j FROM (SELECT path, pos, lead(pos) OVER (PARTITION BY path ORDER BY pos) AS nxt FROM paths) WHERE nxt IS NOT NULL""")
+def mutational_paths(spark, sf):
+    """``(path, pos, seq)``: from AAAAA to the word of every order key, one site after another."""
+    pos = F.explode(F.sequence(P.int64(0), P.int64(5))).alias("pos")
+    steps = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), dna_digits(F.col("o_orderkey"), 5).alias("w"), pos)
+    reached = F.concat(F.substr("w", F.lit(1), F.col("pos").cast("int")), F.substr(F.lit("AAAAA"), F.col("pos").cast("int") + 1, F.lit(5)))
+    return steps.select("path", "pos", reached.alias("seq"))
+
+
+@query(f"WITH {_PATHS} SELECT path, pos AS i, pos + 1 AS j FROM paths WHERE pos < 5")
 def path_step_edges(spark, sf):
-    """Consecutive steps of every customer's order path."""
-    w = F.row_number().over(P.W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
-    steps = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), w.alias("pos"))
-    return S.path_edges(steps)
+    """Consecutive steps of every order's mutational path."""
+    return S.path_edges(mutational_paths(spark, sf))
 
 
-@query(f"""WITH {PART}, {_PATHS} SELECT path, pos, seq, round(y, 6) AS y FROM paths JOIN part_landscape USING (idx)""")
+@query(f"""WITH {PART}, {_PATHS} SELECT path, pos, seq, round(y, 6) AS y FROM paths JOIN part_landscape USING (seq)""")
 def path_nodes(spark, sf):
-    w = F.row_number().over(P.W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
-    steps = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), w.alias("pos"), dna_digits(F.col("o_orderkey"), 5).alias("seq"))
-    return part_landscape(spark, sf).join(steps, "seq").select("path", F.col("pos").cast("bigint").alias("pos"), "seq", r6("y").alias("y"))
+    steps = mutational_paths(spark, sf)
+    return steps.join(part_landscape(spark, sf), "seq").select("path", "pos", "seq", r6("y").alias("y"))
 
 
 @query(f"""WITH {CUSTOMER}, f AS (SELECT {'||'.join(f"substr('ACGT', CAST((s_suppkey*7)//{4 ** (7 - s)}%4 AS INT)+1, 1)" for s in range(8))} AS seq FROM supplier)

@@ -48,14 +48,14 @@ PART = f"""part_landscape AS (
 
 
 def part_vector(spark: SparkSession, sf: str) -> DataFrame:
-    """``(idx, seq, v)``: the part landscape on all 1,024 states, zero where unobserved."""
+    """``(idx, seq, v)``: 10 ln(1 + y) of the part landscape on all 1,024 states, zero where unobserved."""
     states = PART_SPACE.states(spark)
-    values = part_landscape(spark, sf).select("idx", F.col("y").alias("v"))
+    values = part_landscape(spark, sf).select("idx", (10.0 * F.log(1.0 + F.col("y"))).alias("v"))
     return states.join(values, "idx", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
 PART_VEC = PART + f""", part_vec AS (
-  SELECT i AS idx, {dna_digits_sql('i', 5)} AS seq, coalesce(p.y, 0.0) AS v
+  SELECT i AS idx, {dna_digits_sql('i', 5)} AS seq, coalesce(10.0*ln(1.0 + p.y), 0.0) AS v
   FROM range(1024) t(i) LEFT JOIN part_landscape p ON p.idx = i)"""
 
 

@@ -58,9 +58,13 @@ def path(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def path_edges(steps: DataFrame) -> DataFrame:
-    """``(path, i, j)``: consecutive positions inside every path."""
-    nxt = F.lead("pos").over(W.partitionBy("path").orderBy("pos"))
-    return steps.select("path", F.col("pos").alias("i"), nxt.alias("j")).where("j is not null")
+    """``(path, i, j)``: consecutive positions of every path.
+
+    Positions are consecutive integers, so the next step is found by equality on (path, position)
+    and a path of any length spreads over the cluster.
+    """
+    following = steps.select("path", (F.col("pos") - 1).alias("pos"), F.col("pos").alias("j"))
+    return steps.select("path", "pos").join(following, ["path", "pos"]).select("path", F.col("pos").alias("i"), "j")
 
 
 def within_distance(nodes: DataFrame, focal: DataFrame, d: int, length: int) -> DataFrame:

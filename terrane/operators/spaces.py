@@ -88,6 +88,13 @@ class Space:
             parts.append(F.when(at > 0, (at - 1).cast("bigint") * int64(stride)))
         return F.when(F.length(col(seq)) == self.length, total(parts))
 
+    def digits(self, seq: str) -> list[int]:
+        """Ordinals of one given sequence (driver side)."""
+        return [site.index(a) for site, a in zip(self.alleles, seq, strict=True)]
+
+    def rank(self, seq: str) -> int:
+        return sum(d * stride for d, stride in zip(self.digits(seq), self.strides))
+
     def states(self, spark: SparkSession) -> DataFrame:
         """``(idx, seq)`` of the whole space, generated without a shuffle."""
         self.check_size()
@@ -197,20 +204,15 @@ def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "s
 
 def hamming_ball(spark: SparkSession, centre: str, space: Space, d: int) -> DataFrame:
     """``(idx, seq, distance)`` of every state within ``d`` substitutions of ``centre``."""
-    ball = spark.range(1).select(space.idx_of(F.lit(centre)).alias("idx"), F.lit(0).alias("distance"))
+    own = F.array(*[F.lit(x) for x in space.digits(centre)])
+    ball = spark.range(1).select(int64(space.rank(centre)).alias("idx"), F.lit(0).alias("distance"), F.lit(-1).alias("last"))
     shell = ball
     for k in range(1, d + 1):
-        # each state of shell k is reached by mutating the sites in increasing order
-        last = "last" if "last" in shell.columns else None
-        grown = space.expand_neighbours(shell)
-        centre_digit = F.element_at(
-            F.array(*[space.digit(space.idx_of(F.lit(centre)), s) for s in range(space.length)]), F.col("site") + 1
-        )
-        grown = grown.where(F.col("a") == centre_digit)
-        if last:
-            grown = grown.where(F.col("site") > F.col("last"))
+        # sites change in increasing order, so every state of a shell is reached once
+        grown = space.expand_neighbours(shell).where(F.col("site") > F.col("last"))
+        grown = grown.where(F.col("a") == F.element_at(own, F.col("site") + 1))
         shell = grown.select(F.col("j").alias("idx"), F.lit(k).alias("distance"), F.col("site").alias("last"))
-        ball = ball.unionByName(shell.drop("last"))
+        ball = ball.unionByName(shell)
     return ball.select("idx", space.seq_of("idx").alias("seq"), "distance")
 
 
