@@ -29,7 +29,7 @@ def result(df):
 
 
 LAMBDAS = [2.0, 1.0, 0.5, 0.25, 0.125, 0.0625]
-RHO = [0.2, 0.4, 0.5, 0.7, 0.9]
+RHO = [0.217, 0.431, 0.523, 0.737, 0.911]
 
 
 @query(by_distance_sql(K.laplacian_lambdas(PART_SPACE)))

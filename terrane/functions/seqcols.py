@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
+from itertools import product
 from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.constants import (
-    ALPHABETS, AMBIGUITY, COMPLEMENT_FROM, COMPLEMENT_TO, LETTERS, MAX_EXPONENT, PROTEIN, codon_table,
+    ALPHABETS, AMBIGUITY, CODON_BASES, COMPLEMENT_FROM, COMPLEMENT_TO, LETTERS, MAX_EXPONENT, PROTEIN, codon_table,
 )
 from terrane.session import small_rows
 
@@ -74,16 +75,23 @@ def custom_codon_table(rows: DataFrame) -> dict[str, str]:
 
 
 def translate(seq: Column | str, table: str | int | Mapping[str, str] = "Standard") -> Column:
-    """Nucleotides (DNA or RNA) to residues, whole codons only, ``X`` for unknown codons."""
+    """Nucleotides (DNA or RNA) to residues, whole codons only, ``X`` for unknown codons.
+
+    The residue of a codon is found by its rank in TCAG order, so no lookup table is searched.
+    """
     codons = table if isinstance(table, Mapping) else codon_table(table)
+    residues = F.lit("".join(codons.get("".join(c), "X") for c in product(CODON_BASES, repeat=3)))
     dna = F.translate(F.upper(col(seq)), "U", "T")
     n_codons = F.floor(F.length(dna) / 3).cast("int")
     index = F.when(n_codons > 0, F.sequence(F.lit(0), n_codons - 1)).otherwise(F.array().cast("array<int>"))
-    lookup = literal_map(dict(codons))
-    return F.array_join(
-        F.transform(index, lambda i: F.coalesce(F.element_at(lookup, F.substr(dna, i * 3 + 1, F.lit(3))), F.lit("X"))),
-        "",
-    )
+
+    def residue(i: Column) -> Column:
+        first, second, third = (F.instr(F.lit(CODON_BASES), F.substr(dna, i * 3 + k, F.lit(1))) for k in (1, 2, 3))
+        rank = (first - 1) * 16 + (second - 1) * 4 + third
+        known = (first > 0) & (second > 0) & (third > 0)
+        return F.when(known, F.substr(residues, rank, F.lit(1))).otherwise("X")
+
+    return F.array_join(F.transform(index, residue), "")
 
 
 def one_hot(df: DataFrame, alleles: Sequence[str], key: str = "row_id", seq: str = "seq") -> DataFrame:

@@ -1,31 +1,54 @@
-"""Checkpoint handling shared by the iterative jobs."""
+"""Step tables of the iterative jobs, written to the folder named in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; make one only in local mode."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a temporary one is made only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named:
+            sc.setCheckpointDir(named)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return sc.getCheckpointDir()
+
+
+class Stored:
+    """A table written to the checkpoint folder, with the measures taken while writing it."""
+
+    def __init__(self, df: DataFrame, measures: dict[str, Column] | None = None):
+        spark = df.sparkSession
+        self.path = f"{checkpoint_folder(spark)}/terrane-{uuid.uuid4().hex}"
+        schema = df.schema
+        observation = Observation() if measures else None
+        if measures:
+            # the measures belong to the writing stage itself, so retried tasks count once
+            df = df.observe(observation, *[c.alias(n) for n, c in measures.items()])
+        df.write.parquet(self.path)
+        taken = observation.get if measures else {}
+        self.measures = {n: taken.get(n) for n in measures or {}}
+        self.table = spark.read.schema(schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Remove a step that nothing refers to any more."""
+        spark = self.table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and drop its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and go on from the written table."""
+    return Stored(df).table
 
 
 def keep(df: DataFrame) -> DataFrame:
