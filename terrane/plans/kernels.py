@@ -91,31 +91,46 @@ def kernel_log_det(space: Space, lambdas: Sequence[float]) -> float:
 
 def order_columns(vec: DataFrame, space: Space, v: str = "v", prefix: str = "_k") -> DataFrame:
     """Add the projections ``_k0.._kl`` of a complete vector; all other columns ride along."""
-    out = vec.withColumn(f"{prefix}0", F.col(v).cast("double"))
+    return _projections(vec, space, {prefix: v})
+
+
+def _projections(vec: DataFrame, space: Space, columns: dict[str, str]) -> DataFrame:
+    """Projections of several vectors at once (prefix -> column); they share every shuffle."""
+    out = vec.withColumns({f"{prefix}0": F.col(v).cast("double") for prefix, v in columns.items()})
     a, done = float(space.alpha), 0
     for block in site_blocks(space):
         out, key = block_partition(out, space, block)
         for s in block:
             group = W.partitionBy(key, *rest_digits(space, block, s))
-            names = [f"{prefix}{k}" for k in range(done + 1)]
-            means = {f"_m{k}": F.sum(n).over(group) / a for k, n in enumerate(names)}
+            means = {f"_m{p}{k}": F.sum(f"{p}{k}").over(group) / a for p in columns for k in range(done + 1)}
             out = out.withColumns(means)
             grown = {}
-            for k in range(done + 2):
-                same = F.col(f"_m{k}") if k <= done else F.lit(0.0)
-                up = F.col(f"{prefix}{k - 1}") - F.col(f"_m{k - 1}") if k else F.lit(0.0)
-                grown[f"{prefix}{k}"] = same + up
+            for p in columns:
+                for k in range(done + 2):
+                    same = F.col(f"_m{p}{k}") if k <= done else F.lit(0.0)
+                    up = F.col(f"{p}{k - 1}") - F.col(f"_m{p}{k - 1}") if k else F.lit(0.0)
+                    grown[f"{p}{k}"] = same + up
             out = out.withColumns(grown).drop(*means)
             done += 1
         out = out.drop(key)
     return out
 
 
+def apply_kernels(vec: DataFrame, space: Space, maps: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """Several ``out = sum_k lambda_k P_k v`` at once, given as ``{out: (v, lambdas)}``, in two shuffles."""
+    names = {f"_k{n}_": v for n, v in enumerate(dict.fromkeys(v for v, _ in maps.values()))}
+    prefix = {v: p for p, v in names.items()}
+    df = _projections(vec, space, names)
+    outs = {}
+    for out, (v, lambdas) in maps.items():
+        parts = [F.lit(float(x)) * F.col(f"{prefix[v]}{k}") for k, x in enumerate(lambdas) if x != 0.0]
+        outs[out] = total(parts) if parts else F.lit(0.0)
+    return df.withColumns(outs).drop(*[f"{p}{k}" for p in names for k in range(space.length + 1)])
+
+
 def apply_kernel(vec: DataFrame, space: Space, lambdas: Sequence[float], v: str = "v", out: str = "u") -> DataFrame:
     """``out`` = sum_k lambda_k P_k v for a complete vector, in two shuffles."""
-    orders = [f"_k{k}" for k in range(space.length + 1)]
-    parts = [F.lit(float(x)) * F.col(c) for x, c in zip(lambdas, orders) if x != 0.0]
-    return order_columns(vec, space, v).withColumn(out, total(parts) if parts else F.lit(0.0)).drop(*orders)
+    return apply_kernels(vec, space, {out: (v, lambdas)})
 
 
 def laplacian(vec: DataFrame, space: Space, v: str = "v", out: str = "u") -> DataFrame:

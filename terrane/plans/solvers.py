@@ -35,14 +35,16 @@ def dot(a: str, b: str, w: Column | None = None) -> Column:
     return F.sum(F.col(a) * F.col(b) if w is None else w * F.col(a) * F.col(b))
 
 
-def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diagonal: Column | None = None,
+def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diagonal: Column | Sequence[Column] | None = None,
                        rtol: float = 1e-9, max_steps: int = 1000, x0: Sequence[str] | None = None) -> DataFrame:
     """Solve A x = b for one or more right-hand sides of a symmetric positive (semi-)definite map.
 
     ``system`` holds the ``rhs`` columns and whatever ``apply`` needs; the result gains ``x_<rhs>``.
-    All right-hand sides share every shuffle, each with its own step sizes.
+    All right-hand sides share every shuffle, each with its own step sizes. ``diagonal`` is the
+    preconditioner, one column for all or one per right-hand side.
     """
-    inv = 1.0 / diagonal if diagonal is not None else F.lit(1.0)
+    given = list(diagonal) if isinstance(diagonal, (list, tuple)) else [diagonal] * len(rhs)
+    inv = [1.0 / d if d is not None else F.lit(1.0) for d in given]
     base = system.columns
     x, r, p, u = ([f"{k}_{b}" for b in rhs] for k in ("x", "r", "p", "u"))
     df = system
@@ -51,11 +53,11 @@ def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diag
     else:
         df = apply(df.withColumns({c: F.col(s) for c, s in zip(x, x0)}), x, u)
         df = df.withColumns({c: F.col(b) - F.col(a) for c, b, a in zip(r, rhs, u)}).drop(*u)
-    df = df.withColumns({c: inv * F.col(b) for c, b in zip(p, r)}).select(*base, *x, *r, *p)
+    df = df.withColumns({c: w * F.col(b) for c, b, w in zip(p, r, inv)}).select(*base, *x, *r, *p)
     measures = {}
     for k, b in enumerate(rhs):
         measures |= {
-            f"pu{k}": dot(p[k], u[k]), f"rz{k}": dot(r[k], r[k], inv), f"ru{k}": dot(r[k], u[k], inv), f"uu{k}": dot(u[k], u[k], inv),
+            f"pu{k}": dot(p[k], u[k]), f"rz{k}": dot(r[k], r[k], inv[k]), f"ru{k}": dot(r[k], u[k], inv[k]), f"uu{k}": dot(u[k], u[k], inv[k]),
             f"rr{k}": dot(r[k], r[k]), f"sru{k}": dot(r[k], u[k]), f"suu{k}": dot(u[k], u[k]), f"bb{k}": dot(b, b),
         }
     chain = Chain()
@@ -78,7 +80,7 @@ def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diag
         })
         if done:
             return moved.select(*base, *x)
-        df = moved.withColumns({p[k]: inv * F.col(r[k]) + F.lit(beta[k]) * F.col(p[k]) for k in range(len(rhs))}).select(*base, *x, *r, *p)
+        df = moved.withColumns({p[k]: inv[k] * F.col(r[k]) + F.lit(beta[k]) * F.col(p[k]) for k in range(len(rhs))}).select(*base, *x, *r, *p)
     raise RuntimeError(f"no convergence in {max_steps} steps")
 
 
