@@ -11,7 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("sequences", "selections", "aggregates", "spaces", "vectors", "evaluation", "plots")
+MODULES = (
+    "sequences", "selections", "aggregates", "spaces", "vectors", "walks", "inference", "evaluation", "plots", "storage",
+)
 
 
 def query(sql: str | None = None):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrane.catalog import query
 from terrane.catalog.views import (
-    CUSTOMER, CUSTOMER_LENGTH, EMBED, LINE, MSA, MSA_LENGTH, ORDER, PART, PART_SPACE, PART_VEC, customer_dna, dna_digits, embed_landscape, line_landscape,
+    CUSTOMER, CUSTOMER_LENGTH, EMBED, EMBED_SPACE, LINE, MSA, MSA_LENGTH, ORDER, PART, PART_SPACE, PART_VEC, customer_dna, dna_digits, embed_landscape, line_landscape,
     line_msa, order_dna, part_landscape, part_vector, r6, table,
 )
 from terrane.functions import seqcols as Q
@@ -55,7 +55,7 @@ def sequence_counts(spark, sf):
 @query("SELECT l_returnflag || l_linestatus AS seq FROM lineitem")
 def counts_to_sequences(spark, sf):
     li = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("seq"))
-    return M.repeated(M.sequence_counts(li).repartition("seq"))
+    return M.repeated(M.sequence_counts(li))
 
 
 @query(f"""WITH {MSA}, c AS (SELECT substr(seq, CAST(s AS INT)+1, 1) AS allele, sum(w) AS w FROM line_msa, range({MSA_LENGTH}) t(s) GROUP BY 1)
@@ -121,6 +121,15 @@ def covariance_by_distance_incomplete(spark, sf):
     return C.covariance_by_distance(embed_landscape(spark, sf), 8).where("n > 0").select("d", r6("cov").alias("cov"), "n")
 
 
+@query(f"""WITH {EMBED}, pairs AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d, a.y * b.y AS yy FROM embed_landscape a, embed_landscape b)
+  SELECT d, round(sum(yy)/count(*), 6) AS cov, count(*) AS n FROM pairs GROUP BY 1""")
+def covariance_by_distance_on_space(spark, sf):
+    """Same moments from order projections of the zero-filled landscape, the way for many sites."""
+    from terrane.plans.regression import observed_states
+    states = observed_states(EMBED_SPACE, embed_landscape(spark, sf).select("seq", "y"))
+    return C.covariance_on_space(states, EMBED_SPACE).where("n > 0").select("d", r6("cov").alias("cov"), "n")
+
+
 _AGREE = " || ".join(f"CASE WHEN substr(a.seq,{s},1) = substr(b.seq,{s},1) THEN '1' ELSE '0' END" for s in range(1, 6))
 
 

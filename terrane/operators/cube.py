@@ -13,9 +13,9 @@ from math import comb
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrane.functions.seqcols import char_at
+from terrane.functions.seqcols import char_at, total
 from terrane.operators.spaces import Space, int64
-from terrane.plans.kernels import delta_lambdas, multiplicities, order_columns
+from terrane.plans.kernels import delta_lambdas, distance_lambdas, multiplicities, order_columns
 
 MAX_CUBE_SITES = 14
 
@@ -57,6 +57,26 @@ def _mean(groups) -> DataFrame:
     return out.withColumn("cov", F.when(F.col("n") > 0, F.col("pairs") / F.col("n")).otherwise(0.0)).drop("pairs")
 
 
+def covariance_on_space(states: DataFrame, space: Space, y: str = "y", known: str = "known") -> DataFrame:
+    """Same table from zero-filled values on a complete regular space, for many sites.
+
+    The distance-d adjacency is diagonal in the order projections, so the pair sums are weighted
+    sums of projection norms: two shuffles of n rows instead of 2^l grouping sets.
+    """
+    l = space.length
+    both = order_columns(states.select("idx", y, F.col(known).cast("double").alias("_o")), space, y, "_y")
+    norms = order_columns(both, space, "_o", "_n").agg(
+        *[F.sum(F.col(f"_{c}{k}") * F.col(f"_{c}{k}")).alias(f"{c}{k}") for c in "yn" for k in range(l + 1)]
+    )
+    rows = []
+    for d in range(l + 1):
+        eig = distance_lambdas(space, d)
+        form = lambda c: total(F.lit(float(e)) * F.col(f"{c}{k}") for k, e in enumerate(eig))
+        rows.append(F.struct(F.lit(d).cast("bigint").alias("d"), form("y").alias("pairs"), F.round(form("n")).cast("bigint").alias("n")))
+    out = norms.select(F.inline(F.array(*rows)))
+    return out.select("d", F.when(F.col("n") > 0, F.col("pairs") / F.nullif("n", int64(0))).otherwise(0.0).alias("cov"), "n")
+
+
 def covariance_by_sites(obs: DataFrame, length: int, y: str = "y") -> DataFrame:
     """``(sites, cov, n)`` per set of agreeing sites, written as a 0/1 string."""
     full = (1 << length) - 1

@@ -22,9 +22,12 @@ def sequence_counts(msa: DataFrame, seq: str = "seq") -> DataFrame:
     return msa.groupBy(seq).agg(F.count("*").alias("n"))
 
 
-def repeated(counts: DataFrame, seq: str = "seq", n: str = "n") -> DataFrame:
-    """One row per counted sequence."""
-    return counts.where(F.col(n) > 0).select(seq, F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy")).drop("copy")
+def repeated(counts: DataFrame, seq: str = "seq", n: str = "n", chunk: int = 65536) -> DataFrame:
+    """One row per counted sequence; large counts are cut into chunks that spread over the cluster."""
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / chunk))
+    pieces = counts.where(F.col(n) > 0).select(seq, n, F.explode(chunks).alias("_chunk")).repartition(seq, "_chunk")
+    size = F.least(F.lit(chunk).cast("bigint"), F.col(n) - F.col("_chunk") * chunk)
+    return pieces.select(seq, F.explode(F.sequence(F.lit(1).cast("bigint"), size)).alias("_copy")).drop("_copy")
 
 
 def max_mismatches(length: int, max_dist: float) -> int:

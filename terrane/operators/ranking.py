@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -23,11 +24,15 @@ def ranked_by_bucket(df: DataFrame, bucket: Column, order: Sequence[Column | str
     return ranked.withColumn(out, F.col("_offset") + F.col("_inner")).drop("_bucket", "_inner", "_offset")
 
 
-def hash_rank(df: DataFrame, key: Column | str, seed: int | str, out: str = "rank") -> DataFrame:
-    """0-based rank in a seeded pseudo-random order; the key must be unique."""
+def hash_rank(df: DataFrame, key: Column | str, seed: int | str, out: str = "rank", n: int | None = None) -> DataFrame:
+    """0-based rank in a seeded pseudo-random order; the key must be unique.
+
+    Buckets are hash prefixes, long enough to hold about a million rows each when ``n`` is given.
+    """
     key = F.col(key) if isinstance(key, str) else key
+    digits = max(3, ceil(log((n or 1) / 1e6 + 1, 16)))
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))))
-    return ranked_by_bucket(hashed, F.substring("_h", 1, 3), ["_h"], out).drop("_h")
+    return ranked_by_bucket(hashed, F.substring("_h", 1, digits), ["_h"], out).drop("_h")
 
 
 def index_rank(df: DataFrame, idx: str, n: int, out: str = "rank") -> DataFrame:

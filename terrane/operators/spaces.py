@@ -71,9 +71,15 @@ class Space:
         if self.n > MAX_STATES:
             raise ValueError(f"{self.n} states exceed the limit of {MAX_STATES}")
 
+    def digit_sql(self, site: int, idx: str = "idx") -> str:
+        """SQL text for the ordinal of the allele a state index has at a site."""
+        return "0L" if self.radices[site] == 1 else f"({idx} div {self.strides[site]}L % {self.radices[site]}L)"
+
     def digit(self, idx: Column | str, site: int) -> Column:
         """Ordinal of the allele a state index has at a site."""
-        return (F.expr("0") if self.radices[site] == 1 else F.floor(col(idx) / int64(self.strides[site])) % self.radices[site]).cast("bigint")
+        if isinstance(idx, str):
+            return F.expr(self.digit_sql(site, idx))
+        return F.lit(0).cast("bigint") if self.radices[site] == 1 else F.floor(idx / int64(self.strides[site])).cast("bigint") % self.radices[site]
 
     def seq_of(self, idx: Column | str) -> Column:
         return F.concat(*[
@@ -192,14 +198,16 @@ def sequence_space(spark: SparkSession, values: DataFrame, space: Space | None =
 # --- graphs over arbitrary sequence lists ----------------------------------------------
 
 def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "seq") -> DataFrame:
-    """Pairs at Hamming distance 1 among distinct sequences, by equality of masked sequences.
+    """Pairs at Hamming distance 1, by equality of masked sequences and different letters at the mask.
 
-    A masked key is shared by at most one row per allele, so the self-join cannot blow up.
+    Among distinct sequences a masked key is shared by at most one row per allele, so the self-join
+    cannot blow up.
     """
-    keys = F.explode(F.array(*[mask_site(seq, s) for s in range(length)])).alias("key")
-    left = nodes.select(F.col(idx).alias("i"), keys)
-    right = nodes.select(F.col(idx).alias("j"), keys)
-    return left.join(right, "key").where("i <> j").select("i", "j")
+    cells = F.explode(F.array(*[
+        F.struct(mask_site(seq, s).alias("key"), F.lit(s).alias("site"), char_at(seq, s).alias("allele")) for s in range(length)
+    ])).alias("c")
+    side = lambda k: nodes.select(F.col(idx).alias(k), cells).select(k, "c.key", "c.site", F.col("c.allele").alias(f"allele_{k}"))
+    return side("i").join(side("j"), ["key", "site"]).where("allele_i <> allele_j").select("i", "j")
 
 
 def hamming_ball(spark: SparkSession, centre: str, space: Space, d: int) -> DataFrame:
@@ -360,11 +368,15 @@ def site_blocks(space: Space) -> list[list[int]]:
     return blocks
 
 
+def block_key_sql(space: Space, block: Sequence[int]) -> str:
+    """SQL text that is equal for all states that differ only inside ``block``."""
+    rest = [s for s in range(space.length) if s not in block]
+    return " + ".join(f"{space.digit_sql(s)} * {space.strides[s]}L" for s in rest) or "0L"
+
+
 def block_partition(df: DataFrame, space: Space, block: Sequence[int], key: str = "_block") -> tuple[DataFrame, str]:
     """Shuffle once so that all states that differ only inside ``block`` are together."""
-    rest = [s for s in range(space.length) if s not in block]
-    masked = total([space.digit("idx", s) * int64(space.strides[s]) for s in rest] or [int64(0)])
-    return df.withColumn(key, masked).repartition(key), key
+    return df.selectExpr("*", f"{block_key_sql(space, block)} AS {key}").repartition(key), key
 
 
 def rest_digits(space: Space, block: Sequence[int], site: int) -> list[Column]:

@@ -20,7 +20,7 @@ def assign_folds(obs: DataFrame, k: int, seed: int = 0, key: str = "seq", max_pr
     if n < k:
         raise ValueError("fewer observations than folds")
     size = round(n / k)
-    ranked = hash_rank(obs, key, seed, "_rank")
+    ranked = hash_rank(obs, key, seed, "_rank", n)
     fold = F.floor(F.col("_rank") / size).cast("int")
     out = ranked.withColumn("fold", F.when(fold < k, fold))
     scored = F.col("fold").isNotNull()
@@ -64,7 +64,7 @@ def training_splits(obs: DataFrame, design: Sequence[tuple[int, float, int]], se
     parts = []
     for rep in sorted({r for _, _, r in design}):
         rows = [d for d in design if d[2] == rep]
-        ranked = hash_rank(obs, key, f"{seed}-{rep}", "_rank").withColumn("d", F.explode(_literal_design(rows)))
+        ranked = hash_rank(obs, key, f"{seed}-{rep}", "_rank", total).withColumn("d", F.explode(_literal_design(rows)))
         ranked = ranked.withColumns({"id": F.col("d.id"), "p": F.col("d.p"), "rep": F.col("d.rep")}).drop("d")
         u = hash_uniform(F.concat_ws(":", F.col("id"), F.col(key)), seed)
         scaled = F.col("p") * F.lit(total / max(training_n, 1))

@@ -5,25 +5,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations, product
+from itertools import combinations
+from math import prod
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from terrane.constants import MAX_EXPONENT
-from terrane.functions.seqcols import expected_logp, total
+from terrane.functions.seqcols import expected_logp
 from terrane.operators.spaces import Space
 from terrane.operators.splits import assign_folds
 from terrane.operators.stats import geodesic, log_likelihood, softmax
 from terrane.plans import kernels as K
 from terrane.plans.regression import precision_contrasts
-from terrane.plans.solvers import Chain, conjugate_gradient
+from terrane.plans.solvers import Chain, conjugate_gradient, dot, num
 from terrane.session import cut
 
 INF = float("inf")
 # fixed values: range in which the field is free, and its quadratic bound outside
 PHI_LOW, PHI_HIGH = 0.0, 100.0
 
+MAX_WARM_FEATURES = 500
+MAX_MARGINAL_CELLS = 2_000_000
+
 
 @dataclass(frozen=True)
 class Prior:
@@ -56,11 +60,11 @@ def density_states(space: Space, counts: DataFrame, baseline: DataFrame | None =
     return out.join(field, "idx", "left").withColumn("off", F.coalesce("off", missing))
 
 
-def data_terms(phi: Column, c: Column, n: float) -> tuple[Column, Column, Column]:
-    """Loss, gradient and curvature of the likelihood and the bound penalty at one state."""
-    over = F.greatest(phi - PHI_HIGH, F.lit(0.0)) + F.least(phi - PHI_LOW, F.lit(0.0))
-    e = F.lit(float(n)) * F.exp(F.least(-phi, F.lit(MAX_EXPONENT)))
-    return c * phi + e + over * over, c - e + 2.0 * over, e + F.when(over != 0.0, 2.0).otherwise(0.0)
+def data_terms(phi: str, c: str, n: float) -> tuple[str, str, str]:
+    """Loss, gradient and curvature of the likelihood and the bound penalty at one state (SQL text)."""
+    over = f"(greatest({phi} - {num(PHI_HIGH)}, 0D) + least({phi} - {num(PHI_LOW)}, 0D))"
+    e = f"{num(n)} * exp(least(-({phi}), {num(MAX_EXPONENT)}))"
+    return f"{c} * ({phi}) + {e} + {over} * {over}", f"{c} - {e} + 2D * {over}", f"{e} + IF({over} <> 0D, 2D, 0D)"
 
 
 def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, float, Prior]], start: Sequence[str] | None = None,
@@ -82,9 +86,9 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
     chain, norm0 = Chain(), None
     for _ in range(max_steps):
         df = K.apply_kernels(df, space, {f"cphi_{c}": (phi[c], lam[c]) for c in names})
-        terms = {c: data_terms(F.col(phi[c]) + F.col("off"), F.col(c), totals[c]) for c in names}
-        df = df.withColumns({f"g_{c}": -(F.col(f"cphi_{c}") + terms[c][1]) for c in names} | {f"h_{c}": terms[c][2] for c in names})
-        df, m = chain.store(df, {f"n_{c}": F.sum(F.col(f"g_{c}") * F.col(f"g_{c}")) for c in names})
+        terms = {c: data_terms(f"{phi[c]} + off", c, totals[c]) for c in names}
+        df = df.selectExpr("*", *[f"-(cphi_{c} + {terms[c][1]}) AS g_{c}" for c in names], *[f"{terms[c][2]} AS h_{c}" for c in names])
+        df, m = chain.store(df, {f"n_{c}": dot(f"g_{c}", f"g_{c}") for c in names})
         norms = [float(np.sqrt(m[f"n_{c}"])) for c in names]
         norm0 = norm0 or [max(x, 1e-300) for x in norms]
         if all(x <= rtol * max(y, totals[c] * 1e-3) for x, y, c in zip(norms, norm0, names)):
@@ -92,10 +96,11 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
         forcing = min(0.1, max(max(x / y for x, y in zip(norms, norm0)), 1e-3))
 
         def apply(v: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
+            held = [f"`{c}`" for c in v.columns]
             v = K.apply_kernels(v, space, {o: (k, lam[c]) for c, k, o in zip(names, cols, outs)})
-            return v.withColumns({o: F.col(o) + F.col(f"h_{c}") * F.col(k) for c, k, o in zip(names, cols, outs)})
+            return v.selectExpr(*held, *[f"`{o}` + h_{c} * `{k}` AS `{o}`" for c, k, o in zip(names, cols, outs)])
 
-        precondition = [F.col(f"h_{c}") + F.lit(diag[c]) for c in names]
+        precondition = [f"h_{c} + {num(diag[c])}" for c in names]
         solved = conjugate_gradient(df, apply, [f"g_{c}" for c in names], precondition, forcing)
         d = {c: f"x_g_{c}" for c in names}
         # the quadratic part along the step needs only scalars: C d = g - h d up to the CG residual
@@ -103,11 +108,9 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
         probes = {}
         for c in names:
             for i, t in enumerate([0.0, *lengths]):
-                moved = F.col(phi[c]) + F.lit(t) * F.col(d[c])
-                probes[f"f{i}_{c}"] = F.sum(data_terms(moved + F.col("off"), F.col(c), totals[c])[0])
-            probes[f"pc_{c}"] = F.sum(F.col(d[c]) * F.col(f"cphi_{c}"))
-            probes[f"dd_{c}"] = F.sum(F.col(d[c]) * F.col(f"cd_{c}"))
-            probes[f"gd_{c}"] = F.sum(F.col(d[c]) * F.col(f"g_{c}"))
+                moved = f"{phi[c]} + {num(t)} * {d[c]} + off"
+                probes[f"f{i}_{c}"] = F.expr(f"sum({data_terms(moved, c, totals[c])[0]})")
+            probes |= {f"pc_{c}": dot(d[c], f"cphi_{c}"), f"dd_{c}": dot(d[c], f"cd_{c}"), f"gd_{c}": dot(d[c], f"g_{c}")}
         solved, m = chain.store(solved, probes)
         step = {}
         for c, x, y in zip(names, norms, norm0):
@@ -116,7 +119,7 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
             step[c] = next((t for i, t in enumerate(lengths, 1) if change(i, t) <= -1e-4 * t * m[f"gd_{c}"] + slack), 0.0)
         if not any(step.values()):
             break
-        df = solved.withColumns({phi[c]: F.col(phi[c]) + F.lit(step[c]) * F.col(d[c]) for c in names}).select(*base, *phi.values())
+        df = solved.selectExpr(*base, *[f"{phi[c]} + {num(step[c])} * {d[c]} AS {phi[c]}" for c in names])
     return df.select(*base, *phi.values())
 
 
@@ -124,6 +127,9 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
 
 def marginal_sums(df: DataFrame, space: Space, sets: Sequence[Sequence[int]], columns: Sequence[str]) -> dict[tuple[int, ...], dict[str, np.ndarray]]:
     """Sums of columns over all allele combinations of each site set, from one aggregation."""
+    cells = sum(prod(space.radices[x] for x in s) for s in sets)
+    if cells > MAX_MARGINAL_CELLS:
+        raise ValueError(f"{cells} marginal sums are too many; use a finite a")
     names = [f"_d{s}" for s in range(space.length)]
     rows = df.select(*columns, *[space.digit("idx", s).cast("int").alias(n) for s, n in enumerate(names)])
     grouped = rows.groupingSets([[names[s] for s in chosen] for chosen in sets], *names).agg(
@@ -164,8 +170,8 @@ def fit_maximum_entropy(states: DataFrame, space: Space, c: str, n: float, p: in
 
     def evaluate(at: np.ndarray):
         field = K.from_basis(space, p, dict(zip(names, at)), states, "_phi")
-        loss, grad, hess = data_terms(F.col("_phi") + F.col("off"), F.col(c), n)
-        sums = marginal_sums(field.select("idx", loss.alias("f"), grad.alias("g"), hess.alias("h")), space, wide, ["f", "g", "h"])
+        loss, grad, hess = data_terms("_phi + off", c, n)
+        sums = marginal_sums(field.selectExpr("idx", f"{loss} AS f", f"{grad} AS g", f"{hess} AS h"), space, wide, ["f", "g", "h"])
         g = np.concatenate([_set_features(space, s, s).T @ sums[s]["g"].reshape(-1) for s in sets]) + penalty * at
         blocks = []
         for s in sets:
@@ -203,6 +209,10 @@ def fit_field(states: DataFrame, space: Space, prior: Prior, c: str = "c", start
         return states.withColumn(f"phi_{c}", F.when(share > 0, -F.log(share)).otherwise(F.lit(INF)))
     if prior.a == INF:
         return cut(fit_maximum_entropy(states, space, c, n, prior.p, prior.low)[0])
+    if start is None and sum(K.multiplicities(space)[:prior.p]) <= MAX_WARM_FEATURES:
+        # the field without high orders is cheap (one aggregation a step) and close to the solution
+        warm = fit_maximum_entropy(states, space, c, n, prior.p, prior.low, rtol=1e-4)[0].withColumnRenamed(f"phi_{c}", "_warm")
+        return fit_fields(cut(warm), space, [(c, n, prior)], ["_warm"], rtol).drop("_warm")
     return fit_fields(states, space, [(c, n, prior)], [start] if start else None, rtol)
 
 
@@ -222,8 +232,7 @@ def density_table(fitted: DataFrame, space: Space, c: str = "c", allele_freqs: d
 def density_contrasts(fitted: DataFrame, space: Space, prior: Prior, contrasts: DataFrame, c: str = "c", rtol: float = 1e-9) -> DataFrame:
     """Contrasts of the field under its Laplace posterior (C + curvature)^-1."""
     n = float(fitted.agg(F.sum(c)).first()[0])
-    h = data_terms(F.col(f"phi_{c}") + F.col("off"), F.col(c), n)[2]
-    states = fitted.select("idx", h.alias("h"), F.col(f"phi_{c}").alias("phi"))
+    states = fitted.selectExpr("idx", f"{data_terms(f'phi_{c} + off', c, n)[2]} AS h", f"phi_{c} AS phi")
     return precision_contrasts(states, space, prior.lambdas(space), "h", "phi", contrasts, rtol)
 
 

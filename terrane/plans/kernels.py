@@ -95,22 +95,27 @@ def order_columns(vec: DataFrame, space: Space, v: str = "v", prefix: str = "_k"
 
 
 def _projections(vec: DataFrame, space: Space, columns: dict[str, str]) -> DataFrame:
-    """Projections of several vectors at once (prefix -> column); they share every shuffle."""
-    out = vec.withColumns({f"{prefix}0": F.col(v).cast("double") for prefix, v in columns.items()})
-    a, done = float(space.alpha), 0
+    """Projections of several vectors at once (prefix -> column); they share every shuffle.
+
+    Averaging one more site splits every column into its mean (order unchanged) and the rest (one
+    order higher). Written as SQL text, which plans much faster than nested column objects.
+    """
+    names = [f"`{c}`" for c in vec.columns]
+    out = vec.selectExpr(*names, *[f"CAST(`{v}` AS DOUBLE) AS `{p}0`" for p, v in columns.items()])
+    done = 0
     for block in site_blocks(space):
         out, key = block_partition(out, space, block)
         for s in block:
-            group = W.partitionBy(key, *rest_digits(space, block, s))
-            means = {f"_m{p}{k}": F.sum(f"{p}{k}").over(group) / a for p in columns for k in range(done + 1)}
-            out = out.withColumns(means)
-            grown = {}
+            group = ", ".join([key, *[space.digit_sql(t) for t in block if t != s]])
+            held = [(p, k) for p in columns for k in range(done + 1)]
+            out = out.selectExpr("*", *[f"sum(`{p}{k}`) OVER (PARTITION BY {group}) / {space.alpha}D AS `_m{p}{k}`" for p, k in held])
+            grown = []
             for p in columns:
                 for k in range(done + 2):
-                    same = F.col(f"_m{p}{k}") if k <= done else F.lit(0.0)
-                    up = F.col(f"{p}{k - 1}") - F.col(f"_m{p}{k - 1}") if k else F.lit(0.0)
-                    grown[f"{p}{k}"] = same + up
-            out = out.withColumns(grown).drop(*means)
+                    same = [f"`_m{p}{k}`"] if k <= done else []
+                    up = [f"`{p}{k - 1}` - `_m{p}{k - 1}`"] if k else []
+                    grown.append(" + ".join(same + up) + f" AS `{p}{k}`")
+            out = out.selectExpr(*names, key, *grown)
             done += 1
         out = out.drop(key)
     return out
@@ -120,12 +125,12 @@ def apply_kernels(vec: DataFrame, space: Space, maps: dict[str, tuple[str, Seque
     """Several ``out = sum_k lambda_k P_k v`` at once, given as ``{out: (v, lambdas)}``, in two shuffles."""
     names = {f"_k{n}_": v for n, v in enumerate(dict.fromkeys(v for v, _ in maps.values()))}
     prefix = {v: p for p, v in names.items()}
-    df = _projections(vec, space, names)
-    outs = {}
+    outs = []
     for out, (v, lambdas) in maps.items():
-        parts = [F.lit(float(x)) * F.col(f"{prefix[v]}{k}") for k, x in enumerate(lambdas) if x != 0.0]
-        outs[out] = total(parts) if parts else F.lit(0.0)
-    return df.withColumns(outs).drop(*[f"{p}{k}" for p in names for k in range(space.length + 1)])
+        parts = [f"{float(x)!r}D * `{prefix[v]}{k}`" for k, x in enumerate(lambdas) if x != 0.0]
+        outs.append((" + ".join(parts) or "0D") + f" AS `{out}`")
+    kept = [f"`{c}`" for c in vec.columns if c not in maps]
+    return _projections(vec, space, names).selectExpr(*kept, *outs)
 
 
 def apply_kernel(vec: DataFrame, space: Space, lambdas: Sequence[float], v: str = "v", out: str = "u") -> DataFrame:

@@ -26,7 +26,7 @@ def _dirichlet(nodes: DataFrame, rates: DataFrame, unknown: str, rhs: str, rever
         w = F.sqrt(F.col(f"{p}_i") / F.col(f"{p}_j")) * F.col("rate")
         edges = cut(kept.select("i", "j", w.alias("w")))
         system = system.withColumn("b", F.sqrt(p) * F.col(rhs))
-        x = conjugate_gradient(system.select("idx", p, "leave", "b"), edge_apply(edges, "leave", sign=-1.0), ["b"], F.col("leave"), rtol)
+        x = conjugate_gradient(system.select("idx", p, "leave", "b"), edge_apply(edges, "leave", sign=-1.0), ["b"], "leave", rtol)
         out = cut(x.select("idx", (F.col("x_b") / F.sqrt(p)).alias("q")))
     else:
         edges = cut(kept.select("i", "j", F.col("rate").alias("w")))
@@ -187,7 +187,7 @@ def pathways(flows: DataFrame, start: DataFrame, end: DataFrame, n: int = 20) ->
     """``(path, step, i, j, eff_flow, eff_flow_p)``: dominant pathways, each subtracted from the flows."""
     spark = flows.sparkSession
     left = cut(flows.select("i", "j", F.col("eff_flow").alias("w")))
-    rate = reactive_rate(flows, start).first()[0] or 0.0
+    rate = reactive_rate(left.withColumnRenamed("w", "eff_flow"), start).first()[0] or 0.0
     rows = []
     for path in range(n):
         row = pathway(left, start, end).first()

@@ -9,16 +9,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.functions.seqcols import total
-from terrane.operators.cube import covariance_by_distance, covariance_by_sites, local_epistasis
+from terrane.operators.cube import covariance_by_distance, covariance_by_sites, covariance_on_space, local_epistasis
 from terrane.operators.spaces import Space
 from terrane.operators.splits import assign_folds, fold_roles
 from terrane.operators.stats import metrics, with_interval
 from terrane.plans import kernels as K
 from terrane.plans.smallfit import minimize, nonnegative_least_squares
-from terrane.plans.solvers import Apply, conjugate_gradient
+from terrane.plans.solvers import Apply, conjugate_gradient, num
 from terrane.session import cut, small_rows
 
 MAX_COLUMNS = 32
+CUBE_SITES = 10
 
 
 def observed_states(space: Space, obs: DataFrame) -> DataFrame:
@@ -73,10 +74,11 @@ def precision_solve(states: DataFrame, space: Space, lambdas: Sequence[float], w
     d = float(K.kernel_diagonal(space, lambdas))
 
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
+        held = [f"`{c}`" for c in df.columns]
         df = K.apply_kernels(df, space, {o: (c, lambdas) for c, o in zip(cols, outs)})
-        return df.withColumns({o: F.col(o) + F.col(weight) * F.col(c) for c, o in zip(cols, outs)})
+        return df.selectExpr(*held, *[f"`{o}` + `{weight}` * `{c}` AS `{o}`" for c, o in zip(cols, outs)])
 
-    return conjugate_gradient(states, apply, list(rhs), F.col(weight) + F.lit(d), rtol)
+    return conjugate_gradient(states, apply, list(rhs), f"`{weight}` + {num(d)}", rtol)
 
 
 def epistasis_regression(obs: DataFrame, space: Space, p: int, a: float | None = None, rtol: float = 1e-9) -> DataFrame:
@@ -164,8 +166,15 @@ def smallest_variance(obs: DataFrame) -> float:
 
 
 def fit_variance_components(obs: DataFrame, space: Space, beta: float = 0.0) -> np.ndarray:
-    """Variance of each interaction order; one cube over the data, then l + 1 numbers."""
-    cov, n = _moments(covariance_by_distance(obs, space.length), space.length)
+    """Variance of each interaction order: second moments per distance, then l + 1 numbers.
+
+    Few sites go through one cube of the observations, many sites through the complete space.
+    """
+    if space.length <= CUBE_SITES:
+        moments = covariance_by_distance(obs, space.length)
+    else:
+        moments = covariance_on_space(observed_states(space, obs), space)
+    cov, n = _moments(moments, space.length)
     return Alignment(space, cov, n, smallest_variance(obs)).fit(beta)
 
 
@@ -212,17 +221,16 @@ def _held_out(roles: DataFrame, split: int, space: Space, lam: np.ndarray, loss:
 def _masked_kernel(space: Space, lambdas: Sequence[float]) -> Apply:
     """(K_BB + D) on complete vectors that are zero where nothing was observed."""
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
+        held = [f"`{c}`" for c in df.columns]
         df = K.apply_kernels(df, space, {o: (c, lambdas) for c, o in zip(cols, outs)})
-        return df.withColumns({
-            o: F.when(F.col("known"), F.col(o) + F.col("y_var") * F.col(c)).otherwise(0.0) for c, o in zip(cols, outs)
-        })
+        return df.selectExpr(*held, *[f"IF(known, `{o}` + y_var * `{c}`, 0D) AS `{o}`" for c, o in zip(cols, outs)])
     return apply
 
 
 def posterior_mean(obs: DataFrame, space: Space, lambdas: Sequence[float], requested: DataFrame | None = None, rtol: float = 1e-9) -> DataFrame:
     """``(idx, seq, y)`` for all states, or for the sequences requested."""
     states = cut(observed_states(space, obs))
-    d = F.lit(K.kernel_diagonal(space, lambdas)) + F.col("y_var")
+    d = f"{num(K.kernel_diagonal(space, lambdas))} + y_var"
     solved = conjugate_gradient(states, _masked_kernel(space, lambdas), ["y"], d, rtol)
     mean = K.apply_kernel(solved, space, lambdas, "x_y", "f")
     out = named_states(space, mean.select("idx", F.col("f").alias("y")), "y")
@@ -240,7 +248,7 @@ def posterior_contrasts(obs: DataFrame, space: Space, lambdas: Sequence[float],
     states = observed_states(space, obs).join(weights, "idx", "left").na.fill(0.0, cols)
     states = K.apply_kernels(cut(states), space, {f"g{c}": (c, lambdas) for c in cols})
     states = states.withColumns({f"r{c}": F.when(F.col("known"), F.col(f"g{c}")).otherwise(0.0) for c in cols})
-    d = F.lit(K.kernel_diagonal(space, lambdas)) + F.col("y_var")
+    d = f"{num(K.kernel_diagonal(space, lambdas))} + y_var"
     rhs = ["y", *[f"r{c}" for c in cols]]
     solved = conjugate_gradient(cut(states), _masked_kernel(space, lambdas), rhs, d, rtol)
     row = solved.agg(

@@ -31,29 +31,33 @@ class Chain:
         return step.table, step.measures
 
 
-def dot(a: str, b: str, w: Column | None = None) -> Column:
-    return F.sum(F.col(a) * F.col(b) if w is None else w * F.col(a) * F.col(b))
+def dot(a: str, b: str, weight: str = "") -> Column:
+    return F.expr(f"sum({weight and weight + ' * '}`{a}` * `{b}`)")
 
 
-def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diagonal: Column | Sequence[Column] | None = None,
+def num(x: float) -> str:
+    """A double as SQL text."""
+    return f"{float(x)!r}D"
+
+
+def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diagonal: str | Sequence[str] | None = None,
                        rtol: float = 1e-9, max_steps: int = 1000, x0: Sequence[str] | None = None) -> DataFrame:
     """Solve A x = b for one or more right-hand sides of a symmetric positive (semi-)definite map.
 
     ``system`` holds the ``rhs`` columns and whatever ``apply`` needs; the result gains ``x_<rhs>``.
     All right-hand sides share every shuffle, each with its own step sizes. ``diagonal`` is the
-    preconditioner, one column for all or one per right-hand side.
+    preconditioner as SQL text, one for all or one per right-hand side.
     """
-    given = list(diagonal) if isinstance(diagonal, (list, tuple)) else [diagonal] * len(rhs)
-    inv = [1.0 / d if d is not None else F.lit(1.0) for d in given]
-    base = system.columns
+    given = [diagonal] * len(rhs) if diagonal is None or isinstance(diagonal, str) else list(diagonal)
+    inv = [f"(1D / ({d}))" if d is not None else "1D" for d in given]
+    base = [f"`{c}`" for c in system.columns]
     x, r, p, u = ([f"{k}_{b}" for b in rhs] for k in ("x", "r", "p", "u"))
-    df = system
     if x0 is None:
-        df = df.withColumns({**{c: F.lit(0.0) for c in x}, **{c: F.col(b) for c, b in zip(r, rhs)}})
+        df = system.selectExpr(*base, *[f"0D AS `{c}`" for c in x], *[f"`{b}` AS `{c}`" for b, c in zip(rhs, r)])
     else:
-        df = apply(df.withColumns({c: F.col(s) for c, s in zip(x, x0)}), x, u)
-        df = df.withColumns({c: F.col(b) - F.col(a) for c, b, a in zip(r, rhs, u)}).drop(*u)
-    df = df.withColumns({c: w * F.col(b) for c, b, w in zip(p, r, inv)}).select(*base, *x, *r, *p)
+        df = apply(system.selectExpr(*base, *[f"`{s}` AS `{c}`" for c, s in zip(x, x0)]), x, u)
+        df = df.selectExpr(*base, *[f"`{c}`" for c in x], *[f"`{b}` - `{c}` AS `{d}`" for b, c, d in zip(rhs, u, r)])
+    df = df.selectExpr("*", *[f"{w} * `{b}` AS `{c}`" for c, b, w in zip(p, r, inv)])
     measures = {}
     for k, b in enumerate(rhs):
         measures |= {
@@ -74,13 +78,14 @@ def conjugate_gradient(system: DataFrame, apply: Apply, rhs: Sequence[str], diag
             alpha.append(a)
             beta.append(rz / s[f"rz{k}"] if active else 0.0)
             done = done and rr <= target
-        moved = step.withColumns({
-            **{x[k]: F.col(x[k]) + F.lit(alpha[k]) * F.col(p[k]) for k in range(len(rhs))},
-            **{r[k]: F.col(r[k]) - F.lit(alpha[k]) * F.col(u[k]) for k in range(len(rhs))},
-        })
+        moved = [f"`{x[k]}` + {num(alpha[k])} * `{p[k]}` AS `{x[k]}`" for k in range(len(rhs))]
         if done:
-            return moved.select(*base, *x)
-        df = moved.withColumns({p[k]: inv[k] * F.col(r[k]) + F.lit(beta[k]) * F.col(p[k]) for k in range(len(rhs))}).select(*base, *x, *r, *p)
+            return step.selectExpr(*base, *moved)
+        rest = [f"`{r[k]}` - {num(alpha[k])} * `{u[k]}`" for k in range(len(rhs))]
+        df = step.selectExpr(
+            *base, *moved, *[f"{e} AS `{r[k]}`" for k, e in enumerate(rest)],
+            *[f"{inv[k]} * ({e}) + {num(beta[k])} * `{p[k]}` AS `{p[k]}`" for k, e in enumerate(rest)],
+        )
     raise RuntimeError(f"no convergence in {max_steps} steps")
 
 
@@ -152,7 +157,7 @@ def lowest_modes(start: DataFrame, apply: Apply, k: int, deflate: str, basis: in
         order = np.argsort(values)[::-1]
         converged = exhausted or np.all(residual * abs(vectors[-1, order[:k]]) <= rtol * np.maximum(abs(values[order[:k]]), 1e-300))
         count = min(k, j) if converged else min(k + 5, j - 1)
-        mix = lambda c: sum((F.lit(float(vectors[i, c])) * F.col(names[i]) for i in range(j)), F.lit(0.0))
+        mix = lambda c: F.expr(" + ".join(f"{num(vectors[i, c])} * `{names[i]}`" for i in range(j)))
         if converged:
             return values[order[:count]], df.select(*base, *[mix(c).alias(f"e{n}") for n, c in enumerate(order[:count])])
         df = df.select(*base, *[mix(c).alias(names[n]) for n, c in enumerate(order[:count])], F.col(names[j]).alias(names[count]))
@@ -164,10 +169,8 @@ def lowest_modes(start: DataFrame, apply: Apply, k: int, deflate: str, basis: in
 
 def _reduced(df: DataFrame, over: Sequence[str], row: dict) -> DataFrame:
     """Subtract from ``w`` its projections on the ``over`` columns."""
-    w = F.col("w")
-    for c in over:
-        w = w - F.lit(row[c]) * F.col(c)
-    return df.withColumn("w", w)
+    others = [f"`{c}`" for c in df.columns if c != "w"]
+    return df.selectExpr(*others, "w - (" + " + ".join(f"{num(row[c])} * `{c}`" for c in over) + ") AS w")
 
 
 def _norm(row: dict, over: Sequence[str]) -> float:
@@ -177,12 +180,12 @@ def _norm(row: dict, over: Sequence[str]) -> float:
 def edge_apply(edges: DataFrame, diagonal: str, weight: str = "w", sign: float = 1.0) -> Apply:
     """Matrix of an edge table plus a diagonal column: sign * sum_j w_ij v_j + diagonal_i v_i."""
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
-        far = df.select(F.col("idx").alias("j"), *[F.col(c).alias(f"_{c}") for c in cols])
+        far = df.selectExpr("idx AS j", *[f"`{c}` AS `_{c}`" for c in cols])
         sums = edges.select("i", "j", weight).join(far, "j").groupBy(F.col("i").alias("idx")).agg(
-            *[F.sum(F.col(weight) * F.col(f"_{c}")).alias(f"_{o}") for c, o in zip(cols, outs)]
+            *[F.expr(f"sum(`{weight}` * `_{c}`) AS `_{o}`") for c, o in zip(cols, outs)]
         )
-        out = df.join(sums, "idx", "left")
-        return out.withColumns({
-            o: F.lit(sign) * F.coalesce(F.col(f"_{o}"), F.lit(0.0)) + F.col(diagonal) * F.col(c) for c, o in zip(cols, outs)
-        }).drop(*[f"_{o}" for o in outs])
+        held = [f"`{c}`" for c in df.columns]
+        return df.join(sums, "idx", "left").selectExpr(*held, *[
+            f"{num(sign)} * coalesce(`_{o}`, 0D) + `{diagonal}` * `{c}` AS `{o}`" for c, o in zip(cols, outs)
+        ])
     return apply
