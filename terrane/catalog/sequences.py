@@ -57,7 +57,16 @@ def recode_sites(spark, sf):
   JOIN codons a ON a.c = substr(seq,1,3) JOIN codons b ON b.c = substr(seq,4,3)
   JOIN codons c ON c.c = substr(seq,7,3) JOIN codons d ON d.c = substr(seq,10,3)""")
 def translate_to_protein(spark, sf):
-    return order_dna(spark, sf).select("row_id", S.translate("seq").alias("protein"))
+    return order_dna(spark, sf).select("row_id", S.translate("seq", length=ORDER_LENGTH).alias("protein"))
+
+
+@query(f"""WITH {ORDER}, codons(c, r) AS (VALUES {CODONS})
+  SELECT o.row_id, coalesce(a.r, '') || coalesce(b.r, '') || coalesce(c.r, '') AS protein FROM (SELECT row_id, substr(seq, 1, 3 + CAST(row_id % 8 AS INT)) AS w FROM order_dna) o
+  LEFT JOIN codons a ON a.c = substr(w,1,3) LEFT JOIN codons b ON b.c = substr(w,4,3) LEFT JOIN codons c ON c.c = substr(w,7,3)""")
+def translate_varied_lengths(spark, sf):
+    """Sequences of different lengths; an incomplete last codon is left out."""
+    words = order_dna(spark, sf).withColumn("w", F.substr("seq", F.lit(1), (F.col("row_id") % 8).cast("int") + 3))
+    return words.select("row_id", S.translate("w").alias("protein"))
 
 
 @query(f"""WITH {PART}, code AS (SELECT substr(seq,1,3) AS c, substr('ABCD*', CAST(sum(n) % 5 AS INT) + 1, 1) AS r FROM part_landscape GROUP BY 1),
@@ -68,7 +77,7 @@ def translate_to_protein(spark, sf):
 def translate_with_custom_codons(spark, sf):
     letter = F.substr(F.lit("ABCD*"), (F.sum("n") % 5).cast("int") + 1, F.lit(1))
     rows = part_landscape(spark, sf).groupBy(F.translate(F.substring("seq", 1, 3), "T", "U").alias("Codon")).agg(letter.alias("Letter"))
-    return order_dna(spark, sf).select("row_id", S.translate("seq", S.custom_codon_table(rows)).alias("protein"))
+    return order_dna(spark, sf).select("row_id", S.translate("seq", S.custom_codon_table(rows), ORDER_LENGTH).alias("protein"))
 
 
 @query(f"""WITH {CUSTOMER} SELECT row_id, CAST(s AS BIGINT) AS site, substr(seq, CAST(s AS INT)+1, 1) AS allele

@@ -67,7 +67,7 @@ def line_landscape(spark: SparkSession, sf: str) -> DataFrame:
     g = li.select(seq.alias("seq"), price.alias("p")).groupBy("seq").agg(
         F.avg("p").alias("y"), (F.var_samp("p") / F.count("*")).alias("y_var"), F.count("*").alias("n")
     )
-    return g.select(LINE_SPACE.idx_of("seq").alias("idx"), "seq", "y", "y_var", "n")
+    return g.select(LINE_SPACE.idx_or_fail("seq").alias("idx"), "seq", "y", "y_var", "n")
 
 
 LINE = """line_landscape AS (
@@ -85,7 +85,7 @@ def embed_landscape(spark: SparkSession, sf: str) -> DataFrame:
     g = e.select(seq.alias("seq"), (F.col("embedding")[8].cast("double") * 10.0).alias("v")).groupBy("seq").agg(
         F.avg("v").alias("y"), (F.var_samp("v") / F.count("*")).alias("y_var"), F.count("*").alias("n")
     )
-    return g.select(EMBED_SPACE.idx_of("seq").alias("idx"), "seq", "y", "y_var", "n")
+    return g.select(EMBED_SPACE.idx_or_fail("seq").alias("idx"), "seq", "y", "y_var", "n")
 
 
 EMBED_SEQ = " || ".join(f"CASE WHEN embedding[{s + 1}] > 0 THEN 'B' ELSE 'A' END" for s in range(8))

@@ -74,24 +74,29 @@ def custom_codon_table(rows: DataFrame) -> dict[str, str]:
     return {r.c: r.r for r in small_rows(table, 64, "codon table")}
 
 
-def translate(seq: Column | str, table: str | int | Mapping[str, str] = "Standard") -> Column:
+def translate(seq: Column | str, table: str | int | Mapping[str, str] = "Standard", length: int | None = None) -> Column:
     """Nucleotides (DNA or RNA) to residues, whole codons only, ``X`` for unknown codons.
 
-    The residue of a codon is found by its rank in TCAG order, so no lookup table is searched.
+    A codon is searched in one constant string of all codons; every fourth place starts one. With a
+    known sequence length the codons are unrolled into generated code.
     """
     codons = table if isinstance(table, Mapping) else codon_table(table)
-    residues = F.lit("".join(codons.get("".join(c), "X") for c in product(CODON_BASES, repeat=3)))
+    listed = ["".join(c) for c in product(CODON_BASES, repeat=3)]
+    places = F.lit("||||" + "|".join(listed))
+    residues = F.lit("X" + "".join(codons.get(c, "X") for c in listed))
     dna = F.translate(F.upper(col(seq)), "U", "T")
-    n_codons = F.floor(F.length(dna) / 3).cast("int")
-    index = F.when(n_codons > 0, F.sequence(F.lit(0), n_codons - 1)).otherwise(F.array().cast("array<int>"))
 
-    def residue(i: Column) -> Column:
-        first, second, third = (F.instr(F.lit(CODON_BASES), F.substr(dna, i * 3 + k, F.lit(1))) for k in (1, 2, 3))
-        rank = (first - 1) * 16 + (second - 1) * 4 + third
-        known = (first > 0) & (second > 0) & (third > 0)
-        return F.when(known, F.substr(residues, rank, F.lit(1))).otherwise("X")
+    def residue(word: Column, start: Column) -> Column:
+        place = F.instr(places, F.substr(word, start + 1, F.lit(3)))
+        return F.substr(residues, F.floor(place / 4).cast("int") + 1, F.lit(1))
 
-    return F.array_join(F.transform(index, residue), "")
+    if length is not None:
+        return F.concat(*[residue(dna, F.lit(3 * k)) for k in range(length // 3)])
+    n_codons = F.floor(F.length(dna) / 3).cast("int")
+    index = F.when(n_codons > 0, F.sequence(F.lit(0), n_codons - 1)).otherwise(F.array().cast("array<int>"))
+    # binding the cleaned word to a lambda variable keeps it from being rebuilt for every codon
+    words = F.transform(F.array(dna), lambda w: F.array_join(F.transform(index, lambda i: residue(w, i * 3)), ""))
+    return words[0]
 
 
 def one_hot(df: DataFrame, alleles: Sequence[str], key: str = "row_id", seq: str = "seq") -> DataFrame:

@@ -49,35 +49,49 @@ def hash_uniform(key: Column | str, seed: int | str) -> Column:
 
 
 def order_statistics(df: DataFrame, y: str, ranks: Sequence[int], bins: int = 1024, final: int = 4096) -> list[float]:
-    """Exact values at 0-based ranks: repeated histogram narrowing, then one small bin."""
-    return [_order_statistic(df.select(F.col(y).cast("double").alias("v")).where("v is not null"), r, bins, final) for r in ranks]
+    """Exact values at 0-based ranks: histograms narrow the range until few values are left.
 
-
-def _order_statistic(values: DataFrame, rank: int, bins: int, final: int) -> float:
+    All ranks share each histogram, and the small bins that hold them are fetched together.
+    """
+    values = df.select(F.col(y).cast("double").alias("v")).where("v is not null")
     low, high = values.agg(F.min("v"), F.max("v")).first()
-    inside = values
-    while True:
+    found: dict[int, float] = {}
+    small: list[tuple[float, float, dict[int, int]]] = []
+    ranges = [(low, high, {r: r for r in set(ranks)})]
+    while ranges:
+        low, high, wanted = ranges.pop()
         if low == high:
-            return low
-        width = (high - low) / bins
-        which = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-        rows = inside.groupBy(which.alias("bin")).agg(
+            found |= {r: low for r in wanted}
+            continue
+        which = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        rows = values.where(F.col("v").between(low, high)).groupBy(which.alias("bin")).agg(
             F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
         ).orderBy("bin").collect()
-        for r in rows:
-            if rank < r.n:
-                break
-            rank -= r.n
-        low, high = r.lo, r.hi
-        inside = values.where(F.col("v").between(low, high))
-        if r.n <= final:
-            return inside.orderBy("v").collect()[rank].v
+        before = 0
+        for row in rows:
+            inside = {r: k - before for r, k in wanted.items() if before <= k < before + row.n}
+            before += row.n
+            if inside:
+                (small if row.n <= final else ranges).append((row.lo, row.hi, inside))
+    if small:
+        test = F.lit(False)
+        for lo, hi, _ in small:
+            test = test | F.col("v").between(lo, hi)
+        kept = sorted(r.v for r in values.where(test).collect())
+        for lo, hi, inside in small:
+            own = [v for v in kept if lo <= v <= hi]
+            found |= {r: own[k] for r, k in inside.items()}
+    return [found[r] for r in ranks]
+
+
+def percentiles(df: DataFrame, y: str, qs: Sequence[float]) -> list[float]:
+    """Linear-interpolation percentiles (q in 0..100)."""
+    n = df.where(F.col(y).isNotNull()).count()
+    positions = [q / 100.0 * (n - 1) for q in qs]
+    ranks = sorted({k for p in positions for k in (int(p), min(int(p) + 1, n - 1))})
+    at = dict(zip(ranks, order_statistics(df, y, ranks)))
+    return [at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, n - 1)] - at[int(p)]) for p in positions]
 
 
 def percentile(df: DataFrame, y: str, q: float) -> float:
-    """Linear-interpolation percentile (q in 0..100)."""
-    n = df.where(F.col(y).isNotNull()).count()
-    position = q / 100.0 * (n - 1)
-    k = int(position)
-    picked = order_statistics(df, y, [k] if position == k else [k, k + 1])
-    return picked[0] if len(picked) == 1 else picked[0] + (position - k) * (picked[1] - picked[0])
+    return percentiles(df, y, [q])[0]

@@ -114,7 +114,7 @@ def highlight(nodes: DataFrame, patterns: Sequence[str], kind: str = "dna", prot
     """Label rows with the last pattern they match; rows holding any null are dropped."""
     if protein:
         if "protein" not in nodes.columns:
-            nodes = nodes.withColumn("protein", translate("seq", table))
+            nodes = nodes.withColumn("protein", translate("seq", table, 3 * max(len(p) for p in patterns)))
         tests = [F.col("protein").rlike(protein_regex(p)) for p in patterns]
     else:
         tests = [F.col("seq").rlike(pattern_regex(p, ambiguity_mapping(kind, len(p)))) for p in patterns]

@@ -94,6 +94,15 @@ class Space:
             parts.append(F.when(at > 0, (at - 1).cast("bigint") * int64(stride)))
         return F.when(F.length(col(seq)) == self.length, total(parts))
 
+    def idx_or_fail(self, seq: Column | str) -> Column:
+        """State index; a sequence outside the space stops the job.
+
+        The last branch is never reached. It tells the optimizer that the index cannot be null, which
+        keeps it from testing the whole expression again on every input row below a join.
+        """
+        outside = F.raise_error(F.concat(F.lit("outside the sequence space: "), col(seq))).cast("bigint")
+        return F.coalesce(self.idx_of(seq), outside, F.lit(-1).cast("bigint"))
+
     def digits(self, seq: str) -> list[int]:
         """Ordinals of one given sequence (driver side)."""
         return [site.index(a) for site, a in zip(self.alleles, seq, strict=True)]
@@ -253,7 +262,7 @@ def codon_edges(space: Space, spark: SparkSession, table: str | Mapping[str, str
 def to_nucleotide_space(proteins: DataFrame, residues: int, spark: SparkSession, table="Standard", alphabet: str = DNA) -> tuple[Space, DataFrame]:
     """Landscape of every nucleotide sequence, valued by the protein it encodes."""
     space = Space.regular(3 * residues, alphabet)
-    states = space.states(spark).withColumn("protein", translate("seq", table))
+    states = space.states(spark).withColumn("protein", translate("seq", table, space.length))
     joined = states.join(proteins.select(F.col("seq").alias("protein"), "y"), "protein", "left")
     return space, require_complete(joined.select("idx", "seq", "protein", "y"))
 

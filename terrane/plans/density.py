@@ -48,14 +48,13 @@ class Prior:
 
 def density_states(space: Space, counts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """``(idx, c, off)``: counts on all states and the baseline field (zero without one)."""
-    own = counts.select(space.idx_of("seq").alias("idx"), F.col("y").cast("double").alias("c"), "seq")
-    outside = F.raise_error(F.concat(F.lit("outside the sequence space: "), F.col("seq"))).cast("bigint")
-    own = own.withColumn("idx", F.coalesce("idx", outside)).groupBy("idx").agg(F.sum("c").alias("c"))
+    own = counts.select(space.idx_or_fail("seq").alias("idx"), F.col("y").cast("double").alias("c"))
+    own = own.groupBy("idx").agg(F.sum("c").alias("c"))
     states = counts.sparkSession.range(space.n).withColumnRenamed("id", "idx")
     out = states.join(own, "idx", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
     if baseline is None:
         return out.withColumn("off", F.lit(0.0))
-    field = baseline.select(space.idx_of("seq").alias("idx"), F.col("phi").cast("double").alias("off"))
+    field = baseline.select(space.idx_or_fail("seq").alias("idx"), F.col("phi").cast("double").alias("off"))
     missing = F.raise_error(F.lit("the baseline must cover every state")).cast("double")
     return out.join(field, "idx", "left").withColumn("off", F.coalesce("off", missing))
 
@@ -268,7 +267,7 @@ def cross_validate_density(obs: DataFrame, space: Space, p: int, a_values: Seque
     """
     folded = assign_folds(obs, folds, seed, "row_id")
     w = F.col(weight).cast("double")
-    per_state = folded.groupBy(space.idx_of("seq").alias("idx")).agg(
+    per_state = folded.groupBy(space.idx_or_fail("seq").alias("idx")).agg(
         *[F.sum(F.when(F.col("fold").eqNullSafe(F.lit(k)), 0.0).otherwise(w)).alias(f"train{k}") for k in range(folds)],
         *[F.sum(F.when(F.col("fold") == k, w).otherwise(0.0)).alias(f"test{k}") for k in range(folds)],
     )

@@ -29,7 +29,7 @@ def observed_states(space: Space, obs: DataFrame) -> DataFrame:
             bad = F.col(c).isNull() | F.isnan(c)
             obs = obs.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} holds a missing value")).cast("double")).otherwise(F.col(c)))
     var = F.col("y_var") if "y_var" in obs.columns else F.lit(0.0)
-    given = obs.select(space.idx_of("seq").alias("idx") if "idx" not in obs.columns else "idx", F.col("y").cast("double").alias("y"), var.cast("double").alias("y_var"))
+    given = obs.select(space.idx_or_fail("seq").alias("idx") if "idx" not in obs.columns else "idx", F.col("y").cast("double").alias("y"), var.cast("double").alias("y_var"))
     states = obs.sparkSession.range(space.n).withColumnRenamed("id", "idx")
     full = states.join(given.withColumn("known", F.lit(True)), "idx", "left")
     return full.withColumns({"known": F.coalesce("known", F.lit(False)), "y": F.coalesce("y", F.lit(0.0)), "y_var": F.coalesce("y_var", F.lit(0.0))})
@@ -100,7 +100,7 @@ def _weighted(space: Space, obs: DataFrame) -> DataFrame:
 def _weights_by_name(contrasts: DataFrame, space: Space) -> tuple[list[str], DataFrame]:
     """``(idx, w0..)``: one weight column per contrast; names are bounded, sequences are not."""
     names = sorted(r.name for r in small_rows(contrasts.select("name").distinct(), MAX_COLUMNS, "contrast list"))
-    own = contrasts.select(space.idx_of("seq").alias("idx"), "name", "weight")
+    own = contrasts.select(space.idx_or_fail("seq").alias("idx"), "name", "weight")
     columns = [F.sum(F.when(F.col("name") == n, F.col("weight")).otherwise(0.0)).alias(f"w{i}") for i, n in enumerate(names)]
     return names, own.groupBy("idx").agg(*columns)
 
