@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrane.constants import LETTERS
+from terrane.functions.seqcols import computed_once
 from terrane.operators.spaces import Space, int64
 
 PART_SPACE = Space.regular(5, "ACGT")
@@ -102,7 +103,8 @@ def line_msa(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     letter = lambda c: F.substr(F.lit(LETTERS), F.round(F.col(c) * 100).cast("int") + 1, F.lit(1))
     seq = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"), letter("l_discount"), letter("l_tax"))
-    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), seq.alias("seq"), F.col("l_quantity").alias("w"))
+    rows = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("w"), "l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax")
+    return computed_once(rows, "seq", seq).select("row_id", "seq", "w")
 
 
 MSA = f"""line_msa AS (
@@ -115,7 +117,8 @@ MSA = f"""line_msa AS (
 def customer_dna(spark: SparkSession, sf: str) -> DataFrame:
     """``(row_id, seq, y)``: eight-letter DNA word per customer key, account balance as value."""
     c = table(spark, sf, "customer")
-    return c.select(F.col("c_custkey").alias("row_id"), dna_digits(F.col("c_custkey"), CUSTOMER_LENGTH).alias("seq"), F.col("c_acctbal").alias("y"))
+    rows = c.select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").alias("y"))
+    return computed_once(rows, "seq", dna_digits(F.col("row_id"), CUSTOMER_LENGTH)).select("row_id", "seq", "y")
 
 
 CUSTOMER = f"customer_dna AS (SELECT c_custkey AS row_id, {dna_digits_sql('c_custkey', CUSTOMER_LENGTH)} AS seq, c_acctbal AS y FROM customer)"
@@ -124,8 +127,8 @@ CUSTOMER = f"customer_dna AS (SELECT c_custkey AS row_id, {dna_digits_sql('c_cus
 def order_dna(spark: SparkSession, sf: str) -> DataFrame:
     """``(row_id, seq, y)``: twelve-letter DNA word per order key, total price as value."""
     o = table(spark, sf, "orders")
-    word = dna_digits(F.col("o_orderkey") * 7919, ORDER_LENGTH)
-    return o.select(F.col("o_orderkey").alias("row_id"), word.alias("seq"), F.col("o_totalprice").alias("y"))
+    rows = o.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("y"))
+    return computed_once(rows, "seq", dna_digits(F.col("row_id") * 7919, ORDER_LENGTH)).select("row_id", "seq", "y")
 
 
 ORDER = f"order_dna AS (SELECT o_orderkey AS row_id, {dna_digits_sql('o_orderkey*7919', ORDER_LENGTH)} AS seq, o_totalprice AS y FROM orders)"

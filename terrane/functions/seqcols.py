@@ -28,6 +28,16 @@ def total(parts: Iterable[Column]) -> Column:
     return reduce(add, parts)
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters and projections read instead of repeating its expression.
+
+    The optimizer copies an expression into every filter above it; it does not look into the output
+    of a generator, so a one-element explode evaluates a long sequence expression once per row.
+    """
+    others = [c for c in df.columns if c != name]
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
 def literal_map(d: Mapping[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
@@ -77,24 +87,25 @@ def custom_codon_table(rows: DataFrame) -> dict[str, str]:
 def translate(seq: Column | str, table: str | int | Mapping[str, str] = "Standard", length: int | None = None) -> Column:
     """Nucleotides (DNA or RNA) to residues, whole codons only, ``X`` for unknown codons.
 
-    A codon is searched in one constant string of all codons; every fourth place starts one. With a
-    known sequence length the codons are unrolled into generated code.
+    A base is its place in TCAG order (U and lower case included), a codon the rank of its bases, so
+    nothing is looked up in a table. With a known length the codons are unrolled into generated code.
     """
     codons = table if isinstance(table, Mapping) else codon_table(table)
-    listed = ["".join(c) for c in product(CODON_BASES, repeat=3)]
-    places = F.lit("||||" + "|".join(listed))
-    residues = F.lit("X" + "".join(codons.get(c, "X") for c in listed))
-    dna = F.translate(F.upper(col(seq)), "U", "T")
+    upper = CODON_BASES + CODON_BASES.replace("T", "U")
+    places = F.lit(upper + upper.lower())
+    residues = F.lit("X" + "".join(codons.get("".join(c), "X") for c in product(CODON_BASES, repeat=3)))
+    dna = col(seq)
 
     def residue(word: Column, start: Column) -> Column:
-        place = F.instr(places, F.substr(word, start + 1, F.lit(3)))
-        return F.substr(residues, F.floor(place / 4).cast("int") + 1, F.lit(1))
+        a, b, c = (F.instr(places, F.substr(word, start + k, F.lit(1))) for k in (1, 2, 3))
+        rank = (a + 3) % 4 * 16 + (b + 3) % 4 * 4 + (c + 3) % 4 + 2
+        return F.substr(residues, F.when(F.least(a, b, c) > 0, rank).otherwise(1), F.lit(1))
 
     if length is not None:
         return F.concat(*[residue(dna, F.lit(3 * k)) for k in range(length // 3)])
     n_codons = F.floor(F.length(dna) / 3).cast("int")
     index = F.when(n_codons > 0, F.sequence(F.lit(0), n_codons - 1)).otherwise(F.array().cast("array<int>"))
-    # binding the cleaned word to a lambda variable keeps it from being rebuilt for every codon
+    # bound to a lambda variable, a derived sequence is not rebuilt for every codon
     words = F.transform(F.array(dna), lambda w: F.array_join(F.transform(index, lambda i: residue(w, i * 3)), ""))
     return words[0]
 

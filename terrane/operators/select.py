@@ -8,7 +8,7 @@ from itertools import combinations, product
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from terrane.functions.seqcols import (
-    ambiguity_mapping, expand_pattern, hamming, pattern_regex, protein_regex, subsequence, total, translate,
+    ambiguity_mapping, computed_once, hamming, pattern_regex, protein_regex, subsequence, total, translate,
 )
 from terrane.operators.ranking import index_rank, order_statistics
 
@@ -112,14 +112,15 @@ def embedding_axes(nodes: DataFrame) -> list[str]:
 
 def highlight(nodes: DataFrame, patterns: Sequence[str], kind: str = "dna", protein: bool = False, table="Standard") -> DataFrame:
     """Label rows with the last pattern they match; rows holding any null are dropped."""
+    nodes = nodes.na.drop()
     if protein:
         if "protein" not in nodes.columns:
-            nodes = nodes.withColumn("protein", translate("seq", table, 3 * max(len(p) for p in patterns)))
+            nodes = computed_once(nodes, "protein", translate("seq", table, 3 * max(len(p) for p in patterns)))
         tests = [F.col("protein").rlike(protein_regex(p)) for p in patterns]
     else:
         tests = [F.col("seq").rlike(pattern_regex(p, ambiguity_mapping(kind, len(p)))) for p in patterns]
     group = F.coalesce(*[F.when(t, p) for t, p in reversed(list(zip(tests, patterns)))])
-    return nodes.withColumn("group", group).na.drop()
+    return computed_once(nodes, "group", group).where(F.col("group").isNotNull())
 
 
 def shifted_motif(nodes: DataFrame, motif: str, length: int, kind: str = "dna", filler: str = "N") -> DataFrame:
