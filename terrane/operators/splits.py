@@ -40,7 +40,8 @@ def fold_roles(folded: DataFrame, k: int) -> DataFrame:
 def training_design(ps: Sequence[float] | None = None, n_ps: int = 10, n_reps: int = 3, low: float = 0.05, high: float = 0.95) -> list[tuple[int, float, int]]:
     """(id, p, rep) rows, every proportion repeated for each replicate."""
     if ps is None:
-        ps = [low + (high - low) * i / (n_ps - 1) if n_ps > 1 else low for i in range(n_ps)]
+        step = (high - low) / max(n_ps - 1, 1)
+        ps = [low + i * step for i in range(n_ps)]
     return [(i * n_reps + r + 1, float(p), r) for i, p in enumerate(ps) for r in range(n_reps)]
 
 
