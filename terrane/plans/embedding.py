@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from terrane.operators.ranking import hash_uniform
 from terrane.operators.select import align_signs
-from terrane.plans.solvers import edge_apply, lowest_modes
+from terrane.plans.solvers import by_target, edge_apply, lowest_modes
 from terrane.plans.walk import calibrate_ns, stationary_frequencies, transition_rates
 from terrane.session import cut
 
@@ -25,7 +25,7 @@ def diffusion_axes(nodes: DataFrame, rates: DataFrame, k: int = 10, p: str = "p"
     rates = cut(rates.select("i", "j", "sym", "rate"))
     leave = rates.groupBy(F.col("i").alias("idx")).agg(F.sum("rate").alias("leave"), F.sum("sym").alias("out"))
     bound = leave.agg(F.max(F.col("leave") + F.col("out"))).first()[0]
-    scaled = rates.select("i", "j", (F.col("sym") / F.lit(bound)).alias("w"))
+    scaled = by_target(rates.select("i", "j", (F.col("sym") / F.lit(bound)).alias("w")))
     start = nodes.select("idx", F.sqrt(p).alias("root")).join(leave.select("idx", "leave"), "idx", "left")
     start = start.withColumn("diag", 1.0 - F.coalesce("leave", F.lit(0.0)) / F.lit(bound)).drop("leave")
     start = start.withColumn("q0", hash_uniform("idx", "start") - 0.5)
@@ -33,6 +33,7 @@ def diffusion_axes(nodes: DataFrame, rates: DataFrame, k: int = 10, p: str = "p"
     values = bound * (shifted - 1.0)
     axes = {f"axis_{n + 1}": F.col(f"e{n}") / F.col("root") / F.lit(float(np.sqrt(-v))) for n, v in enumerate(values)}
     modes = cut(modes.select("idx", *[e.alias(a) for a, e in axes.items()]))
+    scaled.unpersist()
     means = modes.agg(*[F.avg(a).alias(a) for a in axes]).first()
     modes = modes.withColumns({a: F.lit(-1.0 if means[a] < 0 else 1.0) * F.col(a) for a in axes})
     decay = spark.createDataFrame(

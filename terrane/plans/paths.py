@@ -6,14 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from terrane.plans.solvers import Chain, bicgstab, conjugate_gradient, edge_apply
+from terrane.plans.solvers import Chain, bicgstab, by_target, conjugate_gradient, edge_apply
 from terrane.plans.walk import backward_rates, jump_chain, leaving_rates, with_ends
 from terrane.session import Stored, cut
 
 INF = float("inf")
 
 
-def _dirichlet(nodes: DataFrame, rates: DataFrame, unknown: str, rhs: str, reversible: bool, p: str = "p", rtol: float = 1e-10) -> DataFrame:
+def _dirichlet(nodes: DataFrame, rates: DataFrame, unknown: str, rhs: str, reversible: bool, p: str = "p", rtol: float = 1e-9) -> DataFrame:
     """Solve leave_i q_i - sum over unknown j of Q_ij q_j = rhs_i on the unknown states: ``(idx, q)``.
 
     With detailed balance the system is made symmetric by sqrt(pi) and solved by preconditioned
@@ -24,14 +24,15 @@ def _dirichlet(nodes: DataFrame, rates: DataFrame, unknown: str, rhs: str, rever
     kept = with_ends(rates.select("i", "j", "rate"), inside, [p])
     if reversible:
         w = F.sqrt(F.col(f"{p}_i") / F.col(f"{p}_j")) * F.col("rate")
-        edges = cut(kept.select("i", "j", w.alias("w")))
+        edges = by_target(kept.select("i", "j", w.alias("w")))
         system = system.withColumn("b", F.sqrt(p) * F.col(rhs))
         x = conjugate_gradient(system.select("idx", p, "leave", "b"), edge_apply(edges, "leave", sign=-1.0), ["b"], "leave", rtol)
         out = cut(x.select("idx", (F.col("x_b") / F.sqrt(p)).alias("q")))
     else:
-        edges = cut(kept.select("i", "j", F.col("rate").alias("w")))
+        edges = by_target(kept.select("i", "j", F.col("rate").alias("w")))
         x = bicgstab(system.select("idx", "leave", F.col(rhs).alias("b")), edge_apply(edges, "leave", sign=-1.0), "b", rtol)
         out = cut(x.select("idx", F.col("x").alias("q")))
+    edges.unpersist()
     return out
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrane.session import Stored
+from terrane.session import Stored, keep
 
 # adds one output column per input column: apply(df, ["p"], ["u"])
 Apply = Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame]
@@ -177,6 +177,26 @@ def _norm(row: dict, over: Sequence[str]) -> float:
     return float(np.sqrt(max(row["_n"] - sum(row[c] ** 2 for c in over), 0.0)))
 
 
+SMALL_EDGES = 100_000
+
+
+def by_target(edges: DataFrame) -> DataFrame:
+    """Edges laid out for repeated joins on ``j``, so a step shuffles vectors but not the edges.
+
+    A small table is left as it is (the vector side is broadcast), and so is one with a hub that
+    would fill a partition: adaptive execution splits that partition in each join instead.
+    """
+    stored = Stored(edges, {"n": F.count(F.lit(1))})
+    n = stored.measures["n"] or 0
+    if n <= SMALL_EDGES:
+        return stored.table
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hub = stored.table.groupBy("j").count().agg(F.max("count")).first()[0]
+    if hub * parts > 4 * n:
+        return stored.table
+    return keep(stored.table.repartition(parts, "j").sortWithinPartitions("j"))
+
+
 def edge_apply(edges: DataFrame, diagonal: str, weight: str = "w", sign: float = 1.0) -> Apply:
     """Matrix of an edge table plus a diagonal column: sign * sum_j w_ij v_j + diagonal_i v_i."""
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
