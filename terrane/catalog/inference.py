@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrane.catalog import query
-from terrane.catalog.aggregates import _LAMBDA
+from terrane.catalog.aggregates import _LAMBDA, _faces
 from terrane.catalog.elimination import solved
-from terrane.catalog.views import EMBED, EMBED_SPACE, PART_SPACE, embed_landscape, part_landscape, part_vector, r6, table
+from terrane.catalog.views import EMBED, EMBED_SPACE, PART, PART_SPACE, embed_landscape, part_landscape, part_vector, r6, table
 from terrane.operators import msa as M
 from terrane.operators.spaces import Space
 from terrane.plans import density as D, kernels as K, regression as R
@@ -48,6 +48,30 @@ def epistasis_regression(spark, sf):
     return out.select("idx", (F.round("y", 4) + F.lit(0.0)).alias("y"))
 
 
+@query(f"WITH {PART}, f AS ({_faces(2)}) SELECT round(1008.0*count(*)/sum(v*v), 6) AS a FROM f")
+def epistasis_prior_strength(spark, sf):
+    """Prior scale that matches the mean squared pairwise coefficient."""
+    a = R.epistasis_scale(part_landscape(spark, sf), PART_SPACE, 2)
+    return spark.range(1).select(F.round(F.lit(a), 6).alias("a"))
+
+
+@query()
+def cross_validated_prior_strength(spark, sf):
+    """Held-out log-density of the epistasis regression at two prior scales."""
+    rows = R.cross_validate_scale(observations(spark, sf), EMBED_SPACE, 2, [10.0, 1000.0], folds=2)
+    return spark.createDataFrame(rows, "a double, fold int, logL double")
+
+
+@query()
+def density_with_baseline(spark, sf):
+    """Maximum-entropy field on top of a given baseline field."""
+    words = line_words(spark, sf)
+    counts = M.sequence_counts(words).withColumnRenamed("n", "y")
+    baseline = WORD_SPACE.states(spark).select("seq", (F.col("idx") % 7 / 7.0).alias("phi"))
+    fitted = D.fit_field(cut(D.density_states(WORD_SPACE, counts, baseline)), WORD_SPACE, D.Prior(2, D.INF))
+    return D.density_table(fitted, WORD_SPACE)
+
+
 @query(f"WITH {_LAMBDA} SELECT k, round(lambdas, 5) AS lambdas FROM vc")
 def fitted_variance_components(spark, sf):
     """Alignment of order variances to the second moments; exact on a complete landscape."""

@@ -12,7 +12,7 @@ from terrane.session import cut
 from terrane.sources.datasets import DataSet
 
 
-def infer_landscape(data: DataFrame, space: Space | None = None, p: int = 2, a: float | None = None) -> tuple[Space, DataFrame, float | None]:
+def infer_landscape(data: DataFrame, space: Space | None = None, p: int = 2, a: float | None = None, n_scales: int = 20, folds: int = 5) -> tuple[Space, DataFrame, float | None]:
     """Density of a sample (column ``X``) or regression of values (column ``y``): (space, landscape, Ns)."""
     if "X" in data.columns:
         counts = sequence_counts(data.select(F.col("X").alias("seq"))).withColumnRenamed("n", "y")
@@ -20,7 +20,7 @@ def infer_landscape(data: DataFrame, space: Space | None = None, p: int = 2, a:
         if a is None:
             rows = data.select(F.col("X").alias("seq"), F.lit(1.0).alias("y"), F.monotonically_increasing_id().alias("row_id"))
             states = cut(D.density_states(space, counts))
-            a = D.best_scale(D.cross_validate_density(cut(rows), space, p, D.scale_grid(states, space, p)))
+            a = D.best_scale(D.cross_validate_density(cut(rows), space, p, D.scale_grid(states, space, p, n_scales), folds))
         fitted = D.fit_field(cut(D.density_states(space, counts)), space, D.Prior(p, a))
         table = D.density_table(fitted, space)
         return space, cut(table.select("idx", "seq", F.log("Q_star").alias("y"))), 1.0

@@ -41,16 +41,20 @@ def named_states(space: Space, df: DataFrame, *columns: str) -> DataFrame:
 
 # --- minimum epistasis ---------------------------------------------------------------------
 
-def interpolate(obs: DataFrame, space: Space, p: int = 2, smooth: bool = False, rtol: float = 1e-10) -> DataFrame:
-    """``(idx, seq, y)``: observed values kept, the rest filled in with the least P-way epistasis."""
+def interpolate(obs: DataFrame, space: Space, p: int = 2, smooth: bool = False, rtol: float = 1e-10, precision: Apply | None = None) -> DataFrame:
+    """``(idx, seq, y)``: observed values kept, the rest filled in with the least P-way epistasis.
+
+    ``precision`` replaces the epistasis operator by any symmetric map of state columns.
+    """
     lam = K.delta_lambdas(space, p)
     given = cut(observed_states(space, obs))
     free = lambda c: F.when(F.col("known"), 0.0).otherwise(F.col(c))
-    system = K.apply_kernel(given, space, lam, "y", "_c").withColumn("b", -free("_c")).select("idx", "y", "known", "b")
+    epistasis = lambda df, cols, outs: K.apply_kernels(df, space, {o: (c, lam) for c, o in zip(cols, outs)})
+    operator = precision or epistasis
+    system = operator(given, ["y"], ["_c"]).withColumn("b", -free("_c")).select("idx", "y", "known", "b")
 
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
-        df = K.apply_kernels(df, space, {o: (c, lam) for c, o in zip(cols, outs)})
-        return df.withColumns({o: free(o) for o in outs})
+        return operator(df, cols, outs).withColumns({o: free(o) for o in outs})
 
     solved = conjugate_gradient(system, apply, ["b"], rtol=rtol)
     out = solved.select("idx", F.when(F.col("known"), F.col("y")).otherwise(F.col("x_b")).alias("y"))

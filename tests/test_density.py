@@ -101,3 +101,14 @@ def test_build_saves_all_layers(spark, tmp_path):
         again.layer("raw")
     with pytest.raises(ValueError):
         B.DataSet(spark, str(tmp_path), "absent")
+
+
+def test_density_build_and_scale_grid(spark, tmp_path):
+    space = Space.regular(2, "AB")
+    rows = [(s,) for s, n in zip(sequences(space), (40, 10, 20, 30)) for _ in range(n)]
+    data = spark.createDataFrame(rows, "X string")
+    found, landscape, ns = B.infer_landscape(data, space, a=10.0)
+    assert ns == 1.0 and landscape.agg(F.sum(F.exp("y"))).first()[0] == pytest.approx(1.0)
+    counts = data.groupBy(F.col("X").alias("seq")).agg(F.count("*").alias("y"))
+    grid = D.scale_grid(D.cut(D.density_states(space, counts)), space, 2, n=3)
+    assert grid[0] == 0.0 and grid[-1] == D.INF and grid[1] < grid[2] < grid[3]

@@ -61,6 +61,13 @@ def test_special_functions(spark):
     assert row.g == pytest.approx(math.log(24)) and row.n == pytest.approx(0.9750021)
 
 
+def test_sql_functions(spark):
+    from terrane.functions.special import register_sql
+    register_sql(spark)
+    assert column(spark.sql("SELECT * FROM expand_ambiguous('RY', 'dna')")) == ["AC", "AT", "GC", "GT"]
+    assert spark.sql("SELECT lgamma(5.0D) AS g").first().g == pytest.approx(math.log(24))
+
+
 # --- selections -----------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

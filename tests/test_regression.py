@@ -136,3 +136,30 @@ def test_connectedness_fit(spark):
         log_mu, fitted = R.fit_connectedness(None, space)
     np.testing.assert_allclose(fitted, rho, atol=1e-4)
     assert log_mu == pytest.approx(np.log(0.5), abs=1e-3)
+
+
+def test_scale_cross_validation(spark, noisy):
+    space, _, _, _, obs = noisy
+    rows = R.cross_validate_scale(obs, space, 2, [50.0], folds=2)
+    assert len(rows) == 2 and all(np.isfinite(r[2]) for r in rows)
+
+
+def test_own_precision_operator(spark, noisy):
+    space, _, kept, rows, obs = noisy
+
+    def laplacian(df, cols, outs):
+        return K.apply_kernels(df, space, {o: (c, K.laplacian_lambdas(space)) for c, o in zip(cols, outs)})
+
+    c = dense_kernel(space, K.laplacian_lambdas(space))
+    free = [i for i in range(27) if i not in kept]
+    expected = -np.linalg.solve(c[np.ix_(free, free)], c[np.ix_(free, kept)] @ np.array([r[1] for r in rows]))
+    got = np.array([r.y for r in R.interpolate(obs, space, precision=laplacian).orderBy("idx").collect()])
+    np.testing.assert_allclose(got[free], expected, atol=1e-6)
+
+
+def test_smoothing_step(spark, noisy):
+    space, _, _, _, obs = noisy
+    plain = np.array([r.y for r in R.interpolate(obs, space).orderBy("idx").collect()])
+    smooth = np.array([r.y for r in R.interpolate(obs, space, smooth=True).orderBy("idx").collect()])
+    c = dense_kernel(space, K.delta_lambdas(space, 2))
+    np.testing.assert_allclose(smooth, plain - c @ plain / K.faces_per_state(space, 2), atol=1e-8)

@@ -37,6 +37,7 @@ def test_ns_calibration(spark):
     mean = W.stationary_sweep(nodes, [1.0]).first().mean_function
     assert W.calibrate_ns(nodes, mean) == pytest.approx(1.0, abs=1e-4)
     assert W.calibrate_ns(nodes, 0.5625) == 0.0
+    assert W.stationary_sweep(nodes, [W.calibrate_ns(nodes, perc=75)]).first().mean_function == pytest.approx(np.percentile([1.0, 0.0, 0.5, 0.75], 75))
     with pytest.raises(ValueError):
         W.calibrate_ns(nodes, 1.0)
 
