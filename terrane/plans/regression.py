@@ -214,7 +214,7 @@ def cross_validate_beta(obs: DataFrame, space: Space, betas: Sequence[float], fo
 
 def _held_out(roles: DataFrame, split: int, space: Space, lam: np.ndarray, loss: str) -> float:
     own = roles.where(F.col("split") == split)
-    mean = posterior_mean(own.where("role = 'train'"), space, lam).select("seq", F.col("y").alias("ypred"))
+    mean = posterior_mean(own.where("role = 'train'"), space, lam, rtol=1e-6).select("seq", F.col("y").alias("ypred"))
     both = own.where("role = 'test'").join(mean, "seq").withColumn("label", F.lit("all"))
     row = metrics(both, "label", True).first()
     return -row.loglikelihood * row.n if loss == "logL" else -(row.r2 or 0.0)
@@ -274,14 +274,14 @@ def posterior_variance(obs: DataFrame, space: Space, lambdas: Sequence[float], r
     )
 
 
-def cross_validate_scale(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0) -> list[tuple]:
+def cross_validate_scale(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0, rtol: float = 1e-5) -> list[tuple]:
     """``(a, fold, logL)``: held-out mean log-density of the epistasis regression."""
     roles = cut(fold_roles(assign_folds(obs, folds, seed), folds))
     rows = []
     for split in range(folds):
         own = roles.where(F.col("split") == split)
         for a in a_values:
-            mean = epistasis_regression(own.where("role = 'train'"), space, p, a).select("seq", F.col("y").alias("ypred"))
+            mean = epistasis_regression(own.where("role = 'train'"), space, p, a, rtol).select("seq", F.col("y").alias("ypred"))
             both = own.where("role = 'test'").join(mean, "seq").withColumn("label", F.lit("all"))
             rows.append((float(a), split, float(metrics(both, "label", True).first().loglikelihood)))
     return rows
