@@ -73,16 +73,20 @@ def epistasis_scale(obs: DataFrame, space: Space, p: int) -> float:
     return delta_rank(space, p) * r.n / r.s
 
 
-def precision_solve(states: DataFrame, space: Space, lambdas: Sequence[float], weight: str, rhs: Sequence[str], rtol: float = 1e-9) -> DataFrame:
-    """Solve (C + diag(weight)) x = b for each column ``b`` of ``rhs``: adds ``x_<b>``."""
-    d = float(K.kernel_diagonal(space, lambdas))
+def precision_solve(states: DataFrame, space: Space, lambdas: Sequence, weight: str, rhs: Sequence[str], rtol: float = 1e-9) -> DataFrame:
+    """Solve (C + diag(weight)) x = b for each column ``b`` of ``rhs``: adds ``x_<b>``.
+
+    ``lambdas`` are the eigenvalues of C, one list for all right-hand sides or one list for each.
+    """
+    own = list(lambdas) if np.ndim(lambdas[0]) else [lambdas] * len(rhs)
 
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
         held = [f"`{c}`" for c in df.columns]
-        df = K.apply_kernels(df, space, {o: (c, lambdas) for c, o in zip(cols, outs)})
+        df = K.apply_kernels(df, space, {o: (c, lam) for c, o, lam in zip(cols, outs, own)})
         return df.selectExpr(*held, *[f"`{o}` + `{weight}` * `{c}` AS `{o}`" for c, o in zip(cols, outs)])
 
-    return conjugate_gradient(states, apply, list(rhs), f"`{weight}` + {num(d)}", rtol)
+    diagonal = [f"`{weight}` + {num(K.kernel_diagonal(space, lam))}" for lam in own]
+    return conjugate_gradient(states, apply, list(rhs), diagonal, rtol)
 
 
 def epistasis_regression(obs: DataFrame, space: Space, p: int, a: float | None = None, rtol: float = 1e-9) -> DataFrame:
@@ -277,14 +281,20 @@ def posterior_variance(obs: DataFrame, space: Space, lambdas: Sequence[float], r
 def cross_validate_scale(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0, rtol: float = 1e-5) -> list[tuple]:
     """``(a, fold, logL)``: held-out mean log-density of the epistasis regression."""
     roles = cut(fold_roles(assign_folds(obs, folds, seed), folds))
+    lam = [a / K.n_faces(space, p) * K.delta_lambdas(space, p) for a in a_values]
+    rhs = [f"b{i}" for i in range(len(a_values))]
     rows = []
     for split in range(folds):
         own = roles.where(F.col("split") == split)
-        for a in a_values:
-            mean = epistasis_regression(own.where("role = 'train'"), space, p, a, rtol).select("seq", F.col("y").alias("ypred"))
-            both = own.where("role = 'test'").join(mean, "seq").withColumn("label", F.lit("all"))
-            rows.append((float(a), split, float(metrics(both, "label", True).first().loglikelihood)))
-    return rows
+        states = _weighted(space, own.where("role = 'train'"))
+        # all scales of a fold are columns of one block solve
+        states = cut(states.select("idx", "w", *[F.col("b").alias(c) for c in rhs]))
+        solved = precision_solve(states, space, lam, "w", rhs, rtol)
+        means = F.inline(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.col(f"x_{c}").alias("ypred")) for a, c in zip(a_values, rhs)]))
+        mean = solved.select(space.seq_of("idx").alias("seq"), means)
+        both = own.where("role = 'test'").join(mean, "seq")
+        rows += [(r.a, split, float(r.loglikelihood)) for r in metrics(both, "a", True).collect()]
+    return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
 # --- connectedness ------------------------------------------------------------------------------------
