@@ -1,10 +1,15 @@
 """The corpus queries, one for each operator, and their SQL."""
 
-from terrane.llm import rules, similarity
+from terrane.llm import decontamination, packing, pii, rules, similarity
 
 QUERIES = {f.__name__: f for f in (
     similarity.op1_ngram_jaccard_join,
+    pii.op6_anchor_pii,
     rules.op8_quality_rules,
+    decontamination.op9_benchmark_decontamination,
+    packing.op10_cutting_stock_packing,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_benchmark_decontamination": decontamination.OP9_SQL,
+}
