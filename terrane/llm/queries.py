@@ -1,9 +1,10 @@
 """The corpus queries, one for each operator, and their SQL."""
 
-from terrane.llm import decontamination, packing, pii, rules, similarity
+from terrane.llm import decontamination, packing, pii, rules, similarity, substring
 
 QUERIES = {f.__name__: f for f in (
     similarity.op1_ngram_jaccard_join,
+    substring.op2_super_kmer_dedup,
     pii.op6_anchor_pii,
     rules.op8_quality_rules,
     decontamination.op9_benchmark_decontamination,
@@ -11,5 +12,6 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
+    "op2_super_kmer_dedup": substring.OP2_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
 }
