@@ -1,11 +1,12 @@
 """The corpus queries, one for each operator, and their SQL."""
 
-from terrane.llm import decontamination, packing, pii, rules, similarity, substring
+from terrane.llm import decontamination, packing, pii, rules, sharding, similarity, substring
 
 QUERIES = {f.__name__: f for f in (
     similarity.op1_ngram_jaccard_join,
     substring.op2_super_kmer_dedup,
     pii.op6_anchor_pii,
+    sharding.op7_balanced_shards,
     rules.op8_quality_rules,
     decontamination.op9_benchmark_decontamination,
     packing.op10_cutting_stock_packing,
