@@ -1,10 +1,13 @@
 """The corpus queries, one for each operator, and their SQL."""
 
-from terrane.llm import decontamination, packing, pii, rules, sharding, similarity, substring
+from terrane.llm import chat, decontamination, langid, ordering, packing, pii, rules, sharding, similarity, substring
 
 QUERIES = {f.__name__: f for f in (
     similarity.op1_ngram_jaccard_join,
     substring.op2_super_kmer_dedup,
+    chat.op3_chat_loss_masks,
+    langid.op4_output_code_language_id,
+    ordering.op5_feistel_training_order,
     pii.op6_anchor_pii,
     sharding.op7_balanced_shards,
     rules.op8_quality_rules,
