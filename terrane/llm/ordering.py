@@ -186,7 +186,10 @@ def read_sequences(folder: str, first: int, count: int, length: int = LENGTH, pe
     last = first + count
     while first < last:
         end = min(last, (first // per_shard + 1) * per_shard)
-        with store.open_input_file(f"{path}/{shard_name(first // per_shard)}") as f:
+        name = f"{path}/{shard_name(first // per_shard)}"
+        if not store.get_file_info(name).is_file:  # the shards are read
+            return
+        with store.open_input_file(name) as f:
             f.seek(first % per_shard * length * 2)
             for _ in range(first, end):
                 got = f.read(length * 2)
