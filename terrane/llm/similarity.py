@@ -6,7 +6,8 @@ once for each distinct lead, not once a band, and every pair with a common bucke
 lead. Inside a unit the MinHash values of all pairs are compared in steps; a pair goes when the posterior
 probability of reaching the threshold falls below the tolerance; the shingle sets of the rest are intersected.
 A lead with many members is split into chunks, and every pair of chunks is a unit of its own, so no unit holds more
-than two chunks; units return links only.
+than two chunks; units return, for each
+class, how many rows its links lead to and one edge into its group, so a group's pairs are counted but never listed.
 """
 
 from __future__ import annotations
@@ -100,14 +101,14 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["row", "doc_id", "size", "cls", "bands"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int], list[tuple[int, int, int, int]]]]:
+    """For each unit its rows, one row for each class, and the pairs (x, y, shared, total) of such rows that are links."""
     least = least_matches()
-    names = ["a", "b", "shared", "total"]
     for _, t in runs(batches, "unit"):
         seen: dict[tuple, int] = {}
         cols = {n: t.column(n).to_pylist() for n in ("cls", "lead", "chunk", "first", "second")}
         rows = [seen.setdefault((k, ld), i) for i, (k, ld) in enumerate(zip(cols["cls"], cols["lead"]))]
-        at = [i for i, r in enumerate(rows) if r == i]  # one row for each class
+        at = [i for i, r in enumerate(rows) if r == i]
         if len(at) < 2:
             continue
         texts, leads = t.column("text"), t.column("leads")
@@ -119,12 +120,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, ids = np.unique(np.concatenate(sets), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         flags = np.zeros(int(ids.max()) + 1, bool)
-        out: list[tuple] = []
+        found = []
         for x in range(len(at) - 1):
             i = at[x]
-            unit = (cols["lead"][i], cols["first"][i], cols["second"][i])
+            lead = cols["lead"][i]
             ys = np.arange(x + 1, len(at))
-            if unit[1] != unit[2]:  # two chunks: only pairs across them
+            if cols["first"][i] != cols["second"][i]:  # two chunks: only pairs across them
                 ys = ys[chunk[ys] != chunk[x]]
             matches = np.zeros(len(ys), np.int32)
             for k, m in enumerate(least):
@@ -135,7 +136,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(ys):
                     break
             # a pair counts in the unit of its smallest common lead
-            ys = [y for y in ys.tolist() if cols["lead"][at[y]] == unit[0] and min(own[x] & own[y]) == unit[0]]
+            ys = [y for y in ys.tolist() if cols["lead"][at[y]] == lead and min(own[x] & own[y]) == lead]
             if not ys:
                 continue
             flags[ids[starts[x]:starts[x + 1]]] = True
@@ -143,54 +144,90 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shared = int(np.count_nonzero(flags[ids[starts[y]:starts[y + 1]]]))
                 total = int(sizes[x] + sizes[y]) - shared
                 if shared >= THRESHOLD * total - 1e-9:
-                    a, b = sorted((cols["cls"][i], cols["cls"][at[y]]))
-                    out.append((a, b, shared, total))
+                    found.append((x, y, shared, total))
             flags[ids[starts[x]:starts[x + 1]]] = False
-        if out:
-            a, b, s, n = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.int64()), pa.array(n, pa.int64())], names=names)
+        yield t, at, found
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t, at, found in _unit_pairs(batches):
+        if found:
+            cls = [t.column("cls")[i].as_py() for i in at]
+            a, b = zip(*[sorted((cls[x], cls[y])) for x, y, _, _ in found])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(a, pa.binary()), pa.array(b, pa.binary()), *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)],
+            ], names=["a", "b", "shared", "total"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each linked class of a unit: the rows its links lead to, and the smallest class it reaches here."""
+    for t, at, found in _unit_pairs(batches):
+        if not found:
+            continue
+        cls, copies = ([t.column(c)[i].as_py() for i in at] for c in ("cls", "copies"))
+        far, root = dict.fromkeys({x for f in found for x in f[:2]}, 0), list(range(len(at)))
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y, _, _ in found:
+            far[x] += copies[y]
+            far[y] += copies[x]
+            a, b = sorted((top(x), top(y)), key=lambda k: cls[k])
+            root[b] = a
+        yield pa.RecordBatch.from_arrays([
+            pa.array([cls[x] for x in far], pa.binary()), pa.array([cls[top(x)] for x in far], pa.binary()), pa.array(list(far.values()), pa.int64()),
+        ], names=["cls", "near", "far"])
 
 
 class Similarity:
     """Classes, links and groups of a table of texts.
 
     ``rows``: row key, doc_id, class of every row (no class for null texts and texts without words).
-    ``classes``: class, smallest doc_id, number of rows. ``links``: pairs of classes with a Jaccard similarity
-    of at least 0.8, with shared and total shingles. Texts with the same shingle set, exact copies
-    included, are one class. Extra columns are not read.
+    ``classes``: class, smallest doc_id, number of rows. Two classes with a Jaccard similarity of at least 0.8 are
+    linked. Texts with the same shingle set, exact copies included, are one class. Extra columns are not read.
     """
 
     def __init__(self, docs: DataFrame):
         plain = docs.select(row_key().alias("row"), F.col("doc_id"), "text", F.octet_length("text").cast("long").alias("size"))
         kind = dict(plain.dtypes)["doc_id"]
-        self._rows = Stored(in_arrow(plain, _class_rows, f"row binary, doc_id {kind}, size long, cls binary, bands array<long>"))
-        self.rows = self._rows.table.select("row", "doc_id", "cls")
-        classed = self._rows.table.where("cls is not null")
+        stored = Stored(in_arrow(plain, _class_rows, f"row binary, doc_id {kind}, size long, cls binary, bands array<long>")).table
+        self.rows = stored.select("row", "doc_id", "cls")
+        classed = stored.where("cls is not null")
         self.classes = classed.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        one = classed.groupBy("cls").agg(F.min_by(F.struct("row", "size", "bands"), "row").alias("o"))
-        bands = one.select("cls", "o.row", "o.size", F.explode("o.bands").alias("band"), F.xxhash64("cls").alias("prefix"))
+        one = classed.groupBy("cls").agg(F.min_by(F.struct("row", "size", "bands"), "row").alias("o"), F.count(F.lit(1)).alias("copies"))
+        bands = one.select("cls", "copies", "o.row", "o.size", F.explode("o.bands").alias("band"), F.xxhash64("cls").alias("prefix"))
         leads = bands.groupBy("band").agg(F.min("prefix").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        member = bands.join(leads, "band").select("cls", "row", "size", "lead").distinct()
-        member = Stored(member)
+        member = Stored(bands.join(leads, "band").select("cls", "copies", "row", "size", "lead").distinct()).table
         # a lead's chunks follow from its members and their bytes
-        chunks = member.table.groupBy("lead").agg(F.greatest(
+        chunks = member.groupBy("lead").agg(F.greatest(
             F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int").alias("chunks"))
-        m = member.table.join(chunks, "lead")
+        m = member.join(chunks, "lead")
         mine = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("chunks")).cast("int")
-        per_class = m.groupBy("cls", "row").agg(F.collect_set("lead").alias("leads"), F.collect_list(F.struct("lead", mine.alias("chunk"), "chunks")).alias("at"))
+        per_class = m.groupBy("cls", "copies", "row").agg(
+            F.collect_set("lead").alias("leads"), F.collect_list(F.struct("lead", mine.alias("chunk"), "chunks")).alias("at"))
         texts = plain.select("row", "text").join(per_class, "row")
-        met = texts.select("cls", "text", "leads", F.explode("at").alias("m")).select("cls", "text", "leads", "m.*")
+        met = texts.select("cls", "copies", "text", "leads", F.explode("at").alias("m")).select("cls", "copies", "text", "leads", "m.*")
         met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        met = met.select("cls", "text", "leads", "lead", "chunk", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
+        met = met.select("cls", "copies", "text", "leads", "lead", "chunk", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"))
         met = met.withColumn("unit", F.xxhash64("lead", "first", "second"))
-        met = met.repartition(F.col("unit")).sortWithinPartitions("unit")
-        self._links = Stored(in_arrow(met, _links, "a binary, b binary, shared long, total long"), {"n": F.count(F.lit(1))})
-        member.drop()
-        self.links = self._links.table
-
-    def groups(self) -> DataFrame:
-        """(cls, root): classes with links and the smallest class they reach, by label exchange and pointer jumps."""
-        pairs = Stored(self.links.selectExpr("a AS x", "b AS y").unionByName(self.links.selectExpr("b AS x", "a AS y")))
+        self._units = met.repartition(F.col("unit")).sortWithinPartitions("unit")
+
+    def pairs(self) -> DataFrame:
+        """(a, b, shared, total): every pair of linked classes with its shingle counts."""
+        return in_arrow(self._units, _pairs, "a binary, b binary, shared long, total long")
+
+    def linked(self) -> DataFrame:
+        """(cls, near, far) for each unit: links as counts and as one edge a class, without listing pairs."""
+        return Stored(in_arrow(self._units, _linked, "cls binary, near binary, far long")).table
+
+    @staticmethod
+    def groups(linked: DataFrame) -> DataFrame:
+        """(cls, root): linked classes and the smallest class they reach, by label exchange and pointer jumps."""
+        edges = linked.where("cls <> near").selectExpr("cls AS x", "near AS y").distinct()
+        pairs = Stored(edges.unionByName(edges.selectExpr("y AS x", "x AS y")))
         state = Stored(pairs.table.groupBy("x").agg(F.min("y").alias("y")).selectExpr("x AS cls", "least(x, y) AS root"))
         while True:
             near = pairs.table.join(state.table.selectExpr("cls AS y", "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
@@ -202,7 +239,6 @@ class Similarity:
             state = step
             if not step.measures["n"]:
                 pairs.drop()
-                self._state = state
                 return state.table.select("cls", "root")
 
     def table(self) -> DataFrame:
@@ -211,12 +247,11 @@ class Similarity:
         ``class_id`` is the smallest doc_id that links lead to; ``n_links`` counts the other rows
         with similarity 0.8 or more. A row without words has no links and its own id.
         """
-        roots = self.classes.join(self.groups(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        roots = Stored(roots)
-        ids = roots.table.groupBy("root").agg(F.min("first_id").alias("class_id"))
-        both = self.links.selectExpr("a AS cls", "b AS other").unionByName(self.links.selectExpr("b AS cls", "a AS other"))
-        count = both.join(roots.table.selectExpr("cls AS other", "copies"), "other").groupBy("cls").agg(F.sum("copies").alias("far"))
-        per = (roots.table.join(ids, "root").join(count, "cls", "left")
+        linked = self.linked()
+        roots = Stored(self.classes.join(self.groups(linked), "cls", "left").withColumn("root", F.coalesce("root", "cls"))).table
+        ids = roots.groupBy("root").agg(F.min("first_id").alias("class_id"))
+        far = linked.groupBy("cls").agg(F.sum("far").alias("far"))
+        per = (roots.join(ids, "root").join(far, "cls", "left")
                .select("cls", "root", "class_id", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
         out = self.rows.join(per, "cls", "left")
         return out.select("row", "doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
