@@ -17,6 +17,8 @@ from terrane.llm.common import fenced, table, text_or_empty, words_of
 from terrane.session import Stored
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Low bits of a sorted value that hold the place of a window; a text has fewer words than 2 to this power.
+PLACE_BITS = 30
 #: Statistics that a learned condition may use.
 FEATURES = (
     "n_words", "mean_word_chars", "symbol_share", "dup_line_share", "repeat_share", "distinct_share",
@@ -27,27 +29,25 @@ FEATURES = (
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base counts and the shares made from them; a null text counts as empty.
 
-    Repeated windows are found inside the row: windows are sorted with their positions (by hash, then
-    by the words themselves, so equal hashes decide nothing), and equal neighbours are repeats.
+    Repeated windows are found inside the row. Hash prefixes of the windows are sorted with their places;
+    windows with a neighbour of the same prefix are compared by their words, so a hash decides nothing.
     """
     t = F.col("_t")
     df = fenced(docs, _t=text_or_empty(text))
     df = fenced(df, _w=words_of(t), _lines=F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    windows = F.when(F.size("_w") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("_w") - 3),
-        lambda i: F.struct(
-            F.xxhash64(F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).alias("h"),
-            F.concat_ws(" ", F.col("_w")[i], F.col("_w")[i + 1], F.col("_w")[i + 2]).alias("s"), i.alias("p"),
-        ),
-    ))
-    df = fenced(df, _sorted=F.sort_array(windows))
-    same = lambda x, y: (x["h"] == y["h"]) & (x["s"] == y["s"])
-    last = F.size("_sorted") - 1
-    repeated = F.filter("_sorted", lambda x, i: (
-        ((i > 0) & same(x, F.col("_sorted")[F.greatest(i - 1, F.lit(0))]))
-        | ((i < last) & same(x, F.col("_sorted")[F.least(i + 1, last)]))
-    ))
-    df = fenced(df, _at=F.sort_array(F.transform(repeated, lambda x: x["p"])))
+    w = F.col("_w")
+    prefixes = F.when(F.size(w) >= 3, F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3),
+        lambda i: F.shiftleft(F.xxhash64(w[i], w[i + 1], w[i + 2]), PLACE_BITS).bitwiseOR(i.cast("long"))))
+    df = fenced(df, _sorted=F.sort_array(prefixes))
+    before = lambda c, i: F.col(c)[F.greatest(i - 1, F.lit(0))]
+    pairs = F.filter(F.transform("_sorted", lambda x, i: F.when(
+        (i > 0) & (F.shiftrightunsigned(x.bitwiseXOR(before("_sorted", i)), PLACE_BITS) == 0), F.array(before("_sorted", i), x))), lambda x: x.isNotNull())
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    df = fenced(df, _maybe=F.array_distinct(F.transform(F.flatten(pairs), place)))
+    df = fenced(df, _maybe=F.sort_array(F.transform("_maybe", lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("s"), i.alias("p")))))
+    twins = F.transform("_maybe", lambda x, i: F.when((i > 0) & (x["s"] == before("_maybe", i)["s"]), F.array(before("_maybe", i)["p"], x["p"])))
+    df = fenced(df, _at=F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull())))))
     covered = F.aggregate(
         F.transform("_at", lambda p, i: F.when(i == F.size("_at") - 1, F.lit(3)).otherwise(
             F.least(F.lit(3), F.col("_at")[F.least(i + 1, F.size("_at") - 1)] - p))),
@@ -61,7 +61,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"),
         _lines_n=F.size("_lines"), _distinct=F.size(F.array_distinct("_w")),
         _upper=count("[A-Z]+"), _digits=count("[0-9]+"), _marks=count("[!?]+"),
-    ).drop("_t", "_w", "_lines", "_sorted", "_at")
+    ).drop("_t", "_w", "_lines", "_sorted", "_maybe", "_at")
     share = lambda a, b: F.round(F.coalesce(a / F.when(b > 0, b), F.lit(0.0)), 6)
     n, c = F.col("n_words"), F.col("word_chars")
     return df.withColumns({
@@ -132,10 +132,15 @@ def learn_rules(docs: DataFrame, labels: DataFrame, target: str = "quality", max
     try:
         if not rows.measures["n"] or not rows.measures["hits"]:
             return []
-        marks = [i / bins for i in range(1, bins)]
-        cuts = rows.table.agg(*[F.percentile_approx(F.col(f).cast("double"), F.array(*map(F.lit, marks)), 10_000).alias(f) for f in FEATURES]).first()
-        bad_cuts = rows.table.where("bad").agg(*[F.percentile_approx(F.col(f).cast("double"), F.array(*map(F.lit, marks)), 10_000).alias(f) for f in FEATURES]).first()
-        grid = {f: sorted({*cuts[f], *bad_cuts[f]}) for f in FEATURES}
+        marks = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+        quantiles = [F.percentile_approx(F.when(c, F.col(f).cast("double")), marks, 10_000).alias(f"{f}_{k}")
+                     for f in FEATURES for k, c in enumerate((F.lit(True), F.col("bad")))]
+        at = rows.table.agg(*quantiles).first()
+        # thresholds lie half way between neighbouring quantiles of all rows and of the bad ones
+        grid = {}
+        for f in FEATURES:
+            values = sorted({*at[f"{f}_0"], *at[f"{f}_1"]})
+            grid[f] = [(x + y) / 2 for x, y in zip(values, values[1:])]
         found: list[Rule] = []
         left = rows.table
         while len(found) < max_rules:
