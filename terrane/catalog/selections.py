@@ -225,10 +225,11 @@ def nucleotide_landscape(spark, sf):
     return nodes.select("seq", "protein", r6("y").alias("y"))
 
 
-@query(f"WITH {PART} SELECT t.i AS idx FROM range(1024) t(i) ANTI JOIN (SELECT l_partkey % 1024 AS i FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_linestatus = 'O' AND l_discount > 0.05) l ON l.i = t.i")
+@query(f"WITH {PART} SELECT t.i AS idx FROM range(1024) t(i) ANTI JOIN (SELECT o_totalprice_key AS i FROM (SELECT CAST(floor(o_totalprice) AS BIGINT) * 31 % 1024 AS o_totalprice_key FROM orders)) l ON l.i = t.i")
 def unobserved_states(spark, sf):
-    seen = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1 and l_linestatus = 'O' and l_discount > 0.05")
-    return S.complement(PART_SPACE.states(spark), seen.select(F.pmod("l_partkey", P.int64(1024)).alias("idx"))).select("idx")
+    """States that no order falls on."""
+    seen = table(spark, sf, "orders").select(F.pmod(F.floor("o_totalprice").cast("bigint") * 31, P.int64(1024)).alias("idx"))
+    return S.complement(PART_SPACE.states(spark), seen).select("idx")
 
 
 @query(f"""WITH {PART}, f AS (SELECT y FROM part_landscape WHERE seq = 'ACGTA'),

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from terrane.catalog import query
 from terrane.catalog.selections import CODONS, LINE_EDGES, PART_EDGES, _AA, protein_landscape
 from terrane.catalog.views import (
-    LINE, LINE_SPACE, ORDER, ORDER_LENGTH, PART, PART_SPACE, PART_VEC, customer_dna, dna_digits, dna_digits_sql, line_landscape, line_msa,
-    order_dna, part_landscape, part_vector, r6, table,
+    LINE, LINE_SPACE, ORDER, ORDER_LENGTH, PART, PART_SPACE, PART_VEC, customer_dna, dna_digits, dna_digits_sql, line_landscape, line_msa, order_dna, part_landscape, part_vector, r6, table,
 )
 from terrane.operators import spaces as P
 
@@ -91,6 +90,19 @@ def hamming_ball(spark, sf):
     return ball.join(part_landscape(spark, sf).select("idx", "y"), "idx").select("idx", "seq", F.col("distance").cast("bigint").alias("distance"), r6("y").alias("y"))
 
 
+BALL_LENGTH = 30
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT {dna_digits_sql('s_suppkey', BALL_LENGTH)} AS seq FROM supplier), c AS (SELECT repeat('A', {BALL_LENGTH}) AS centre),
+  d AS (SELECT max(hamming(seq, centre)) AS d FROM w, c), cells AS (SELECT s, substr(seq, CAST(s AS INT), 1) AS a FROM w, range(1, {BALL_LENGTH + 1}) t(s) UNION SELECT s, 'A' FROM range(1, {BALL_LENGTH + 1}) t(s)),
+  ball(k, seq, distance) AS (SELECT 0::BIGINT, '', 0::BIGINT UNION ALL SELECT s, seq || a, distance + CASE WHEN a <> 'A' THEN 1 ELSE 0 END FROM ball JOIN cells ON s = k + 1, d WHERE distance + CASE WHEN a <> 'A' THEN 1 ELSE 0 END <= d.d)
+  SELECT seq, distance FROM ball WHERE k = {BALL_LENGTH}""")
+def hamming_ball_of_sequences(spark, sf):
+    """Ball of 30-letter words that reaches the farthest word of a table, from the alleles seen."""
+    words = table(spark, sf, "supplier").select(dna_digits(F.col("s_suppkey"), BALL_LENGTH).alias("seq"))
+    return P.hamming_ball_of(words, "A" * BALL_LENGTH).select("seq", F.col("distance").cast("bigint").alias("distance"))
+
+
 @query(f"""WITH {PART}, b AS (SELECT * FROM part_landscape WHERE hamming(seq, 'ACGTA') <= 2) SELECT a.idx AS i, b.idx AS j FROM b a JOIN b ON hamming(a.seq, b.seq) = 1""")
 def hamming_ball_edges(spark, sf):
     ball = P.hamming_ball(spark, "ACGTA", PART_SPACE, 2).join(part_landscape(spark, sf).select("idx"), "idx")

@@ -24,6 +24,12 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def normal_cdf_sql(z: str) -> str:
+    """Normal distribution function by its odd power series, for values up to 30."""
+    term = f"exp((2*k+1)*ln(greatest(abs({z}), 1e-300)) - (k+1)*ln(2) - lgamma(k+1.5) + 0.5*ln(pi()))"
+    return f"CASE WHEN abs({z}) > 30 THEN CASE WHEN {z} > 0 THEN 1.0 ELSE 0.0 END ELSE 0.5 + sign({z})*exp(-({z})*({z})/2)/sqrt(2*pi())*list_sum(list_transform(range(0, 900), lambda k: {term})) END"
+
+
 def dna_digits(value: Column, length: int) -> Column:
     """Base-4 digits of an integer written with ACGT, highest first."""
     return Space.regular(length, "ACGT").seq_of(F.pmod(value, int64(4 ** length)))

@@ -37,7 +37,6 @@ CODON_RESIDUES = {
 }
 CODON_TABLE_IDS = {1: "Standard", 11: "Bacterial"}
 
-MAX_STATES = 20_000_000
 MAX_EXPONENT = 500.0
 # ------------------------------------------------------------------------------------
 

@@ -51,13 +51,27 @@ def hash_uniform(key: Column | str, seed: int | str) -> Column:
 def order_statistics(df: DataFrame, y: str, ranks: Sequence[int], bins: int = 1024, final: int = 4096) -> list[float]:
     """Exact values at 0-based ranks: histograms narrow the range until few values are left.
 
-    All ranks share each histogram, and the small bins that hold them are fetched together.
+    All ranks share each histogram, and the small bins that hold them are fetched together. Infinite
+    values are counted, not binned; NaN comes last, as in Spark's own order.
     """
-    values = df.select(F.col(y).cast("double").alias("v")).where("v is not null")
-    low, high = values.agg(F.min("v"), F.max("v")).first()
+    given = df.select(F.col(y).cast("double").alias("v")).where("v is not null")
+    infinite = F.lit(float("inf"))
+    finite = (F.abs("v") < infinite) & ~F.isnan("v")
+    values = given.where(finite)
+    low, high, inside, under, over = given.agg(
+        F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v"))), F.count_if(finite), F.count_if(F.col("v") == -infinite), F.count_if(F.col("v") == infinite),
+    ).first()
     found: dict[int, float] = {}
     small: list[tuple[float, float, dict[int, int]]] = []
-    ranges = [(low, high, {r: r for r in set(ranks)})]
+    wanted = {}
+    for r in set(ranks):
+        if r < under:
+            found[r] = float("-inf")
+        elif r < under + inside:
+            wanted[r] = r - under
+        else:
+            found[r] = float("inf") if r < under + inside + over else float("nan")
+    ranges = [(low, high, wanted)] if wanted else []
     while ranges:
         low, high, wanted = ranges.pop()
         if low == high:
@@ -90,7 +104,8 @@ def percentiles(df: DataFrame, y: str, qs: Sequence[float]) -> list[float]:
     positions = [q / 100.0 * (n - 1) for q in qs]
     ranks = sorted({k for p in positions for k in (int(p), min(int(p) + 1, n - 1))})
     at = dict(zip(ranks, order_statistics(df, y, ranks)))
-    return [at[int(p)] + (p - int(p)) * (at[min(int(p) + 1, n - 1)] - at[int(p)]) for p in positions]
+    between = lambda a, b, t: a if t == 0 or a == b else a + t * (b - a)  # not inf - inf
+    return [between(at[int(p)], at[min(int(p) + 1, n - 1)], p - int(p)) for p in positions]
 
 
 def percentile(df: DataFrame, y: str, q: float) -> float:

@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations, product
+from itertools import product
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from terrane.functions.seqcols import (
-    ambiguity_mapping, computed_once, hamming, pattern_regex, protein_regex, subsequence, total, translate,
+    ambiguity_mapping, computed_once, hamming, pattern_regex, protein_regex, total, translate,
 )
 from terrane.operators.ranking import index_rank, order_statistics
 
-MAX_LISTED = 10_000
-
 
 def listed(nodes: DataFrame, labels: Sequence[str]) -> DataFrame:
     """A caller's list of labels as ``(pos, seq)`` rows."""
-    if len(labels) > MAX_LISTED:
-        raise ValueError(f"pass more than {MAX_LISTED} labels as a DataFrame")
     return nodes.sparkSession.createDataFrame(list(enumerate(labels)), "pos bigint, seq string")
 
 
@@ -70,14 +66,16 @@ def path_edges(steps: DataFrame) -> DataFrame:
 def within_distance(nodes: DataFrame, focal: DataFrame, d: int, length: int) -> DataFrame:
     """Nodes at Hamming distance at most d from any focal sequence.
 
-    Two sequences are that close exactly when some choice of d masked sites makes them equal,
-    so the test is a semi-join on masked sequences: nothing is compared pair by pair.
+    Sequences that differ in at most d sites agree on one of d + 1 segments, so candidates come from an
+    equality join on segments, d + 1 keys a row whatever the length, and the distance decides.
     """
-    kept = [[s for s in range(length) if s not in hidden] for hidden in combinations(range(length), min(d, length))]
-    masked = F.array(*[subsequence("seq", k) if k else F.lit("") for k in kept])
-    keys = lambda: F.posexplode(masked).alias("mask", "key")
-    focal_keys = focal.select(keys()).distinct()
-    hits = nodes.select("seq", keys()).join(focal_keys, ["mask", "key"], "left_semi").select("seq").distinct()
+    if d >= length:
+        return nodes.where(focal.limit(1).select(F.count(F.lit(1))).scalar() > 0)
+    bounds = [length * k // (d + 1) for k in range(d + 2)]
+    parts = F.posexplode(F.array(*[F.substring("seq", a + 1, b - a) for a, b in zip(bounds, bounds[1:])])).alias("segment", "part")
+    asked = focal.select("seq").distinct().select(F.col("seq").alias("focal"), parts)
+    near = nodes.select("seq").distinct().select("seq", parts).join(asked, ["segment", "part"])
+    hits = near.where(hamming("seq", "focal", length) <= d).select("seq").distinct()
     return nodes.join(hits, "seq", "left_semi")
 
 

@@ -12,20 +12,25 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from terrane.constants import DNA, MAX_STATES, codon_table
+from terrane.constants import DNA, codon_table
 from terrane.functions.seqcols import (
     char_at, col, default_alphabet, hamming, literal_map, mask_site, total, translate,
 )
+from terrane.operators.ranking import hash_rank
 from terrane.session import cut, small_rows
 
-MAX_SITES = 4096
-MAX_ALLELES = 256
+MAX_SITES = 100_000  # a sequence length that one row per site still fits
 
 
 def int64(x) -> Column:
     return F.lit(int(x)).cast("bigint")
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """Whole-number division; a division of doubles loses the low digits of a large index."""
+    return F.call_function("div", a, b)
+
+
 @dataclass(frozen=True)
 class Space:
     """Alleles per site, in the order that defines the state index."""
@@ -67,9 +72,14 @@ class Space:
             raise ValueError("needs a constant number of alleles across sites")
         return self.radices[0]
 
+    @property
+    def indexed(self) -> bool:
+        """Whether every state has a 63-bit index."""
+        return self.n < 2 ** 63
+
     def check_size(self) -> None:
-        if self.n > MAX_STATES:
-            raise ValueError(f"{self.n} states exceed the limit of {MAX_STATES}")
+        if not self.indexed:
+            raise ValueError(f"{self.n} states have no 63-bit index")
 
     def digit_sql(self, site: int, idx: str = "idx") -> str:
         """SQL text for the ordinal of the allele a state index has at a site."""
@@ -79,7 +89,7 @@ class Space:
         """Ordinal of the allele a state index has at a site."""
         if isinstance(idx, str):
             return F.expr(self.digit_sql(site, idx))
-        return F.lit(0).cast("bigint") if self.radices[site] == 1 else F.floor(idx / int64(self.strides[site])).cast("bigint") % self.radices[site]
+        return F.lit(0).cast("bigint") if self.radices[site] == 1 else quotient(idx, int64(self.strides[site])) % self.radices[site]
 
     def seq_of(self, idx: Column | str) -> Column:
         return F.concat(*[
@@ -132,7 +142,7 @@ class Space:
     def expand_neighbours(self, df: DataFrame, idx: str = "idx", out: str = "j") -> DataFrame:
         """Each row once per state one substitution away: ``out``, ``site`` and ordinals ``a``, ``b``."""
         m = df.withColumn("_m", F.explode(self.moves()))
-        m = m.withColumn("a", F.floor(F.col(idx) / F.col("_m.stride")).cast("bigint") % F.col("_m.radix"))
+        m = m.withColumn("a", quotient(F.col(idx), F.col("_m.stride")) % F.col("_m.radix"))
         m = m.where(F.col("a") != F.col("_m.b"))
         return m.select(
             *df.columns, F.col("_m.site").alias("site"), "a", F.col("_m.b").alias("b"),
@@ -158,12 +168,10 @@ def infer_space(
     regular: bool = False, shared_alleles: bool = False,
 ) -> Space:
     """Alleles per site in first-appearance order of ``order`` (the sequence itself by default)."""
-    rows = small_rows(site_alleles(df, seq, order or seq), MAX_SITES * MAX_ALLELES, "site alleles")
-    length = max(r.site for r in rows) + 1
-    per_site = [
-        [r.allele for r in sorted((x for x in rows if x.site == s), key=lambda x: (x.first_seen, x.allele))]
-        for s in range(length)
-    ]
+    cells = site_alleles(df, seq, order or seq).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("first_seen", "allele"))).alias("seen"))
+    rows = small_rows(cells.select("site", F.transform("seen", lambda x: x["allele"]).alias("alleles")), MAX_SITES, "sites")  # a row per site
+    per_site = [list(r.alleles) for r in sorted(rows, key=lambda r: r.site)]
+    length = len(per_site)
     if full:
         expected, found = prod(len(a) for a in per_site), df.select(seq).distinct().count()
         if expected != found:
@@ -220,17 +228,49 @@ def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "s
 
 
 def hamming_ball(spark: SparkSession, centre: str, space: Space, d: int) -> DataFrame:
-    """``(idx, seq, distance)`` of every state within ``d`` substitutions of ``centre``."""
-    own = F.array(*[F.lit(x) for x in space.digits(centre)])
-    ball = spark.range(1).select(int64(space.rank(centre)).alias("idx"), F.lit(0).alias("distance"), F.lit(-1).alias("last"))
+    """``(idx, seq, distance)`` of every sequence within ``d`` substitutions of ``centre``.
+
+    The ball is built from sequences, so any length will do. ``idx`` is the state index of the space, or, where the space is
+    too large to have one, a rank inside the ball.
+    """
+    own = F.array(*[F.lit(a) for a in centre])
+    space.digits(centre)  # a centre outside the space stops here
+    others = F.array(*[F.array(*[F.lit(x) for x in site if x != a]).cast("array<string>") for site, a in zip(space.alleles, centre)])
+    ball = spark.range(1).select(F.lit(centre).alias("seq"), F.lit(0).alias("distance"), F.lit(0).alias("last"))
     shell = ball
     for k in range(1, d + 1):
-        # sites change in increasing order, so every state of a shell is reached once
-        grown = space.expand_neighbours(shell).where(F.col("site") > F.col("last"))
-        grown = grown.where(F.col("a") == F.element_at(own, F.col("site") + 1))
-        shell = grown.select(F.col("j").alias("idx"), F.lit(k).alias("distance"), F.col("site").alias("last"))
+        # sites change in increasing order, so every sequence of a shell is reached once
+        sites = F.filter(F.sequence(F.lit(1), F.lit(space.length)), lambda s: s > F.col("last"))
+        grown = shell.select("seq", F.explode(sites).alias("site"))
+        grown = grown.select("seq", "site", F.explode(F.element_at(others, F.col("site"))).alias("allele"))
+        changed = F.concat(F.substr("seq", F.lit(1), F.col("site") - 1), "allele", F.substr("seq", F.col("site") + 1, F.lit(space.length)))
+        shell = grown.select(changed.alias("seq"), F.lit(k).alias("distance"), F.col("site").alias("last"))
         ball = ball.unionByName(shell)
-    return ball.select("idx", space.seq_of("idx").alias("seq"), "distance")
+    if space.indexed:
+        return ball.select(space.idx_of("seq").alias("idx"), "seq", "distance")
+    return hash_rank(ball, "seq", 0, "idx").select("idx", "seq", "distance")
+
+
+def hamming_ball_of(df: DataFrame, centre: str, seq: str = "seq", alphabet: str | None = None) -> DataFrame:
+    """The ball around ``centre`` that reaches the farthest sequence of ``df``.
+
+    Alleles are those seen at each site with the centre's own, or ``alphabet`` at every site.
+    """
+    seen = df.agg(F.max(hamming(seq, F.lit(centre), len(centre))).alias("d"), F.max(F.length(seq)).alias("longest"), F.min(F.length(seq)).alias("shortest")).first()
+    if {seen.longest, seen.shortest} - {len(centre), None}:
+        raise ValueError("sequences and centre differ in length")
+    if alphabet is None:
+        alleles = _site_letters(df, seq)
+        space = Space(tuple("".join(sorted({a, *alleles.get(s, "")})) for s, a in enumerate(centre)))
+    else:
+        space = Space.regular(len(centre), alphabet)
+    return hamming_ball(df.sparkSession, centre, space, seen.d or 0)
+
+
+def _site_letters(df: DataFrame, seq: str) -> dict[int, str]:
+    cells = df.select(F.posexplode(F.split(seq, "")).alias("site", "allele")).where("allele <> ''")
+    rows = cells.groupBy("site").agg(F.array_join(F.array_sort(F.collect_set("allele")), "").alias("alleles"))
+    return {r.site: r.alleles for r in small_rows(rows, MAX_SITES, "sites")}
 
 
 # --- codons ----------------------------------------------------------------------------
@@ -279,14 +319,14 @@ def product_edges(spark: SparkSession, radices: Sequence[int], links: Sequence[S
         ) for s, site in enumerate(links) for a, b, w in site
     ])
     m = spark.range(n).select(F.col("id").alias("i"), F.explode(moves).alias("m"))
-    m = m.where(F.floor(F.col("i") / F.col("m.stride")).cast("bigint") % F.col("m.radix") == F.col("m.a"))
+    m = m.where(quotient(F.col("i"), F.col("m.stride")) % F.col("m.radix") == F.col("m.a"))
     return m.select("i", (F.col("i") + (F.col("m.b") - F.col("m.a")) * F.col("m.stride")).alias("j"), F.col("m.w").alias("w"))
 
 
 def product_states(spark: SparkSession, labels: Sequence[Sequence[str]]) -> DataFrame:
     """``(idx, label)`` with elementary labels joined by ``-``, last graph fastest."""
     radices = [len(x) for x in labels]
-    digit = lambda s: (F.floor(F.col("id") / int64(prod(radices[s + 1:]))).cast("bigint") % radices[s] + 1).cast("int")
+    digit = lambda s: (quotient(F.col("id"), int64(prod(radices[s + 1:]))) % radices[s] + 1).cast("int")
     parts = [F.element_at(F.array(*[F.lit(x) for x in site]), digit(s)) for s, site in enumerate(labels)]
     return spark.range(prod(radices)).select(F.col("id").alias("idx"), F.concat_ws("-", *parts).alias("label"))
 
@@ -296,7 +336,7 @@ def grid_space(spark: SparkSession, length: int, ndim: int = 2) -> tuple[DataFra
     links = [(a, a + d, 1.0) for a in range(length) for d in (1, -1) if 0 <= a + d < length]
     nodes = product_states(spark, [[str(x) for x in range(length)]] * ndim)
     for s in range(ndim):
-        nodes = nodes.withColumn(f"x{s}", F.floor(F.col("idx") / int64(length ** (ndim - 1 - s))).cast("bigint") % length)
+        nodes = nodes.withColumn(f"x{s}", quotient(F.col("idx"), int64(length ** (ndim - 1 - s))) % length)
     return nodes, product_edges(spark, [length] * ndim, [links] * ndim)
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is made only in local mode."""
+    """The session's checkpoint folder; a temporary one is made only where driver and tasks are one process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named:
             sc.setCheckpointDir(named)
-        elif sc.master.startswith("local"):
+        elif sc.master == "local" or sc.master.startswith("local["):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
         else:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -47,10 +47,15 @@ def with_edge_id(edges: DataFrame) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, other columns kept."""
+    """Both directions of every edge, other columns kept.
+
+    A direction that is stored keeps its own columns; of several equal edges the smallest columns stay.
+    """
     rest = [c for c in edges.columns if c not in ("i", "j")]
-    back = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), *rest)
-    return edges.select("i", "j", *rest).unionByName(back).dropDuplicates(["i", "j"])
+    own = edges.select("i", "j", F.lit(0).alias("_turned"), *rest)
+    both = own.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), F.lit(1).alias("_turned"), *rest))
+    kept = both.groupBy("i", "j").agg(F.min(F.struct("_turned", *rest)).alias("_e"))
+    return kept.select("i", "j", *[F.col(f"_e.`{c}`").alias(c) for c in rest])
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

@@ -332,3 +332,76 @@ def test_tables_on_disk(spark, tmp_path):
     pred = frame(spark, [("s1", "A", 1.5)], "label string, seq string, ypred double")
     IO.write_predictions(pred, f"{tmp_path}/pred")
     assert IO.read_predictions(spark, f"{tmp_path}/pred").first().label == "s1"
+
+
+def test_ball_of_long_words(spark):
+    centre = "ACGT" * 7 + "AC"
+    ball = P.hamming_ball(spark, centre, Space.regular(30, "ACGT"), 1)
+    rows = ball.collect()
+    assert len(rows) == len({r.seq for r in rows}) == len({r.idx for r in rows}) == 91
+    assert all(Space.regular(30, "ACGT").rank(r.seq) == r.idx for r in rows)
+    longer = P.hamming_ball(spark, "A" * 40, Space.regular(40, "ACGT"), 2).collect()  # no 63-bit index
+    assert len(longer) == len({r.idx for r in longer}) == 1 + 120 + 9 * 780
+    seen = spark.createDataFrame([("A" * 40,), ("C" + "A" * 38 + "G",)], "seq string")
+    assert {r.seq: r.distance for r in P.hamming_ball_of(seen, "A" * 40).collect()} == {
+        "A" * 40: 0, "C" + "A" * 39: 1, "A" * 39 + "G": 1, "C" + "A" * 38 + "G": 2}
+    assert P.hamming_ball_of(seen, "A" * 40, alphabet="ACGT").count() == 1 + 120 + 9 * 780
+
+
+def test_state_index_of_long_words(spark):
+    space = Space.regular(30, "ACGT")
+    word = "TGCA" * 7 + "TG"
+    row = spark.createDataFrame([(word,)], "seq string").select(space.idx_of("seq").alias("idx")).select("idx", space.seq_of("idx").alias("a"), space.seq_of(F.col("idx")).alias("b")).first()
+    assert (row.idx, row.a, row.b) == (space.rank(word), word, word)
+
+
+def test_replicates_are_merged_by_inverse_variance(spark):
+    from terrane.operators.replicates import merge_replicates
+    rows = [("AA", 1.0, 1.0), ("AA", 4.0, 0.5), ("AB", 2.0, 0.0), ("AB", 4.0, 0.0), ("AB", 9.0, 1.0), ("BB", 7.0, 3.0)]
+    obs = spark.createDataFrame(rows, "seq string, y double, y_var double")
+    got = {r.seq: (r.y, r.y_var) for r in merge_replicates(obs).collect()}
+    assert got == {"AA": (pytest.approx(3.0), pytest.approx(1 / 3)), "AB": (3.0, 0.0), "BB": (7.0, 3.0)}
+    assert {r.seq: r.y for r in merge_replicates(obs.drop("y_var")).collect()} == {"AA": 2.5, "AB": 5.0, "BB": 7.0}
+
+
+def test_replicates_change_no_face_and_no_pair(spark):
+    from terrane.operators import cube as C
+    one = spark.createDataFrame([(a + b, float(i)) for i, (a, b) in enumerate((a, b) for a in "AB" for b in "AB")], "seq string, y double")
+    twice = one.union(one.where("seq = 'AA'"))
+    for f in (lambda o: C.covariance_by_distance(o, 2), lambda o: C.covariance_by_sites(o, 2), lambda o: C.local_epistasis(o, 2, 1)):
+        assert sorted(f(one).collect()) == sorted(f(twice).collect())
+
+
+def test_percentiles_with_infinite_values_end(spark):
+    from terrane.operators import ranking as R
+    rows = spark.range(20_000).select((F.col("id") * 0.5).alias("v"))
+    ends = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double")
+    assert R.order_statistics(rows.union(ends), "v", [0, 1, 10_000, 20_000, 20_001, 20_002]) == [float("-inf"), 0.0, 4999.5, 9999.5, float("inf"), pytest.approx(float("nan"), nan_ok=True)]
+    assert R.percentile(rows.union(ends.where("v = 'inf'")), "v", 100) == float("inf")
+    assert R.percentile(ends.where("v = '-inf'"), "v", 50) == float("-inf")
+
+
+def test_distance_join_on_segments(spark):
+    rng = np.random.default_rng(4)
+    seqs = sorted({"A" * 6 + "".join(rng.choice(list("ACGT"), 4)) for _ in range(120)})  # a part that all rows share
+    nodes = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    focal = spark.createDataFrame([(seqs[3],), (seqs[50],)], "seq string")
+    for d in (0, 1, 2, 10):
+        near = [s for s in seqs if min(sum(a != b for a, b in zip(s, f)) for f in (seqs[3], seqs[50])) <= d]
+        assert sorted(r.seq for r in S.within_distance(nodes, focal, d, 10).collect()) == near
+
+
+def test_stored_direction_keeps_its_weight(spark):
+    from terrane.sources.tables import symmetric
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0), (1, 2, 5.0)], "i bigint, j bigint, w double")
+    assert sorted(tuple(r) for r in symmetric(edges).collect()) == [(0, 1, 2.0), (1, 0, 3.0), (1, 2, 5.0), (2, 1, 5.0)]
+
+
+def test_cross_validation_with_own_functions(spark):
+    from terrane.operators.splits import cross_validate
+    obs = spark.createDataFrame([(f"s{i}", float(i)) for i in range(12)], "seq string, y double")
+    sizes = []
+    fit = lambda train, v: sizes.append(train.count()) or v
+    out = cross_validate(obs, fit, lambda test, v: v * test.count(), [1.0, 2.0], folds=3, process=lambda df: df.where("y <> 100"))
+    assert sorted((r.value, r.fold, r.loss) for r in out.collect()) == [(v, f, 4.0 * v) for v in (1.0, 2.0) for f in range(3)]
+    assert set(sizes) == {8}
