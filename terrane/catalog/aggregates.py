@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from terrane.catalog import query
 from terrane.catalog.views import (
     CUSTOMER, CUSTOMER_LENGTH, EMBED, EMBED_SPACE, LINE, MSA, MSA_LENGTH, ORDER, PART, PART_SPACE, PART_VEC, customer_dna, dna_digits, embed_landscape, line_landscape,
-    line_msa, order_dna, part_landscape, part_vector, r6, table,
+    line_msa, normal_cdf_sql, order_dna, part_landscape, part_vector, r6, table,
 )
 from terrane.functions import seqcols as Q
 from terrane.operators import cube as C, msa as M, ranking as R, spaces as P, stats as S
+from terrane.operators.replicates import merge_replicates
 from terrane.plans import kernels as K
 
 
@@ -91,10 +94,51 @@ def marginalized_positions(spark, sf):
     return S.marginalize(nodes, 5, skip=[1, 3, 4]).select("seq", r6("y").alias("y"), r6("n").alias("n"))
 
 
-@query(f"""WITH c AS (SELECT p_partkey % 1024 AS idx, p_size FROM part WHERE p_type = 'PROMO'), g AS (SELECT idx, sum(p_size) AS y FROM c GROUP BY 1)
+@query(f"""WITH {PART}, m AS (SELECT substr(seq,1,1) || substr(seq,3,1) AS seq, avg(y) AS y FROM part_landscape GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS idx, seq, y FROM m)
+  SELECT a.idx AS i, b.idx AS j, round(b.y - a.y, 6) AS dy FROM n a JOIN n b ON hamming(a.seq, b.seq) = 1""")
+def marginalized_edges(spark, sf):
+    """Single changes between marginal genotypes, with the change in the mean."""
+    nodes, edges = S.marginalize_with_edges(part_landscape(spark, sf).select("seq", "y"), 5, skip=[1, 3, 4])
+    end = lambda k: nodes.select(F.col("idx").alias(k), F.col("y").alias(f"y{k}"))
+    return edges.join(end("i"), "i").join(end("j"), "j").select("i", "j", r6(F.col("yj") - F.col("yi")).alias("dy"))
+
+
+_REPLICATES = """o AS (SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) AS seq, l_tax, avg(l_extendedprice/10000.0) AS y, 1.0/count(*) AS v FROM lineitem GROUP BY 1, 2),
+  merged AS (SELECT seq, sum(y/v)/sum(1/v) AS y, 1/sum(1/v) AS y_var FROM o GROUP BY 1)"""
+
+
+def replicate_observations(spark, sf):
+    """``(seq, y, y_var)``: one row per word and tax rate, so every word is measured several times."""
+    li = table(spark, sf, "lineitem")
+    seq = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
+    groups = li.groupBy(seq.alias("seq"), "l_tax").agg(F.avg(F.col("l_extendedprice") / 10000.0).alias("y"), (1.0 / F.count("*")).alias("y_var"))
+    return groups.select("seq", "y", "y_var")
+
+
+@query(f"WITH {_REPLICATES} SELECT seq, round(y, 6) AS y, round(y_var, 9) AS y_var FROM merged")
+def merged_replicates(spark, sf):
+    """Repeated measurements joined by inverse variance."""
+    return merge_replicates(replicate_observations(spark, sf)).select("seq", r6("y").alias("y"), F.round("y_var", 9).alias("y_var"))
+
+
+@query(f"""WITH {_REPLICATES}, a AS (SELECT seq, avg(y) AS y FROM o GROUP BY 1), p AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d, a.y*b.y AS yy FROM a, a b)
+  SELECT d, round(sum(yy)/count(*), 6) AS cov, count(*) AS n FROM p GROUP BY 1""")
+def covariance_of_replicates(spark, sf):
+    """Second moments count a word once, however often it was measured."""
+    out = C.covariance_by_distance(replicate_observations(spark, sf).select("seq", "y"), 3).where("n > 0")
+    return out.select("d", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
+
+
+@query(f"""WITH {_REPLICATES}, a AS (SELECT seq, avg(y) AS y FROM o GROUP BY 1) SELECT round(sum((b.y-a.y)*(b.y-a.y)), 4) AS s, count(*) AS n FROM a JOIN a b ON hamming(a.seq, b.seq) = 1 AND a.seq < b.seq""")
+def effects_of_replicates(spark, sf):
+    """Faces are counted between words, not between measurements."""
+    return C.local_epistasis(replicate_observations(spark, sf).select("seq", "y"), 3, 1).select(F.round("s", 4).alias("s"), "n")
+
+
+@query(f"""WITH c AS (SELECT p_partkey % 1024 AS idx, p_size FROM part), g AS (SELECT idx, sum(p_size) AS y FROM c GROUP BY 1)
   SELECT i AS idx, CAST(coalesce(y, 0) AS DOUBLE) AS y, round(coalesce(y, 0)/(SELECT sum(y) FROM g), 9) AS freq FROM range(1024) t(i) LEFT JOIN g ON g.idx = i""")
 def counts_on_whole_space(spark, sf):
-    part = table(spark, sf, "part").where("p_type = 'PROMO'")
+    part = table(spark, sf, "part")
     counts = part.groupBy(dna_digits(F.col("p_partkey"), 5).alias("seq")).agg(F.sum("p_size").alias("y"))
     return S.counts_on_space(PART_SPACE.states(spark), counts).select("idx", "y", F.round("freq", 9).alias("freq"))
 
@@ -112,13 +156,13 @@ _PAIRS = f"""{PART}, pairs AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d
 def covariance_by_distance(spark, sf):
     """Second moments per Hamming distance from one cube of marginal sums."""
     out = C.covariance_by_distance(part_landscape(spark, sf), 5)
-    return out.where("n > 0").select("d", r6("cov").alias("cov"), "n")
+    return out.where("n > 0").select("d", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
 
 
 @query(f"""WITH {EMBED}, pairs AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d, a.y * b.y AS yy FROM embed_landscape a, embed_landscape b)
   SELECT d, round(sum(yy)/count(*), 6) AS cov, count(*) AS n FROM pairs GROUP BY 1""")
 def covariance_by_distance_incomplete(spark, sf):
-    return C.covariance_by_distance(embed_landscape(spark, sf), 8).where("n > 0").select("d", r6("cov").alias("cov"), "n")
+    return C.covariance_by_distance(embed_landscape(spark, sf), 8).where("n > 0").select("d", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
 
 
 @query(f"""WITH {EMBED}, pairs AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d, a.y * b.y AS yy FROM embed_landscape a, embed_landscape b)
@@ -127,7 +171,7 @@ def covariance_by_distance_on_space(spark, sf):
     """Same moments from order projections of the zero-filled landscape, the way for many sites."""
     from terrane.plans.regression import observed_states
     states = observed_states(EMBED_SPACE, embed_landscape(spark, sf).select("seq", "y"))
-    return C.covariance_on_space(states, EMBED_SPACE).where("n > 0").select("d", r6("cov").alias("cov"), "n")
+    return C.covariance_on_space(states, EMBED_SPACE).where("n > 0").select("d", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
 
 
 _AGREE = " || ".join(f"CASE WHEN substr(a.seq,{s},1) = substr(b.seq,{s},1) THEN '1' ELSE '0' END" for s in range(1, 6))
@@ -135,7 +179,7 @@ _AGREE = " || ".join(f"CASE WHEN substr(a.seq,{s},1) = substr(b.seq,{s},1) THEN
 
 @query(f"WITH {PART} SELECT {_AGREE} AS sites, round(sum(a.y*b.y)/count(*), 6) AS cov, count(*) AS n FROM part_landscape a, part_landscape b GROUP BY 1")
 def covariance_by_agreeing_sites(spark, sf):
-    return C.covariance_by_sites(part_landscape(spark, sf), 5).where("n > 0").select("sites", r6("cov").alias("cov"), "n")
+    return C.covariance_by_sites(part_landscape(spark, sf), 5).where("n > 0").select("sites", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
 
 
 _W = K.krawtchouk(PART_SPACE)
@@ -223,6 +267,20 @@ def exact_percentiles(spark, sf):
     return spark.range(1).select(*[F.round(F.lit(v), 6).alias(f"p{q}") for q, v in zip((10, 50, 99), found)])
 
 
+@query("""WITH f AS (SELECT CASE WHEN l_discount = 0 THEN CAST('-inf' AS DOUBLE) WHEN l_discount >= 0.095 THEN CAST('inf' AS DOUBLE) ELSE ln(l_discount) + l_extendedprice/1e6 END AS v FROM lineitem)
+  SELECT CAST('-inf' AS DOUBLE) AS p1, round(quantile_disc(v, 0.3), 6) AS p30, round(quantile_disc(v, 0.7), 6) AS p70, CAST('inf' AS DOUBLE) AS p99 FROM f
+  WHERE (SELECT count(*) FROM f WHERE v = '-inf') > 0.02*(SELECT count(*) FROM f) AND (SELECT count(*) FROM f WHERE v = 'inf') > 0.02*(SELECT count(*) FROM f)""")
+def percentiles_with_infinities(spark, sf):
+    """Order statistics of a column with infinite values at both ends."""
+    d = F.col("l_discount")
+    v = F.when(d == 0, float("-inf")).when(d >= 0.095, float("inf")).otherwise(F.log(d) + F.col("l_extendedprice") / 1e6)
+    rows = table(spark, sf, "lineitem").select(v.alias("v"))
+    n = rows.count()
+    ends = R.percentiles(rows, "v", [1, 99])
+    inner = R.order_statistics(rows, "v", [ceil(0.3 * n) - 1, ceil(0.7 * n) - 1])
+    return spark.range(1).select(F.lit(ends[0]).alias("p1"), F.round(F.lit(inner[0]), 6).alias("p30"), F.round(F.lit(inner[1]), 6).alias("p70"), F.lit(ends[1]).alias("p99"))
+
+
 @query(f"""WITH {PART}, q AS (SELECT y/sum(y) OVER () AS q, n AS c FROM part_landscape)
   SELECT round(sum(c*ln(q)) + lgamma(CAST(sum(c) AS DOUBLE)+1) - sum(lgamma(CAST(c AS DOUBLE)+1)), 4) AS logL FROM q""")
 def multinomial_log_likelihood(spark, sf):
@@ -270,14 +328,13 @@ def softmax_frequencies(spark, sf):
     return S.softmax(part_landscape(spark, sf), "y").select("idx", F.round("q", 12).alias("q"))
 
 
-@query(f"""WITH {PART}, c AS (SELECT l_returnflag AS name, l_partkey % 1024 AS idx, sum(CASE WHEN l_linestatus = 'O' THEN l_discount ELSE -l_discount END) AS weight FROM lineitem GROUP BY 1, 2)
-  SELECT name, round(sum(weight*y), 4) AS estimate, round(sqrt(sum(weight*weight*y_var)), 4) AS std,
-    round(sum(weight*y) - 2*sqrt(sum(weight*weight*y_var)), 4) AS ci_95_lower, round(sum(weight*y) + 2*sqrt(sum(weight*weight*y_var)), 4) AS ci_95_upper
-  FROM c JOIN part_landscape USING (idx) GROUP BY 1""")
+@query(f"""WITH {PART}, c AS (SELECT l_returnflag AS name, l_partkey % 1024 AS idx, sum(CASE WHEN l_linestatus = 'O' THEN l_discount ELSE -l_discount END) AS weight FROM lineitem GROUP BY 1, 2),
+  s AS (SELECT name, sum(weight*y) AS m, sqrt(sum(weight*weight*y_var)) AS sd FROM c JOIN part_landscape USING (idx) GROUP BY 1)
+  SELECT name, round(m, 4) AS estimate, round(sd, 4) AS std, round(m - 2*sd, 4) AS ci_95_lower, round(m + 2*sd, 4) AS ci_95_upper, round({normal_cdf_sql('abs(m/sd)')}, 5) AS p FROM s""")
 def naive_contrasts(spark, sf):
     li = table(spark, sf, "lineitem")
     w = F.when(F.col("l_linestatus") == "O", F.col("l_discount")).otherwise(-F.col("l_discount"))
     contrasts = li.groupBy(F.col("l_returnflag").alias("name"), dna_digits(F.col("l_partkey"), 5).alias("seq")).agg(F.sum(w).alias("weight"))
     out = S.naive_contrasts(contrasts, part_landscape(spark, sf))
     r4 = lambda c: F.round(c, 4).alias(c)
-    return out.select("name", r4("estimate"), r4("std"), r4("ci_95_lower"), r4("ci_95_upper"))
+    return out.select("name", r4("estimate"), r4("std"), r4("ci_95_lower"), r4("ci_95_upper"), F.round("p", 5).alias("p"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from terrane.catalog import query
 from terrane.catalog.aggregates import _LAMBDA, _faces
 from terrane.catalog.elimination import solved
-from terrane.catalog.views import EMBED, EMBED_SPACE, PART, PART_SPACE, embed_landscape, part_landscape, part_vector, r6, table
+from terrane.catalog.views import EMBED, EMBED_SPACE, PART, PART_SPACE, embed_landscape, normal_cdf_sql, part_landscape, part_vector, r6, table
 from terrane.operators import msa as M
 from terrane.operators.spaces import Space
+from terrane.operators.splits import cross_validate
 from terrane.plans import density as D, kernels as K, regression as R
 from terrane.session import cut
 
@@ -91,6 +92,32 @@ def posterior_mean(spark, sf):
     return out.select("idx", (F.round("y", 5) + F.lit(0.0)).alias("y"))
 
 
+RHO = [0.2, 0.5, 0.35, 0.6, 0.1, 0.45, 0.3, 0.55]
+_SITES = "(0.05 * " + " * ".join(f"CASE WHEN (CAST(xor(a.i, b.i) AS BIGINT) >> {7 - s}) & 1 = 0 THEN {1 + r!r} ELSE {1 - r!r} END" for s, r in enumerate(RHO)) + ")"
+_KS = f"CASE WHEN a.known AND b.known THEN {_SITES} ELSE 0.0 END + CASE WHEN a.i <> b.i THEN 0.0 WHEN a.known THEN a.v ELSE 1.0 END"
+
+
+@query(f"""WITH RECURSIVE {_STATES}, sys AS (SELECT a.i, b.i AS j, CAST({_KS} AS DOUBLE) AS a FROM st a, st b UNION ALL SELECT i, 256, coalesce(y, 0.0) FROM st), {solved(256)},
+  z AS (SELECT idx AS i, x0 FROM x) SELECT a.i AS idx, round(sum({_SITES} * b.x0), 5) + 0.0 AS y FROM st a, z b GROUP BY 1""")
+def posterior_mean_with_site_kernel(spark, sf):
+    """Prediction under another kernel: a decay of its own at every site."""
+    out = R.posterior_mean(observations(spark, sf), EMBED_SPACE, K.connectedness_kernel(EMBED_SPACE, RHO, 0.05))
+    return out.select("idx", (F.round("y", 5) + F.lit(0.0)).alias("y"))
+
+
+@query("""WITH r AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY md5('5:' || s_suppkey)) - 1 AS r, count(*) OVER () AS n FROM supplier),
+  f AS (SELECT s_acctbal/1000.0 AS y, CASE WHEN r // CAST(round(n/4.0) AS BIGINT) < 4 THEN r // CAST(round(n/4.0) AS BIGINT) END AS fold FROM r), g AS (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS value),
+  m AS (SELECT k AS fold, avg(y) AS mean FROM f, range(4) t(k) WHERE fold IS DISTINCT FROM k GROUP BY 1)
+  SELECT value, fold, round(avg((y - value*mean)*(y - value*mean)), 6) AS loss FROM f JOIN m USING (fold), g GROUP BY 1, 2""")
+def cross_validated_callbacks(spark, sf):
+    """A caller's own fit, loss and preprocessing: a shrunk mean of rescaled balances."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"))
+    fit = lambda train, shrink: shrink * train.agg(F.avg("y")).first()[0]
+    loss = lambda test, mean: test.agg(F.avg((F.col("y") - mean) * (F.col("y") - mean))).first()[0]
+    out = cross_validate(rows, fit, loss, [0.0, 0.5, 1.0], 4, 5, "s_suppkey", process=lambda df: df.withColumn("y", F.col("y") / 1000.0))
+    return out.select("value", F.col("fold").cast("bigint").alias("fold"), r6("loss").alias("loss"))
+
+
 _WEIGHT = {"first": "CASE WHEN i >= 128 THEN 1.0 ELSE -1.0 END / 128", "corners": "CASE i WHEN 0 THEN -1.0 WHEN 255 THEN 1.0 ELSE 0.0 END"}
 
 
@@ -100,21 +127,33 @@ _WEIGHT = {"first": "CASE WHEN i >= 128 THEN 1.0 ELSE -1.0 END / 128", "corners"
     UNION ALL SELECT i, 257, CASE WHEN known THEN g0 ELSE 0.0 END FROM st JOIN gk USING (i) UNION ALL SELECT i, 258, CASE WHEN known THEN g1 ELSE 0.0 END FROM st JOIN gk USING (i)), {solved(256, 3)},
   s AS (SELECT sum(CASE WHEN known THEN g0*x0 ELSE 0 END) AS m0, sum(CASE WHEN known THEN g1*x0 ELSE 0 END) AS m1,
       sum(w0*g0) - sum(CASE WHEN known THEN g0*x1 ELSE 0 END) AS v0, sum(w1*g1) - sum(CASE WHEN known THEN g1*x2 ELSE 0 END) AS v1
-    FROM x JOIN st ON st.i = x.idx JOIN gk ON gk.i = st.i JOIN w ON w.i = st.i)
-  SELECT 'corners' AS name, round(m0, 5) AS estimate, round(sqrt(v0), 5) AS std FROM s UNION ALL SELECT 'first', round(m1, 5), round(sqrt(v1), 5) FROM s""")
+    FROM x JOIN st ON st.i = x.idx JOIN gk ON gk.i = st.i JOIN w ON w.i = st.i),
+  t AS (SELECT 'corners' AS name, m0 AS m, sqrt(v0) AS sd FROM s UNION ALL SELECT 'first', m1, sqrt(v1) FROM s)
+  SELECT name, round(m, 5) AS estimate, round(sd, 5) AS std, round(m - 2*sd, 4) AS ci_95_lower, round(m + 2*sd, 4) AS ci_95_upper, round({normal_cdf_sql('abs(m/sd)')}, 5) AS p FROM t""")
 def posterior_contrasts(spark, sf):
     """Estimates and errors of two linear combinations, solved together."""
     states = EMBED_SPACE.states(spark)
     first = states.select(F.lit("first").alias("name"), "seq", F.when(F.col("idx") >= 128, 1.0 / 128).otherwise(-1.0 / 128).alias("weight"))
     corners = states.where("idx IN (0, 255)").select(F.lit("corners").alias("name"), "seq", F.when(F.col("idx") == 0, -1.0).otherwise(1.0).alias("weight"))
     out = R.posterior_contrasts(observations(spark, sf), EMBED_SPACE, LAMBDAS, first.unionByName(corners))
-    return out.select("name", F.round("estimate", 5).alias("estimate"), F.round("std", 5).alias("std"))
+    r = lambda c, k: F.round(c, k).alias(c)
+    return out.select("name", r("estimate", 5), r("std", 5), r("ci_95_lower", 4), r("ci_95_upper", 4), r("p", 5))
 
 
-@query()
+_ASKED = (0, 85, 129, 255)
+_UNITS = " UNION ALL ".join(f"SELECT a.i, {257 + k}, CASE WHEN a.known THEN {_by_distance(_COV)} ELSE 0.0 END FROM st a JOIN st b ON b.i = {i}" for k, i in enumerate(_ASKED))
+
+
+@query(f"""WITH RECURSIVE {_STATES}, sys AS (SELECT a.i, b.i AS j, {_KB} AS a FROM st a, st b UNION ALL SELECT i, 256, coalesce(y, 0.0) FROM st UNION ALL {_UNITS}), {solved(256, 1 + len(_ASKED))},
+  asked AS (SELECT a.i, {', '.join(f"max(CASE WHEN b.i = {i} THEN CASE WHEN a.known THEN {_by_distance(_COV)} ELSE 0.0 END END) AS g{k}" for k, i in enumerate(_ASKED))} FROM st a, st b GROUP BY 1),
+  s AS (SELECT {', '.join(f"sum(g{k}*x0) AS m{k}, {float(_COV[0])!r} - sum(g{k}*x{k + 1}) AS v{k}" for k in range(len(_ASKED)))} FROM x JOIN asked ON asked.i = x.idx)
+  {' UNION ALL '.join(f"SELECT '{''.join('AB'[i >> (7 - b) & 1] for b in range(8))}' AS seq, round(m{k}, 5) AS y, round(v{k}, 5) AS y_var, round(m{k} - 2*sqrt(v{k}), 4) AS ci_95_lower, round(m{k} + 2*sqrt(v{k}), 4) AS ci_95_upper FROM s" for k, i in enumerate(_ASKED))}""")
 def posterior_variance(spark, sf):
-    """Predictions with errors for three sequences (compared with dense algebra in the tests)."""
-    return R.posterior_variance(observations(spark, sf), EMBED_SPACE, LAMBDAS, ["AAAAAAAA", "ABABABAB", "BBBBBBBB"])
+    """Predictions with errors for several sequences."""
+    asked = ["".join("AB"[i >> (7 - b) & 1] for b in range(8)) for i in _ASKED]
+    out = R.posterior_variance(observations(spark, sf), EMBED_SPACE, LAMBDAS, asked)
+    r = lambda c, k: F.round(c, k).alias(c)
+    return out.select("seq", r("y", 5), r("y_var", 5), r("ci_95_lower", 4), r("ci_95_upper", 4))
 
 
 @query()
@@ -203,6 +242,6 @@ def density_contrasts(spark, sf):
 @query()
 def cross_validated_density(spark, sf):
     """Held-out log-likelihood of two smoothing strengths, all folds fitted together."""
-    rows = line_words(spark, sf).select(F.monotonically_increasing_id().alias("row_id"), "seq", F.lit(1.0).alias("y"))
+    rows = line_words(spark, sf).withColumn("y", F.lit(1.0))
     out = D.cross_validate_density(cut(rows), WORD_SPACE, 2, [500.0, D.INF], folds=2, rtol=1e-4)
     return spark.createDataFrame(out, "a double, fold int, logL double")

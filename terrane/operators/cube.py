@@ -14,6 +14,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.functions.seqcols import char_at, total
+from terrane.operators.replicates import merge_replicates
 from terrane.operators.spaces import Space, int64
 from terrane.plans.kernels import delta_lambdas, distance_lambdas, multiplicities, order_columns
 
@@ -37,11 +38,12 @@ def site_sums(obs: DataFrame, length: int, sets: Sequence[Sequence[int]] | None
 
 
 def covariance_by_distance(obs: DataFrame, length: int, keys: Sequence[str] = (), y: str = "y") -> DataFrame:
-    """``(keys, d, cov, n)``: mean of y y' over ordered pairs at distance d, and the pair count."""
-    squares = site_sums(obs, length, None, keys, y)
-    levels = squares.groupBy(*keys, (F.lit(length) - F.bit_count("gid")).alias("t")).agg(
-        F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn")
-    )
+    """``(keys, d, cov, n)``: mean of y y' over ordered pairs at distance d, and the pair count.
+
+    Replicates of a sequence are merged first. Counts are decimals, which pairs of billions of rows fit in.
+    """
+    squares = site_sums(merge_replicates(obs, [*keys, "seq"], y), length, None, keys, y)
+    levels = squares.groupBy(*keys, (F.lit(length) - F.bit_count("gid")).alias("t")).agg(*_squares())
     shares = F.array(*[
         F.array(*[
             F.struct(F.lit(length - k).cast("bigint").alias("d"), F.lit((-1) ** (t - k) * comb(t, k)).cast("bigint").alias("c"))
@@ -52,9 +54,17 @@ def covariance_by_distance(obs: DataFrame, length: int, keys: Sequence[str] = ()
     return _mean(parts.groupBy(*keys, F.col("p.d").alias("d")))
 
 
+COUNT = "decimal(38,0)"
+
+
+def _squares() -> list[Column]:
+    n = F.col("n").cast("decimal(19,0)")
+    return [F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(n * n).cast(COUNT).alias("nn")]
+
+
 def _mean(groups) -> DataFrame:
-    out = groups.agg(F.sum(F.col("p.c") * F.col("ss")).alias("pairs"), F.sum(F.col("p.c") * F.col("nn")).cast("bigint").alias("n"))
-    return out.withColumn("cov", F.when(F.col("n") > 0, F.col("pairs") / F.col("n")).otherwise(0.0)).drop("pairs")
+    out = groups.agg(F.sum(F.col("p.c") * F.col("ss")).alias("pairs"), F.sum((F.col("p.c") * F.col("nn")).cast(COUNT)).cast(COUNT).alias("n"))
+    return out.withColumn("cov", F.when(F.col("n") > 0, F.col("pairs") / F.col("n").cast("double")).otherwise(0.0)).drop("pairs")
 
 
 def covariance_on_space(states: DataFrame, space: Space, y: str = "y", known: str = "known") -> DataFrame:
@@ -72,17 +82,44 @@ def covariance_on_space(states: DataFrame, space: Space, y: str = "y", known: st
     for d in range(l + 1):
         eig = distance_lambdas(space, d)
         form = lambda c: total(F.lit(float(e)) * F.col(f"{c}{k}") for k, e in enumerate(eig))
-        rows.append(F.struct(F.lit(d).cast("bigint").alias("d"), form("y").alias("pairs"), F.round(form("n")).cast("bigint").alias("n")))
+        rows.append(F.struct(F.lit(d).cast("bigint").alias("d"), form("y").alias("pairs"), F.round(form("n")).cast(COUNT).alias("n")))
     out = norms.select(F.inline(F.array(*rows)))
-    return out.select("d", F.when(F.col("n") > 0, F.col("pairs") / F.nullif("n", int64(0))).otherwise(0.0).alias("cov"), "n")
+    return out.select("d", F.when(F.col("n") > 0, F.col("pairs") / F.col("n").cast("double")).otherwise(0.0).alias("cov"), "n")
+
+
+def covariance_by_fold(states: DataFrame, space: Space, folds: int) -> list[dict[str, list[tuple[float, float]]]]:
+    """Per fold, ``(cov, n)`` by distance of its training and its test part, from complete vectors.
+
+    ``states`` holds ``idx`` and, for the total and each fold k, the columns ``y``, ``o`` and ``y{k}``, ``o{k}``: values and
+    0/1 marks that are zero elsewhere. What trains is the total minus the fold in every projection, so all folds share
+    one pass over n rows, and the driver sees l + 1 numbers each.
+    """
+    l = space.length
+    held = [f"{c}{k}" for c in "yo" for k in ("", *range(folds))]
+    wide = order_columns(states.select("idx", *[F.col(c).cast("double").alias(c) for c in held]), space, {f"_{c}_": c for c in held})
+    sums = []
+    for k in range(folds):
+        for c in "yo":
+            for j in range(l + 1):
+                test, rest = F.col(f"_{c}{k}_{j}"), F.col(f"_{c}_{j}") - F.col(f"_{c}{k}_{j}")
+                sums += [F.sum(test * test).alias(f"test{c}{k}_{j}"), F.sum(rest * rest).alias(f"train{c}{k}_{j}")]
+    row = wide.agg(*sums).first()
+    eig = [distance_lambdas(space, d) for d in range(l + 1)]
+    out = []
+    for k in range(folds):
+        found = {}
+        for role in ("train", "test"):
+            norm = {c: [row[f"{role}{c}{k}_{j}"] or 0.0 for j in range(l + 1)] for c in "yo"}
+            pairs = [(sum(e * x for e, x in zip(eig[d], norm["y"])), round(sum(e * x for e, x in zip(eig[d], norm["o"])))) for d in range(l + 1)]
+            found[role] = [(s / n if n else 0.0, float(n)) for s, n in pairs]
+        out.append(found)
+    return out
 
 
 def covariance_by_sites(obs: DataFrame, length: int, y: str = "y") -> DataFrame:
     """``(sites, cov, n)`` per set of agreeing sites, written as a 0/1 string."""
     full = (1 << length) - 1
-    masks = site_sums(obs, length, None, (), y).groupBy((F.lit(full) - F.col("gid")).cast("bigint").alias("mask")).agg(
-        F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn")
-    )
+    masks = site_sums(merge_replicates(obs, ["seq"], y), length, None, (), y).groupBy((F.lit(full) - F.col("gid")).cast("bigint").alias("mask")).agg(*_squares())
     subsets = F.filter(F.sequence(int64(0), int64(full)), lambda s: s.bitwiseAND(F.col("mask")) == s)
     signed = F.transform(subsets, lambda s: F.struct(
         s.alias("sub"), F.when(F.bit_count(F.col("mask").bitwiseXOR(s)) % 2 == 0, 1).otherwise(-1).cast("bigint").alias("c")
@@ -137,10 +174,10 @@ def epistasis_cost(nodes: DataFrame, space: Space, p: int, y: str = "y") -> Data
 def local_epistasis(obs: DataFrame, length: int, p: int, y: str = "y") -> DataFrame:
     """One row ``(s, n)``: sum and number of squared P-way coefficients over the faces present.
 
-    Each round takes differences between two alleles of one more site. A group holds at most one
-    row per allele, so its list and its pairs are bounded by the alphabet.
+    Replicates are merged first. Each round takes differences between two alleles of one more site. A
+    group holds at most one row per allele, so its list and its pairs are bounded by the alphabet.
     """
-    rows = obs.select("seq", F.col(y).cast("double").alias("v"), F.lit(-1).alias("last"), F.lit("").alias("face"))
+    rows = merge_replicates(obs, ["seq"], y).select("seq", F.col(y).cast("double").alias("v"), F.lit(-1).alias("last"), F.lit("").alias("face"))
     for _ in range(p):
         site = F.explode(F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda s: s > F.col("last"))).alias("site")
         keyed = rows.select("seq", "v", "face", site)

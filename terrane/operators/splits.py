@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from terrane.operators.ranking import hash_rank, hash_uniform
 from terrane.operators.stats import evaluate
+from terrane.session import keep
 
 
 def assign_folds(obs: DataFrame, k: int, seed: int = 0, key: str = "seq", max_pred: int | None = None) -> DataFrame:
@@ -98,3 +99,20 @@ def sample_rows(df: DataFrame, n: int, seed: int = 0, key: str = "seq") -> DataF
 def evaluate_design(predictions: DataFrame, truth: DataFrame, design: DataFrame, with_var: bool = True) -> DataFrame:
     """Scores of every split joined to its row of the design table."""
     return evaluate(predictions, truth, "label", with_var).join(design.withColumnRenamed("id", "label"), "label")
+
+
+def cross_validate(obs: DataFrame, train: Callable, evaluate: Callable[..., float], values: Sequence, folds: int = 10, seed: int = 0, key: str = "seq",
+                   max_pred: int | None = None, process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``(value, fold, loss)`` of a caller's own fit: ``evaluate(test, train(rows, value))`` for each value and fold.
+
+    ``process`` is applied to the training and the test rows of every split before they are used.
+    """
+    folded = keep(assign_folds(obs, folds, seed, key, max_pred))
+    rows = []
+    for fold in range(folds):
+        is_test = F.col("fold").eqNullSafe(F.lit(fold))
+        parts = [folded.where(~is_test), folded.where(is_test & F.col("scored"))]
+        learning, test = [process(p) if process else p for p in (p.drop("fold", "scored") for p in parts)]
+        rows += [(float(v), fold, float(evaluate(test, train(learning, v)))) for v in values]
+    folded.unpersist()
+    return obs.sparkSession.createDataFrame(rows, "value double, fold int, loss double")

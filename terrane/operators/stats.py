@@ -9,6 +9,8 @@ from pyspark.sql.types import NumericType
 
 from terrane.functions.seqcols import log10_or_neg_inf, subsequence
 from terrane.functions.special import lgamma, normal_cdf
+from terrane.operators.ranking import ranked_by_bucket
+from terrane.operators.spaces import hamming_edges
 
 LOG_2PI = 1.8378770664093453
 
@@ -22,6 +24,14 @@ def marginalize(nodes: DataFrame, length: int, keep: Sequence[int] | None = None
     return nodes.groupBy(subsequence(seq, kept).alias("seq")).agg(*[F.avg(c).alias(c) for c in numeric])
 
 
+def marginalize_with_edges(nodes: DataFrame, length: int, keep: Sequence[int] | None = None, skip: Sequence[int] | None = None, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Marginal nodes, numbered in sequence order by ``idx``, and the single changes ``(i, j)`` between them."""
+    means = marginalize(nodes, length, keep, skip, seq)
+    kept = len(keep) if keep is not None else length - len(set(skip))
+    numbered = ranked_by_bucket(means.drop("idx"), F.substring("seq", 1, max(1, kept // 2)), ["seq"], "idx")
+    return numbered, hamming_edges(numbered, kept)
+
+
 def counts_on_space(states: DataFrame, counts: DataFrame) -> DataFrame:
     """``(idx, seq, y, freq)``: zero-filled counts and their share of the total."""
     total = counts.agg(F.sum("y")).scalar()

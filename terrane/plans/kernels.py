@@ -7,7 +7,9 @@ per order. All sites of a block share one shuffle, so any map costs two shuffles
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb, factorial
 
@@ -89,9 +91,12 @@ def kernel_log_det(space: Space, lambdas: Sequence[float]) -> float:
 
 # --- applying maps -------------------------------------------------------------------------
 
-def order_columns(vec: DataFrame, space: Space, v: str = "v", prefix: str = "_k") -> DataFrame:
-    """Add the projections ``_k0.._kl`` of a complete vector; all other columns ride along."""
-    return _projections(vec, space, {prefix: v})
+def order_columns(vec: DataFrame, space: Space, v: str | dict[str, str] = "v", prefix: str = "_k") -> DataFrame:
+    """Add the projections ``_k0.._kl`` of a complete vector; all other columns ride along.
+
+    Several vectors, given as ``{prefix: column}``, share every shuffle.
+    """
+    return _projections(vec, space, v if isinstance(v, dict) else {prefix: v})
 
 
 def _projections(vec: DataFrame, space: Space, columns: dict[str, str]) -> DataFrame:
@@ -190,6 +195,40 @@ def apply_connectedness(vec: DataFrame, space: Space, rho: Sequence[float], v: s
     return df
 
 
+@dataclass(frozen=True)
+class Kernel:
+    """A symmetric map of state columns with its (constant) diagonal, for solvers that take any kernel.
+
+    ``apply(df, columns, outs)`` adds one output column per column.
+    """
+
+    apply: Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame]
+    diagonal: float
+
+
+def order_kernel(space: Space, lambdas: Sequence[float]) -> Kernel:
+    """Kernel with one eigenvalue per interaction order."""
+    apply = lambda df, cols, outs: apply_kernels(df, space, {o: (c, lambdas) for c, o in zip(cols, outs)})
+    return Kernel(apply, kernel_diagonal(space, lambdas))
+
+
+def connectedness_kernel(space: Space, rho: Sequence[float], variance: float = 1.0) -> Kernel:
+    """``variance`` times the product over sites of 1 + (a - 1) rho on a match and 1 - rho on a mismatch."""
+    def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
+        names = [f"`{c}`" for c in df.columns if c not in outs]
+        df = df.selectExpr(*names, *[f"{variance * space.n!r}D * `{c}` AS `{o}`" for c, o in zip(cols, outs)])
+        for block in site_blocks(space):
+            df, key = block_partition(df, space, block)
+            for s in block:
+                group, r = ", ".join([key, *[space.digit_sql(t) for t in block if t != s]]), float(rho[s])
+                mean = lambda o: f"sum(`{o}`) OVER (PARTITION BY {group}) / {space.radices[s]}D"
+                df = df.selectExpr(*names, key, *[f"{1.0 - r!r}D * ({mean(o)}) + {r!r}D * `{o}` AS `{o}`" for o in outs])
+            df = df.drop(key)
+        return df
+
+    return Kernel(apply, variance * float(np.prod([1.0 + (r - 1) * x for r, x in zip(space.radices, rho)])))
+
+
 def project_site_set(vec: DataFrame, space: Space, sites: Sequence[int], v: str = "v", out: str = "u") -> DataFrame:
     """Part of a vector due to exactly one set of interacting sites."""
     rho = [float("inf")] * space.length
@@ -250,7 +289,14 @@ def quadratic_form(vec: DataFrame, space: Space, lambdas: Sequence[float], v: st
 
 # --- kernel blocks between sequence lists -------------------------------------------------------
 
-MAX_REQUESTED = 1000
+REQUEST_BLOCK = 1000
+
+
+def _against(rows: DataFrame, requested: Sequence[str], seq: str) -> DataFrame:
+    """``(seq1, seq2)`` between a table and a list, block by block of the list."""
+    blocks = [requested[k:k + REQUEST_BLOCK] for k in range(0, len(requested), REQUEST_BLOCK)] or [[]]
+    parts = [rows.select(F.col(seq).alias("seq1"), F.explode(F.array(*[F.lit(x) for x in b]).cast("array<string>")).alias("seq2")) for b in blocks]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def kernel_by_distance(space: Space, lambdas: Sequence[float]) -> np.ndarray:
@@ -258,10 +304,8 @@ def kernel_by_distance(space: Space, lambdas: Sequence[float]) -> np.ndarray:
 
 
 def kernel_block(rows: DataFrame, requested: Sequence[str], cov: Sequence[float], length: int, seq: str = "seq") -> DataFrame:
-    """``(seq1, seq2, k)`` between a table and a bounded list, through the Hamming distance."""
-    if len(requested) > MAX_REQUESTED:
-        raise ValueError(f"at most {MAX_REQUESTED} requested sequences per call")
-    pairs = rows.select(F.col(seq).alias("seq1"), F.explode(F.array(*[F.lit(x) for x in requested])).alias("seq2"))
+    """``(seq1, seq2, k)`` between a table and a list, through the Hamming distance."""
+    pairs = _against(rows, requested, seq)
     by_distance = F.array(*[F.lit(float(c)) for c in cov])
     mismatches = total((F.substring("seq1", s + 1, 1) != F.substring("seq2", s + 1, 1)).cast("int") for s in range(length))
     return pairs.withColumn("k", F.element_at(by_distance, mismatches + 1))
@@ -269,9 +313,7 @@ def kernel_block(rows: DataFrame, requested: Sequence[str], cov: Sequence[float]
 
 def connectedness_block(rows: DataFrame, requested: Sequence[str], space: Space, rho: Sequence[float], seq: str = "seq") -> DataFrame:
     """Product over sites of (1 + (a-1) rho) on a match and (1 - rho) on a mismatch, over n."""
-    if len(requested) > MAX_REQUESTED:
-        raise ValueError(f"at most {MAX_REQUESTED} requested sequences per call")
-    pairs = rows.select(F.col(seq).alias("seq1"), F.explode(F.array(*[F.lit(x) for x in requested])).alias("seq2"))
+    pairs = _against(rows, requested, seq)
     k = F.lit(1.0 / space.n)
     for s, r in enumerate(rho):
         same = F.substring("seq1", s + 1, 1) == F.substring("seq2", s + 1, 1)

@@ -9,27 +9,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.functions.seqcols import total
-from terrane.operators.cube import covariance_by_distance, covariance_by_sites, covariance_on_space, local_epistasis
+from terrane.operators.cube import covariance_by_fold, covariance_by_sites, covariance_on_space, local_epistasis
+from terrane.operators.replicates import merge_replicates
 from terrane.operators.spaces import Space
 from terrane.operators.splits import assign_folds, fold_roles
 from terrane.operators.stats import metrics, with_interval
 from terrane.plans import kernels as K
-from terrane.plans.smallfit import minimize, nonnegative_least_squares
+from terrane.plans.smallfit import damped_least_squares, minimize, nonnegative_least_squares
 from terrane.plans.solvers import Apply, conjugate_gradient, num
 from terrane.session import cut, small_rows
 
-MAX_COLUMNS = 32
-CUBE_SITES = 10
+#: Right-hand sides that share one block solve; longer requests take several.
+BLOCK_COLUMNS = 32
 
 
 def observed_states(space: Space, obs: DataFrame) -> DataFrame:
-    """``(idx, y, y_var, known)`` of the whole space; rejects nulls and NaN at run time."""
+    """``(idx, y, y_var, known)`` of the whole space; rejects nulls and NaN at run time, merges replicates."""
     for c in ("y", "y_var"):
         if c in obs.columns:
             bad = F.col(c).isNull() | F.isnan(c)
             obs = obs.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} holds a missing value")).cast("double")).otherwise(F.col(c)))
-    var = F.col("y_var") if "y_var" in obs.columns else F.lit(0.0)
-    given = obs.select(space.idx_or_fail("seq").alias("idx") if "idx" not in obs.columns else "idx", F.col("y").cast("double").alias("y"), var.cast("double").alias("y_var"))
+    named = obs if "idx" in obs.columns else obs.withColumn("idx", space.idx_or_fail("seq"))
+    given = merge_replicates(named, ["idx"])
+    if "y_var" not in given.columns:
+        given = given.withColumn("y_var", F.lit(0.0))
     states = obs.sparkSession.range(space.n).withColumnRenamed("id", "idx")
     full = states.join(given.withColumn("known", F.lit(True)), "idx", "left")
     return full.withColumns({"known": F.coalesce("known", F.lit(False)), "y": F.coalesce("y", F.lit(0.0)), "y_var": F.coalesce("y_var", F.lit(0.0))})
@@ -73,28 +76,34 @@ def epistasis_scale(obs: DataFrame, space: Space, p: int) -> float:
     return delta_rank(space, p) * r.n / r.s
 
 
-def precision_solve(states: DataFrame, space: Space, lambdas: Sequence, weight: str, rhs: Sequence[str], rtol: float = 1e-9) -> DataFrame:
+def precision_solve(states: DataFrame, space: Space, prior: Prior | Sequence[Sequence[float]], weight: str, rhs: Sequence[str], rtol: float = 1e-9) -> DataFrame:
     """Solve (C + diag(weight)) x = b for each column ``b`` of ``rhs``: adds ``x_<b>``.
 
-    ``lambdas`` are the eigenvalues of C, one list for all right-hand sides or one list for each.
+    C is given by its eigenvalues, one list for all right-hand sides or one list for each, or as any map.
     """
-    own = list(lambdas) if np.ndim(lambdas[0]) else [lambdas] * len(rhs)
+    if isinstance(prior, K.Kernel):
+        applied, diagonals = prior.apply, [prior.diagonal] * len(rhs)
+    else:
+        own = list(prior) if np.ndim(prior[0]) else [prior] * len(rhs)
+        applied = lambda df, cols, outs: K.apply_kernels(df, space, {o: (c, lam) for c, o, lam in zip(cols, outs, own)})
+        diagonals = [K.kernel_diagonal(space, lam) for lam in own]
 
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
         held = [f"`{c}`" for c in df.columns]
-        df = K.apply_kernels(df, space, {o: (c, lam) for c, o, lam in zip(cols, outs, own)})
+        df = applied(df, cols, outs)
         return df.selectExpr(*held, *[f"`{o}` + `{weight}` * `{c}` AS `{o}`" for c, o in zip(cols, outs)])
 
-    diagonal = [f"`{weight}` + {num(K.kernel_diagonal(space, lam))}" for lam in own]
+    diagonal = [f"`{weight}` + {num(x)}" for x in diagonals]
     return conjugate_gradient(states, apply, list(rhs), diagonal, rtol)
 
 
-def epistasis_regression(obs: DataFrame, space: Space, p: int, a: float | None = None, rtol: float = 1e-9) -> DataFrame:
-    """``(idx, seq, y)``: posterior mean under the prior a/s times the P-way epistasis."""
-    a = epistasis_scale(obs, space, p) if a is None else a
+def epistasis_regression(obs: DataFrame, space: Space, p: int, a: float | None = None, rtol: float = 1e-9, precision: K.Kernel | None = None) -> DataFrame:
+    """``(idx, seq, y)``: posterior mean under the prior a/s times the P-way epistasis, or under any ``precision`` map."""
     states = cut(_weighted(space, obs))
-    lam = a / K.n_faces(space, p) * K.delta_lambdas(space, p)
-    solved = precision_solve(states, space, lam, "w", ["b"], rtol)
+    if precision is None:
+        a = epistasis_scale(obs, space, p) if a is None else a
+        precision = a / K.n_faces(space, p) * K.delta_lambdas(space, p)
+    solved = precision_solve(states, space, precision, "w", ["b"], rtol)
     return named_states(space, solved.select("idx", F.col("x_b").alias("y")), "y")
 
 
@@ -105,12 +114,16 @@ def _weighted(space: Space, obs: DataFrame) -> DataFrame:
     return s.select("idx", w.alias("w"), (w * F.col("y")).alias("b"))
 
 
-def _weights_by_name(contrasts: DataFrame, space: Space) -> tuple[list[str], DataFrame]:
-    """``(idx, w0..)``: one weight column per contrast; names are bounded, sequences are not."""
-    names = sorted(r.name for r in small_rows(contrasts.select("name").distinct(), MAX_COLUMNS, "contrast list"))
+def _weight_blocks(contrasts: DataFrame, space: Space) -> list[tuple[list[str], DataFrame]]:
+    """``(names, (idx, w0..))`` for each block of contrasts: one weight column per contrast."""
+    names = sorted(r.name for r in contrasts.select("name").distinct().collect())
     own = contrasts.select(space.idx_or_fail("seq").alias("idx"), "name", "weight")
-    columns = [F.sum(F.when(F.col("name") == n, F.col("weight")).otherwise(0.0)).alias(f"w{i}") for i, n in enumerate(names)]
-    return names, own.groupBy("idx").agg(*columns)
+    blocks = []
+    for k in range(0, len(names), BLOCK_COLUMNS):
+        part = names[k:k + BLOCK_COLUMNS]
+        columns = [F.sum(F.when(F.col("name") == n, F.col("weight")).otherwise(0.0)).alias(f"w{i}") for i, n in enumerate(part)]
+        blocks.append((part, own.where(F.col("name").isin(part)).groupBy("idx").agg(*columns)))
+    return blocks
 
 
 def _contrast_table(spark, names: Sequence[str], estimate: Sequence[float], variance: Sequence[float]) -> DataFrame:
@@ -118,14 +131,16 @@ def _contrast_table(spark, names: Sequence[str], estimate: Sequence[float], vari
     return with_interval(spark.createDataFrame(rows, "name string, estimate double, std double"))
 
 
-def precision_contrasts(states: DataFrame, space: Space, lambdas: Sequence[float], weight: str, mean: str, contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
+def precision_contrasts(states: DataFrame, space: Space, prior: Prior, weight: str, mean: str, contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
     """Contrasts of a posterior with precision C + diag(weight) and the given mean column."""
-    names, weights = _weights_by_name(contrasts, space)
-    cols = [f"w{i}" for i in range(len(names))]
-    table = states.select("idx", weight, mean).join(weights, "idx", "left").na.fill(0.0, cols)
-    solved = precision_solve(cut(table), space, lambdas, weight, cols, rtol)
-    row = solved.agg(*[F.sum(F.col(c) * F.col(mean)).alias(f"m{c}") for c in cols], *[F.sum(F.col(c) * F.col(f"x_{c}")).alias(f"v{c}") for c in cols]).first()
-    return _contrast_table(states.sparkSession, names, [row[f"m{c}"] for c in cols], [row[f"v{c}"] for c in cols])
+    found = []
+    for names, weights in _weight_blocks(contrasts, space):
+        cols = [f"w{i}" for i in range(len(names))]
+        table = states.select("idx", weight, mean).join(weights, "idx", "left").na.fill(0.0, cols)
+        solved = precision_solve(cut(table), space, prior, weight, cols, rtol)
+        row = solved.agg(*[F.sum(F.col(c) * F.col(mean)).alias(f"m{c}") for c in cols], *[F.sum(F.col(c) * F.col(f"x_{c}")).alias(f"v{c}") for c in cols]).first()
+        found += [(n, row[f"m{c}"], row[f"v{c}"]) for n, c in zip(names, cols)]
+    return _contrast_table(states.sparkSession, *zip(*found))
 
 
 def epistasis_regression_contrasts(obs: DataFrame, space: Space, p: int, a: float, contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
@@ -136,32 +151,39 @@ def epistasis_regression_contrasts(obs: DataFrame, space: Space, p: int, a: floa
 
 # --- variance components ------------------------------------------------------------------------
 
-class Alignment:
-    """Fit of order variances to the second moments per distance (l + 1 numbers)."""
-
-    def __init__(self, space: Space, cov: Sequence[float], n: Sequence[float], sigma2: float = 0.0):
-        w = K.krawtchouk(space)
-        d = np.diag(np.asarray(n, dtype=float))
-        cov = np.asarray(cov, dtype=float)
-        self.length = space.length
-        self.a = w @ d @ w.T
-        self.b = w @ d @ cov - sigma2 * self.a.sum(1)
-        self.c = float(cov @ d @ cov)
-        second = np.zeros((max(space.length - 2, 0), space.length))
-        for i in range(second.shape[0]):
-            second[i, i:i + 3] = (-1, 2, -1)
-        self.smoothness = second.T @ second
-
-    def loss(self, log_lambdas: np.ndarray, beta: float = 0.0) -> float:
-        lam = np.exp(np.minimum(log_lambdas, 500.0))
-        out = self.c + lam @ (self.a @ lam - 2 * self.b)
-        return float(out + beta * log_lambdas[1:] @ self.smoothness @ log_lambdas[1:])
+class MomentFit:
+    """Order variances from the second moments per distance: least squares on l + 1 numbers.
+
+    The moment at distance d is a sum of the order variances times the projection entries, plus the noise at
+    distance 0. Each equation counts with the root of its number of pairs.
+    """
+
+    def __init__(self, space: Space, cov: Sequence[float], n: Sequence[float], noise: float = 0.0):
+        root = np.sqrt(np.asarray(n, dtype=float))
+        clean = np.asarray(cov, dtype=float).copy()
+        clean[0] -= noise
+        self.design = root[:, None] * K.krawtchouk(space).T
+        self.target = root * clean
+
+    def error(self, variances: np.ndarray) -> float:
+        """Squared misfit, summed over pairs."""
+        misfit = self.design @ variances - self.target
+        return float(misfit @ misfit)
 
     def fit(self, beta: float = 0.0) -> np.ndarray:
-        lam = nonnegative_least_squares(self.a, self.b)
-        if beta > 0:
-            lam = np.exp(minimize(lambda x: self.loss(x, beta), np.log(lam + 1e-16)))
-        return lam
+        """Variances at least 0; ``beta`` keeps the logarithms of those of the orders from 1 on close to a line."""
+        plain = nonnegative_least_squares(self.design, self.target)
+        if beta <= 0 or len(plain) < 4:
+            return plain
+        bend = np.sqrt(beta) * np.diff(np.eye(len(plain) - 1), n=2, axis=0) @ np.eye(len(plain))[1:]
+
+        def residual(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            variances = np.exp(np.clip(logs, -200.0, 200.0))
+            return (np.concatenate([self.design @ variances - self.target, bend @ logs]),
+                    np.vstack([self.design * variances, bend]))
+
+        floor = 1e-12 * max(float(plain.max()), 1e-280)
+        return np.exp(damped_least_squares(residual, np.log(np.maximum(plain, 1e6 * floor)), np.log(floor)))
 
 
 def _moments(df: DataFrame, length: int) -> tuple[list[float], list[float]]:
@@ -169,21 +191,25 @@ def _moments(df: DataFrame, length: int) -> tuple[list[float], list[float]]:
     return [rows[d].cov if d in rows else 0.0 for d in range(length + 1)], [rows[d].n if d in rows else 0 for d in range(length + 1)]
 
 
-def smallest_variance(obs: DataFrame) -> float:
-    return float(obs.agg(F.min("y_var")).first()[0] or 0.0) if "y_var" in obs.columns else 0.0
+def fit_variance_components(obs: DataFrame, space: Space, beta: float = 0.0) -> np.ndarray:
+    """Variance of each interaction order: second moments per distance from projections of the complete space."""
+    states = observed_states(space, obs)
+    cov, n = _moments(covariance_on_space(states, space), space.length)
+    return MomentFit(space, cov, n, smallest_variance(states)).fit(beta)
 
 
-def fit_variance_components(obs: DataFrame, space: Space, beta: float = 0.0) -> np.ndarray:
-    """Variance of each interaction order: second moments per distance, then l + 1 numbers.
+def smallest_variance(states: DataFrame) -> float:
+    return float(states.where("known").agg(F.min("y_var")).first()[0] or 0.0)
 
-    Few sites go through one cube of the observations, many sites through the complete space.
-    """
-    if space.length <= CUBE_SITES:
-        moments = covariance_by_distance(obs, space.length)
-    else:
-        moments = covariance_on_space(observed_states(space, obs), space)
-    cov, n = _moments(moments, space.length)
-    return Alignment(space, cov, n, smallest_variance(obs)).fit(beta)
+
+def fit_regularized(obs: DataFrame, space: Space, betas: Sequence[float] | None = None, folds: int = 5, seed: int = 0,
+                    loss: str = "frobenius_norm") -> tuple[np.ndarray, float]:
+    """Choose the smoothing by cross-validation and fit all data with it: (variances, beta)."""
+    by_beta: dict[float, list[float]] = {}
+    for beta, _, _, value in cross_validate_beta(obs, space, betas or [0.0, *regularization_grid()], folds, seed, loss):
+        by_beta.setdefault(beta, []).append(value)
+    best = min(sorted(by_beta), key=lambda b: float(np.mean(by_beta[b])))
+    return fit_variance_components(obs, space, best), best
 
 
 def regularization_grid(low: float = -2, high: float = 7, n: int = 20) -> list[float]:
@@ -191,88 +217,116 @@ def regularization_grid(low: float = -2, high: float = 7, n: int = 20) -> list[f
 
 
 def cross_validate_beta(obs: DataFrame, space: Space, betas: Sequence[float], folds: int = 5, seed: int = 0, loss: str = "frobenius_norm") -> list[tuple]:
-    """``(beta, log_beta, fold, loss)`` rows. One cube gives the moments of all folds and roles."""
+    """``(beta, log_beta, fold, loss)`` rows. One pass over the states gives the moments of all folds and roles."""
     if loss not in ("frobenius_norm", "logL", "r2"):
         raise ValueError(f"loss {loss} not allowed")
-    roles = cut(fold_roles(assign_folds(obs, folds, seed), folds))
-    moments = covariance_by_distance(roles, space.length, ["split", "role"]).collect()
-    noise = {(r.split, r.role): r.s2 for r in roles.groupBy("split", "role").agg(F.min("y_var").alias("s2")).collect()}
-    fits = {}
-    for split in range(folds):
-        for role in ("train", "test"):
-            own = {r.d: r for r in moments if r.split == split and r.role == role}
-            cov = [own[d].cov if d in own else 0.0 for d in range(space.length + 1)]
-            n = [own[d].n if d in own else 0 for d in range(space.length + 1)]
-            fits[split, role] = Alignment(space, cov, n, float(noise.get((split, role)) or 0.0))
-    rows = []
-    for split in range(folds):
-        for beta in betas:
-            lam = fits[split, "train"].fit(beta)
-            if loss == "frobenius_norm":
-                value = fits[split, "test"].loss(np.log(lam + 1e-300))
-            else:
-                value = _held_out(roles, split, space, lam, loss)
-            rows.append((float(beta), log10(beta) if beta > 0 else float("-inf"), split, float(value)))
-    return rows
+    folded = cut(assign_folds(merge_replicates(obs), folds, seed))
+    if "y_var" not in folded.columns:
+        folded = folded.withColumn("y_var", F.lit(0.0))
+    rows = folded.select(space.idx_or_fail("seq").alias("idx"), "y", "y_var", "fold")
+    inside = lambda k, v: F.sum(F.when(F.col("fold") == k, v).otherwise(0.0))
+    per_state = rows.groupBy("idx").agg(
+        F.sum("y").alias("y"), F.sum(F.lit(1.0)).alias("o"),
+        *[inside(k, F.col("y")).alias(f"y{k}") for k in range(folds)], *[inside(k, F.lit(1.0)).alias(f"o{k}") for k in range(folds)])
+    states = obs.sparkSession.range(space.n).withColumnRenamed("id", "idx").join(per_state, "idx", "left").na.fill(0.0)
+    moments = covariance_by_fold(states, space, folds)
+    tested = [F.col("fold").eqNullSafe(F.lit(k)) for k in range(folds)]
+    noise = rows.agg(*[F.min(F.when(t if role == "test" else ~t, F.col("y_var"))).alias(f"{role}{k}") for k, t in enumerate(tested) for role in ("train", "test")]).first()
+    out = []
+    for k in range(folds):
+        fits = {role: MomentFit(space, *zip(*moments[k][role]), float(noise[f"{role}{k}"] or 0.0)) for role in ("train", "test")}
+        variances = [fits["train"].fit(beta) for beta in betas]
+        if loss == "frobenius_norm":
+            values = [fits["test"].error(v) for v in variances]
+        else:
+            values = _held_out(folded, k, space, variances, loss)
+        out += [(float(b), log10(b) if b > 0 else float("-inf"), k, float(v)) for b, v in zip(betas, values)]
+    return out
+
+
+def _held_out(folded: DataFrame, fold: int, space: Space, variances: Sequence[np.ndarray], loss: str) -> list[float]:
+    """Losses of the predictions of one fold; the posteriors of all ``variances`` are one block solve."""
+    is_test = F.col("fold").eqNullSafe(F.lit(fold))
+    means = posterior_means(folded.where(~is_test).select("seq", "y", "y_var"), space, variances, rtol=1e-6)
+    each = F.posexplode(F.array(*[F.col(f"f{i}") for i in range(len(variances))])).alias("label", "ypred")
+    both = folded.where(is_test).select("seq", "y", "y_var").join(means.select(space.seq_of("idx").alias("seq"), each), "seq")
+    found = {r.label: r for r in metrics(both, "label", True).collect()}
+    return [-found[i].loglikelihood * found[i].n if loss == "logL" else -(found[i].r2 or 0.0) for i in range(len(variances))]
 
 
-def _held_out(roles: DataFrame, split: int, space: Space, lam: np.ndarray, loss: str) -> float:
-    own = roles.where(F.col("split") == split)
-    mean = posterior_mean(own.where("role = 'train'"), space, lam, rtol=1e-6).select("seq", F.col("y").alias("ypred"))
-    both = own.where("role = 'test'").join(mean, "seq").withColumn("label", F.lit("all"))
-    row = metrics(both, "label", True).first()
-    return -row.loglikelihood * row.n if loss == "logL" else -(row.r2 or 0.0)
+# --- Gaussian-process posterior --------------------------------------------------------------------
 
+Prior = Sequence[float] | K.Kernel  # eigenvalues per order, or any kernel
 
-# --- Gaussian-process posterior --------------------------------------------------------------------
 
-def _masked_kernel(space: Space, lambdas: Sequence[float]) -> Apply:
-    """(K_BB + D) on complete vectors that are zero where nothing was observed."""
+def _kernel(space: Space, prior: Prior) -> K.Kernel:
+    return prior if isinstance(prior, K.Kernel) else K.order_kernel(space, prior)
+
+
+def _masked_kernel(space: Space, kernel: K.Kernel | Sequence[Sequence[float]]) -> Apply:
+    """(K_BB + D) on complete vectors that are zero where nothing was observed.
+
+    One kernel for all right-hand sides, or eigenvalues per order for each of them.
+    """
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
         held = [f"`{c}`" for c in df.columns]
-        df = K.apply_kernels(df, space, {o: (c, lambdas) for c, o in zip(cols, outs)})
+        if isinstance(kernel, K.Kernel):
+            df = kernel.apply(df, cols, outs)
+        else:
+            df = K.apply_kernels(df, space, {o: (c, lam) for c, o, lam in zip(cols, outs, kernel)})
         return df.selectExpr(*held, *[f"IF(known, `{o}` + y_var * `{c}`, 0D) AS `{o}`" for c, o in zip(cols, outs)])
     return apply
 
 
-def posterior_mean(obs: DataFrame, space: Space, lambdas: Sequence[float], requested: DataFrame | None = None, rtol: float = 1e-9) -> DataFrame:
+def posterior_mean(obs: DataFrame, space: Space, prior: Prior, requested: DataFrame | None = None, rtol: float = 1e-9) -> DataFrame:
     """``(idx, seq, y)`` for all states, or for the sequences requested."""
+    kernel = _kernel(space, prior)
     states = cut(observed_states(space, obs))
-    d = f"{num(K.kernel_diagonal(space, lambdas))} + y_var"
-    solved = conjugate_gradient(states, _masked_kernel(space, lambdas), ["y"], d, rtol)
-    mean = K.apply_kernel(solved, space, lambdas, "x_y", "f")
+    solved = conjugate_gradient(states, _masked_kernel(space, kernel), ["y"], f"{num(kernel.diagonal)} + y_var", rtol)
+    mean = kernel.apply(solved, ["x_y"], ["f"])
     out = named_states(space, mean.select("idx", F.col("f").alias("y")), "y")
     return out if requested is None else out.join(requested.select("seq").distinct(), "seq", "left_semi")
 
 
-def posterior_contrasts(obs: DataFrame, space: Space, lambdas: Sequence[float], contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
+def posterior_means(obs: DataFrame, space: Space, many: Sequence[Sequence[float]], rtol: float = 1e-9) -> DataFrame:
+    """``(idx, f0, f1, ...)``: posterior means under several lists of variances, in one block solve."""
+    rhs = [f"y{i}" for i in range(len(many))]
+    states = cut(observed_states(space, obs).select("idx", "known", "y_var", *[F.col("y").alias(c) for c in rhs]))
+    d = [f"{num(K.kernel_diagonal(space, lam))} + y_var + {num(1e-12)}" for lam in many]
+    solved = conjugate_gradient(states, _masked_kernel(space, list(many)), rhs, d, rtol)
+    return K.apply_kernels(solved, space, {f"f{i}": (f"x_{c}", lam) for i, (c, lam) in enumerate(zip(rhs, many))}).select("idx", *[f"f{i}" for i in range(len(many))])
+
+
+def posterior_contrasts(obs: DataFrame, space: Space, prior: Prior, contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
     """``(name, estimate, std, ci_95_lower, ci_95_upper, p)`` per contrast.
 
-    With g = K w the variance is w'g - g'(K_BB + D)^-1 g and the estimate g'(K_BB + D)^-1 y, so all
-    contrasts and the data are columns of one block solve.
+    With g = K w the variance is w'g - g'(K_BB + D)^-1 g and the estimate g'(K_BB + D)^-1 y: one solve for
+    the data, and one for each block of contrasts.
     """
-    names, weights = _weights_by_name(contrasts, space)
-    cols = [f"w{i}" for i in range(len(names))]
-    states = observed_states(space, obs).join(weights, "idx", "left").na.fill(0.0, cols)
-    states = K.apply_kernels(cut(states), space, {f"g{c}": (c, lambdas) for c in cols})
-    states = states.withColumns({f"r{c}": F.when(F.col("known"), F.col(f"g{c}")).otherwise(0.0) for c in cols})
-    d = f"{num(K.kernel_diagonal(space, lambdas))} + y_var"
-    rhs = ["y", *[f"r{c}" for c in cols]]
-    solved = conjugate_gradient(cut(states), _masked_kernel(space, lambdas), rhs, d, rtol)
-    row = solved.agg(
-        *[F.sum(F.col(f"r{c}") * F.col("x_y")).alias(f"m{c}") for c in cols],
-        *[(F.sum(F.col(c) * F.col(f"g{c}")) - F.sum(F.col(f"r{c}") * F.col(f"x_r{c}"))).alias(f"v{c}") for c in cols],
-    ).first()
-    return _contrast_table(obs.sparkSession, names, [row[f"m{c}"] for c in cols], [row[f"v{c}"] for c in cols])
-
-
-def posterior_variance(obs: DataFrame, space: Space, lambdas: Sequence[float], requested: Sequence[str], rtol: float = 1e-9) -> DataFrame:
+    kernel = _kernel(space, prior)
+    d = f"{num(kernel.diagonal)} + y_var"
+    base = cut(observed_states(space, obs))
+    solved = conjugate_gradient(base, _masked_kernel(space, kernel), ["y"], d, rtol)
+    base = cut(solved.select("idx", "y", "y_var", "known", "x_y"))  # the data are solved once for all blocks
+    found = []
+    for names, weights in _weight_blocks(contrasts, space):
+        cols = [f"w{i}" for i in range(len(names))]
+        states = base.join(weights, "idx", "left").na.fill(0.0, cols)
+        states = kernel.apply(cut(states), cols, [f"g{c}" for c in cols])
+        states = states.withColumns({f"r{c}": F.when(F.col("known"), F.col(f"g{c}")).otherwise(0.0) for c in cols})
+        solved = conjugate_gradient(cut(states), _masked_kernel(space, kernel), [f"r{c}" for c in cols], d, rtol)
+        row = solved.agg(
+            *[F.sum(F.col(f"r{c}") * F.col("x_y")).alias(f"m{c}") for c in cols],
+            *[(F.sum(F.col(c) * F.col(f"g{c}")) - F.sum(F.col(f"r{c}") * F.col(f"x_r{c}"))).alias(f"v{c}") for c in cols],
+        ).first()
+        found += [(n, row[f"m{c}"], row[f"v{c}"]) for n, c in zip(names, cols)]
+    return _contrast_table(obs.sparkSession, *zip(*found))
+
+
+def posterior_variance(obs: DataFrame, space: Space, prior: Prior, requested: Sequence[str], rtol: float = 1e-9) -> DataFrame:
     """``(seq, y, y_var, std, ci_95_lower, ci_95_upper)`` for a list of sequences, solved in blocks."""
-    spark, out = obs.sparkSession, None
-    for k in range(0, len(requested), MAX_COLUMNS):
-        unit = spark.createDataFrame([(s, s, 1.0) for s in requested[k:k + MAX_COLUMNS]], "name string, seq string, weight double")
-        part = posterior_contrasts(obs, space, lambdas, unit, rtol)
-        out = part if out is None else out.unionByName(part)
+    unit = obs.sparkSession.createDataFrame([(s, s, 1.0) for s in dict.fromkeys(requested)], "name string, seq string, weight double")
+    out = posterior_contrasts(obs, space, prior, unit, rtol)
     return out.select(
         F.col("name").alias("seq"), F.col("estimate").alias("y"), (F.col("std") * F.col("std")).alias("y_var"), "std", "ci_95_lower", "ci_95_upper"
     )
@@ -280,7 +334,7 @@ def posterior_variance(obs: DataFrame, space: Space, lambdas: Sequence[float], r
 
 def cross_validate_scale(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0, rtol: float = 1e-5) -> list[tuple]:
     """``(a, fold, logL)``: held-out mean log-density of the epistasis regression."""
-    roles = cut(fold_roles(assign_folds(obs, folds, seed), folds))
+    roles = cut(fold_roles(assign_folds(merge_replicates(obs), folds, seed), folds))
     lam = [a / K.n_faces(space, p) * K.delta_lambdas(space, p) for a in a_values]
     rhs = [f"b{i}" for i in range(len(a_values))]
     rows = []

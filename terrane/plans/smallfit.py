@@ -19,7 +19,7 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, steps: int = 1000) -
         w = a.T @ (b - a @ x)
         w[free] = -np.inf
         if w.max() <= tol:
-            break
+            return x / scale
         free[int(np.argmax(w))] = True
         while True:
             z = np.zeros(n)
@@ -32,7 +32,37 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, steps: int = 1000) -
             x = x + t * (z - x)
             free &= x > 1e-15 * max(x.max(), 1e-300)
             x[~free] = 0.0
-    return x / scale
+    raise RuntimeError(f"no convergence in {steps} steps")
+
+
+def damped_least_squares(residual: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], x: np.ndarray, lowest: float = -np.inf, steps: int = 2000,
+                         tol: float = 1e-9) -> np.ndarray:
+    """Minimise |r(x)|^2, x >= lowest, for a residual given with its Jacobian (Levenberg-Marquardt, scaled by the curvature).
+
+    Ends when ten steps in a row together gain less than ``tol`` of what is left.
+    """
+    x = np.asarray(x, dtype=float)
+    r, j = residual(x)
+    damping, values = 1e-3, [float(r @ r)]
+    for _ in range(steps):
+        slope = j.T @ r
+        free = (x > lowest) | (slope < 0)  # the others rest on the bound
+        size = np.linalg.norm(j[:, free], axis=0)
+        size = np.maximum(size, 1e-6 * max(float(size.max(initial=0.0)), 1e-300))
+        d = np.zeros(len(x))
+        d[free] = -np.linalg.lstsq(np.vstack([j[:, free], np.sqrt(damping) * np.diag(size)]), np.append(r, np.zeros(len(size))), rcond=None)[0]
+        moved = np.maximum(x + d, lowest)
+        r2, j2 = residual(moved)
+        if r2 @ r2 <= r @ r:
+            x, r, j, damping = moved, r2, j2, max(damping / 5, 1e-30)
+            values.append(float(r @ r))
+            if len(values) > 10 and values[-11] - values[-1] <= tol * values[-11]:
+                return x
+        else:
+            damping *= 4
+            if damping > 1e20:  # no shorter step can be told apart
+                return x
+    raise RuntimeError(f"no convergence in {steps} steps")
 
 
 def minimize(f: Callable[[np.ndarray], float], x: np.ndarray, steps: int = 2000, tol: float = 1e-10) -> np.ndarray:
@@ -55,7 +85,7 @@ def minimize(f: Callable[[np.ndarray], float], x: np.ndarray, steps: int = 2000,
             t *= 0.5
         if t <= 1e-14:
             if fresh:
-                break
+                return x
             inverse, fresh = np.eye(len(x)), True
             continue
         s = t * d
@@ -70,5 +100,5 @@ def minimize(f: Callable[[np.ndarray], float], x: np.ndarray, steps: int = 2000,
         small = abs(value - v2) <= tol * max(abs(value), 1e-12) and np.abs(g2).max() <= 1e-6 * max(1.0, abs(v2))
         g, value = g2, v2
         if small:
-            break
-    return x
+            return x
+    raise RuntimeError(f"no convergence in {steps} steps")

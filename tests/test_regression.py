@@ -121,21 +121,78 @@ def test_beta_cross_validation(spark, noisy):
 
 
 def test_connectedness_fit(spark):
+    """Observations whose second moments are exactly those of the model: an eigenvector basis of its covariance."""
     space = Space.regular(3, "AB")
     rho = np.array([0.3, 0.6, 0.8])
+    seqs = sequences(space)
     sites = np.array([[(m >> (2 - s)) & 1 for s in range(3)] for m in range(8)], dtype=float)
-    x = np.append(np.log(0.5), np.log(rho / (1 - rho)))
-    cov = R.connectedness_covariance(x, sites, 2)
+    cov = R.connectedness_covariance(np.append(np.log(0.5), np.log(rho / (1 - rho))), sites, 2)
+    agree = np.array([[int("".join("1" if a == b else "0" for a, b in zip(x, z)), 2) for z in seqs] for x in seqs])
+    values, vectors = np.linalg.eigh(cov[agree])
+    # the model is invariant under flips of a site, so any landscape with these squared projections has its moments
+    y = vectors @ (np.sqrt(np.maximum(values, 0)) * np.where(np.arange(8) % 2, 1.0, -1.0)) / 1.0
+    moments = np.array([np.mean([y[i] * y[j] for i in range(8) for j in range(8) if agree[i, j] == m]) for m in range(8)])
+    log_mu, fitted = R.fit_connectedness(frame(spark, [(s, float(v)) for s, v in zip(seqs, y)], "seq string, y double"), space)
+    found = R.connectedness_covariance(np.append(log_mu, np.log(fitted / (1 - fitted))), sites, 2)
+    truth = ((moments - cov) ** 2).sum()
+    assert ((moments - found) ** 2).sum() <= truth + 1e-8
+    if truth < 1e-12:
+        np.testing.assert_allclose(fitted, rho, atol=1e-3)
+
+
+def test_replicates_leave_the_posterior_on_the_states(spark, noisy):
+    space, lam, kept, rows, obs = noisy
+    s, y, v = rows[0]
+    split = frame(spark, [(s, y + 0.3, 2 * v), (s, y - 0.3, 2 * v), *rows[1:]])
+    for f in (lambda o: R.posterior_mean(o, space, lam), lambda o: R.epistasis_regression(o, space, 2, 50.0)):
+        a, b = ([(r.seq, r.y) for r in f(o).orderBy("idx").collect()] for o in (obs, split))
+        assert [x[0] for x in a] == [x[0] for x in b] == sequences(space)
+        np.testing.assert_allclose([x[1] for x in a], [x[1] for x in b], atol=1e-6)
+    np.testing.assert_allclose(R.fit_variance_components(obs, space), R.fit_variance_components(split, space), rtol=1e-6, atol=1e-8)
+
+
+def test_other_kernels(spark, noisy):
+    space, lam, kept, rows, obs = noisy
+    rho = [0.3, 0.5, 0.7]
     seqs = sequences(space)
-    k = np.array([[cov[int("".join("1" if a == b else "0" for a, b in zip(p, q)), 2)] for q in seqs] for p in seqs])
-    values, vectors = np.linalg.eigh(k)
-    # a landscape whose site-set moments equal the kernel up to sampling: average many draws
-    from unittest.mock import patch
-    rows = [type("Row", (), {"sites": "".join(str(int(c)) for c in s), "cov": float(v), "n": 8})() for s, v in zip(sites, cov)]
-    with patch.object(R, "covariance_by_sites", lambda *a: None), patch.object(R, "small_rows", lambda *a: rows):
-        log_mu, fitted = R.fit_connectedness(None, space)
-    np.testing.assert_allclose(fitted, rho, atol=1e-4)
-    assert log_mu == pytest.approx(np.log(0.5), abs=1e-3)
+    k = 2.0 * np.array([[np.prod([1 + 2 * r if a == b else 1 - r for a, b, r in zip(x, z, rho)]) for z in seqs] for x in seqs])
+    y, d = np.array([r[1] for r in rows]), np.diag([r[2] for r in rows])
+    mean = k[:, kept] @ np.linalg.solve(k[np.ix_(kept, kept)] + d, y)
+    got = [r.y for r in R.posterior_mean(obs, space, K.connectedness_kernel(space, rho, 2.0)).orderBy("idx").collect()]
+    np.testing.assert_allclose(got, mean, rtol=1e-6, atol=1e-7)
+    same = [r.y for r in R.posterior_mean(obs, space, K.order_kernel(space, lam)).orderBy("idx").collect()]
+    np.testing.assert_allclose(same, [r.y for r in R.posterior_mean(obs, space, lam).orderBy("idx").collect()])
+    # a precision given as a map: the inverse of that kernel has 1 / rho at every site
+    inverse = K.connectedness_kernel(space, [1 / r for r in rho], 1 / (2.0 * space.n ** 2))
+    assert np.allclose(np.linalg.inv(k), [[np.prod([1 + 2 / r if a == b else 1 - 1 / r for a, b, r in zip(x, z, rho)]) / (2.0 * space.n ** 2) for z in seqs] for x in seqs])
+    again = [r.y for r in R.epistasis_regression(obs, space, 2, precision=inverse, rtol=1e-10).orderBy("idx").collect()]
+    np.testing.assert_allclose(again, mean, rtol=1e-4, atol=1e-5)
+
+
+def test_regularized_fit_uses_the_best_beta(spark, noisy):
+    space, _, _, _, obs = noisy
+    lam, beta = R.fit_regularized(obs, space, [0.0, 1.0], folds=2)
+    assert beta in (0.0, 1.0)
+    np.testing.assert_allclose(lam, R.fit_variance_components(obs, space, beta))
+
+
+def test_fold_moments_equal_those_of_the_parts(spark, noisy):
+    from terrane.operators.cube import covariance_by_distance, covariance_by_fold
+    space, _, _, rows, _ = noisy
+    parts = [(space.rank(s), y, i % 2) for i, (s, y, _) in enumerate(rows)]
+    states = [(i, *[0.0] * 6) for i in range(27)]
+    for i, y, k in parts:
+        row = [i, y, 1.0, 0.0, 0.0, 0.0, 0.0]
+        row[3 + 2 * k], row[4 + 2 * k] = y, 1.0
+        states[i] = tuple(row)
+    df = spark.createDataFrame(states, "idx bigint, y double, o double, y0 double, o0 double, y1 double, o1 double")
+    found = covariance_by_fold(df, space, 2)
+    for k in range(2):
+        for role, inside in (("train", lambda f: f != k), ("test", lambda f: f == k)):
+            own = frame(spark, [(s, y) for (s, y, _), (_, _, f) in zip(rows, parts) if inside(f)], "seq string, y double")
+            want = {r.d: (r.cov, float(r.n)) for r in covariance_by_distance(own, 3).collect()}
+            for d, (cov, n) in enumerate(found[k][role]):
+                assert n == want.get(d, (0, 0))[1] and cov == pytest.approx(want[d][0] if n else 0.0, abs=1e-9)
 
 
 def test_scale_cross_validation(spark, noisy):
