@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from terrane.catalog import query
 from terrane.catalog.elimination import solved
 from terrane.catalog.selections import LINE_EDGES, PART_EDGES
-from terrane.catalog.views import LINE, LINE_SPACE, PART, PART_SPACE, line_landscape, part_landscape, r6
+from terrane.catalog.views import CUSTOMER, CUSTOMER_LENGTH, LINE, LINE_SPACE, PART, PART_SPACE, customer_dna, line_landscape, part_landscape, r6
 from terrane.operators import spaces as S
-from terrane.plans import embedding as E, paths as P, walk as W
+from terrane.plans import embedding as E, paths as P, space_walk as X, walk as W
 from terrane.session import cut
 
 NS = 2.0
@@ -101,6 +101,30 @@ def hky_substitution_rates(spark, sf):
     return W.transition_rates(nodes, edges, 0.1, PART_SPACE.n, p0="p0", exchange="exchange").select("i", "j", r9("sym"), r9("rate"))
 
 
+_MODELS = ("F81", "K80", "K81", "TN93", "SYM", "GTR")
+_CLASS_RATES = {"a": 1.0, "b": 2.5, "c": 0.7, "d": 1.3, "e": 3.0, "f": 0.4}
+_BASES = (0.1, 0.2, 0.3, 0.4)
+_PAIR_SQL = "CASE " + " ".join(
+    f"WHEN model = '{m}' AND x IN ('{a}{b}', '{b}{a}') THEN {_CLASS_RATES.get(c, 1.0)!r}"
+    for m in _MODELS for c, (a, b) in zip(W.DNA_MODELS[m], ("AC", "AG", "AT", "CG", "CT", "GT"))) + " END"
+
+
+@query(f"""WITH {PART_EDGES}, l AS (SELECT e.i, e.j, a.seq AS s, b.seq AS t FROM edges e JOIN part_landscape a ON a.idx = i JOIN part_landscape b ON b.idx = j),
+  x AS (SELECT i, j, t, (SELECT max(substr(s, CAST(k AS INT), 1) || substr(t, CAST(k AS INT), 1)) FROM range(1, 6) r(k) WHERE substr(s, CAST(k AS INT), 1) <> substr(t, CAST(k AS INT), 1)) AS x FROM l),
+  m(model) AS (VALUES {', '.join(f"('{m}')" for m in _MODELS)})
+  SELECT model, i, j, round(CAST({_PAIR_SQL} AS DOUBLE) * CASE WHEN model IN ('K80', 'K81', 'SYM') THEN pow(0.25, 5) ELSE {_P0.replace('seq', 't')} END, 12) AS rate FROM x, m""")
+def named_model_rates(spark, sf):
+    """Neutral rates of the other named nucleotide models on the observed states."""
+    seen, out = part_landscape(spark, sf).select("idx"), None
+    for m in _MODELS:
+        freqs, exchange = W.dna_model(m, 5, dict(zip("ACGT", _BASES)), _CLASS_RATES)
+        edges = W.neutral_edges(spark, PART_SPACE, exchange, freqs)
+        edges = edges.join(seen.withColumnRenamed("idx", "i"), "i", "left_semi").join(seen.withColumnRenamed("idx", "j"), "j", "left_semi")
+        rows = edges.select(F.lit(m).alias("model"), "i", "j", F.round("rate", 12).alias("rate"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"WITH {_RATES} SELECT i, j, round(rate/sum(rate) OVER (PARTITION BY i), 9) AS p FROM rates")
 def jump_chain(spark, sf):
     nodes, rates = walk(spark, sf)
@@ -136,6 +160,31 @@ def committor_probabilities(spark, sf):
     return q.select("idx", r6("q_forward").alias("q_forward"), r6("q_backward").alias("q_backward"))
 
 
+@query(f"WITH RECURSIVE {_RATES}, {_Q}, {solved(42)} SELECT idx, round(x0, 6) AS q FROM x")
+def committor_on_space(spark, sf):
+    """The same probabilities on the product space itself, without an edge table."""
+    nodes = cut(line_landscape(spark, sf).select("idx", "y"))
+    q = X.hitting_probability_on_space(nodes, LINE_SPACE, NS, state_set(spark, _END), state_set(spark, _START))
+    return q.select("idx", r6("q").alias("q"))
+
+
+WORD_SPACE = S.Space.regular(CUSTOMER_LENGTH, "ACGT")
+_STRIDES = ", ".join(f"({4 ** s})" for s in range(CUSTOMER_LENGTH))
+
+
+@query(f"""WITH {CUSTOMER}, m AS (SELECT row_id % {4 ** CUSTOMER_LENGTH} AS idx, avg(y)/1000.0 AS y FROM customer_dna GROUP BY 1),
+  n AS (SELECT t.i AS idx, coalesce(m.y, 0.0) AS y, (t.i % 17)/17.0 AS v FROM range({4 ** CUSTOMER_LENGTH}) t(i) LEFT JOIN m ON m.idx = t.i),
+  e AS (SELECT a.idx AS i, a.idx + (b - a.idx//s%4)*s AS j FROM n a, (VALUES {_STRIDES}) st(s), range(4) r(b) WHERE b <> a.idx//s%4),
+  r AS (SELECT e.i, 0.5*(b.y - a.y) AS s, abs(b.y - a.y) <= 1e-8 AS flat, b.v - a.v AS dv FROM e JOIN n a ON a.idx = e.i JOIN n b ON b.idx = e.j)
+  SELECT i AS idx, round(sum(CASE WHEN flat THEN 1.0 ELSE s/(1-exp(-s)) END * dv), 6) + 0.0 AS u FROM r GROUP BY 1""")
+def rates_applied_on_space(spark, sf):
+    """Rate matrix times a vector on all 65,536 eight-letter words, in two shuffles and without edges."""
+    seen = customer_dna(spark, sf).groupBy(WORD_SPACE.idx_of("seq").alias("idx")).agg((F.avg("y") / 1000.0).alias("y"))
+    nodes = spark.range(WORD_SPACE.n).withColumnRenamed("id", "idx").join(seen, "idx", "left")
+    nodes = nodes.select("idx", F.coalesce("y", F.lit(0.0)).alias("y"), (F.col("idx") % 17 / 17.0).alias("v"))
+    return X.generator_applied(nodes, WORD_SPACE, 0.5).select("idx", (F.round("u", 6) + F.lit(0.0)).alias("u"))
+
+
 @query(f"WITH RECURSIVE {_RATES}, {_boundary(f'{{k}} = {_E}', f'{{k}} IN ({_S}, {_A})')}, {solved(42)} SELECT idx, round(x0, 6) AS q_forward FROM x")
 def committor_with_avoided_state(spark, sf):
     nodes, rates = walk(spark, sf)
@@ -166,9 +215,12 @@ def flows(spark, sf):
     return cut(P.effective_flows(q, rates))
 
 
-@query(f"WITH RECURSIVE {_FLOW} SELECT i, j, round(w, 8) + 0.0 AS eff_flow FROM flow WHERE w > 1e-7")
+@query(f"WITH RECURSIVE {_FLOW} SELECT a.i, a.j, round(a.f - b.f, 8) + 0.0 AS net_flow FROM f a JOIN f b ON b.i = a.j AND b.j = a.i WHERE a.i < a.j")
 def effective_flows(spark, sf):
-    return flows(spark, sf).where("eff_flow > 1e-7").select("i", "j", F.round("eff_flow", 8).alias("eff_flow"))
+    """Net reactive flow along every edge, from the smaller to the larger state (negative against it)."""
+    signed = flows(spark, sf).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (F.when(F.col("i") < F.col("j"), 1.0).otherwise(-1.0) * F.col("eff_flow")).alias("w"))
+    pairs = LINE_SPACE.edges(spark).where("i < j").join(signed, ["i", "j"], "left")
+    return pairs.select("i", "j", (F.round(F.coalesce("w", F.lit(0.0)), 8) + F.lit(0.0)).alias("net_flow"))
 
 
 @query(f"WITH RECURSIVE {_FLOW} SELECT round(sum(w), 8) AS rate FROM flow WHERE i = {_S}")
@@ -226,6 +278,17 @@ def flow_bottleneck(spark, sf):
     return P.bottleneck(edges, state_set(spark, _START), state_set(spark, _END)).select(r6("min_flow").alias("min_flow"))
 
 
+@query(f"""WITH RECURSIVE {_WIDEST}, caps AS (SELECT t.i AS idx, caps[t.i + 1] AS cap FROM c, range(42) t(i) WHERE k = 42), m AS (SELECT cap AS w FROM caps WHERE idx = {_E}),
+  e AS (SELECT e.i, e.j, a.y*b.y AS w FROM edges e JOIN line_landscape a ON a.idx = e.i JOIN line_landscape b ON b.idx = e.j)
+  SELECT round(w, 6) AS min_flow, EXISTS (SELECT 1 FROM e WHERE e.w = m.w) AS is_edge FROM m""")
+def flow_bottleneck_edge(spark, sf):
+    """The edge that limits the dominant pathway carries the bottleneck flow."""
+    nodes = cut(line_landscape(spark, sf).select("idx", "y"))
+    edges = cut(W.with_ends(LINE_SPACE.edges(spark), nodes, ["y"]).select("i", "j", (F.col("y_i") * F.col("y_j")).alias("w")))
+    found = P.bottleneck_edge(edges, state_set(spark, _START), state_set(spark, _END))
+    return found.join(edges, ["i", "j"]).select(r6("min_flow").alias("min_flow"), (F.col("w") == F.col("min_flow")).alias("is_edge"))
+
+
 @query()
 def dominant_pathways(spark, sf):
     """Top pathways with their share of the total flow (checked on small graphs in the tests)."""

@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
-from math import prod
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -25,9 +23,6 @@ INF = float("inf")
 # fixed values: range in which the field is free, and its quadratic bound outside
 PHI_LOW, PHI_HIGH = 0.0, 100.0
 
-MAX_WARM_FEATURES = 500
-MAX_MARGINAL_CELLS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Prior:
@@ -38,13 +33,18 @@ class Prior:
     low: tuple[float, ...] | None = None
 
     def lambdas(self, space: Space) -> np.ndarray:
-        lam = self.a / K.n_faces(space, self.p) * K.delta_lambdas(space, self.p)
+        """Penalty of each order; at a = infinity only that of the orders below P, the others are shut."""
+        lam = (0.0 if self.a == INF else self.a) / K.n_faces(space, self.p) * K.delta_lambdas(space, self.p)
         if self.low is not None:
             if len(self.low) != self.p:
                 raise ValueError("one inverse variance per order below P is needed")
             lam[:self.p] = self.low
         return lam
 
+    def open_orders(self, space: Space) -> np.ndarray:
+        """1 for the orders the field may have."""
+        return (np.arange(space.length + 1) < (self.p if self.a == INF else space.length + 1)).astype(float)
+
 
 def density_states(space: Space, counts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """``(idx, c, off)``: counts on all states and the baseline field (zero without one)."""
@@ -68,38 +68,45 @@ def data_terms(phi: str, c: str, n: float) -> tuple[str, str, str]:
 
 def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, float, Prior]], start: Sequence[str] | None = None,
                rtol: float = 1e-7, max_steps: int = 60) -> DataFrame:
-    """MAP fields for problems ``(count column, total, prior)`` with finite a > 0: adds ``phi_<c>``.
+    """MAP fields for problems ``(count column, total, prior)`` with a > 0: adds ``phi_<c>``.
 
-    Newton steps whose linear systems are solved for all problems at once by conjugate gradients;
-    the step lengths of a backtracking search come from one aggregate.
+    Newton steps whose linear systems are solved for all problems at once by conjugate gradients; the step
+    lengths of a backtracking search come from one aggregate. At a = infinity gradients and curvature products are
+    projected on the orders below P, which is the maximum-entropy limit. Only scalars reach the driver.
     """
     names = [c for c, _, _ in problems]
     lam = {c: prior.lambdas(space) for c, _, prior in problems}
+    orders = {c: prior.open_orders(space) for c, _, prior in problems}
     totals = {c: n for c, n, _ in problems}
+    shut = {c: not orders[c].all() for c in names}
     diag = {c: K.kernel_diagonal(space, lam[c]) for c in names}
     phi = {c: f"phi_{c}" for c in names}
     base = [c for c in states.columns if c not in phi.values()]
     first = start or [None] * len(names)
-    df = states.withColumns({phi[c]: F.col(s) if s else F.lit(float(np.log(space.n))) - F.col("off") for c, s in zip(names, first)})
+    df = states.withColumns({phi[c]: F.col(s) if s else F.lit(float(np.log(space.n))) for c, s in zip(names, first)})
     lengths = [1.0, 0.5, 0.25, 0.125, 0.03125, 0.0078125, 0.0009765625]
     chain, norm0 = Chain(), None
     for _ in range(max_steps):
-        df = K.apply_kernels(df, space, {f"cphi_{c}": (phi[c], lam[c]) for c in names})
         terms = {c: data_terms(f"{phi[c]} + off", c, totals[c]) for c in names}
-        df = df.selectExpr("*", *[f"-(cphi_{c} + {terms[c][1]}) AS g_{c}" for c in names], *[f"{terms[c][2]} AS h_{c}" for c in names])
+        df = df.selectExpr("*", *[f"{terms[c][1]} AS dg_{c}" for c in names], *[f"{terms[c][2]} AS h_{c}" for c in names])
+        df = K.apply_kernels(df, space, {**{f"cphi_{c}": (phi[c], lam[c]) for c in names}, **{f"pg_{c}": (f"dg_{c}", orders[c]) for c in names if shut[c]}})
+        df = df.selectExpr("*", *[f"-(cphi_{c} + {'pg' if shut[c] else 'dg'}_{c}) AS g_{c}" for c in names])
         df, m = chain.store(df, {f"n_{c}": dot(f"g_{c}", f"g_{c}") for c in names})
         norms = [float(np.sqrt(m[f"n_{c}"])) for c in names]
         norm0 = norm0 or [max(x, 1e-300) for x in norms]
         if all(x <= rtol * max(y, totals[c] * 1e-3) for x, y, c in zip(norms, norm0, names)):
-            break
+            return df.select(*base, *phi.values())
         forcing = min(0.1, max(max(x / y for x, y in zip(norms, norm0)), 1e-3))
 
         def apply(v: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
             held = [f"`{c}`" for c in v.columns]
-            v = K.apply_kernels(v, space, {o: (k, lam[c]) for c, k, o in zip(names, cols, outs)})
-            return v.selectExpr(*held, *[f"`{o}` + h_{c} * `{k}` AS `{o}`" for c, k, o in zip(names, cols, outs)])
+            v = v.selectExpr(*held, *[f"h_{c} * `{k}` AS `_h{o}`" for c, k, o in zip(names, cols, outs)])
+            maps = {o: (k, lam[c]) for c, k, o in zip(names, cols, outs)}
+            maps |= {f"_p{o}": (f"_h{o}", orders[c]) for c, o in zip(names, outs) if shut[c]}
+            v = K.apply_kernels(v, space, maps)
+            return v.selectExpr(*held, *[f"`{o}` + `{'_p' if shut[c] else '_h'}{o}` AS `{o}`" for c, o in zip(names, outs)])
 
-        precondition = [f"h_{c} + {num(diag[c])}" for c in names]
+        precondition = ["1D" if shut[c] else f"h_{c} + {num(diag[c])}" for c in names]
         solved = conjugate_gradient(df, apply, [f"g_{c}" for c in names], precondition, forcing)
         d = {c: f"x_g_{c}" for c in names}
         # the quadratic part along the step needs only scalars: C d = g - h d up to the CG residual
@@ -119,85 +126,7 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
         if not any(step.values()):
             break
         df = solved.selectExpr(*base, *[f"{phi[c]} + {num(step[c])} * {d[c]} AS {phi[c]}" for c in names])
-    return df.select(*base, *phi.values())
-
-
-# --- maximum-entropy limit (a = infinity) ----------------------------------------------------------
-
-def marginal_sums(df: DataFrame, space: Space, sets: Sequence[Sequence[int]], columns: Sequence[str]) -> dict[tuple[int, ...], dict[str, np.ndarray]]:
-    """Sums of columns over all allele combinations of each site set, from one aggregation."""
-    cells = sum(prod(space.radices[x] for x in s) for s in sets)
-    if cells > MAX_MARGINAL_CELLS:
-        raise ValueError(f"{cells} marginal sums are too many; use a finite a")
-    names = [f"_d{s}" for s in range(space.length)]
-    rows = df.select(*columns, *[space.digit("idx", s).cast("int").alias(n) for s, n in enumerate(names)])
-    grouped = rows.groupingSets([[names[s] for s in chosen] for chosen in sets], *names).agg(
-        *[F.sum(c).alias(c) for c in columns], F.grouping_id().alias("gid")
-    )
-    out = {tuple(s): {c: np.zeros([space.radices[x] for x in s]) for c in columns} for s in sets}
-    for r in grouped.collect():
-        s = tuple(x for x in range(space.length) if not (r.gid >> (space.length - 1 - x)) & 1)
-        at = tuple(r[names[x]] for x in s)
-        for c in columns:
-            out[s][c][at] = r[c]
-    return out
-
-
-def _set_features(space: Space, own: Sequence[int], grid: Sequence[int]) -> np.ndarray:
-    """Basis features of one site set on the allele grid of a larger set."""
-    h = K.helmert(space.alpha)
-    f = np.ones((1, 1))
-    for s in grid:
-        f = np.kron(f, h if s in own else np.ones((space.alpha, 1)))
-    return f * float(space.alpha) ** (-(space.length - len(own)) / 2.0)
-
-
-def fit_maximum_entropy(states: DataFrame, space: Space, c: str, n: float, p: int, low: Sequence[float] | None = None,
-                        rtol: float = 1e-9, max_steps: int = 60) -> tuple[DataFrame, dict[str, float]]:
-    """Field with no interactions of order P or more: Newton on its basis coefficients.
-
-    Gradient and curvature are contractions of marginal sums over at most 2P - 2 sites, so a step is
-    one grouping-sets aggregation. Returns the states with ``phi_<c>`` and the coefficients.
-    """
-    sets = K.basis_sets(space, p)
-    names = [x for x, _ in K.basis_values(space, p)]
-    wide = [s for k in range(2 * p - 1) for s in combinations(range(space.length), k) if k <= space.length]
-    penalty = np.concatenate([np.full(_set_features(space, s, s).shape[1], 0.0 if low is None else 2.0 * low[len(s)]) for s in sets])
-    b = np.zeros(len(names))
-    b[0] = np.log(space.n) * np.sqrt(space.n)
-    value, derivative = None, None
-
-    def evaluate(at: np.ndarray):
-        field = K.from_basis(space, p, dict(zip(names, at)), states, "_phi")
-        loss, grad, hess = data_terms("_phi + off", c, n)
-        sums = marginal_sums(field.selectExpr("idx", f"{loss} AS f", f"{grad} AS g", f"{hess} AS h"), space, wide, ["f", "g", "h"])
-        g = np.concatenate([_set_features(space, s, s).T @ sums[s]["g"].reshape(-1) for s in sets]) + penalty * at
-        blocks = []
-        for s in sets:
-            line = []
-            for t in sets:
-                union = tuple(sorted(set(s) | set(t)))
-                line.append(_set_features(space, s, union).T @ (sums[union]["h"].reshape(-1, 1) * _set_features(space, t, union)))
-            blocks.append(line)
-        return float(sums[()]["f"]) + 0.5 * penalty @ (at * at), g, np.block(blocks) + np.diag(penalty)
-
-    value, g, h = evaluate(b)
-    start = np.linalg.norm(g)
-    for _ in range(max_steps):
-        if np.linalg.norm(g) <= rtol * max(start, n * 1e-3):
-            break
-        d = -np.linalg.solve(h, g)
-        t = 1.0
-        while t > 1e-8:
-            trial = evaluate(b + t * d)
-            if trial[0] <= value + 1e-4 * t * (g @ d) + 1e-12 * abs(value):
-                break
-            t *= 0.5
-        if t <= 1e-8:
-            break
-        b, (value, g, h) = b + t * d, trial
-    coefficients = dict(zip(names, b.tolist()))
-    return K.from_basis(space, p, coefficients, states, f"phi_{c}"), coefficients
+    raise RuntimeError(f"the fields did not converge: gradients {norms}, tolerance {rtol}")
 
 
 def fit_field(states: DataFrame, space: Space, prior: Prior, c: str = "c", start: str | None = None, rtol: float = 1e-7) -> DataFrame:
@@ -206,13 +135,12 @@ def fit_field(states: DataFrame, space: Space, prior: Prior, c: str = "c", start
     if prior.a == 0:
         share = F.col(c) / F.lit(n)
         return states.withColumn(f"phi_{c}", F.when(share > 0, -F.log(share)).otherwise(F.lit(INF)))
-    if prior.a == INF:
-        return cut(fit_maximum_entropy(states, space, c, n, prior.p, prior.low)[0])
-    if start is None and sum(K.multiplicities(space)[:prior.p]) <= MAX_WARM_FEATURES:
-        # the field without high orders is cheap (one aggregation a step) and close to the solution
-        warm = fit_maximum_entropy(states, space, c, n, prior.p, prior.low, rtol=1e-4)[0].withColumnRenamed(f"phi_{c}", "_warm")
-        return fit_fields(cut(warm), space, [(c, n, prior)], ["_warm"], rtol).drop("_warm")
-    return fit_fields(states, space, [(c, n, prior)], [start] if start else None, rtol)
+    if start is None and prior.a != INF:
+        # the field without high orders is close to the solution
+        start = "_warm"
+        limit = Prior(prior.p, INF, prior.low)
+        states = cut(fit_fields(states, space, [(c, n, limit)], None, 1e-4).withColumnRenamed(f"phi_{c}", start))
+    return cut(fit_fields(states, space, [(c, n, prior)], [start] if start else None, rtol).drop("_warm"))
 
 
 # --- outputs ----------------------------------------------------------------------------------------
@@ -241,21 +169,42 @@ def field_distance(a: DataFrame, b: DataFrame, field: str = "phi_c") -> float:
     return float(geodesic(q(a), q(b)).first().geodesic)
 
 
-def scale_grid(states: DataFrame, space: Space, p: int, n: int = 20, resolution: float = 0.1, top: float = 1e12,
-               fac_max: float = 0.1, fac_min: float = 1e-6, low: tuple[float, ...] | None = None, rtol: float = 1e-6) -> list[float]:
-    """0, a geometric grid and infinity: the ends are where the fit is within ``resolution`` of its limit."""
-    limit = fit_field(states, space, Prior(p, INF, low))
-    data = fit_field(states, space, Prior(p, 0.0, low))
-    faces = K.n_faces(space, p)
-    start = limit.withColumnRenamed("phi_c", "warm")
-    near = lambda a, to: field_distance(fit_field(start, space, Prior(p, a, low), start="warm", rtol=rtol), to) <= resolution
-    high = faces * fac_max
-    while high < top and not near(high, limit):
-        high *= 10
-    bottom = faces * fac_min
-    while not near(bottom, data):
-        bottom /= 10
-    return [0.0, *np.geomspace(bottom, high, n).tolist(), INF]
+def scale_grid(states: DataFrame, space: Space, p: int, n: int = 20, tolerance: float = 0.1, decades: tuple[float, float] = (-8.0, 4.0),
+               low: tuple[float, ...] | None = None, rtol: float = 1e-6) -> list[float]:
+    """0, ``n`` scales evenly spaced on the log scale, and infinity.
+
+    The first scale is about the largest whose density lies within ``tolerance`` of the data, the last about the smallest
+    within ``tolerance`` of the limit (geodesic distances). Both distances are monotone in the scale, so a batch
+    of scales over ``decades`` (of the number of faces) brackets each end, and a second batch halves its way in. The
+    scales of a batch are columns of one fit.
+    """
+    total_ = float(states.agg(F.sum("c")).first()[0])
+    limit = cut(fit_fields(states, space, [("c", total_, Prior(p, INF, low))], None, rtol).withColumnRenamed("phi_c", "limit"))
+    per_face = K.n_faces(space, p)
+
+    def distances(logs: Sequence[float]) -> list[tuple[float, float]]:
+        """(to the data, to the limit) for scales 10^x times the number of faces."""
+        names = [f"c{i}" for i in range(len(logs))]
+        wide = limit.withColumns({c: F.col("c") for c in names})
+        fitted = cut(fit_fields(wide, space, [(c, total_, Prior(p, per_face * 10.0 ** x, low)) for c, x in zip(names, logs)], ["limit"] * len(names), rtol))
+        # sums of exp(-phi) first, then the overlaps of the normalised densities
+        field = lambda v: F.exp(-(F.col(v) + F.col("off")))
+        norm = fitted.agg(*[F.sum(field(v)).alias(v) for v in ["limit", *[f"phi_{c}" for c in names]]]).first()
+        q = {v: field(v) / F.lit(norm[v]) for v in norm.asDict()}
+        overlap = fitted.agg(*[F.sum(F.sqrt(q[f"phi_{c}"] * other)).alias(f"{c}_{k}") for c in names for k, other in (("data", F.col("c") / total_), ("limit", q["limit"]))]).first()
+        return [tuple(2.0 * float(np.arccos(min(1.0, overlap[f"{c}_{k}"]))) for k in ("data", "limit")) for c in names]
+
+    coarse = np.linspace(*decades, 5)
+    found = distances(coarse)
+    near_data = max([i for i, (x, _) in enumerate(found) if x <= tolerance], default=0)
+    near_limit = min([i for i, (_, x) in enumerate(found) if x <= tolerance], default=len(coarse) - 1)
+    inner = [*np.linspace(coarse[near_data], coarse[min(near_data + 1, len(coarse) - 1)], 5)[1:-1], *np.linspace(coarse[max(near_limit - 1, 0)], coarse[near_limit], 5)[1:-1]]
+    found = distances(inner)
+    bottom = max([x for x, (d, _) in zip(inner[:3], found[:3]) if d <= tolerance], default=coarse[near_data])
+    top = min([x for x, (_, d) in zip(inner[3:], found[3:]) if d <= tolerance], default=coarse[near_limit])
+    if top <= bottom:
+        bottom, top = coarse[0], coarse[-1]
+    return [0.0, *(per_face * 10.0 ** np.linspace(bottom, top, n)).tolist(), INF]
 
 
 def cross_validate_density(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0,
@@ -275,9 +224,10 @@ def cross_validate_density(obs: DataFrame, space: Space, p: int, a_values: Seque
     states = obs.sparkSession.range(space.n).withColumnRenamed("id", "idx").join(per_state, "idx", "left").na.fill(0.0, cols)
     states = cut(states.withColumn("off", F.lit(0.0)))
     totals = states.agg(*[F.sum(c).alias(c) for c in cols]).first()
-    for k in range(folds):
-        states = fit_maximum_entropy(states, space, f"train{k}", totals[f"train{k}"], p, low)[0].withColumnRenamed(f"phi_train{k}", f"warm{k}")
-    states = cut(states)
+    names = [f"train{k}" for k in range(folds)]
+    warm = [f"warm{k}" for k in range(folds)]
+    states = fit_fields(states, space, [(c, totals[c], Prior(p, INF, low)) for c in names], None, rtol)
+    states = cut(states.withColumnsRenamed({f"phi_{c}": w for c, w in zip(names, warm)}))
     rows = []
     for a in sorted(set(a_values), reverse=True):
         if a == INF:
@@ -286,7 +236,7 @@ def cross_validate_density(obs: DataFrame, space: Space, p: int, a_values: Seque
             share = lambda k: F.col(f"train{k}") / F.lit(totals[f"train{k}"])
             fitted = states.withColumns({f"phi_train{k}": F.when(share(k) > 0, -F.log(share(k))).otherwise(F.lit(INF)) for k in range(folds)})
         else:
-            fitted = fit_fields(states, space, [(f"train{k}", totals[f"train{k}"], Prior(p, a, low)) for k in range(folds)], [f"warm{k}" for k in range(folds)], rtol)
+            fitted = fit_fields(states, space, [(c, totals[c], Prior(p, a, low)) for c in names], warm, rtol)
         for k in range(folds):
             q = softmax(fitted.select(F.col(f"test{k}").alias("y"), (-F.col(f"phi_train{k}")).alias("_l")), "_l", "q")
             rows.append((float(a), k, float(log_likelihood(q).first().logL)))

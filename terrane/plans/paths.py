@@ -174,6 +174,8 @@ def best_paths(edges: DataFrame, start: DataFrame, weight: str = "w", max_sweeps
         state, measured = chain.store(merged, {"fresh": F.count_if(F.col("fresh"))})
         if not measured["fresh"]:
             break
+    else:
+        raise RuntimeError(f"paths still grow after {max_sweeps} sweeps")
     return state.select("idx", F.col("best.weights").alias("weights"), F.transform("best.neg", lambda x: -x).alias("nodes"))
 
 
@@ -198,10 +200,19 @@ def pathways(flows: DataFrame, start: DataFrame, end: DataFrame, n: int = 20) ->
         rows += [(path, step, i, j, row.eff_flow, row.eff_flow / rate) for step, (i, j) in enumerate(links)]
         used = spark.createDataFrame(links, "i bigint, j bigint").withColumn("used", F.lit(row.eff_flow))
         smaller = left.join(used, ["i", "j"], "left").select("i", "j", (F.col("w") - F.coalesce("used", F.lit(0.0))).alias("w"))
-        left = cut(smaller.where(F.col("w") > 1e-12 * rate))
+        left = cut(smaller.where("w > 0"))  # the weakest edge of the path is exactly used up
     return spark.createDataFrame(rows, "path int, step int, i bigint, j bigint, eff_flow double, eff_flow_p double")
 
 
+def bottleneck_edge(edges: DataFrame, start: DataFrame, end: DataFrame, weight: str = "w") -> DataFrame:
+    """At most one row ``(i, j, min_flow)``: the weakest edge of the dominant pathway between two sets."""
+    best = pathway(edges, start, end, weight)
+    step = F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), lambda k: F.struct(F.element_at("nodes", k).alias("i"), F.element_at("nodes", k + 1).alias("j")))
+    links = best.where("size(nodes) > 1").select(F.explode(step).alias("e"), F.col("eff_flow").alias("min_flow")).select("e.i", "e.j", "min_flow")
+    on_path = links.join(edges.select("i", "j", F.col(weight).alias("_w")), ["i", "j"]).where("_w = min_flow")
+    return on_path.groupBy("min_flow").agg(F.min(F.struct("i", "j")).alias("e")).select("e.i", "e.j", "min_flow")
+
+
 def max_min_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, y: str = "y") -> DataFrame:
     """One row ``(weights, nodes)``: path whose lowest node value is largest, then the next lowest."""
     spark = nodes.sparkSession

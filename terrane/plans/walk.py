@@ -63,7 +63,9 @@ def calibrate_ns(nodes: DataFrame, mean_function: float | None = None, perc: flo
         ns = ns + (mean_function - m) / slope if slope > 0 else 2 * ns + 1
         if not low < ns < high:
             ns = (low + high) / 2 if high < float("inf") else 2 * low + 1
-    return ns
+        if high < float("inf") and high - low <= 1e-14 * high:  # the bracket cannot shrink further
+            return ns
+    raise RuntimeError("no convergence in 200 steps")
 
 
 # --- rates ----------------------------------------------------------------------------------

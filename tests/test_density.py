@@ -60,6 +60,29 @@ def test_maximum_entropy_keeps_the_site_marginals(spark, sample):
     assert D.field_distance(fitted, free) > 0.05
 
 
+def test_pairwise_maximum_entropy(spark, sample):
+    """P = 3: pair marginals are kept; with a penalty on low orders the gradient on them is zero."""
+    space, counts, obs = sample
+    states = D.cut(D.density_states(space, obs))
+    fitted = D.fit_field(states, space, D.Prior(3, D.INF), rtol=1e-9)
+    q = np.array([r.Q_star for r in D.density_table(fitted, space).orderBy("idx").collect()]).reshape(3, 3, 3)
+    f = counts.reshape(3, 3, 3) / counts.sum()
+    for axis in range(3):
+        np.testing.assert_allclose(q.sum(axis), f.sum(axis), atol=1e-6)
+    low = (0.0, 4.0)
+    phi = np.array([r.phi_c for r in D.fit_field(states, space, D.Prior(2, D.INF, low), rtol=1e-9).orderBy("idx").collect()])
+    project = dense_kernel(space, [1, 1, 0, 0])
+    g = project @ (counts - counts.sum() * np.exp(-phi)) + dense_kernel(space, [0, 4, 0, 0]) @ phi
+    np.testing.assert_allclose(g, 0, atol=1e-4)
+    np.testing.assert_allclose(project @ phi, phi, atol=1e-8)
+
+
+def test_no_convergence_is_reported(spark, sample):
+    space, counts, obs = sample
+    with pytest.raises(RuntimeError, match="converge"):
+        D.fit_fields(D.cut(D.density_states(space, obs)), space, [("c", float(counts.sum()), D.Prior(2, 30.0))], max_steps=1)
+
+
 def test_baseline_is_an_offset(spark, sample):
     space, counts, obs = sample
     rng = np.random.default_rng(0)

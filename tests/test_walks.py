@@ -186,3 +186,28 @@ def test_dna_models(spark):
     assert q[0, 2].rate == pytest.approx(2.0 * 0.1 * 0.3)
     with pytest.raises(ValueError):
         W.dna_model("JC", 1)
+
+
+def test_space_walk_equals_the_edge_walk(spark):
+    from terrane.plans import space_walk as X
+    space = Space(("AB", "ABC", "AB"))
+    rng = np.random.default_rng(1)
+    rows = [(i, float(y), float(v)) for i, (y, v) in enumerate(zip(np.round(rng.normal(size=12), 1), rng.normal(size=12)))]
+    nodes = spark.createDataFrame(rows, "idx bigint, y double, v double")
+    q = np.zeros((12, 12))
+    for r in W.with_diagonal(W.transition_rates(nodes, space.edges(spark), 1.5, 12)).collect():
+        q[r.i, r.j] = r.rate
+    got = [r.u for r in X.generator_applied(nodes, space, 1.5).orderBy("idx").collect()]
+    np.testing.assert_allclose(got, q @ np.array([r[2] for r in rows]), atol=1e-9)
+    state = lambda i: spark.createDataFrame([(i,)], "idx bigint")
+    hit = [r.q for r in X.hitting_probability_on_space(nodes, space, 1.5, state(11), state(0)).orderBy("idx").collect()]
+    a, b = q.copy(), np.zeros(12)
+    a[0], a[11], b[11] = np.eye(12)[0], np.eye(12)[11], 1.0
+    np.testing.assert_allclose(hit, np.linalg.solve(a, b), atol=1e-7)
+
+
+def test_bottleneck_edge(spark):
+    edges = spark.createDataFrame([(0, 1, 5.0), (1, 3, 2.0), (0, 2, 1.0), (2, 3, 9.0)], "i bigint, j bigint, w double")
+    state = lambda i: spark.createDataFrame([(i,)], "idx bigint")
+    assert [tuple(r) for r in P.bottleneck_edge(edges, state(0), state(3)).collect()] == [(1, 3, 2.0)]
+    assert P.bottleneck_edge(edges, state(3), state(0)).count() == 0
