@@ -6,18 +6,20 @@ occurs once holds no repeated window and stays where it is. The others travel, e
 its words, to the bucket of their minimiser, where their windows are sorted and equal neighbours are repeats.
 
 Equal texts travel as one: their windows all repeat. A minimiser that occurs too often for one bucket is dealt out by
-window: each of its windows travels as a digest, is counted with partial sums and joined back.
+window: each of its windows travels as a digest with a salt, as many salts as the minimiser fills buckets. A window met twice
+under one salt is a repeat; only those met once are compared over all salts, by partial counts and a join.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from xxhash import xxh3_64_intdigest
 
 from terrane.llm.common import runs, table, text_key
@@ -25,7 +27,7 @@ from terrane.session import Stored
 
 WINDOW = 35
 MINIMISER = 8
-#: Super-k-mers of one minimiser that a bucket takes; those of a more frequent one are dealt out by window.
+#: Super-k-mers of one minimiser that a bucket or a salt takes; those of a more frequent one are dealt out by window.
 BUCKET = 4096
 _BLOCK = 1 << 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -78,8 +80,8 @@ def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packed super-k-mers that travel; those of frequent minimisers as one digest per window."""
     before = None
-    names = ["value", "key", "first", "packed", "digest"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["value", "key", "first", "packed", "digest", "salt"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
     for b in batches:
         rows: list[list] = [[] for _ in names]
         size = 0
@@ -90,10 +92,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _words(text)
             for m in live:
                 s, e = m["first"], m["first"] + m["length"]
-                if m["often"]:
-                    new = [(m["value"], key, i, None, hashlib.blake2b(b" ".join(words[i:i + WINDOW]), digest_size=16).digest()) for i in range(s, e)]
+                if m["salts"] > 1:
+                    salt = zlib.crc32(key) % m["salts"]
+                    new = [(m["value"], key, i, None, hashlib.blake2b(b" ".join(words[i:i + WINDOW]), digest_size=16).digest(), salt) for i in range(s, e)]
                 else:
-                    new = [(m["value"], key, s, b" ".join(words[s:e + WINDOW - 1]), None)]
+                    new = [(m["value"], key, s, b" ".join(words[s:e + WINDOW - 1]), None, None)]
                 for r in new:
                     for column, x in zip(rows, r):
                         column.append(x)
@@ -160,19 +163,23 @@ def without_repeated_windows(docs: DataFrame) -> DataFrame:
                                      F.any_value(F.arrays_zip("first", "length", "value")).alias("m"))
     texts = Stored(texts).table
     every = texts.select("key", F.explode("m").alias("m")).select("key", "m.*")
-    often = every.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # tables that a hot key joins with are written first: then only plain exchanges meet, and a hot partition can be split
+    often = Stored(every.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).table
     live = every.join(often, "value").groupBy("key").agg(
-        F.collect_list(F.struct("first", "length", "value", (F.col("n") > BUCKET).alias("often"))).alias("live"))
-    sent = plain.join(live, "key").select("key", "text", "live").mapInArrow(_packed, "value long, key binary, first int, packed binary, digest binary")
+        F.collect_list(F.struct("first", "length", "value", F.ceil(F.col("n") / BUCKET).cast("int").alias("salts"))).alias("live"))
+    sent = plain.join(Stored(live).table, "key").select("key", "text", "live").mapInArrow(
+        _packed, "value long, key binary, first int, packed binary, digest binary, salt int")
     sent = Stored(sent).table
 
     bucket = sent.where("digest is null").select("value", "key", "first", "packed").repartition(F.col("value")).sortWithinPartitions("value")
     spans = bucket.mapInArrow(_repeated, "key binary, low long, high long")
-    dealt = sent.where("digest is not null").select("digest", "key", F.col("first").cast("long").alias("low"))
+    dealt = sent.where("digest is not null").select("digest", "salt", "key", F.col("first").cast("long").alias("low"))
+    dealt = dealt.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("digest", "salt")))
     twice = dealt.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spans = spans.unionByName(dealt.join(twice, "digest", "left_semi").select("key", "low", (F.col("low") + WINDOW).alias("high")))
+    once = dealt.where("met = 1").join(twice, "digest", "left_semi")
+    spans = spans.unionByName(dealt.where("met > 1").unionByName(once).select("key", "low", (F.col("low") + WINDOW).alias("high")))
     spans = spans.unionByName(texts.where("copies > 1").select("key", F.lit(0).cast("long").alias("low"), F.col("n_words").alias("high")))
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = Stored(spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))).table
     return plain.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
