@@ -25,8 +25,10 @@ from terrane.llm.common import runs, table
 from terrane.llm.tokens import rank_encoder
 from terrane.session import Stored, checkpoint_folder
 
-LENGTH = 1024
-PER_SHARD = 8192      # sequences in a shard file: 16 MB
+LENGTH = 2048
+PER_SHARD = 4096      # sequences in a shard file: 16 MB
+CHUNK = 1 << 19       # tokens that are packed together between the two passes
+LEVEL = 6             # of their compression
 ROUNDS = 6
 END_ID = 50256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -55,47 +57,57 @@ def slots(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _tokens(vocabulary: str, pattern: str, end_id: int):
+def _tokens(vocabulary: str, pattern: str, end_id: int, kind: pa.DataType):
+    """Chunks of whole documents: how many tokens of the task come before, ids and counts per document, all ids packed."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = rank_encoder(vocabulary, pattern).encode_ordinary
-        pack = zstandard.ZstdCompressor(level=1).compress
-        part, before = TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
+        part, before, size = TaskContext.get().partitionId(), 0, 0
+        docs, held = [], []
+
+        def chunk():
+            counts = [len(t) for t in held]
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int64()), pa.array([before], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([docs], pa.list_(kind)),
+                pa.array([counts], pa.list_(pa.int64())), pa.array([pack(np.concatenate(held).tobytes())], pa.binary())],
+                names=["part", "before", "n", "doc_ids", "counts", "ids"])
+
         for b in rows:
-            starts, counts, ids = [], [], []
-            for text in b.column("text").to_pylist():
-                t = np.array([*encode(text or ""), end_id], "<u2")
-                starts.append(before)
-                counts.append(len(t))
-                ids.append(pack(t.tobytes()))
-                before += len(t)
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([part] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "part", "before", "n", "ids"])
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                docs.append(doc)
+                held.append(np.array([*encode(text or ""), end_id], "<u2"))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield chunk()
+                    before, size = before + size, 0
+                    docs, held = [], []
+        if held:
+            yield chunk()
     return batches
 
 
-def _pieces(length: int, n: int, key: int, per_shard: int):
+def _pieces(length: int, n: int, key: int, per_shard: int, kind: pa.DataType):
     """Cuts documents at the ends of sequences; a piece knows its slot and its place there."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
         names = ["shard", "slot", "sequence_id", "at", "doc_id", "ids"]
         for b in rows:
-            doc, seq, at, ids = [], [], [], []
-            for i, (start, packed) in enumerate(zip(b.column("start").to_pylist(), b.column("ids").to_pylist())):
-                t = unpack(packed)
-                end = start + len(t) // 2
-                s = start
-                while s < end:
-                    e = min(end, (s // length + 1) * length)
-                    doc.append(i)
-                    seq.append(s // length)
-                    at.append(s % length)
-                    ids.append(pack(t[2 * (s - start):2 * (e - start)]))
-                    s = e
-            slot = slots(np.array(seq, np.int64), n, key)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(slot // per_shard), pa.array(slot), pa.array(seq, pa.int64()), pa.array(at, pa.int64()),
-                b.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(ids, pa.binary())], names=names)
+            for start, docs, counts, packed in zip(*(b.column(c).to_pylist() for c in ("start", "doc_ids", "counts", "ids"))):
+                t, zero = unpack(packed), start
+                doc, seq, at, ids = [], [], [], []
+                for d, count in zip(docs, counts):
+                    s, end = start, start + count
+                    while s < end:
+                        e = min(end, (s // length + 1) * length)
+                        doc.append(d)
+                        seq.append(s // length)
+                        at.append(s % length)
+                        ids.append(pack(t[2 * (s - zero):2 * (e - zero)]))
+                        s = e
+                    start = end
+                slot = slots(np.array(seq, np.int64), n, key)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(slot // per_shard), pa.array(slot), pa.array(seq, pa.int64()), pa.array(at, pa.int64()), pa.array(doc, kind), pa.array(ids, pa.binary())], names=names)
     return batches
 
 
@@ -159,7 +171,9 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str, pattern: str = pu
     files and their splits. Only doc_id and text are read.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text").mapInArrow(_tokens(vocabulary, pattern, end_id), f"doc_id {kind}, part long, before long, n long, ids binary")
+    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    rows = docs.select("doc_id", "text").mapInArrow(
+        _tokens(vocabulary, pattern, end_id, arrow), f"part long, before long, n long, doc_ids array<{kind}>, counts array<long>, ids binary")
     stored = Stored(rows, {"tokens": F.sum("n")})
     total = stored.measures["tokens"] or 0
     n = -(-total // length)
@@ -167,11 +181,11 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str, pattern: str = pu
     store.create_dir(path, recursive=True)
     parts = stored.table.groupBy("part").agg(F.sum("n").alias("held"))  # a row for each task
     parts = parts.select("part", F.coalesce(F.sum("held").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    placed = stored.table.join(parts, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "ids")
-    pieces = placed.mapInArrow(_pieces(length, n, key, per_shard), f"shard long, slot long, sequence_id long, at long, doc_id {kind}, ids binary")
+    # one row of two numbers for each task of the first stage
+    placed = stored.table.join(F.broadcast(parts), "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "counts", "ids")
+    pieces = placed.mapInArrow(_pieces(length, n, key, per_shard, arrow), f"shard long, slot long, sequence_id long, at long, doc_id {kind}, ids binary")
     shards = max(1, -(-n // per_shard))
     pieces = pieces.repartition(shards, "shard").sortWithinPartitions("slot", "at")
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     done = pieces.select("slot", "sequence_id", "doc_id", "ids").mapInArrow(
         _written(folder, length, per_shard, end_id, arrow),
         f"slot long, sequence_id long, shard long, place long, n_tokens long, ids_crc32 long, doc_ids array<{kind}>")
@@ -201,4 +215,4 @@ def read_sequences(folder: str, first: int, count: int, length: int = LENGTH, pe
 
 def op5_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/terrane-order-{uuid.uuid4().hex}"
-    return materialise(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return materialise(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
