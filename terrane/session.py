@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,6 +25,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES: list[list[Stored]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove the step tables written inside, once the block ends.
+
+    Results are lazy and read these tables, so write or collect them inside the block.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for step in _SCOPES.pop():
+            step.drop()
+
+
 class Stored:
     """A table written to the checkpoint folder, with the measures taken while writing it."""
 
@@ -38,6 +57,8 @@ class Stored:
         taken = observation.get if measures else {}
         self.measures = {n: taken.get(n) for n in measures or {}}
         self.table = spark.read.schema(schema).parquet(self.path)
+        for held in _SCOPES[-1:]:
+            held.append(self)
 
     def drop(self) -> None:
         """Remove a step that nothing refers to any more."""

@@ -106,3 +106,17 @@ def test_log_det_and_diagonal():
     space = Space.regular(3, "AB")
     assert K.kernel_log_det(space, [1, 2, 4, 8]) == pytest.approx(np.log(2) * (3 + 6 + 3))
     assert K.kernel_diagonal(space, [1, 1, 1, 1]) == pytest.approx(1.0)
+
+
+def test_a_scope_removes_its_steps(spark):
+    from pathlib import Path
+
+    from terrane.session import Stored, scope
+    local = lambda step: Path(step.path.removeprefix("file:"))
+    with scope():
+        outer = Stored(spark.range(3))
+        with scope():
+            inner = Stored(spark.range(4))
+            assert inner.table.count() == 4
+        assert local(outer).exists() and not local(inner).exists()
+    assert not local(outer).exists()

@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 from tests.oracle_check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-QUICK = [q for q, f in entry.queries().items() if f.__module__.rsplit(".", 1)[-1] not in ("walks", "inference")]
+# the iterative queries are compared at sf0.01 by tests/oracle_check.py; they are too slow to run twice
+QUICK = [q for q, f in entry.catalog.QUERIES.items() if q in entry.catalog.ORACLES and f.__module__.rsplit(".", 1)[-1] not in ("walks", "inference")]
 
 
 @pytest.fixture(scope="module")
