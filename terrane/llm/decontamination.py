@@ -60,6 +60,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW) ->
     start = F.col("pos") - F.col("offset")
     found = tokens.join(_sent(prefix, count), "word").where((start >= 0) & (start + F.size("seq") <= F.col("n")))
     found = found.groupBy("key").agg(F.collect_set(F.struct((start + 1).alias("start"), "seq", "items")).alias("found"))
+    found = Stored(found).table  # so that both sides of the join are plain exchanges, and copies of one text can be split
 
     both = fenced(plain.join(found, "key", "left").select("doc_id", "text", "found"), w=plain_words("text"))
     real = F.filter(F.coalesce("found", F.array().cast(dict(found.dtypes)["found"])), lambda c: F.slice("w", c["start"], F.size(c["seq"])) == c["seq"])
