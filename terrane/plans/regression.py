@@ -300,25 +300,26 @@ def posterior_means(obs: DataFrame, space: Space, many: Sequence[Sequence[float]
 def posterior_contrasts(obs: DataFrame, space: Space, prior: Prior, contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
     """``(name, estimate, std, ci_95_lower, ci_95_upper, p)`` per contrast.
 
-    With g = K w the variance is w'g - g'(K_BB + D)^-1 g and the estimate g'(K_BB + D)^-1 y: one solve for
-    the data, and one for each block of contrasts.
+    With g = K w the variance is w'g - g'(K_BB + D)^-1 g and the estimate g'(K_BB + D)^-1 y, so the data
+    and a block of contrasts are columns of one solve.
     """
     kernel = _kernel(space, prior)
     d = f"{num(kernel.diagonal)} + y_var"
-    base = cut(observed_states(space, obs))
-    solved = conjugate_gradient(base, _masked_kernel(space, kernel), ["y"], d, rtol)
-    base = cut(solved.select("idx", "y", "y_var", "known", "x_y"))  # the data are solved once for all blocks
-    found = []
+    base, found = observed_states(space, obs), []
     for names, weights in _weight_blocks(contrasts, space):
         cols = [f"w{i}" for i in range(len(names))]
         states = base.join(weights, "idx", "left").na.fill(0.0, cols)
         states = kernel.apply(cut(states), cols, [f"g{c}" for c in cols])
         states = states.withColumns({f"r{c}": F.when(F.col("known"), F.col(f"g{c}")).otherwise(0.0) for c in cols})
-        solved = conjugate_gradient(cut(states), _masked_kernel(space, kernel), [f"r{c}" for c in cols], d, rtol)
+        # the data are solved with the first block and kept for the others
+        rhs = [*([] if found else ["y"]), *[f"r{c}" for c in cols]]
+        solved = conjugate_gradient(cut(states), _masked_kernel(space, kernel), rhs, d, rtol)
         row = solved.agg(
             *[F.sum(F.col(f"r{c}") * F.col("x_y")).alias(f"m{c}") for c in cols],
             *[(F.sum(F.col(c) * F.col(f"g{c}")) - F.sum(F.col(f"r{c}") * F.col(f"x_r{c}"))).alias(f"v{c}") for c in cols],
         ).first()
+        if not found:
+            base = solved.select("idx", "y", "y_var", "known", "x_y")
         found += [(n, row[f"m{c}"], row[f"v{c}"]) for n, c in zip(names, cols)]
     return _contrast_table(obs.sparkSession, *zip(*found))
 
