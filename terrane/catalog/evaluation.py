@@ -17,12 +17,12 @@ def cross_validation_folds(spark, sf):
 
 
 @query(f"""WITH {CUSTOMER}, r AS (SELECT row_id, row_number() OVER (ORDER BY md5('3:' || row_id)) - 1 AS r, count(*) OVER () AS n FROM customer_dna),
-  f AS (SELECT row_id, CASE WHEN r // CAST(round(n/5.0) AS BIGINT) < 5 THEN r // CAST(round(n/5.0) AS BIGINT) END AS fold, r % CAST(round(n/5.0) AS BIGINT) < 50 AS scored FROM r),
-  e AS (SELECT s AS split, row_id, fold IS NOT DISTINCT FROM s AS test, scored FROM f, range(5) t(s))
-  SELECT split, CASE WHEN test THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM e WHERE NOT test OR scored GROUP BY 1, 2""")
+  f AS (SELECT row_id, CASE WHEN r // CAST(round(n/5.0) AS BIGINT) < 5 THEN r // CAST(round(n/5.0) AS BIGINT) END AS fold FROM r),
+  e AS (SELECT s AS split, row_id, fold IS NOT DISTINCT FROM s AS test FROM f, range(5) t(s))
+  SELECT split, CASE WHEN test THEN 'test' ELSE 'train' END AS role, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM e GROUP BY 1, 2""")
 def split_roles(spark, sf):
-    """Training and capped test rows of each fold."""
-    folded = X.assign_folds(customer_dna(spark, sf), 5, 3, "row_id", max_pred=50)
+    """Training and test rows of each fold."""
+    folded = X.assign_folds(customer_dna(spark, sf), 5, 3, "row_id")
     roles = X.fold_roles(folded, 5)
     return roles.groupBy(F.col("split").cast("bigint").alias("split"), "role").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
@@ -41,11 +41,11 @@ def training_proportion_splits(spark, sf):
 
 @query(f"""WITH {CUSTOMER}, d(id, p, rep) AS (VALUES {_DESIGN_SQL}), r AS (SELECT c.row_id, rep, row_number() OVER (PARTITION BY rep ORDER BY md5('11-' || rep || ':' || c.row_id)) - 1 AS r, count(*) OVER (PARTITION BY rep) AS n
     FROM customer_dna c, (SELECT DISTINCT rep FROM d)),
-  x AS (SELECT d.id, d.rep, row_id, CASE WHEN r < 200 THEN 'test' WHEN {_U.replace('id ||', 'd.id ||')} < d.p * n/(n - 200.0) THEN 'train' END AS role FROM r JOIN d USING (rep))
+  x AS (SELECT d.id, d.rep, row_id, CASE WHEN r < floor(n*0.2 + 0.5) THEN 'test' WHEN {_U.replace('id ||', 'd.id ||')} < d.p * n/(n - floor(n*0.2 + 0.5)) THEN 'train' END AS role FROM r JOIN d USING (rep))
   SELECT CAST(id AS BIGINT) AS id, role, count(*) AS n, CAST(sum(row_id) AS BIGINT) AS ids FROM x WHERE role IS NOT NULL GROUP BY 1, 2""")
 def fixed_test_splits(spark, sf):
     """One test set per replicate, proportions rescaled to the remaining rows."""
-    out = X.training_splits(customer_dna(spark, sf), _DESIGN, 11, max_pred=200, fixed_test=True, key="row_id")
+    out = X.training_splits(customer_dna(spark, sf), _DESIGN, 11, fixed_test=True, key="row_id")
     return out.groupBy(F.col("id").cast("bigint").alias("id"), "role").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 

@@ -51,17 +51,20 @@ def design_frame(spark, design: Sequence[tuple[int, float, int]]) -> DataFrame:
 
 
 def training_splits(obs: DataFrame, design: Sequence[tuple[int, float, int]], seed: int = 0, max_pred: int | None = None,
-                    fixed_test: bool = False, key: str = "seq") -> DataFrame:
-    """Rows repeated per design id with ``role`` train or test, drawn by seeded hashes."""
+                    fixed_test: bool = False, key: str = "seq", test_share: float = 0.2) -> DataFrame:
+    """Rows repeated per design id with ``role`` train or test, drawn by seeded hashes.
+
+    A fixed test set has ``max_pred`` rows, or ``test_share`` of all rows where no number is given.
+    """
     if not fixed_test:
         each = obs.withColumn("d", F.explode(_literal_design(design)))
         each = each.withColumns({"id": F.col("d.id"), "p": F.col("d.p"), "rep": F.col("d.rep")}).drop("d")
         u = hash_uniform(F.concat_ws(":", F.col("id"), F.col(key)), seed)
         each = each.withColumn("role", F.when(u < F.col("p"), "train").otherwise("test"))
         return _capped(each, max_pred, seed, key)
-    if max_pred is None:
-        raise ValueError("a fixed test set needs max_pred")
     total = obs.count()
+    if max_pred is None:
+        max_pred = int(total * test_share + 0.5)
     training_n = total - min(total, max_pred)
     parts = []
     for rep in sorted({r for _, _, r in design}):
