@@ -74,10 +74,6 @@ def hash_bucket(n: int, *columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("long")
 
 
-def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
-
-
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """16 bytes for a (doc_id, text) pair, nulls included; rows equal in both share it."""
     doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrane.llm.common import table
 
@@ -90,7 +90,8 @@ class Model:
         return self.languages[best], float(share[best] / share.sum())
 
 
-def held_out() -> "F.Column":
+def held_out() -> Column:
+    """Rows that are kept for judging: crc32 of the id as text, mod 4, is 2 (a null id counts as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
 
 

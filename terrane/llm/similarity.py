@@ -5,9 +5,9 @@ Documents with the same shingle set form a class, and only one text of a class g
 once for each distinct lead, not once a band, and every pair with a common bucket meets in a unit of its
 lead. Inside a unit the MinHash values of all pairs are compared in steps; a pair goes when the posterior
 probability of reaching the threshold falls below the tolerance; the shingle sets of the rest are intersected.
-A lead with many members is split into chunks, and every pair of chunks is a unit of its own, so no unit holds more
-than two chunks; units return, for each
-class, how many rows its links lead to and one edge into its group, so a group's pairs are counted but never listed.
+A lead with many members is split into chunks, and every pair of chunks is a unit of its own, so no unit holds
+more than two chunks. Units return, for each class, how many rows its links lead to and one edge into its
+group, so a group's pairs are counted but never listed.
 """
 
 from __future__ import annotations
