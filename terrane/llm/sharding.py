@@ -109,7 +109,7 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     atoms = marked.table.where("atom is not null").groupBy("link", "atom").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     state = propagate(atoms, shards, capacity)
     # a shard that started above its capacity gives the atoms beyond it back
-    placed = running_total(state.table.drop("moved", "n"), hash_bucket(64, "link", "atom"), ["link", "atom"], F.col("bytes"), "before", by=["shard"])
+    placed = running_total(state.table.drop("moved", "n"), hash_bucket(buckets, "link", "atom"), ["link", "atom"], F.col("bytes"), "before", by=["shard"])
     placed = placed.select("link", "atom", F.when(F.col("before") + F.col("bytes") <= F.lit(float(capacity)), F.col("shard")).alias("shard"))
     all_rows = Stored(marked.table.join(placed, ["link", "atom"], "left").drop("link", "atom")).table
 
