@@ -29,11 +29,12 @@ def plain_words(text: Column | str) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``(seq, items)``: each distinct window with the ids of its items. Items without words give none."""
+    """``(seq, items)``: each distinct window with the ids of its items, null among them. Only items without words give none."""
     w = fenced(items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("t")), w=plain_words("t"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    each = w.where("size(w) > 0 and item is not null").select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(size)))).alias("seq"))
-    return each.groupBy("seq").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    each = w.where("size(w) > 0").select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.lit(size)))).alias("seq"))
+    held = F.sort_array(F.collect_set(F.struct("item")))  # a struct, as collect_set leaves nulls out
+    return each.groupBy("seq").agg(F.transform(held, lambda i: i["item"]).alias("items"))
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
@@ -81,7 +82,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits; equal rows give equal results; only doc_id and text of
-    ``docs`` are read. A window of an item occurs where its words follow each other in a document.
+    ``docs`` are read. A window of an item occurs where its words follow each other in a document. Items with a null
+    item_id are searched like all others; as in the SQL, null is one id in n_items and has no part in items_sha256.
     """
     df = contaminated_spans(docs, items, size)
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))

@@ -60,3 +60,28 @@ def test_empty_tables(spark):
     assert D.contamination(cases.no_documents(spark), items).count() == 0
     got = D.contamination(cases.documents(spark), items.where("item_id = -1")).collect()
     assert len(got) == len(cases.ROWS) and not any(r.contaminated for r in got)
+
+
+def test_items_without_an_id_are_searched(spark):
+    passage = cases.prose(12, 72)
+    items = spark.createDataFrame([(None, passage), (None, "zz one zz two"), (7, "zz one zz two")], "item_id long, text string")
+    rows = [(1, f"before {passage} after"), (2, "zz one zz two"), (3, "none of them"), (4, f"{passage} zz one zz two")]
+    docs = cases.documents(spark, rows)
+    got = {r.doc_id: tuple(r)[1:] for r in D.contamination(docs, items).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (14, 12, 1, sha(""), True), 2: (4, 4, 2, sha("7"), True), 3: (3, 0, 0, sha(""), False), 4: (16, 16, 2, sha("7"), True)}
+    assert [r.doc_id for r in D.without_contaminated(docs, items).collect()] == [3]
+
+
+def test_items_without_an_id_match_the_sql(spark):
+    import duckdb
+
+    passage = cases.prose(12, 72)
+    bench = [(None, passage), (None, "zz one zz two"), (7, "zz one zz two")]
+    rows = [(1, f"before {passage} after"), (2, "zz one zz two"), (3, "none of them"), (4, f"{passage} zz one zz two")]
+    db = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", rows), ("benchmark", "item_id", bench)):
+        db.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", data)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    assert sorted(map(tuple, D.contamination(cases.documents(spark, rows), items).collect())) == sorted(db.execute(D.OP9_SQL).fetchall())
