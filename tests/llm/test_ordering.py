@@ -34,3 +34,13 @@ def test_shards_hold_every_document_once(spark, tmp_path):
 
 def test_no_documents(spark, tmp_path):
     assert O.materialise(cases.no_documents(spark), f"file:{tmp_path}/none", VOCABULARY).count() == 0
+
+
+def test_registered_query_places_1024_tokens_of_its_vocabulary(spark, tmp_path):
+    text = cases.prose(1500, 73)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = O.op5_feistel_training_order(spark, str(tmp_path)).orderBy("sequence_id").collect()
+    ids = np.array([*rank_encoder(VOCABULARY, P.PATTERN).encode_ordinary(text), O.END_ID], "<u2")
+    want = [ids[s:s + 1024] for s in range(0, len(ids), 1024)]
+    assert len(want) > 2
+    assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
