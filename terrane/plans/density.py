@@ -22,6 +22,8 @@ from terrane.session import cut
 INF = float("inf")
 # fixed values: range in which the field is free, and its quadratic bound outside
 PHI_LOW, PHI_HIGH = 0.0, 100.0
+# decades by which the range of a scale grid is widened at most, and by how many with one fit
+WIDER, BATCH = 12, 4
 
 
 @dataclass(frozen=True)
@@ -175,8 +177,9 @@ def scale_grid(states: DataFrame, space: Space, p: int, n: int = 20, tolerance:
 
     The first scale is about the largest whose density lies within ``tolerance`` of the data, the last about the smallest
     within ``tolerance`` of the limit (geodesic distances). Both distances are monotone in the scale, so a batch
-    of scales over ``decades`` (of the number of faces) brackets each end, and a second batch halves its way in. The
-    scales of a batch are columns of one fit.
+    of scales over ``decades`` (of the number of faces) brackets each end, and a last batch halves its way in. The
+    scales of a batch are columns of one fit. Large samples need larger scales: an end that ``decades`` do not reach is
+    followed decade by decade, and raises a ValueError if it is not met within ``WIDER`` more.
     """
     total_ = float(states.agg(F.sum("c")).first()[0])
     limit = cut(fit_fields(states, space, [("c", total_, Prior(p, INF, low))], None, rtol).withColumnRenamed("phi_c", "limit"))
@@ -194,10 +197,19 @@ def scale_grid(states: DataFrame, space: Space, p: int, n: int = 20, tolerance:
         overlap = fitted.agg(*[F.sum(F.sqrt(q[f"phi_{c}"] * other)).alias(f"{c}_{k}") for c in names for k, other in (("data", F.col("c") / total_), ("limit", q["limit"]))]).first()
         return [tuple(2.0 * float(np.arccos(min(1.0, overlap[f"{c}_{k}"]))) for k in ("data", "limit")) for c in names]
 
-    coarse = np.linspace(*decades, 5)
+    coarse = np.linspace(*decades, 5).tolist()
     found = distances(coarse)
-    near_data = max([i for i, (x, _) in enumerate(found) if x <= tolerance], default=0)
-    near_limit = min([i for i, (_, x) in enumerate(found) if x <= tolerance], default=len(coarse) - 1)
+    for _ in range(0, WIDER, BATCH):
+        below = [] if any(x <= tolerance for x, _ in found) else [coarse[0] - k for k in range(BATCH, 0, -1)]
+        above = [] if any(x <= tolerance for _, x in found) else [coarse[-1] + k for k in range(1, BATCH + 1)]
+        if not below and not above:
+            break
+        more = distances([*below, *above])
+        coarse, found = [*below, *coarse, *above], [*more[:len(below)], *found, *more[len(below):]]
+    if min(x for x, _ in found) > tolerance or min(x for _, x in found) > tolerance:
+        raise ValueError(f"no scale within {tolerance} of the data and of the limit between 1e{coarse[0]:g} and 1e{coarse[-1]:g} a face: distances {found[0][0]:.3g}, {found[-1][1]:.3g}")
+    near_data = max(i for i, (x, _) in enumerate(found) if x <= tolerance)
+    near_limit = min(i for i, (_, x) in enumerate(found) if x <= tolerance)
     inner = [*np.linspace(coarse[near_data], coarse[min(near_data + 1, len(coarse) - 1)], 5)[1:-1], *np.linspace(coarse[max(near_limit - 1, 0)], coarse[near_limit], 5)[1:-1]]
     found = distances(inner)
     bottom = max([x for x, (d, _) in zip(inner[:3], found[:3]) if d <= tolerance], default=coarse[near_data])

@@ -135,3 +135,28 @@ def test_density_build_and_scale_grid(spark, tmp_path):
     counts = data.groupBy(F.col("X").alias("seq")).agg(F.count("*").alias("y"))
     grid = D.scale_grid(D.cut(D.density_states(space, counts)), space, 2, n=3)
     assert grid[0] == 0.0 and grid[-1] == D.INF and grid[1] < grid[2] < grid[3]
+
+
+def large_sample(spark, total):
+    space = Space.regular(3, "ABC")
+    rng = np.random.default_rng(6)
+    effects = sum(np.add.outer(np.zeros((3,) * k), rng.normal(size=(3,) * (3 - k))) for k in range(3))
+    q = np.exp(effects.reshape(-1) + rng.normal(size=27) / 4)
+    rows = [(s, float(round(total * x))) for s, x in zip(sequences(space), q / q.sum())]
+    return space, D.cut(D.density_states(space, spark.createDataFrame(rows, "seq string, y double")))
+
+
+def test_scale_grid_reaches_the_limit_of_large_samples(spark):
+    space, states = large_sample(spark, 1e8)
+    grid = D.scale_grid(states, space, 2, n=3, rtol=1e-6)
+    limit = D.fit_field(states, space, D.Prior(2, D.INF))
+    away = lambda a: D.field_distance(D.fit_field(states, space, D.Prior(2, a)), limit)
+    assert away(1e4 * K.n_faces(space, 2)) > 0.1  # the end of the first decades
+    assert away(grid[-2]) <= 0.1
+
+
+def test_scale_grid_reports_an_end_it_does_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(D, "WIDER", 0)
+    space, states = large_sample(spark, 1e8)
+    with pytest.raises(ValueError, match="no scale within"):
+        D.scale_grid(states, space, 2, n=3)
