@@ -1,7 +1,9 @@
 """Packing by cutting-stock column generation.
 
 A document's ids are cut into full sequences and a rest; the rests are packed. Only the histogram of rest
-lengths (at most 4096 / GRAIN classes, lengths rounded up) reaches the driver. There a linear program over
+lengths (of each length up to SHORT, above it of at most 4096 / GRAIN classes, lengths rounded up) reaches the driver.
+Short rests are first bundled by their exact lengths, largest first, and bundles are rests like the others; so
+rounding costs at most GRAIN - 1 tokens for each SHORT + 1, whatever the lengths. There a linear program over
 patterns (how many rests of each class share a sequence) is solved by column generation: the simplex basis gives
 prices, a knapsack over the sequence length finds the pattern that pays most, until none does or
 the bound is near. Pattern counts are rounded down, what is left is packed largest first, and documents, ranked
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from terrane.llm.common import buckets_for, hash_bucket, running_total, table
 from terrane.llm.tokens import encoder
@@ -25,6 +27,7 @@ from terrane.session import Stored
 
 LENGTH = 4096
 GRAIN = 8
+SHORT, BUNDLE = 128, 256  # rests up to SHORT tokens are bundled into BUNDLE
 END_ID = 2
 GAP = 0.0005  # the program stops this near to its lower bound
 
@@ -76,6 +79,23 @@ def best_pattern(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(worth[capacity]), found
 
 
+def largest_first(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """[(times, {size: rests in each})]: always the largest rests that still fit."""
+    left, made = dict(counts), []
+    while any(left.values()):
+        inside, room = Counter(), capacity
+        for s in sorted((s for s, n in left.items() if n), reverse=True):
+            a = min(left[s], room // s)
+            if a:
+                inside[s] += a
+                room -= a * s
+        times = min(left[s] // a for s, a in inside.items())
+        made.append((times, dict(inside)))
+        for s, a in inside.items():
+            left[s] -= times * a
+    return made
+
+
 def patterns(counts: dict[int, int], capacity: int, gap: float = GAP, max_steps: int = 20_000) -> list[tuple[int, dict[int, int]]]:
     """[(sequences, {size: rests in each})] that hold exactly ``counts`` rests of each size."""
     counts = {s: n for s, n in sorted(counts.items()) if n > 0}
@@ -116,34 +136,49 @@ def patterns(counts: dict[int, int], capacity: int, gap: float = GAP, max_steps:
             made[tuple(sorted(inside.items()))] += times
             for s, a in inside.items():
                 left[s] -= times * a
-    while any(left.values()):  # what rounding left: largest first, the best that still fits
-        inside, room = Counter(), capacity
-        for s in sorted((s for s, n in left.items() if n), reverse=True):
-            a = min(left[s], room // s)
-            if a:
-                inside[s] += a
-                room -= a * s
-        times = min(left[s] // a for s, a in inside.items())
-        made[tuple(sorted(inside.items()))] += times
-        for s, a in inside.items():
-            left[s] -= times * a
+    for n, inside in largest_first(left, capacity):  # what rounding left
+        made[tuple(sorted(inside.items()))] += n
     return [(n, dict(p)) for p, n in sorted(made.items())]
 
 
-def deal(found: list[tuple[int, dict[int, int]]]) -> tuple[pa.Table, int]:
-    """Which ranks of a class go to which sequences, as a table bounded by patterns x classes, and the sequence count."""
-    rows, first, taken = [], 0, Counter()
-    for n, inside in found:
+def plan(counts: dict[int, int], length: int, grain: int) -> tuple[pa.Table, int]:
+    """Which ranks of a class go to which sequences, as a table bounded by patterns x classes, and the sequence count.
+
+    ``counts`` has the rests of each class of ``rest_class``. A rest of rank r is member ``skip`` + (r - ``low``) / ``per``
+    of its pattern's rests of one size, ``each`` of which share a sequence.
+    """
+    short, room = min(SHORT, length // grain * grain // 2), length // grain * grain
+    # the members of each size, in units of grain: (how many, {class: rests in each})
+    members: dict[int, list[tuple[int, dict[int, int]]]] = {}
+    for cls, n in sorted(counts.items()):
+        if cls > short:
+            members.setdefault(cls // grain, []).append((n, {cls: 1}))
+    for n, inside in largest_first({s: n for s, n in counts.items() if s <= short}, min(BUNDLE, room)):
+        members.setdefault(-(-sum(s * a for s, a in inside.items()) // grain), []).append((n, inside))
+    rows, first, ranked = [], 0, Counter()
+    for n, pattern in patterns({u: sum(k for k, _ in m) for u, m in members.items()}, length // grain):
         slot = 0
-        for s, a in sorted(inside.items(), reverse=True):
-            rows.append((s, taken[s], taken[s] + n * a, first, a, slot))
-            taken[s] += n * a
-            slot += a
+        for u, each in sorted(pattern.items(), reverse=True):
+            skip = 0
+            while skip < n * each:
+                have, inside = members[u][0]
+                taken = min(have, n * each - skip)
+                for cls, per in inside.items():
+                    rows.append((cls, ranked[cls], ranked[cls] + taken * per, per, skip, first, each, slot))
+                    ranked[cls] += taken * per
+                members[u][:1] = [(have - taken, inside)] if have > taken else []
+                skip += taken
+            slot += each
         first += n
-    names = ["cls", "low", "high", "first", "each", "slot"]
+    names = ["cls", "low", "high", "per", "skip", "first", "each", "slot"]
     return pa.table({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)}), first
 
 
+def rest_class(size: Column, length: int, grain: int) -> Column:
+    """The length itself of a short rest, that of a longer one rounded up to the grain."""
+    return F.when(size <= min(SHORT, length // grain * grain // 2), size).otherwise(F.ceil(size / grain) * grain).cast("long")
+
+
 def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, grain: int = GRAIN, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -155,18 +190,18 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, grain: int = GR
     spread = lambda rows: hash_bucket(rows, "doc_id", "start", "ids_crc32")
     n = buckets_for(cut.measures["n"] or 0)
     order, one = ["doc_id", "start", "ids_crc32"], F.lit(1)
-    rests = cut.table.where(F.col("length") < length).withColumn("cls", F.ceil(F.col("length") / grain))
-    counts = {int(r.cls): int(r["count"]) for r in rests.groupBy("cls").count().collect()}  # at most length / grain rows
-    plan, used = deal(patterns(counts, length // grain))
-    plan = spark.createDataFrame(plan, "cls long, low long, high long, first long, each long, slot long")
+    rests = cut.table.where(F.col("length") < length).withColumn("cls", rest_class(F.col("length"), length, grain))
+    counts = {int(r.cls): int(r["count"]) for r in rests.groupBy("cls").count().collect()}  # at most SHORT + length / grain rows
+    dealt, used = plan(counts, length, grain)
+    dealt = spark.createDataFrame(dealt, "cls long, low long, high long, per long, skip long, first long, each long, slot long")
     ranked = running_total(rests, spread(n), order, one, "rank", by=["cls"]).alias("r")
-    p = F.broadcast(plan).alias("p")  # bounded by the number of classes and patterns
+    p = F.broadcast(dealt).alias("p")  # bounded by the number of classes and patterns
     placed = ranked.join(p, (F.col("r.cls") == F.col("p.cls")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    within = F.col("rank") - F.col("low")
+    within = F.col("skip") + F.floor((F.col("rank") - F.col("low")) / F.col("per"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    placed = placed.select(*columns, (F.col("first") + F.floor(within / F.col("each"))).alias("sequence_id"), (F.col("slot") + within % F.col("each")).alias("place"))
-    before = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place")
+    placed = placed.select(*columns, (F.col("first") + F.floor(within / F.col("each"))).alias("sequence_id"), (F.col("slot") + within % F.col("each")).alias("place"), "r.cls", "rank")
+    before = W.partitionBy("sequence_id").orderBy("place", "cls", "rank").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place", "cls", "rank")
     full = running_total(cut.table.where(F.col("length") == length), spread(n), order, one, "sequence_id")
     full = full.select(*columns, (F.col("sequence_id") + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(full)

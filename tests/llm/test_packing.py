@@ -79,3 +79,24 @@ def test_knapsack_finds_the_best_pattern():
     worth, inside = K.best_pattern(np.array([0.3, 0.5, 0.9]), np.array([2, 3, 5]), 10)
     assert abs(worth - 1.8) < 1e-9 and inside == Counter({2: 2})
     assert K.patterns({}, 512) == []
+
+
+def test_little_padding_of_short_documents(spark):
+    empty = packed(spark, cases.documents(spark, [(i, None if i % 2 else "") for i in range(1200)]), 512)
+    assert len(empty) == 1200 and empty.sequence_id.nunique() == 3
+    short = packed(spark, cases.documents(spark, [(i, " ".join("a" * (i % 20))) for i in range(1500)]), 512)
+    assert len(short) == 1500 and short.sequence_id.nunique() <= -(-short.length.sum() // 512) + 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_places_every_rest(seed):
+    r = random.Random(seed)
+    counts = {s if s <= K.SHORT else -(-s // 8) * 8: r.randrange(1, 300) for s in r.sample(range(1, 4096), 90) + r.sample(range(1, 129), 30)}
+    table, used = K.plan(counts, 4096, 8)
+    seen, filled = {c: [] for c in counts}, Counter()
+    for x in table.to_pylist():
+        for rank in range(x["low"], x["high"]):
+            seen[x["cls"]].append(rank)
+            filled[x["first"] + (x["skip"] + (rank - x["low"]) // x["per"]) // x["each"]] += x["cls"]
+    assert all(sorted(seen[c]) == list(range(n)) for c, n in counts.items())
+    assert sorted(filled) == list(range(used)) and max(filled.values()) <= 4096
