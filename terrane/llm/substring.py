@@ -149,6 +149,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def _sent(plain: DataFrame, live: DataFrame) -> DataFrame:
+    """The super-k-mers that travel. A merge join at any size: only rows sorted by key have copies as neighbours."""
+    return plain.join(live.hint("merge"), "key").select("key", "text", "live").mapInArrow(
+        _packed, "value long, key binary, first int, packed binary, digest binary, salt int")
+
+
 def without_repeated_windows(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, ``kept`` (the words left, joined by one space).
 
@@ -167,9 +173,7 @@ def without_repeated_windows(docs: DataFrame) -> DataFrame:
     often = Stored(every.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).table
     live = every.join(often, "value").groupBy("key").agg(
         F.collect_list(F.struct("first", "length", "value", F.ceil(F.col("n") / BUCKET).cast("int").alias("salts"))).alias("live"))
-    sent = plain.join(Stored(live).table, "key").select("key", "text", "live").mapInArrow(
-        _packed, "value long, key binary, first int, packed binary, digest binary, salt int")
-    sent = Stored(sent).table
+    sent = Stored(_sent(plain, Stored(live).table)).table
 
     bucket = sent.where("digest is null").select("value", "key", "first", "packed").repartition(F.col("value")).sortWithinPartitions("value")
     spans = bucket.mapInArrow(_repeated, "key binary, low long, high long")

@@ -52,3 +52,11 @@ def test_super_kmers_hold_every_window_once():
     for f, n, v in zip(first, length, value):
         for i in range(f, f + n):
             assert by.setdefault(tuple(words[i:i + 35]), v) == v
+
+
+def test_copies_travel_once_whatever_the_size(spark):
+    a, b = cases.prose(40, 60), cases.prose(40, 61)
+    docs = spark.createDataFrame([(a,), (b,)] * 30, "text string").coalesce(1)
+    plain = docs.select("text", S.text_key("text").alias("key"))
+    live = plain.select("key").distinct().selectExpr("key", "array(named_struct('first', 0, 'length', 6, 'value', 7L, 'salts', 1)) AS live")
+    assert S._sent(plain, S.Stored(live).table).count() == 2
