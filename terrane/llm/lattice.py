@@ -34,6 +34,7 @@ from terrane.session import Stored
 HEAD = 1 << 20       # words with at least this part of all tokens are sent to the tasks
 HELD = 300_000       # distinct words that a task counts before it hands them on
 BLOCK = 1 << 22      # bytes of a text that are split into words at a time
+LETTERS = 1 << 18    # bytes of words whose cuts are summed together
 GRAIN = 1 << 16      # expected counts are whole numbers of this part, so sums do not depend on the split
 END = b""            # stands for the end of a text; no word is empty
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -98,68 +99,125 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, np.log(weights / weights.sum()))
 
 
+@dataclass
+class _Arcs:
+    """Pieces found in a batch of words. Words lie one after another, each with a node before, between and after its letters."""
+
+    source: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
+    level: np.ndarray      # place of the target in its word, from 1
+    piece: np.ndarray      # of the vocabulary; or minus one minus the place in ``letters``, for the bytes of a letter
+    letters: list[str]
+    first: np.ndarray      # node before each word
+    last: np.ndarray       # and after it
+
+
 class Lattice:
-    """All cuts of a word, under log weights in the order of a vocabulary."""
+    """All cuts of words, under log weights in the order of a vocabulary."""
 
     def __init__(self, known: Vocabulary, weights: np.ndarray):
         import ahocorasick
 
-        self.known = known
-        self.weights = weights.tolist()
-        self.end = self.weights[known.end_at]
-        self.automaton = ahocorasick.Automaton()
+        self.known, self.weights = known, np.asarray(weights, np.float64)
+        self.lengths = np.array([len(p) for p in known.pieces], np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, piece in enumerate(known.pieces):
-            self.automaton.add_word(piece, (len(piece), self.weights[i], i))
+            self.automaton.add_word(piece, i)
         if known.pieces:
             self.automaton.make_automaton()
 
-    def _arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the arcs that end there: start, log weight, pieces."""
-        first = self.known.bytes_at
-        arcs = []
-        for k, c in enumerate(word):
-            ids = tuple(first + b for b in c.encode())
-            arcs.append([(k, sum([self.weights[i] for i in ids]), ids)])
-        if self.known.pieces:
-            for last, (n, weight, i) in self.automaton.iter(word):
-                arcs[last].append((last + 1 - n, weight, (i,)))
-        return arcs
+    def _bytes(self, letter: str) -> list[int]:
+        return [self.known.bytes_at + b for b in letter.encode()]
+
+    def _arcs(self, words: list[bytes]) -> _Arcs:
+        # no piece has a blank but in front, so none crosses from one word to the next
+        text = "".join([" " + w.decode() for w in words])
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        begins = points == 0x20
+        number = np.cumsum(begins) - 1
+        start = np.flatnonzero(begins)
+        at = np.arange(len(text))
+        node, place = at + number, at - start[number]     # left of each letter
+        letters, letter = np.unique(points, return_inverse=True)
+        letters = [chr(c) for c in letters]
+        spelled = np.array([self.weights[self._bytes(c)].sum() for c in letters])
+        found = np.array(list(self.automaton.iter(text)) if self.known.pieces else [], np.int64).reshape(-1, 2)
+        end, piece = found[:, 0], found[:, 1]
+        source = np.concatenate([node, node[end] + 1 - self.lengths[piece]])
+        target = np.concatenate([node, node[end]]) + 1
+        level = np.concatenate([place, place[end]]) + 1
+        weight = np.concatenate([spelled[letter], self.weights[piece]])
+        last = np.append(start[1:], len(text)) + np.arange(len(start))
+        return _Arcs(source, target, weight, level, np.concatenate([-1 - letter, piece]), letters, start + np.arange(len(start)), last)
+
+    @staticmethod
+    def _recursion(known: np.ndarray, level: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log sums at the targets, level by level; what a level reads is finished when it begins."""
+        order = np.lexsort((target, level))
+        level, source, target, weight = level[order], source[order], target[order], weight[order]
+        cuts = [0, *(np.flatnonzero(np.diff(level)) + 1).tolist(), len(level)]
+        for s, e in zip(cuts, cuts[1:]):
+            terms, to = known[source[s:e]] + weight[s:e], target[s:e]
+            heads = np.flatnonzero(np.diff(to, prepend=-1))
+            top = np.maximum.reduceat(terms, heads)
+            shares = np.exp(terms - np.repeat(top, np.diff(np.append(heads, len(to)))))
+            known[to[heads]] = top + np.log(np.add.reduceat(shares, heads))
+        return known
+
+    def _forward(self, arcs: _Arcs) -> np.ndarray:
+        a = np.full(int(arcs.last[-1]) + 1, -np.inf)
+        a[arcs.first] = 0.0
+        return self._recursion(a, arcs.level, arcs.source, arcs.target, arcs.weight)
+
+    def _backward(self, arcs: _Arcs) -> np.ndarray:
+        b = np.full(int(arcs.last[-1]) + 1, -np.inf)
+        b[arcs.last] = 0.0
+        return self._recursion(b, -(arcs.level - (arcs.target - arcs.source)), arcs.target, arcs.source, arcs.weight)
 
     @staticmethod
-    def _sum(terms: list[float]) -> float:
-        if len(terms) == 1:
-            return terms[0]
-        top = max(terms)
-        return top + math.log(sum([math.exp(t - top) for t in terms]))
-
-    def _forward(self, arcs) -> list[float]:
-        a = [0.0]
-        for into in arcs:
-            a.append(self._sum([a[s] + w for s, w, _ in into]))
-        return a
-
-    def log_probability(self, word: bytes) -> float:
-        """Natural log of the sum over all cuts."""
-        if word == END:
-            return self.end
-        return self._forward(self._arcs(" " + word.decode()))[-1]
-
-    def expected(self, word: bytes) -> dict[int, float]:
-        """How often each piece is used, over all cuts in their proportion."""
-        if word == END:
-            return {self.known.end_at: 1.0}
-        arcs = self._arcs(" " + word.decode())
-        a, n = self._forward(arcs), len(arcs)
-        out: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
-        used: dict[int, float] = {}
-        for e in range(n, 0, -1):
-            b = self._sum(out[e]) if out[e] else -math.inf
-            for s, w, ids in arcs[e - 1]:
-                out[s].append(w + b)
-                share = math.exp(a[s] + w + b - a[n])
-                for i in ids:
-                    used[i] = used.get(i, 0.0) + share
-        return used
+    def _blocks(words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Ranges of words with at most LETTERS bytes together, or a single longer one."""
+        first, size = 0, 0
+        for k, w in enumerate(words):
+            if k > first and size + len(w) > LETTERS:
+                yield first, k
+                first, size = k, 0
+            size += len(w) + 1
+        if len(words) > first:
+            yield first, len(words)
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of the sum over all cuts of each word; the end has its own weight."""
+        out = np.full(len(words), self.weights[self.known.end_at])
+        at = [k for k, w in enumerate(words) if w != END]
+        real = [words[k] for k in at]
+        for s, e in self._blocks(real):
+            arcs = self._arcs(real[s:e])
+            out[at[s:e]] = self._forward(arcs)[arcs.last]
+        return out
+
+    def expected(self, words: list[bytes], counts: list[int], grain: int = GRAIN) -> np.ndarray:
+        """How often each piece is used in all cuts of the words, in their proportion, times ``grain``, whole numbers."""
+        sums = np.zeros(len(self.weights), np.int64)
+        sums[self.known.end_at] = grain * sum([c for w, c in zip(words, counts) if w == END])
+        kept = [(w, c) for w, c in zip(words, counts) if w != END and c]
+        real = [w for w, _ in kept]
+        for s, e in self._blocks(real):
+            arcs = self._arcs(real[s:e])
+            a, b = self._forward(arcs), self._backward(arcs)
+            word = np.searchsorted(arcs.first, arcs.source, side="right") - 1
+            share = np.exp(a[arcs.source] + arcs.weight + b[arcs.target] - a[arcs.last][word])
+            # rounded word by word, so that sums are the same in any order
+            used = np.rint(share * np.array([c * grain for _, c in kept[s:e]], np.float64)[word]).astype(np.int64)
+            whole = arcs.piece >= 0
+            np.add.at(sums, arcs.piece[whole], used[whole])
+            spelled = np.zeros(len(arcs.letters), np.int64)
+            np.add.at(spelled, -1 - arcs.piece[~whole], used[~whole])
+            for letter, n in zip(arcs.letters, spelled.tolist()):
+                for i in self._bytes(letter):
+                    sums[i] += n
+        return sums
 
 
 def learned(known: Vocabulary, counts: dict[int, float]) -> np.ndarray:
@@ -202,10 +260,7 @@ def _expected(path: str, weights: np.ndarray):
         lattice = Lattice(vocabulary(path), weights)
         sums = np.zeros(len(weights), np.int64)
         for b in rows:
-            for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()):
-                if c:
-                    for i, share in lattice.expected(word).items():
-                        sums[i] += round(share * c * GRAIN)
+            sums += lattice.expected(b.column("word").to_pylist(), b.column("c").to_pylist())
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["piece", "n"])
     return batches
@@ -225,7 +280,7 @@ def _weighed(path: str, weights: np.ndarray):
             w, v = _digests(found)
             yield pa.RecordBatch.from_arrays([
                 pa.array(w), pa.array(v), b.column("c"), b.column("everywhere"),
-                pa.array([lattice.log_probability(x) / LN10 for x in found], pa.float64())], names=["w", "v", "c", "everywhere", "log_p"])
+                pa.array(lattice.log_probabilities(found) / LN10)], names=["w", "v", "c", "everywhere", "log_p"])
     return batches
 
 

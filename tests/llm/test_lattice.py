@@ -34,15 +34,26 @@ def test_all_cuts_are_summed(word):
     cuts = list(cuts_of(" " + word, SMALL))
     p = np.exp(SMALL.weights)
     each = [math.prod(p[i] for i in cut) for cut in cuts]
-    assert lattice.log_probability(word.encode()) == pytest.approx(math.log(sum(each)), abs=1e-12)
+    assert lattice.log_probabilities([b"zz", word.encode(), L.END])[1] == pytest.approx(math.log(sum(each)), abs=1e-12)
     want = Counter()
     for cut, q in zip(cuts, each):
         for i in cut:
             want[i] += q / sum(each)
-    got = lattice.expected(word.encode())
-    assert {i for i, n in got.items() if n > 1e-15} == set(want)
+    got = lattice.expected([word.encode(), b"unused", L.END], [3, 0, 2], 1 << 40) / (1 << 40)
+    assert got[SMALL.end_at] == 2.0
+    assert {*np.flatnonzero(got).tolist()} - {SMALL.end_at} <= set(want)
     for i, n in want.items():
-        assert got[i] == pytest.approx(n, abs=1e-12)
+        assert got[i] == pytest.approx(3 * n, abs=1e-10)
+
+
+def test_batches_and_levels(monkeypatch):
+    known = L.vocabulary(PATH)
+    lattice = L.Lattice(known, known.weights)
+    words = [w.encode() for w in cases.prose(200, 1).split()] + [L.END, b"z" * 5000, "日本語".encode(), "▁a▁".encode()]
+    whole = lattice.log_probabilities(words)
+    monkeypatch.setattr(L, "LETTERS", 10)
+    assert whole == pytest.approx(lattice.log_probabilities(words), abs=1e-9)
+    assert whole == pytest.approx([lattice.log_probabilities([w])[0] for w in words], abs=1e-9)
 
 
 def test_weights_are_a_distribution():
@@ -58,8 +69,8 @@ def test_no_more_than_one_in_all():
     tiny = L.Vocabulary([" a", "b", "ab"], np.log(np.append([0.3, 0.2, 0.2], [0.1 / 256] * 256 + [0.2])))
     lattice = L.Lattice(tiny, tiny.weights)
     words = [a for n in (1, 2, 3) for a in map("".join, __import__("itertools").product("ab", repeat=n))]
-    one = [math.exp(lattice.log_probability(w.encode())) for w in words]
-    assert 0.05 < (1 + sum(one) + sum(one) ** 2) * math.exp(lattice.end) < 1
+    one = np.exp(lattice.log_probabilities([w.encode() for w in words])).sum()
+    assert 0.05 < (1 + one + one ** 2) * math.exp(tiny.weights[-1]) < 1
 
 
 def words_of(text):
