@@ -9,7 +9,7 @@ from terrane.catalog.elimination import solved
 from terrane.catalog.selections import LINE_EDGES, PART_EDGES
 from terrane.catalog.views import CUSTOMER, CUSTOMER_LENGTH, LINE, LINE_SPACE, PART, PART_SPACE, customer_dna, line_landscape, part_landscape, r6
 from terrane.operators import spaces as S
-from terrane.plans import embedding as E, paths as P, space_walk as X, walk as W
+from terrane.plans import embedding as E, paths as P, space_modes as M, space_walk as X, walk as W
 from terrane.session import cut
 
 NS = 2.0
@@ -353,8 +353,60 @@ def diffusion_axes(spark, sf):
     return placed.select("idx", "seq", "axis_1", "axis_2", "p")
 
 
+FOUR_SPACE = S.Space.regular(4, "ACGT")
+
+
+def word_means(spark, sf, space):
+    """``(idx, y)``: mean account balance (1,000s) per customer key modulo the states, zero where there is no customer."""
+    seen = customer_dna(spark, sf).groupBy(F.pmod("row_id", F.lit(space.n)).alias("idx")).agg((F.avg("y") / 1000.0).alias("y"))
+    nodes = spark.range(space.n).withColumnRenamed("id", "idx").join(seen, "idx", "left")
+    return cut(nodes.select("idx", F.coalesce("y", F.lit(0.0)).alias("y")))
+
+
+def _slowest_sql(k: int) -> str:
+    """k smallest non-zero rates of the 256-state walk: powers of the shifted matrix, each mode taken out once it is found."""
+    matrix = "list_transform(q, lambda r: list_transform(r, lambda v: v / list_sum(list_transform(range(1, 257), lambda d: q[d][d]))))"
+    steps, held = [], "m0"
+    for c in range(k):
+        steps.append(f"""g{c}(n, m) AS (SELECT 0, m FROM {held} UNION ALL SELECT n + 1, {matrix} FROM (
+    SELECT n, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS q FROM g{c} WHERE n < 20)),
+  v{c} AS (SELECT list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS v FROM (
+    SELECT m[(SELECT arg_max(i, abs(m[i][i])) FROM range(1, 257) t(i))] AS u FROM g{c} WHERE n = 20)),
+  t{c} AS (SELECT list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS top FROM {held}, v{c}),
+  m{c + 1} AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - top * v[i] * v[j])) AS m FROM {held}, v{c}, t{c})""")
+        held = f"m{c + 1}"
+    return ",\n  ".join(steps)
+
+
+@query(f"""WITH RECURSIVE {CUSTOMER}, s AS (SELECT row_id % 256 AS idx, avg(y)/1000.0 AS y FROM customer_dna GROUP BY 1),
+  n AS (SELECT t.i AS idx, coalesce(s.y, 0.0) AS y FROM range(256) t(i) LEFT JOIN s ON s.idx = t.i),
+  pi AS (SELECT idx, exp(0.5*(y - (SELECT max(y) FROM n))) / (SELECT sum(exp(0.5*(y - (SELECT max(y) FROM n)))) FROM n) AS p FROM n),
+  e AS (SELECT a.idx AS i, b.idx AS j, 0.5*(b.y - a.y) AS s FROM n a, n b WHERE a.idx <> b.idx AND
+    (a.idx//64 <> b.idx//64)::INT + (a.idx//16%4 <> b.idx//16%4)::INT + (a.idx//4%4 <> b.idx//4%4)::INT + (a.idx%4 <> b.idx%4)::INT = 1),
+  r AS (SELECT i, j, CASE WHEN abs(s) < 1e-9 THEN 1.0 ELSE s/(exp(0.5*s)-exp(-0.5*s)) END AS sym, CASE WHEN abs(s) < 1e-9 THEN 1.0 ELSE s/(1-exp(-s)) END AS rate FROM e),
+  l AS (SELECT i, sum(rate) AS leave, sum(sym) AS outs FROM r GROUP BY 1), b AS (SELECT max(leave + outs) AS bound FROM l),
+  a AS (SELECT x.idx AS i, z.idx AS j, CASE WHEN x.idx = z.idx THEN 1 - l.leave/bound ELSE coalesce(r.sym, 0)/bound END - sqrt(x.p*z.p) AS a
+    FROM pi x CROSS JOIN pi z JOIN l ON l.i = x.idx CROSS JOIN b LEFT JOIN r ON r.i = x.idx AND r.j = z.idx),
+  m0 AS (SELECT list(q ORDER BY i) AS m FROM (SELECT i, list(a ORDER BY j) AS q FROM a GROUP BY 1)),
+  {_slowest_sql(3)}
+  SELECT 1 AS k, round((1 - t0.top)*bound, 6) AS decay_rate FROM t0, b UNION ALL SELECT 2, round((1 - t1.top)*bound, 6) FROM t1, b
+  UNION ALL SELECT 3, round((1 - t2.top)*bound, 6) FROM t2, b""")
+def space_decay_rates(spark, sf):
+    """Three slowest rates of the walk on 256 words, without an edge table."""
+    _, decay, _ = M.diffusion_axes_on_space(word_means(spark, sf, FOUR_SPACE), FOUR_SPACE, 0.5, 3, rtol=1e-6)
+    return decay.select("k", r6("decay_rates").alias("decay_rate"))
+
+
+@query()
+def space_diffusion_axes(spark, sf):
+    """Embedding of all 65,536 eight-letter words (compared with dense eigenvectors on small spaces in the tests)."""
+    placed, _, _ = M.diffusion_axes_on_space(word_means(spark, sf, WORD_SPACE), WORD_SPACE, 0.2, 3, rtol=1e-6)
+    return placed
+
+
 @query()
 def embedding_sweep(spark, sf):
-    """Embeddings at two selection strengths, aligned in sign."""
+    """Three axes at twelve selection strengths, from the neutral walk on, each started from the one before."""
     nodes = cut(line_landscape(spark, sf).select("idx", "seq", "y"))
-    return E.ns_sweep(nodes, LINE_SPACE.edges(spark), LINE_SPACE.n, E.sweep_targets(nodes, 2), k=1, rtol=1e-6)
+    placed = M.ns_sweep_on_space(nodes, LINE_SPACE, E.sweep_targets(nodes, 12, pmin=0.0), k=3)
+    return placed.join(nodes.select("idx", "seq"), "idx")
