@@ -28,7 +28,8 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DOT_RUN, _GROUP_RUN = re.compile(r"[0-9.]*"), re.compile(r"[0-9\x20-]*")
-_URL = re.compile(r"[^\s<>\"'|]+")
+_URL_RUN, _HOST = re.compile(r"[^\s<>\"'|]*"), re.compile(r"[^/?#]*")
+_URL_END = frozenset(".,;:!?)]}")
 _GAP = re.compile(r"(?:[\x20\t]*(?:number|no\.?|nr\.?|#|:|=|is))*[\x20\t]*", re.I)
 _ACCOUNT = re.compile(r"[A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){5,40}")
 _SECRET = re.compile(r"[\x20\t]*[=:][\x20\t]*(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"']{6,}))")
@@ -82,6 +83,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """Spans of all kinds, by kind as in KINDS and then by start."""
     out: list[tuple[str, int, int]] = []
     done = dict.fromkeys((*KINDS, "key"), 0)  # no parser reads before this place again
+    run = tail = 0                            # end of the last run of a url, without and with its punctuation cut
     for last, (kind, length) in _automaton().iter(text):
         at = last - length + 1
         if at < done[kind]:
@@ -117,13 +119,17 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 8 <= sum(c in _DIGITS for c in m.group()) <= 15:
                     out.append((kind, at, m.end()))
         elif kind == "url":
-            m = _URL.match(text, last + 1)
-            if m:
-                end = last + 1 + len(m.group().rstrip(".,;:!?)]}"))
-                host = re.split(r"[/?#]", text[last + 1:end], maxsplit=1)[0]
-                if "." in host.strip("."):
-                    out.append((kind, at, end))
-                    done[kind] = end
+            # all schemes of a run share its end; a host ends at a slash, so at the next scheme at the latest
+            if last + 1 >= run:
+                run = _URL_RUN.match(text, last + 1).end()
+                tail = run
+                while tail > last + 1 and text[tail - 1] in _URL_END:
+                    tail -= 1
+            end = max(last + 1, tail)
+            host = _HOST.match(text, last + 1, end).group()
+            if "." in host.strip("."):
+                out.append((kind, at, end))
+                done[kind] = end
         elif kind == "account":
             m = _ACCOUNT.match(text, _GAP.match(text, last + 1).end())
             if m:
