@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrane.llm.common import runs, table
 from terrane.llm.tokens import rank_encoder
@@ -87,27 +88,34 @@ def _tokens(vocabulary: str, pattern: str, end_id: int, kind: pa.DataType):
 
 
 def _pieces(length: int, n: int, key: int, per_shard: int, kind: pa.DataType):
-    """Cuts documents at the ends of sequences; a piece knows its slot and its place there."""
+    """Cuts documents at the ends of sequences. One row for each chunk and shard: slots of its pieces, their places there and lengths, all ids packed."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
-        names = ["shard", "slot", "sequence_id", "at", "doc_id", "ids"]
+        kinds = {"shard": pa.int64(), "slots": pa.list_(pa.int64()), "sequence_ids": pa.list_(pa.int64()), "at": pa.list_(pa.int32()),
+                 "lengths": pa.list_(pa.int32()), "doc_ids": pa.list_(kind), "ids": pa.binary()}
         for b in rows:
             for start, docs, counts, packed in zip(*(b.column(c).to_pylist() for c in ("start", "doc_ids", "counts", "ids"))):
                 t, zero = unpack(packed), start
-                doc, seq, at, ids = [], [], [], []
+                doc, first, size = [], [], []
                 for d, count in zip(docs, counts):
                     s, end = start, start + count
                     while s < end:
                         e = min(end, (s // length + 1) * length)
                         doc.append(d)
-                        seq.append(s // length)
-                        at.append(s % length)
-                        ids.append(pack(t[2 * (s - zero):2 * (e - zero)]))
+                        first.append(s)
+                        size.append(e - s)
                         s = e
                     start = end
-                slot = slots(np.array(seq, np.int64), n, key)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(slot // per_shard), pa.array(slot), pa.array(seq, pa.int64()), pa.array(at, pa.int64()), pa.array(doc, kind), pa.array(ids, pa.binary())], names=names)
+                first, size = np.array(first, np.int64), np.array(size, np.int32)
+                slot = slots(first // length, n, key)
+                shard = slot // per_shard
+                order = np.argsort(shard, kind="stable")
+                cuts = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
+                for s, e in zip(cuts, [*cuts[1:], len(order)]):
+                    own = order[s:e]
+                    ids = b"".join([t[2 * (f - zero):2 * (f - zero + k)] for f, k in zip(first[own].tolist(), size[own].tolist())])
+                    row = [int(shard[own[0]]), slot[own], first[own] // length, (first[own] % length).astype(np.int32), size[own], [doc[k] for k in own], pack(ids)]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values())], names=list(kinds))
     return batches
 
 
@@ -125,39 +133,31 @@ def shard_name(shard: int) -> str:
 
 
 def _written(folder: str, length: int, per_shard: int, end_id: int, kind: pa.DataType):
-    """Writes each shard under a name of its own and then moves it, so a repeated task leaves one whole file."""
+    """Sorts the pieces of each shard, writes them under a name of their own and then moves the file, so a repeated task leaves one whole file."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _filesystem(folder)
         unpack = zstandard.ZstdDecompressor().decompress
         names = ["slot", "sequence_id", "shard", "place", "n_tokens", "ids_crc32", "doc_ids"]
         kinds = [*[pa.int64()] * 6, pa.list_(kind)]
-        shard, out, own = None, None, None
-        made: list[tuple] = []
-
-        def close():
-            out.close()
+        for shard, t in runs(rows, "shard"):
+            whole = lambda c: t.column(c).combine_chunks().flatten()
+            slot, at, size = (whole(c).to_numpy() for c in ("slots", "at", "lengths"))
+            sequence, docs = whole("sequence_ids").to_numpy(), whole("doc_ids").to_pylist()
+            ids = np.frombuffer(b"".join(map(unpack, t.column("ids").to_pylist())), "<u2")
+            begin = np.cumsum(size, dtype=np.int64) - size
+            order = np.lexsort((at, slot))
+            cuts = np.flatnonzero(np.diff(slot[order], prepend=-1)).tolist()
+            own = f"{path}/.{shard_name(shard)}.{uuid.uuid4().hex}"
+            made: list[tuple] = []
+            with store.open_output_stream(own) as out:
+                for s, e in zip(cuts, [*cuts[1:], len(order)]):
+                    pieces = order[s:e]
+                    held = np.concatenate([ids[begin[k]:begin[k] + size[k]] for k in pieces])
+                    out.write(held.tobytes() + np.full(length - len(held), end_id, "<u2").tobytes())
+                    place = int(slot[pieces[0]])
+                    made.append((place, int(sequence[pieces[0]]), shard, place % per_shard, len(held), zlib.crc32(held.tobytes()), [docs[k] for k in pieces]))
             store.move(own, f"{path}/{shard_name(shard)}")
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
-
-        for slot, t in runs(rows, "slot"):
-            if shard != slot // per_shard:
-                if out is not None:
-                    close()
-                shard = slot // per_shard
-                own = f"{path}/.{shard_name(shard)}.{uuid.uuid4().hex}"
-                out = store.open_output_stream(own)
-            ids = b"".join(map(unpack, t.column("ids").to_pylist()))
-            out.write(ids + np.full(length - len(ids) // 2, end_id, "<u2").tobytes())
-            made.append((slot, t.column("sequence_id")[0].as_py(), shard, slot % per_shard, len(ids) // 2, zlib.crc32(ids), t.column("doc_id").to_pylist()))
-            if len(made) >= 2000:
-                yield batch()
-                made = []
-        if made:
-            yield batch()
-        if out is not None:
-            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
     return batches
 
 
@@ -171,7 +171,7 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str, pattern: str = pu
     files and their splits. Only doc_id and text are read.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select("doc_id", "text").mapInArrow(
         _tokens(vocabulary, pattern, end_id, arrow), f"part long, before long, n long, doc_ids array<{kind}>, counts array<long>, ids binary")
     stored = Stored(rows, {"tokens": F.sum("n")})
@@ -183,10 +183,12 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str, pattern: str = pu
     parts = parts.select("part", F.coalesce(F.sum("held").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     # one row of two numbers for each task of the first stage
     placed = stored.table.join(F.broadcast(parts), "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "counts", "ids")
-    pieces = placed.mapInArrow(_pieces(length, n, key, per_shard, arrow), f"shard long, slot long, sequence_id long, at long, doc_id {kind}, ids binary")
-    shards = max(1, -(-n // per_shard))
-    pieces = pieces.repartition(shards, "shard").sortWithinPartitions("slot", "at")
-    done = pieces.select("slot", "sequence_id", "doc_id", "ids").mapInArrow(
+    pieces = placed.mapInArrow(
+        _pieces(length, n, key, per_shard, arrow),
+        f"shard long, slots array<long>, sequence_ids array<long>, at array<int>, lengths array<int>, doc_ids array<{kind}>, ids binary")
+    # a task for each shard
+    pieces = pieces.repartitionById(max(1, -(-n // per_shard)), F.col("shard").cast("int"))
+    done = pieces.mapInArrow(
         _written(folder, length, per_shard, end_id, arrow),
         f"slot long, sequence_id long, shard long, place long, n_tokens long, ids_crc32 long, doc_ids array<{kind}>")
     manifest = Stored(done).table

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import zlib
+from pyspark.sql import functions as F
 
 from terrane.llm import ordering as O
 from terrane.llm.tokens import rank_encoder
@@ -44,3 +45,13 @@ def test_registered_query_places_1024_tokens_of_its_vocabulary(spark, tmp_path):
     want = [ids[s:s + 1024] for s in range(0, len(ids), 1024)]
     assert len(want) > 2
     assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "string", "decimal(10,0)", "date"])
+def test_kinds_of_ids(spark, tmp_path, kind):
+    docs = cases.documents(spark, [(None, "x"), (3, cases.BASE), (4, "y")])
+    one = F.expr("date_add(DATE'2020-01-01', cast(doc_id as int))") if kind == "date" else F.col("doc_id").cast(kind)
+    docs = docs.withColumn("doc_id", one)
+    rows = O.materialise(docs, f"file:{tmp_path}", VOCABULARY, length=64, per_shard=5)
+    assert dict(rows.dtypes)["doc_ids"] == f"array<{kind}>"
+    assert {i for r in rows.collect() for i in r.doc_ids} == {r.doc_id for r in docs.collect()}
