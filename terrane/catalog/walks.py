@@ -9,7 +9,7 @@ from terrane.catalog.elimination import solved
 from terrane.catalog.selections import LINE_EDGES, PART_EDGES
 from terrane.catalog.views import CUSTOMER, CUSTOMER_LENGTH, LINE, LINE_SPACE, PART, PART_SPACE, customer_dna, line_landscape, part_landscape, r6
 from terrane.operators import spaces as S
-from terrane.plans import embedding as E, paths as P, space_modes as M, space_walk as X, walk as W
+from terrane.plans import embedding as E, paths as P, space_hitting as H, space_modes as M, space_walk as X, walk as W
 from terrane.session import cut
 
 NS = 2.0
@@ -164,7 +164,7 @@ def committor_probabilities(spark, sf):
 def committor_on_space(spark, sf):
     """The same probabilities on the product space itself, without an edge table."""
     nodes = cut(line_landscape(spark, sf).select("idx", "y"))
-    q = X.hitting_probability_on_space(nodes, LINE_SPACE, NS, state_set(spark, _END), state_set(spark, _START))
+    q, _ = H.hitting_probability(nodes, LINE_SPACE, NS, state_set(spark, _END), state_set(spark, _START))
     return q.select("idx", r6("q").alias("q"))
 
 
@@ -397,6 +397,16 @@ def space_decay_rates(spark, sf):
     return decay.select("k", r6("decay_rates").alias("decay_rate"))
 
 
+@query()
+def committor_on_words(spark, sf):
+    """Probability of reaching the best of the 65,536 eight-letter words before the worst one."""
+    nodes = word_means(spark, sf, WORD_SPACE)
+    best, worst = nodes.agg(F.max_by("idx", F.struct("y", "idx")), F.min_by("idx", F.struct("y", "idx"))).first()
+    one = lambda i: spark.createDataFrame([(i,)], "idx bigint")
+    q, _ = H.hitting_probability(nodes, WORD_SPACE, 0.5, one(best), one(worst))
+    return q.select("idx", r6("q").alias("q"))
+
+
 @query()
 def space_diffusion_axes(spark, sf):
     """Embedding of all 65,536 eight-letter words (compared with dense eigenvectors on small spaces in the tests)."""
