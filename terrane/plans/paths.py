@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -221,13 +222,69 @@ def max_min_path(nodes: DataFrame, edges: DataFrame, start: int, end: int, y: st
     return pathway(entering, one(start), one(end)).select("weights", "nodes")
 
 
-def count_paths(edges: DataFrame, start: int, end: int, max_length: int) -> DataFrame:
-    """One row: number of paths from start to end in an acyclic edge table, by length sweeps."""
+def _is_prime(n: int) -> bool:
+    """Exact below 2^32 (Miller-Rabin with the bases 2, 7 and 61)."""
+    if n < 2 or any(n % q == 0 and n != q for q in (2, 3, 5, 7, 61)):
+        return False
+    d, s = n - 1, 0
+    while d % 2 == 0:
+        d, s = d // 2, s + 1
+    for base in (2, 7, 61):
+        x = pow(base, d, n)
+        if n == base or x in (1, n - 1):
+            continue
+        if all((x := x * x % n) != n - 1 for _ in range(s - 1)):
+            return False
+    return True
+
+
+def moduli(bits: float) -> list[int]:
+    """Distinct primes below 2^31 whose product has more than ``bits`` bits."""
+    found, product, n = [], 1, 2 ** 31 - 1
+    while product.bit_length() <= bits + 1:
+        if _is_prime(n):
+            found.append(n)
+            product *= n
+        n -= 2
+    return found
+
+
+def from_residues(residues: Sequence[int], primes: Sequence[int]) -> int:
+    """The smallest number with these remainders."""
+    x, m = 0, 1
+    for r, q in zip(residues, primes):
+        x += m * ((r - x) * pow(m, -1, q) % q)
+        m *= q
+    return x
+
+
+def path_number(edges: DataFrame, start: int, end: int, max_length: int) -> int:
+    """Number of paths of at most ``max_length`` steps from start to end; exact, however large.
+
+    A sweep takes the counts one step on and writes them: one join, one aggregate, one stored table. Counts travel as
+    remainders modulo as many primes as the bound (the largest number of ways out, by the length) asks for.
+    """
     spark = edges.sparkSession
-    here = spark.range(1).select(F.lit(int(start)).cast("bigint").alias("idx"), F.lit(1).cast("decimal(38,0)").alias("n"))
-    arrived = None
+    out = cut(edges.select(F.col("i").alias("idx"), "j"))
+    widest = out.groupBy("idx").count().agg(F.max("count")).first()[0] or 1
+    primes = moduli(max_length * math.log2(max(widest, 2)) + math.log2(max_length + 1))
+    columns = [f"n{k}" for k in range(len(primes))]
+    here = spark.range(1).select(F.lit(int(start)).cast("bigint").alias("idx"), *[F.lit(1).cast("bigint").alias(c) for c in columns])
+    total, chain = [0] * len(primes), Chain()
     for _ in range(max_length):
-        here = here.join(edges.select(F.col("i").alias("idx"), "j"), "idx").groupBy(F.col("j").alias("idx")).agg(F.sum("n").cast("decimal(38,0)").alias("n"))
-        there = here.where(F.col("idx") == int(end)).select("n")
-        arrived = there if arrived is None else arrived.unionByName(there)
-    return arrived.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_paths"))
+        # a sum has at most as many terms as there are edges, each below 2^31
+        step = here.join(out, "idx").groupBy(F.col("j").alias("idx")).agg(*[F.pmod(F.sum(c), F.lit(q)).alias(c) for c, q in zip(columns, primes)])
+        at_end = {c: F.sum(F.when(F.col("idx") == F.lit(int(end)), F.col(c))) for c in columns}
+        here, found = chain.store(step, {"rows": F.count(F.lit(1)), **at_end})
+        total = [(t + (found[c] or 0)) % q for t, c, q in zip(total, columns, primes)]
+        if not found["rows"]:
+            break
+    if chain.last is not None:
+        chain.last.drop()
+    return from_residues(total, primes)
+
+
+def count_paths(edges: DataFrame, start: int, end: int, max_length: int) -> DataFrame:
+    """One row: number of paths from start to end in an acyclic edge table; a bigint, or text where it has more digits."""
+    n = path_number(edges, start, end, max_length)
+    return edges.sparkSession.createDataFrame([(n if n < 2 ** 63 else str(n),)], "n_paths bigint" if n < 2 ** 63 else "n_paths string")

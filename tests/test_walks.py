@@ -211,3 +211,27 @@ def test_bottleneck_edge(spark):
     state = lambda i: spark.createDataFrame([(i,)], "idx bigint")
     assert [tuple(r) for r in P.bottleneck_edge(edges, state(0), state(3)).collect()] == [(1, 3, 2.0)]
     assert P.bottleneck_edge(edges, state(3), state(0)).count() == 0
+
+
+def test_path_numbers_of_any_size(spark):
+    """All states of ten on one level lead to all of the next: 10^29 paths of 30 steps, and one more of a single step."""
+    links = [(0, 1 + k) for k in range(10)] + [(1 + 10 * s + a, 11 + 10 * s + b) for s in range(28) for a in range(10) for b in range(10)]
+    links += [(281 + a, 291) for a in range(10)] + [(0, 291)]
+    edges = spark.createDataFrame(links, "i long, j long")
+    assert P.path_number(edges, 0, 291, 40) == 10 ** 29 + 1
+    assert P.path_number(edges, 0, 291, 5) == 1 and P.path_number(edges, 291, 0, 5) == 0
+    assert P.count_paths(edges, 0, 291, 30).first().n_paths == str(10 ** 29 + 1)
+
+
+def test_direct_paths_of_a_cube(spark):
+    space = Space.regular(7, "AB")
+    up = space.edges(spark).where("j > i")
+    row = P.count_paths(up, 0, 127, 7).first()
+    assert row.n_paths == math.factorial(7)
+
+
+def test_residues():
+    primes = P.moduli(200)
+    assert all(q % d for q in primes for d in range(2, 50_000)) and len(set(primes)) == len(primes)
+    for n in (0, 1, 2 ** 61, 3 ** 120):
+        assert P.from_residues([n % q for q in primes], primes) == n
