@@ -292,7 +292,7 @@ def flow_bottleneck_edge(spark, sf):
 @query()
 def dominant_pathways(spark, sf):
     """Top pathways with their share of the total flow (checked on small graphs in the tests)."""
-    return P.pathways(flows(spark, sf), state_set(spark, _START), state_set(spark, _END), 3)
+    return P.pathways(flows(spark, sf), state_set(spark, _START), state_set(spark, _END))
 
 
 _DIRECT = f"""{PART_EDGES}, d AS (SELECT idx, y, hamming(seq, 'AAAAA') AS ds, hamming(seq, 'CGCGC') AS de FROM part_landscape),
