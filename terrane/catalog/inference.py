@@ -159,7 +159,7 @@ def posterior_variance(spark, sf):
 @query()
 def cross_validated_losses(spark, sf):
     """Regularisation losses per fold; one cube holds the moments of all folds."""
-    rows = R.cross_validate_beta(observations(spark, sf), EMBED_SPACE, R.regularization_grid(n=4), folds=5)
+    rows = R.cross_validate_beta(observations(spark, sf), EMBED_SPACE, R.regularization_grid(), folds=5)
     return spark.createDataFrame(rows, "beta double, log_beta double, fold int, loss double")
 
 
