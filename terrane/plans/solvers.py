@@ -100,6 +100,8 @@ def bicgstab(system: DataFrame, apply: Apply, b: str, rtol: float = 1e-9, max_st
         norm = m["bb"] or 0.0
         if norm == 0.0:
             return step.select(*base, "x")
+        if not m["rho"] or not m["hv"]:
+            raise RuntimeError("the solver broke down: the residual is orthogonal to its start")
         rho, alpha = m["rho"], m["rho"] / m["hv"]
         half = step.withColumn("s", F.col("r") - F.lit(alpha) * F.col("v"))
         step, m = chain.store(apply(half, ["s"], ["t"]), {
@@ -112,6 +114,8 @@ def bicgstab(system: DataFrame, apply: Apply, b: str, rtol: float = 1e-9, max_st
         })
         if m["ss"] - 2 * omega * m["ts"] + omega * omega * m["tt"] <= rtol * rtol * norm:
             return step.select(*base, "x")
+        if not omega:
+            raise RuntimeError("the solver broke down: its second step has length zero")
         beta = (m["hs"] - omega * m["ht"]) / rho * (alpha / omega)
         df = step.withColumn("p", F.col("r") + F.lit(beta) * (F.col("p") - F.lit(omega) * F.col("v"))).select(*base, "x", "r", "h", "p")
     raise RuntimeError(f"no convergence in {max_steps} steps")

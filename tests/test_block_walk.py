@@ -94,7 +94,7 @@ def test_chebyshev_filter_is_small_on_the_interval():
 
 @pytest.mark.parametrize("ns", [0.0, 3.0])
 def test_modes_equal_dense_eigenvectors(spark, ns):
-    space = Space.regular(4, "ACGT")
+    space = Space.regular(3, "ACGT")
     y, nodes = landscape(spark, space, 5)
     _, sym, p = dense_generator(space, y, ns)
     values, vectors = np.linalg.eigh(sym)
@@ -127,14 +127,14 @@ def test_small_spaces(spark):
 
 
 def test_sweep_continues_from_the_modes_before(spark):
-    space = Space.regular(4, "ACGT")
+    space = Space.regular(3, "ACGT")
     _, nodes = landscape(spark, space, 5)
     nodes = nodes.cache()
-    targets = E.sweep_targets(nodes, 4, 0.1, 0.8)
+    targets = E.sweep_targets(nodes, 3, 0.1, 0.8)
     out = M.ns_sweep_on_space(nodes, space, targets, 2).collect()
-    assert len(out) == 4 * space.n
+    assert len(out) == 3 * space.n
     by = {(r.step, r.idx): r for r in out}
-    for s in range(1, 4):
+    for s in range(1, 3):
         ns = by[s, 0].ns
         _, sym, p = dense_generator(space, np.array([r.y for r in nodes.orderBy("idx").collect()]), ns)
         values, vectors = np.linalg.eigh(sym)

@@ -235,3 +235,12 @@ def test_residues():
     assert all(q % d for q in primes for d in range(2, 50_000)) and len(set(primes)) == len(primes)
     for n in (0, 1, 2 ** 61, 3 ** 120):
         assert P.from_residues([n % q for q in primes], primes) == n
+
+
+def test_a_breakdown_is_named(spark):
+    """A quarter turn: the first product is orthogonal to the residual."""
+    from terrane.plans.solvers import bicgstab, edge_apply
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, -1.0)], "i long, j long, w double")
+    system = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 0.0)], "idx long, b double, d double")
+    with pytest.raises(RuntimeError, match="broke down"):
+        bicgstab(system, edge_apply(edges, "d"), "b")
