@@ -12,6 +12,7 @@ from terrane.operators import msa as M
 from terrane.operators.spaces import Space
 from terrane.operators.splits import cross_validate
 from terrane.plans import density as D, kernels as K, regression as R
+from terrane.plans.connectedness import fit_connectedness
 from terrane.session import cut
 
 LAMBDAS = [4.0, 3.0, 1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01]
@@ -166,7 +167,7 @@ def cross_validated_losses(spark, sf):
 @query()
 def connectedness_fit(spark, sf):
     """Per-site decay of the correlation between words."""
-    log_mu, rho = R.fit_connectedness(part_landscape(spark, sf), PART_SPACE)
+    log_mu, rho = fit_connectedness(part_landscape(spark, sf), PART_SPACE)
     return spark.createDataFrame([(s, float(x), log_mu) for s, x in enumerate(rho)], "site int, rho double, log_mu double")
 
 

@@ -8,13 +8,13 @@ from math import log10
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from terrane.operators.cube import covariance_by_fold, covariance_by_sites, covariance_on_space, local_epistasis
+from terrane.operators.cube import covariance_by_fold, covariance_on_space, local_epistasis
 from terrane.operators.replicates import merge_replicates
 from terrane.operators.spaces import Space
 from terrane.operators.splits import assign_folds, fold_roles
 from terrane.operators.stats import metrics, with_interval
 from terrane.plans import kernels as K
-from terrane.plans.smallfit import damped_least_squares, minimize, nonnegative_least_squares
+from terrane.plans.smallfit import damped_least_squares, nonnegative_least_squares
 from terrane.plans.solvers import Apply, conjugate_gradient, num
 from terrane.session import cut, small_rows
 
@@ -22,14 +22,19 @@ from terrane.session import cut, small_rows
 BLOCK_COLUMNS = 32
 
 
-def observed_states(space: Space, obs: DataFrame) -> DataFrame:
-    """``(idx, y, y_var, known)`` of the whole space; rejects nulls and NaN at run time, merges replicates."""
+def observed(space: Space, obs: DataFrame) -> DataFrame:
+    """``(idx, y[, y_var])`` of the observed states; rejects nulls and NaN at run time, merges replicates."""
     for c in ("y", "y_var"):
         if c in obs.columns:
             bad = F.col(c).isNull() | F.isnan(c)
             obs = obs.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} holds a missing value")).cast("double")).otherwise(F.col(c)))
     named = obs if "idx" in obs.columns else obs.withColumn("idx", space.idx_or_fail("seq"))
-    given = merge_replicates(named, ["idx"])
+    return merge_replicates(named, ["idx"])
+
+
+def observed_states(space: Space, obs: DataFrame) -> DataFrame:
+    """``(idx, y, y_var, known)`` of the whole space, zero where nothing was observed."""
+    given = observed(space, obs)
     if "y_var" not in given.columns:
         given = given.withColumn("y_var", F.lit(0.0))
     states = obs.sparkSession.range(space.n).withColumnRenamed("id", "idx")
@@ -349,22 +354,3 @@ def cross_validate_scale(obs: DataFrame, space: Space, p: int, a_values: Sequenc
         both = own.where("role = 'test'").join(mean, "seq")
         rows += [(r.a, split, float(r.loglikelihood)) for r in metrics(both, "a", True).collect()]
     return sorted(rows, key=lambda r: (r[1], r[0]))
-
-
-# --- connectedness ------------------------------------------------------------------------------------
-
-def connectedness_covariance(x: np.ndarray, sites: np.ndarray, alpha: int) -> np.ndarray:
-    """Covariance per set of agreeing sites for (log mu, logit rho of each site)."""
-    rho = 1.0 / (1.0 + np.exp(-x[1:]))
-    match, differ = np.log1p((alpha - 1) * rho), np.log1p(-rho)
-    return np.exp(sites @ match + (1 - sites) @ differ) - 1 + np.exp(x[0])
-
-
-def fit_connectedness(obs: DataFrame, space: Space) -> tuple[float, np.ndarray]:
-    """(log mu, rho per site) from the second moments of all sets of agreeing sites (2^l numbers)."""
-    rows = small_rows(covariance_by_sites(obs, space.length), 1 << space.length, "site-set moments")
-    sites = np.array([[float(c) for c in r.sites] for r in rows])
-    cov, n = np.array([r.cov for r in rows]), np.array([float(r.n) for r in rows])
-    loss = lambda x: float((n * (cov - connectedness_covariance(x, sites, space.alpha)) ** 2).sum() / n.sum())
-    best = min((minimize(loss, np.full(space.length + 1, s)) for s in (-2.0, -0.5, 0.5)), key=loss)
-    return float(best[0]), 1.0 / (1.0 + np.exp(-best[1:]))

@@ -120,25 +120,6 @@ def test_beta_cross_validation(spark, noisy):
     assert len(rows) == 2
 
 
-def test_connectedness_fit(spark):
-    """Observations whose second moments are exactly those of the model: an eigenvector basis of its covariance."""
-    space = Space.regular(3, "AB")
-    rho = np.array([0.3, 0.6, 0.8])
-    seqs = sequences(space)
-    sites = np.array([[(m >> (2 - s)) & 1 for s in range(3)] for m in range(8)], dtype=float)
-    cov = R.connectedness_covariance(np.append(np.log(0.5), np.log(rho / (1 - rho))), sites, 2)
-    agree = np.array([[int("".join("1" if a == b else "0" for a, b in zip(x, z)), 2) for z in seqs] for x in seqs])
-    values, vectors = np.linalg.eigh(cov[agree])
-    # the model is invariant under flips of a site, so any landscape with these squared projections has its moments
-    y = vectors @ (np.sqrt(np.maximum(values, 0)) * np.where(np.arange(8) % 2, 1.0, -1.0)) / 1.0
-    moments = np.array([np.mean([y[i] * y[j] for i in range(8) for j in range(8) if agree[i, j] == m]) for m in range(8)])
-    log_mu, fitted = R.fit_connectedness(frame(spark, [(s, float(v)) for s, v in zip(seqs, y)], "seq string, y double"), space)
-    found = R.connectedness_covariance(np.append(log_mu, np.log(fitted / (1 - fitted))), sites, 2)
-    truth = ((moments - cov) ** 2).sum()
-    assert ((moments - found) ** 2).sum() <= truth + 1e-8
-    if truth < 1e-12:
-        np.testing.assert_allclose(fitted, rho, atol=1e-3)
-
 
 def test_replicates_leave_the_posterior_on_the_states(spark, noisy):
     space, lam, kept, rows, obs = noisy
