@@ -182,6 +182,35 @@ def covariance_by_agreeing_sites(spark, sf):
     return C.covariance_by_sites(part_landscape(spark, sf), 5).where("n > 0").select("sites", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
 
 
+def _signs(length: int) -> str:
+    """Sign patterns of the first components with the mean of the one that follows, in SQL."""
+    letters = " || ".join(f"CASE WHEN embedding[{s + 1}] > 0 THEN 'B' ELSE 'A' END" for s in range(length))
+    return f"signs AS (SELECT seq, avg(v) AS y FROM (SELECT {letters} AS seq, CAST(embedding[{length + 1}] AS DOUBLE)*10.0 AS v FROM embeddings) GROUP BY 1)"
+
+
+def sign_patterns(spark, sf, length: int):
+    """``(seq, y)``, a row for each embedding: far fewer patterns occur than there are."""
+    seq = F.concat(*[F.when(F.col("embedding")[s] > 0, "B").otherwise("A") for s in range(length)])
+    return table(spark, sf, "embeddings").select(seq.alias("seq"), (F.col("embedding")[length].cast("double") * 10.0).alias("y"))
+
+
+@query(f"""WITH {_signs(20)}, pairs AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d, a.y * b.y AS yy FROM signs a, signs b)
+  SELECT d, round(sum(yy)/count(*), 6) AS cov, count(*) AS n FROM pairs GROUP BY 1""")
+def covariance_by_distance_twenty_sites(spark, sf):
+    """Second moments of an incomplete table over more sites than a cube can hold."""
+    out = C.covariance_by_distance(sign_patterns(spark, sf, 20), 20).where("n > 0")
+    return out.select("d", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
+
+
+_AGREE_16 = " || ".join(f"CASE WHEN substr(a.seq,{s},1) = substr(b.seq,{s},1) THEN '1' ELSE '0' END" for s in range(1, 17))
+
+
+@query(f"WITH {_signs(16)} SELECT {_AGREE_16} AS sites, round(sum(a.y*b.y)/count(*), 6) AS cov, count(*) AS n FROM signs a, signs b GROUP BY 1")
+def covariance_by_agreeing_sites_sixteen(spark, sf):
+    out = C.covariance_by_sites(sign_patterns(spark, sf, 16), 16)
+    return out.select("sites", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
+
+
 _W = K.krawtchouk(PART_SPACE)
 _M = K.multiplicities(PART_SPACE)
 _WSQL = ", ".join(f"({k}, {d}, {float(_W[k, d])!r}, {float(_M[k])!r})" for k in range(6) for d in range(6))

@@ -2,7 +2,8 @@
 
 With A_S the sum over x_S of (sum of y over rows matching x_S) squared, the sum of y y' over the
 ordered pairs that agree on exactly the sites S follows from the A_T, T containing S, by
-inclusion-exclusion. Missing sequences are simply absent rows.
+inclusion-exclusion. Missing sequences are simply absent rows. Beyond 14 sites the same tables come from blocks
+of sequences that are compared inside tasks (``pair_moments``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.functions.seqcols import char_at, total
+from terrane.operators.pair_moments import pair_sums
 from terrane.operators.replicates import merge_replicates
 from terrane.operators.spaces import Space, int64
 from terrane.plans.kernels import delta_lambdas, distance_lambdas, multiplicities, order_columns
@@ -42,7 +44,11 @@ def covariance_by_distance(obs: DataFrame, length: int, keys: Sequence[str] = ()
 
     Replicates of a sequence are merged first. Counts are decimals, which pairs of billions of rows fit in.
     """
-    squares = site_sums(merge_replicates(obs, [*keys, "seq"], y), length, None, keys, y)
+    merged = merge_replicates(obs, [*keys, "seq"], y)
+    if length > MAX_CUBE_SITES:
+        sums = pair_sums(merged, length, False, keys, y).withColumnRenamed("class", "d")
+        return sums.select(*keys, "d", F.col("nn").alias("n"), F.when(F.col("nn") > 0, F.col("ss") / F.col("nn").cast("double")).otherwise(0.0).alias("cov"))
+    squares = site_sums(merged, length, None, keys, y)
     levels = squares.groupBy(*keys, (F.lit(length) - F.bit_count("gid")).alias("t")).agg(*_squares())
     shares = F.array(*[
         F.array(*[
@@ -117,9 +123,13 @@ def covariance_by_fold(states: DataFrame, space: Space, folds: int) -> list[dict
 
 
 def covariance_by_sites(obs: DataFrame, length: int, y: str = "y") -> DataFrame:
-    """``(sites, cov, n)`` per set of agreeing sites, written as a 0/1 string."""
+    """``(sites, cov, n)`` per set of agreeing sites, written as a 0/1 string; beyond 14 sites only sets that some pair agrees on."""
     full = (1 << length) - 1
-    masks = site_sums(merge_replicates(obs, ["seq"], y), length, None, (), y).groupBy((F.lit(full) - F.col("gid")).cast("bigint").alias("mask")).agg(*_squares())
+    merged = merge_replicates(obs, ["seq"], y)
+    if length > MAX_CUBE_SITES:
+        sums = pair_sums(merged, length, True, (), y)
+        return sums.select(F.lpad(F.bin("class"), length, "0").alias("sites"), (F.col("ss") / F.col("nn").cast("double")).alias("cov"), F.col("nn").alias("n"))
+    masks = site_sums(merged, length, None, (), y).groupBy((F.lit(full) - F.col("gid")).cast("bigint").alias("mask")).agg(*_squares())
     subsets = F.filter(F.sequence(int64(0), int64(full)), lambda s: s.bitwiseAND(F.col("mask")) == s)
     signed = F.transform(subsets, lambda s: F.struct(
         s.alias("sub"), F.when(F.bit_count(F.col("mask").bitwiseXOR(s)) % 2 == 0, 1).otherwise(-1).cast("bigint").alias("c")

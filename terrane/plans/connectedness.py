@@ -167,12 +167,13 @@ def decay_to_rho(decay: np.ndarray, radices: np.ndarray) -> np.ndarray:
 
 
 def fit_connectedness(obs: DataFrame, space: Space, starts: tuple[float, ...] = STARTS) -> tuple[float, np.ndarray]:
-    """(log mu, rho per site): least squares to y y' of all ordered pairs of observed states, replicates merged.
+    """(log mu, rho per site): least squares to y y' of all ordered pairs of observed states, replicates merged (a variance
+    may be missing where there is one measurement).
 
     The parameters are the factors by which the covariance falls when one site changes; kernel scale and constant follow
     from them. The starts descend side by side and share each pass over the 2^l norms.
     """
-    given = observed(space, obs).select("idx", "y", F.lit(1.0).alias("o"))
+    given = observed(space, obs, ["y"]).select("idx", "y", F.lit(1.0).alias("o"))
     moments = Moments(site_set_norms(given, space, {"y": "y", "o": "o"}), space)
     radices = moments.radices
 

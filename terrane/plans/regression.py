@@ -22,9 +22,9 @@ from terrane.session import cut, small_rows
 BLOCK_COLUMNS = 32
 
 
-def observed(space: Space, obs: DataFrame) -> DataFrame:
-    """``(idx, y[, y_var])`` of the observed states; rejects nulls and NaN at run time, merges replicates."""
-    for c in ("y", "y_var"):
+def observed(space: Space, obs: DataFrame, checked: Sequence[str] = ("y", "y_var")) -> DataFrame:
+    """``(idx, y[, y_var])`` of the observed states; rejects nulls and NaN in ``checked`` at run time, merges replicates."""
+    for c in checked:
         if c in obs.columns:
             bad = F.col(c).isNull() | F.isnan(c)
             obs = obs.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} holds a missing value")).cast("double")).otherwise(F.col(c)))
