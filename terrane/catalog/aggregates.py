@@ -195,7 +195,7 @@ def sign_patterns(spark, sf, length: int):
 
 
 @query(f"""WITH {_signs(20)}, pairs AS (SELECT CAST(hamming(a.seq, b.seq) AS BIGINT) AS d, a.y * b.y AS yy FROM signs a, signs b)
-  SELECT d, round(sum(yy)/count(*), 6) AS cov, count(*) AS n FROM pairs GROUP BY 1""")
+  SELECT d, round(sum(yy)/count(*), 6) + 0.0 AS cov, count(*) AS n FROM pairs GROUP BY 1""")
 def covariance_by_distance_twenty_sites(spark, sf):
     """Second moments of an incomplete table over more sites than a cube can hold."""
     out = C.covariance_by_distance(sign_patterns(spark, sf, 20), 20).where("n > 0")
@@ -205,7 +205,7 @@ def covariance_by_distance_twenty_sites(spark, sf):
 _AGREE_16 = " || ".join(f"CASE WHEN substr(a.seq,{s},1) = substr(b.seq,{s},1) THEN '1' ELSE '0' END" for s in range(1, 17))
 
 
-@query(f"WITH {_signs(16)} SELECT {_AGREE_16} AS sites, round(sum(a.y*b.y)/count(*), 6) AS cov, count(*) AS n FROM signs a, signs b GROUP BY 1")
+@query(f"WITH {_signs(16)} SELECT {_AGREE_16} AS sites, round(sum(a.y*b.y)/count(*), 6) + 0.0 AS cov, count(*) AS n FROM signs a, signs b GROUP BY 1")
 def covariance_by_agreeing_sites_sixteen(spark, sf):
     out = C.covariance_by_sites(sign_patterns(spark, sf, 16), 16)
     return out.select("sites", r6("cov").alias("cov"), F.col("n").cast("bigint").alias("n"))
