@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from terrane.operators.cube import covariance_by_fold, covariance_on_space, local_epistasis
 from terrane.operators.replicates import merge_replicates
 from terrane.operators.spaces import Space
-from terrane.operators.splits import assign_folds, fold_roles
+from terrane.operators.splits import assign_folds
 from terrane.operators.stats import metrics, with_interval
-from terrane.plans import kernels as K
+from terrane.plans import kernels as K, space_solve
 from terrane.plans.smallfit import damped_least_squares, nonnegative_least_squares
 from terrane.plans.solvers import Apply, conjugate_gradient, num
 from terrane.session import cut, small_rows
@@ -24,12 +24,18 @@ BLOCK_COLUMNS = 32
 
 def observed(space: Space, obs: DataFrame, checked: Sequence[str] = ("y", "y_var")) -> DataFrame:
     """``(idx, y[, y_var])`` of the observed states; rejects nulls and NaN in ``checked`` at run time, merges replicates."""
+    obs = without_missing(obs, checked)
+    named = obs if "idx" in obs.columns else obs.withColumn("idx", space.idx_or_fail("seq"))
+    return merge_replicates(named, ["idx"])
+
+
+def without_missing(obs: DataFrame, checked: Sequence[str] = ("y", "y_var")) -> DataFrame:
+    """``obs``, with null and NaN in ``checked`` stopping the job."""
     for c in checked:
         if c in obs.columns:
             bad = F.col(c).isNull() | F.isnan(c)
             obs = obs.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} holds a missing value")).cast("double")).otherwise(F.col(c)))
-    named = obs if "idx" in obs.columns else obs.withColumn("idx", space.idx_or_fail("seq"))
-    return merge_replicates(named, ["idx"])
+    return obs
 
 
 def observed_states(space: Space, obs: DataFrame) -> DataFrame:
@@ -63,7 +69,10 @@ def interpolate(obs: DataFrame, space: Space, p: int = 2, smooth: bool = False,
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
         return operator(df, cols, outs).withColumns({o: free(o) for o in outs})
 
-    solved = conjugate_gradient(system, apply, ["b"], rtol=rtol)
+    if precision is None:
+        solved = space_solve.solve(cut(system), space, [lam], ["b"], "0D", "NOT known", rtol)
+    else:
+        solved = conjugate_gradient(system, apply, ["b"], rtol=rtol)
     out = solved.select("idx", F.when(F.col("known"), F.col("y")).otherwise(F.col("x_b")).alias("y"))
     if smooth:
         out = K.apply_kernel(out, space, 1.0 - lam / K.faces_per_state(space, p), "y", "z").select("idx", F.col("z").alias("y"))
@@ -80,25 +89,22 @@ def epistasis_scale(obs: DataFrame, space: Space, p: int) -> float:
     return delta_rank(space, p) * r.n / r.s
 
 
-def precision_solve(states: DataFrame, space: Space, prior: Prior | Sequence[Sequence[float]], weight: str, rhs: Sequence[str], rtol: float = 1e-9) -> DataFrame:
+def precision_solve(states: DataFrame, space: Space, prior: Prior | Sequence[Sequence[float]], weight: str | Sequence[str], rhs: Sequence[str], rtol: float = 1e-9) -> DataFrame:
     """Solve (C + diag(weight)) x = b for each column ``b`` of ``rhs``: adds ``x_<b>``.
 
-    C is given by its eigenvalues, one list for all right-hand sides or one list for each, or as any map.
+    C is given by its eigenvalues, one list for all right-hand sides or one list for each, or as any map. Right-hand
+    sides may have weights of their own as well.
     """
-    if isinstance(prior, K.Kernel):
-        applied, diagonals = prior.apply, [prior.diagonal] * len(rhs)
-    else:
+    weights = [weight] * len(rhs) if isinstance(weight, str) else list(weight)
+    if not isinstance(prior, K.Kernel):
         own = list(prior) if np.ndim(prior[0]) else [prior] * len(rhs)
-        applied = lambda df, cols, outs: K.apply_kernels(df, space, {o: (c, lam) for c, o, lam in zip(cols, outs, own)})
-        diagonals = [K.kernel_diagonal(space, lam) for lam in own]
+        return space_solve.solve(states, space, own, rhs, [f"`{w}`" for w in weights], rtol=rtol)
 
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
         held = [f"`{c}`" for c in df.columns]
-        df = applied(df, cols, outs)
-        return df.selectExpr(*held, *[f"`{o}` + `{weight}` * `{c}` AS `{o}`" for c, o in zip(cols, outs)])
+        return prior.apply(df, cols, outs).selectExpr(*held, *[f"`{o}` + `{w}` * `{c}` AS `{o}`" for c, o, w in zip(cols, outs, weights)])
 
-    diagonal = [f"`{weight}` + {num(x)}" for x in diagonals]
-    return conjugate_gradient(states, apply, list(rhs), diagonal, rtol)
+    return conjugate_gradient(states, apply, list(rhs), [f"`{w}` + {num(prior.diagonal)}" for w in weights], rtol)
 
 
 def epistasis_regression(obs: DataFrame, space: Space, p: int, a: float | None = None, rtol: float = 1e-9, precision: K.Kernel | None = None) -> DataFrame:
@@ -236,26 +242,45 @@ def cross_validate_beta(obs: DataFrame, space: Space, betas: Sequence[float], fo
     moments = covariance_by_fold(states, space, folds)
     tested = [F.col("fold").eqNullSafe(F.lit(k)) for k in range(folds)]
     noise = rows.agg(*[F.min(F.when(t if role == "test" else ~t, F.col("y_var"))).alias(f"{role}{k}") for k, t in enumerate(tested) for role in ("train", "test")]).first()
-    out = []
+    out, held_out = [], []
     for k in range(folds):
         fits = {role: MomentFit(space, *zip(*moments[k][role]), float(noise[f"{role}{k}"] or 0.0)) for role in ("train", "test")}
         variances = [fits["train"].fit(beta) for beta in betas]
         if loss == "frobenius_norm":
-            values = [fits["test"].error(v) for v in variances]
+            out += [fits["test"].error(v) for v in variances]
         else:
-            values = _held_out(folded, k, space, variances, loss)
-        out += [(float(b), log10(b) if b > 0 else float("-inf"), k, float(v)) for b, v in zip(betas, values)]
+            held_out += [(k, v) for v in variances]
+    if held_out:
+        out = _held_out(folded, space, held_out, loss)
+    labels = [(float(b), log10(b) if b > 0 else float("-inf"), k) for k in range(folds) for b in betas]
+    return [(*label, float(v)) for label, v in zip(labels, out)]
+
+
+def _held_out(folded: DataFrame, space: Space, variances: Sequence[tuple[int, np.ndarray]], loss: str) -> list[float]:
+    """Losses of held-out predictions for ``(fold, variances)`` pairs; the posteriors of a block of pairs are one solve."""
+    rows = without_missing(folded).withColumn("idx", space.idx_or_fail("seq"))
+    folds = sorted({k for k, _ in variances})
+    trains = lambda k: ~F.col("fold").eqNullSafe(F.lit(k))
+    per_state = rows.select("idx", "y", "y_var", *[trains(k).alias(f"m{k}") for k in folds])
+    states = cut(folded.sparkSession.range(space.n).withColumnRenamed("id", "idx").join(per_state, "idx", "left").na.fill(0.0))
+    out = []
+    for at in range(0, len(variances), BLOCK_COLUMNS):
+        part = variances[at:at + BLOCK_COLUMNS]
+        rhs, lams = [f"b{i}" for i in range(len(part))], [lam for _, lam in part]
+        system = states.select("*", *[F.col("y").alias(c) for c in rhs])
+        solved = space_solve.solve(system, space, lams, rhs, "y_var", [f"m{k}" for k, _ in part], 1e-6)
+        means = space_solve.apply(solved, space, lams, [f"x_{c}" for c in rhs])
+        found = _scores(rows, means, [(k, f"f{i}") for i, (k, _) in enumerate(part)])
+        out += [-found[i].loglikelihood * found[i].n if loss == "logL" else -(found[i].r2 or 0.0) for i in range(len(part))]
     return out
 
 
-def _held_out(folded: DataFrame, fold: int, space: Space, variances: Sequence[np.ndarray], loss: str) -> list[float]:
-    """Losses of the predictions of one fold; the posteriors of all ``variances`` are one block solve."""
-    is_test = F.col("fold").eqNullSafe(F.lit(fold))
-    means = posterior_means(folded.where(~is_test).select("seq", "y", "y_var"), space, variances, rtol=1e-6)
-    each = F.posexplode(F.array(*[F.col(f"f{i}") for i in range(len(variances))])).alias("label", "ypred")
-    both = folded.where(is_test).select("seq", "y", "y_var").join(means.select(space.seq_of("idx").alias("seq"), each), "seq")
-    found = {r.label: r for r in metrics(both, "label", True).collect()}
-    return [-found[i].loglikelihood * found[i].n if loss == "logL" else -(found[i].r2 or 0.0) for i in range(len(variances))]
+def _scores(folded: DataFrame, predicted: DataFrame, columns: Sequence[tuple[int, str]]) -> dict:
+    """Metrics of the test rows of a fold under a column of ``predicted``, by position in ``columns`` (pairs of both)."""
+    each = F.array(*[F.struct(F.lit(i).alias("label"), F.lit(k).alias("tested"), F.col(c).alias("ypred")) for i, (k, c) in enumerate(columns)])
+    own = F.filter(each, lambda s: s["tested"] == F.col("fold"))
+    both = folded.where("fold is not null").join(predicted, "idx").select("y", "y_var", F.inline(own))
+    return {r.label: r for r in metrics(both, "label", True).collect()}
 
 
 # --- Gaussian-process posterior --------------------------------------------------------------------
@@ -267,26 +292,23 @@ def _kernel(space: Space, prior: Prior) -> K.Kernel:
     return prior if isinstance(prior, K.Kernel) else K.order_kernel(space, prior)
 
 
-def _masked_kernel(space: Space, kernel: K.Kernel | Sequence[Sequence[float]]) -> Apply:
-    """(K_BB + D) on complete vectors that are zero where nothing was observed.
+def _solve_observed(states: DataFrame, space: Space, prior: Prior, rhs: Sequence[str], rtol: float) -> DataFrame:
+    """Solve (K_BB + D) x = b on the observed states: adds ``x_<b>``, zero where nothing was observed."""
+    if not isinstance(prior, K.Kernel):
+        return space_solve.solve(states, space, [prior] * len(rhs), rhs, "y_var", "known", rtol)
 
-    One kernel for all right-hand sides, or eigenvalues per order for each of them.
-    """
     def apply(df: DataFrame, cols: Sequence[str], outs: Sequence[str]) -> DataFrame:
         held = [f"`{c}`" for c in df.columns]
-        if isinstance(kernel, K.Kernel):
-            df = kernel.apply(df, cols, outs)
-        else:
-            df = K.apply_kernels(df, space, {o: (c, lam) for c, o, lam in zip(cols, outs, kernel)})
+        df = prior.apply(df, cols, outs)
         return df.selectExpr(*held, *[f"IF(known, `{o}` + y_var * `{c}`, 0D) AS `{o}`" for c, o in zip(cols, outs)])
-    return apply
+    return conjugate_gradient(states, apply, rhs, f"{num(prior.diagonal)} + y_var", rtol)
 
 
 def posterior_mean(obs: DataFrame, space: Space, prior: Prior, requested: DataFrame | None = None, rtol: float = 1e-9) -> DataFrame:
     """``(idx, seq, y)`` for all states, or for the sequences requested."""
     kernel = _kernel(space, prior)
     states = cut(observed_states(space, obs))
-    solved = conjugate_gradient(states, _masked_kernel(space, kernel), ["y"], f"{num(kernel.diagonal)} + y_var", rtol)
+    solved = _solve_observed(states, space, prior, ["y"], rtol)
     mean = kernel.apply(solved, ["x_y"], ["f"])
     out = named_states(space, mean.select("idx", F.col("f").alias("y")), "y")
     return out if requested is None else out.join(requested.select("seq").distinct(), "seq", "left_semi")
@@ -296,9 +318,8 @@ def posterior_means(obs: DataFrame, space: Space, many: Sequence[Sequence[float]
     """``(idx, f0, f1, ...)``: posterior means under several lists of variances, in one block solve."""
     rhs = [f"y{i}" for i in range(len(many))]
     states = cut(observed_states(space, obs).select("idx", "known", "y_var", *[F.col("y").alias(c) for c in rhs]))
-    d = [f"{num(K.kernel_diagonal(space, lam))} + y_var + {num(1e-12)}" for lam in many]
-    solved = conjugate_gradient(states, _masked_kernel(space, list(many)), rhs, d, rtol)
-    return K.apply_kernels(solved, space, {f"f{i}": (f"x_{c}", lam) for i, (c, lam) in enumerate(zip(rhs, many))}).select("idx", *[f"f{i}" for i in range(len(many))])
+    solved = space_solve.solve(states, space, many, rhs, "y_var", "known", rtol)
+    return space_solve.apply(solved, space, many, [f"x_{c}" for c in rhs])
 
 
 def posterior_contrasts(obs: DataFrame, space: Space, prior: Prior, contrasts: DataFrame, rtol: float = 1e-9) -> DataFrame:
@@ -308,7 +329,6 @@ def posterior_contrasts(obs: DataFrame, space: Space, prior: Prior, contrasts: D
     and a block of contrasts are columns of one solve.
     """
     kernel = _kernel(space, prior)
-    d = f"{num(kernel.diagonal)} + y_var"
     base, found = observed_states(space, obs), []
     for names, weights in _weight_blocks(contrasts, space):
         cols = [f"w{i}" for i in range(len(names))]
@@ -317,7 +337,7 @@ def posterior_contrasts(obs: DataFrame, space: Space, prior: Prior, contrasts: D
         states = states.withColumns({f"r{c}": F.when(F.col("known"), F.col(f"g{c}")).otherwise(0.0) for c in cols})
         # the data are solved with the first block and kept for the others
         rhs = [*([] if found else ["y"]), *[f"r{c}" for c in cols]]
-        solved = conjugate_gradient(cut(states), _masked_kernel(space, kernel), rhs, d, rtol)
+        solved = _solve_observed(cut(states), space, prior, rhs, rtol)
         row = solved.agg(
             *[F.sum(F.col(f"r{c}") * F.col("x_y")).alias(f"m{c}") for c in cols],
             *[(F.sum(F.col(c) * F.col(f"g{c}")) - F.sum(F.col(f"r{c}") * F.col(f"x_r{c}"))).alias(f"v{c}") for c in cols],
@@ -338,19 +358,19 @@ def posterior_variance(obs: DataFrame, space: Space, prior: Prior, requested: Se
 
 
 def cross_validate_scale(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0, rtol: float = 1e-5) -> list[tuple]:
-    """``(a, fold, logL)``: held-out mean log-density of the epistasis regression."""
-    roles = cut(fold_roles(assign_folds(merge_replicates(obs), folds, seed), folds))
-    lam = [a / K.n_faces(space, p) * K.delta_lambdas(space, p) for a in a_values]
-    rhs = [f"b{i}" for i in range(len(a_values))]
+    """``(a, fold, logL)``: held-out mean log-density of the epistasis regression. All folds and scales are columns of block solves."""
+    folded = cut(assign_folds(merge_replicates(without_missing(obs)), folds, seed).withColumn("idx", space.idx_or_fail("seq")))
+    inside = lambda k, v: F.when(F.col("fold").eqNullSafe(F.lit(k)), 0.0).otherwise(v)
+    per_state = folded.select("idx", *[c for k in range(folds) for c in (inside(k, 1.0 / F.col("y_var")).alias(f"w{k}"), inside(k, F.col("y") / F.col("y_var")).alias(f"b{k}"))])
+    states = cut(obs.sparkSession.range(space.n).withColumnRenamed("id", "idx").join(per_state, "idx", "left").na.fill(0.0))
+    problems = [(k, float(a)) for k in range(folds) for a in a_values]
     rows = []
-    for split in range(folds):
-        own = roles.where(F.col("split") == split)
-        states = _weighted(space, own.where("role = 'train'"))
-        # all scales of a fold are columns of one block solve
-        states = cut(states.select("idx", "w", *[F.col("b").alias(c) for c in rhs]))
-        solved = precision_solve(states, space, lam, "w", rhs, rtol)
-        means = F.inline(F.array(*[F.struct(F.lit(float(a)).alias("a"), F.col(f"x_{c}").alias("ypred")) for a, c in zip(a_values, rhs)]))
-        mean = solved.select(space.seq_of("idx").alias("seq"), means)
-        both = own.where("role = 'test'").join(mean, "seq")
-        rows += [(r.a, split, float(r.loglikelihood)) for r in metrics(both, "a", True).collect()]
+    for at in range(0, len(problems), BLOCK_COLUMNS):
+        part = problems[at:at + BLOCK_COLUMNS]
+        rhs = [f"b{k}_{i}" for i, (k, _) in enumerate(part)]
+        system = states.select("*", *[F.col(f"b{k}").alias(c) for c, (k, _) in zip(rhs, part)])
+        lams = [a / K.n_faces(space, p) * K.delta_lambdas(space, p) for _, a in part]
+        solved = precision_solve(system, space, lams, [f"w{k}" for k, _ in part], rhs, rtol)
+        found = _scores(folded, solved.select("idx", *[f"x_{c}" for c in rhs]), [(k, f"x_{c}") for c, (k, _) in zip(rhs, part)])
+        rows += [(a, k, float(found[i].loglikelihood)) for i, (k, a) in enumerate(part)]
     return sorted(rows, key=lambda r: (r[1], r[0]))
