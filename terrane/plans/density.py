@@ -5,16 +5,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import lgamma as log_gamma
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from terrane.constants import MAX_EXPONENT
 from terrane.functions.seqcols import expected_logp
+from terrane.functions.special import lgamma
 from terrane.operators.spaces import Space
 from terrane.operators.splits import assign_folds
-from terrane.operators.stats import geodesic, log_likelihood, softmax
-from terrane.plans import kernels as K
+from terrane.operators.stats import geodesic, softmax
+from terrane.plans import kernels as K, space_solve
 from terrane.plans.regression import precision_contrasts
 from terrane.plans.solvers import Chain, conjugate_gradient, dot, num
 from terrane.session import cut
@@ -24,6 +26,8 @@ INF = float("inf")
 PHI_LOW, PHI_HIGH = 0.0, 100.0
 # decades by which the range of a scale grid is widened at most, and by how many with one fit
 WIDER, BATCH = 12, 4
+#: Fields that are fitted together by a cross-validation.
+FIT_COLUMNS = 30
 
 
 @dataclass(frozen=True)
@@ -108,8 +112,12 @@ def fit_fields(states: DataFrame, space: Space, problems: Sequence[tuple[str, fl
             v = K.apply_kernels(v, space, maps)
             return v.selectExpr(*held, *[f"`{o}` + `{'_p' if shut[c] else '_h'}{o}` AS `{o}`" for c, o in zip(names, outs)])
 
-        precondition = ["1D" if shut[c] else f"h_{c} + {num(diag[c])}" for c in names]
-        solved = conjugate_gradient(df, apply, [f"g_{c}" for c in names], precondition, forcing)
+        rhs = [f"g_{c}" for c in names]
+        if any(shut.values()):
+            precondition = ["1D" if shut[c] else f"h_{c} + {num(diag[c])}" for c in names]
+            solved = conjugate_gradient(df, apply, rhs, precondition, forcing)
+        else:
+            solved = space_solve.solve(df, space, list(lam.values()), rhs, [f"h_{c}" for c in names], rtol=forcing, check=False)
         d = {c: f"x_g_{c}" for c in names}
         # the quadratic part along the step needs only scalars: C d = g - h d up to the CG residual
         solved = K.apply_kernels(solved, space, {f"cd_{c}": (d[c], lam[c]) for c in names})
@@ -219,42 +227,61 @@ def scale_grid(states: DataFrame, space: Space, p: int, n: int = 20, tolerance:
     return [0.0, *(per_face * 10.0 ** np.linspace(bottom, top, n)).tolist(), INF]
 
 
-def cross_validate_density(obs: DataFrame, space: Space, p: int, a_values: Sequence[float], folds: int = 5, seed: int = 0,
+def cross_validate_density(obs: DataFrame, space: Space, p: int, a_values: Sequence[float] | None = None, folds: int = 5, seed: int = 0,
                            weight: str = "y", low: tuple[float, ...] | None = None, rtol: float = 1e-6) -> list[tuple]:
-    """``(a, fold, logL)`` of held-out sequences; the folds of one a are fitted together.
+    """``(a, fold, logL)`` of held-out sequences; folds and scales are columns of one fit, up to ``FIT_COLUMNS``.
 
     ``obs`` holds one row per observed sequence (``row_id``, ``seq``, weight). The limit a = infinity
-    comes first and starts all other fits.
+    comes first and starts all other fits. Without ``a_values`` the scales are those of ``scale_grid`` on all rows.
     """
     folded = assign_folds(obs, folds, seed, "row_id")
     w = F.col(weight).cast("double")
     per_state = folded.groupBy(space.idx_or_fail("seq").alias("idx")).agg(
         *[F.sum(F.when(F.col("fold").eqNullSafe(F.lit(k)), 0.0).otherwise(w)).alias(f"train{k}") for k in range(folds)],
-        *[F.sum(F.when(F.col("fold") == k, w).otherwise(0.0)).alias(f"test{k}") for k in range(folds)],
+        *[F.sum(F.when(F.col("fold") == k, w).otherwise(0.0)).alias(f"test{k}") for k in range(folds)], F.sum(w).alias("c"),
     )
-    cols = [f"train{k}" for k in range(folds)] + [f"test{k}" for k in range(folds)]
+    names, warm = [f"train{k}" for k in range(folds)], [f"warm{k}" for k in range(folds)]
+    cols = [*names, *[f"test{k}" for k in range(folds)], "c"]
     states = obs.sparkSession.range(space.n).withColumnRenamed("id", "idx").join(per_state, "idx", "left").na.fill(0.0, cols)
     states = cut(states.withColumn("off", F.lit(0.0)))
-    totals = states.agg(*[F.sum(c).alias(c) for c in cols]).first()
-    names = [f"train{k}" for k in range(folds)]
-    warm = [f"warm{k}" for k in range(folds)]
+    if a_values is None:
+        a_values = scale_grid(states.select("idx", "c", "off"), space, p, low=low, rtol=rtol)
+    totals = states.agg(*[F.sum(c).alias(c) for c in names]).first()
     states = fit_fields(states, space, [(c, totals[c], Prior(p, INF, low)) for c in names], None, rtol)
     states = cut(states.withColumnsRenamed({f"phi_{c}": w for c, w in zip(names, warm)}))
-    rows = []
-    for a in sorted(set(a_values), reverse=True):
-        if a == INF:
-            fitted = states.withColumns({f"phi_train{k}": F.col(f"warm{k}") for k in range(folds)})
-        elif a == 0:
-            share = lambda k: F.col(f"train{k}") / F.lit(totals[f"train{k}"])
-            fitted = states.withColumns({f"phi_train{k}": F.when(share(k) > 0, -F.log(share(k))).otherwise(F.lit(INF)) for k in range(folds)})
-        else:
-            fitted = fit_fields(states, space, [(c, totals[c], Prior(p, a, low)) for c in names], warm, rtol)
-        for k in range(folds):
-            q = softmax(fitted.select(F.col(f"test{k}").alias("y"), (-F.col(f"phi_train{k}")).alias("_l")), "_l", "q")
-            rows.append((float(a), k, float(log_likelihood(q).first().logL)))
+    between = sorted({float(a) for a in a_values if 0 < a < INF}, reverse=True)
+    size = max(1, FIT_COLUMNS // folds)
+    rows, constants = [], _multinomial_constants(states, folds)
+    if INF in a_values:
+        rows += _held_out(states, constants, [(INF, k, F.col(warm[k])) for k in range(folds)])
+    for at in range(0, len(between), size):
+        problems = [(f"c{i}_{k}", a, k) for i, a in enumerate(between[at:at + size]) for k in range(folds)]
+        wide = states.withColumns({c: F.col(names[k]) for c, _, k in problems})
+        fitted = cut(fit_fields(wide, space, [(c, totals[names[k]], Prior(p, a, low)) for c, a, k in problems], [warm[k] for _, _, k in problems], rtol))
+        rows += _held_out(fitted, constants, [(a, k, F.col(f"phi_{c}")) for c, a, k in problems])
+    if 0 in a_values:
+        share = lambda k: F.col(names[k]) / F.lit(totals[names[k]])
+        rows += _held_out(states, constants, [(0.0, k, F.when(share(k) > 0, -F.log(share(k))).otherwise(F.lit(INF))) for k in range(folds)])
     return rows
 
 
+def _held_out(fitted: DataFrame, constants: dict[int, float], fields: Sequence[tuple]) -> list[tuple]:
+    """``(a, fold, logL)`` of the test counts of a fold under a field, for ``(a, fold, field)``; two aggregates for all."""
+    norm = fitted.agg(*[F.log(F.sum(F.exp(-field))).alias(f"n{i}") for i, (_, _, field) in enumerate(fields)]).first()
+    found = fitted.agg(*[F.sum(F.when(F.col(f"test{k}") > 0, -F.col(f"test{k}") * (field + F.lit(norm[f"n{i}"]))).otherwise(0.0)).alias(f"f{i}")
+                         for i, (_, k, field) in enumerate(fields)]).first()
+    return [(float(a), k, found[f"f{i}"] + constants[k]) for i, (a, k, _) in enumerate(fields)]
+
+
+def _multinomial_constants(states: DataFrame, folds: int) -> dict[int, float]:
+    """lnGamma(N + 1) minus the sum of lnGamma(c + 1) over the test counts of each fold."""
+    each = states.select(F.inline(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"test{k}").alias("c")) for k in range(folds)])))
+    distinct = each.groupBy("fold", "c").agg(F.count("*").alias("m"))
+    distinct = distinct.select("fold", (F.col("m") * F.col("c")).alias("n"), (F.col("m") * lgamma(F.col("c") + 1.0)).alias("g"))
+    rows = distinct.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
+    return {r.fold: log_gamma(r.n + 1.0) - r.g for r in rows}
+
+
 def best_scale(rows: Sequence[tuple]) -> float:
     """Scale with the largest mean held-out log-likelihood."""
     by_a: dict[float, list[float]] = {}

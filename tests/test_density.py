@@ -1,3 +1,5 @@
+from math import lgamma, log
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,12 +105,23 @@ def test_sequences_outside_the_space_fail(spark, sample):
 
 
 def test_scale_cross_validation(spark, sample):
+    """Every held-out value equals that of a fit of its own to the training counts."""
     space, counts, _ = sample
     rows = [(k, s, 1.0) for k, s in enumerate(x for x, c in zip(sequences(space), counts) for _ in range(int(c)))]
     obs = spark.createDataFrame(rows, "row_id bigint, seq string, y double")
-    out = D.cross_validate_density(obs, space, 2, [100.0, D.INF], folds=2)
-    assert {a for a, _, _ in out} == {100.0, D.INF} and all(np.isfinite(x) for _, _, x in out)
-    assert D.best_scale(out) in (100.0, D.INF)
+    out = D.cross_validate_density(obs, space, 2, [0.0, 20.0, 100.0, D.INF], folds=2, rtol=1e-8)
+    assert len(out) == 8 and D.best_scale(out) in (20.0, 100.0, D.INF)
+    got = {(a, k): v for a, k, v in out}
+    folded = D.assign_folds(obs, 2, 0, "row_id")
+    for k in range(2):
+        train = folded.where(f"fold is null or fold <> {k}").groupBy("seq").agg(F.sum("y").alias("y"))
+        tests = {r.seq: r.n for r in folded.where(f"fold = {k}").groupBy("seq").agg(F.sum("y").alias("n")).collect()}
+        for a in (20.0, D.INF):
+            q = {r.seq: r.Q_star for r in D.density_table(D.fit_field(D.cut(D.density_states(space, train)), space, D.Prior(2, a)), space).collect()}
+            want = sum(n * log(q[s]) - lgamma(n + 1) for s, n in tests.items()) + lgamma(sum(tests.values()) + 1)
+            assert got[a, k] == pytest.approx(want, abs=1e-4)
+        unseen = set(tests) - {r.seq for r in train.collect()}
+        assert (got[0.0, k] == -D.INF) == bool(unseen)
 
 
 def test_build_saves_all_layers(spark, tmp_path):

@@ -176,10 +176,42 @@ def test_fold_moments_equal_those_of_the_parts(spark, noisy):
                 assert n == want.get(d, (0, 0))[1] and cov == pytest.approx(want[d][0] if n else 0.0, abs=1e-9)
 
 
+def folds_of(obs, folds):
+    from terrane.operators.splits import assign_folds
+    return {r.seq: r.fold for r in assign_folds(obs, folds, 0).collect()}
+
+
 def test_scale_cross_validation(spark, noisy):
-    space, _, _, _, obs = noisy
-    rows = R.cross_validate_scale(obs, space, 2, [50.0], folds=2)
-    assert len(rows) == 2 and all(np.isfinite(r[2]) for r in rows)
+    """All folds and scales of one solve against dense posteriors."""
+    space, _, kept, rows, obs = noisy
+    got = {(k, a): v for a, k, v in R.cross_validate_scale(obs, space, 2, [5.0, 50.0], folds=3, rtol=1e-9)}
+    fold, seqs = folds_of(obs, 3), sequences(space)
+    c = dense_kernel(space, K.delta_lambdas(space, 2)) / K.n_faces(space, 2)
+    assert len(got) == 6
+    for (k, a), value in got.items():
+        w, b = np.zeros(27), np.zeros(27)
+        for i, (s, y, v) in zip(kept, rows):
+            if fold[s] != k:
+                w[i], b[i] = 1 / v, y / v
+        mean = np.linalg.solve(a * c + np.diag(w), b)
+        want = np.mean([-0.5 * (np.log(2 * np.pi * v) + (y - mean[seqs.index(s)]) ** 2 / v) for s, y, v in rows if fold[s] == k])
+        assert value == pytest.approx(want, rel=1e-4)
+
+
+def test_held_out_likelihood_of_all_folds(spark, noisy):
+    space, _, kept, rows, obs = noisy
+    from terrane.operators.splits import assign_folds
+    lam = [np.array([20.0, 8.0, 2.0, 0.5]), np.array([5.0, 1.0, 1.0, 1.0])]
+    problems = [(k, v) for k in range(3) for v in lam]
+    got = R._held_out(assign_folds(obs, 3, 0), space, problems, "logL")
+    fold = folds_of(obs, 3)
+    for (k, v), value in zip(problems, got):
+        c = dense_kernel(space, v)
+        train, test = ([(i, y, s2) for i, (s, y, s2) in zip(kept, rows) if (fold[s] == k) == t] for t in (False, True))
+        i, j = [x[0] for x in train], [x[0] for x in test]
+        mean = c[np.ix_(j, i)] @ np.linalg.solve(c[np.ix_(i, i)] + np.diag([x[2] for x in train]), [x[1] for x in train])
+        want = sum(0.5 * (np.log(2 * np.pi * s2) + (y - m) ** 2 / s2) for (_, y, s2), m in zip(test, mean))
+        assert value == pytest.approx(want, rel=1e-3)
 
 
 def test_own_precision_operator(spark, noisy):
