@@ -241,13 +241,13 @@ def take_steps(inner: np.ndarray, degree: int, top: float, target: float) -> tup
 
 
 def solve(states: DataFrame, space: Space, lambdas: Sequence[Sequence[float]], rhs: Sequence[str], diagonal: str | Sequence[str],
-          mask: str | Sequence[str | None] | None = None, rtol: float = 1e-9, degree: int = STEPS, max_jobs: int = 400, check: bool = True) -> DataFrame:
+          mask: str | Sequence[str | None] | None = None, rtol: float = 1e-9, degree: int = STEPS, max_jobs: int = 400) -> DataFrame:
     """Solve (m C m + d) x = b for each column ``b`` of ``rhs`` over a complete state table: adds ``x_<b>``.
 
     ``lambdas`` holds the eigenvalues of C for each right-hand side. ``diagonal`` (d) and ``mask`` (a condition, all states
     without one) are SQL text, one for all or one for each; right-hand sides count as zero outside the mask, and so
-    are the solutions. Every system must be positive (semi-)definite. ``check`` computes the residual afresh at the
-    end; a residual that cannot be told from rounding ends the solve as well. Without the check ``rtol`` is that of the scaled system.
+    are the solutions. Every system must be positive (semi-)definite. A residual that cannot be told
+    from rounding ends the solve as well.
     """
     n = len(rhs)
     diagonals = [diagonal] * n if isinstance(diagonal, str) else list(diagonal)
@@ -283,9 +283,6 @@ def solve(states: DataFrame, space: Space, lambdas: Sequence[Sequence[float]], r
                 done = done and (square <= targets[c] or not taken)
             if not done:
                 continue
-        if not check:
-            weights = lambda k: " + ".join(f"{num(v)} * x[{h * n + k}]" for h, v in enumerate(mix[k, :, 0]))
-            return states.join(df.selectExpr("idx", *[f"w[{k}] * ({weights(k)}) AS `x_{b}`" for k, b in enumerate(rhs)]), "idx")
         step = Stored(system.residual(df, held, mix))
         last.drop()
         last, df, held, mix, jobs = step, step.table, 3, np.tile(np.eye(3), (n, 1, 1)), jobs + 1
