@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from terrane.operators.spaces import Space, block_key_sql, site_blocks
 from terrane.session import Stored
 
-TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 18    # of vectors that a task holds
+TASK_BYTES, LEAST_BYTES = 64 << 20, 1 << 24    # of vectors that a task holds
 SCHEMA = "idx long, y double, g double, leave double, root double, x array<double>, u array<double>"
 BETWEEN = "idx long, y double, g double, leave double, root double, x binary, u binary, z binary"   # packed, on the way
 

@@ -23,6 +23,7 @@ from terrane.session import Stored
 
 GAIN = 1e5           # what a filter adds to the wanted end over the cut, at most
 DEGREES = (4, 24)
+FIRST_ORDER = 64     # columns a block may take for the modes of one site
 
 
 def chebyshev_steps(low: float, cut: float, degree: int) -> list[Step]:
@@ -37,6 +38,18 @@ def chebyshev_steps(low: float, cut: float, degree: int) -> list[Step]:
     return steps
 
 
+def block_width(space: Space, k: int, spare: int | None = None) -> int:
+    """Columns of the block: k, those of all modes of one site, and spare ones.
+
+    Without selection the modes of one site share the slowest rates and the next ones are as fast again; under weak selection they
+    lie close together. A block that ends among them gains little by a filter, one that holds them all ends at the gap.
+    """
+    if spare is None:
+        first = sum(r - 1 for r in space.radices)
+        return min(space.n - 1, (max(k, first) if first <= FIRST_ORDER else k) + max(5, k))
+    return min(space.n - 1, k + spare)
+
+
 @dataclass
 class Modes:
     """``rates``: decay rates, slowest first. ``table``: idx, root and ``x``, whose columns combined by ``mix`` are the unit modes."""
@@ -79,7 +92,7 @@ def slowest_modes(nodes: DataFrame, space: Space, ns: float, k: int, y: str = "y
     walk = BlockWalk(space, ns, exchange)
     rows = walk.rows(nodes, y, p0)
     bound = max(rows.measures["bound"] or 0.0, 1e-300)
-    width = min(space.n - 1, k + (spare if spare is not None else max(5, k)))
+    width = block_width(space, k, spare)
     if start is None:
         df = rows.table.withColumn("x", F.array(*[hash_uniform("idx", f"start{c}") - 0.5 for c in range(width)]))
         mix = np.vstack([np.eye(width), np.zeros(width)])

@@ -119,6 +119,35 @@ def test_modes_equal_those_of_the_edge_table(spark):
     np.testing.assert_allclose([r.decay_rates for r in got.orderBy("k").collect()], [r.decay_rates for r in want.orderBy("k").collect()], rtol=1e-8)
 
 
+def test_close_rates_of_one_site_take_few_products(spark):
+    space = Space.regular(5, "ACGT")
+    y, nodes = landscape(spark, space, 8)
+    _, sym, p = dense_generator(space, y, 0.2)
+    values, vectors = np.linalg.eigh(sym)
+    found = M.slowest_modes(nodes, space, 0.2, 3, rtol=1e-6)
+    np.testing.assert_allclose(found.rates, -values[::-1][1:4], rtol=1e-8)
+    assert found.degrees < 80    # a block of 8 columns ends among the 15 modes of one site and took 122
+    rows = found.table.table.selectExpr("idx", *[f"{m} AS m{c}" for c, m in enumerate(found.modes(3))]).orderBy("idx").collect()
+    for c in range(3):
+        assert abs(np.array([r[f"m{c}"] for r in rows]) @ vectors[:, -2 - c]) > 1 - 1e-6
+
+
+def test_block_width():
+    assert M.block_width(Space.regular(8, "ACGT"), 3) == 24 + 5 and M.block_width(Space.regular(8, "ACGT"), 30) == 60
+    assert M.block_width(Space.regular(5, "ACDEFGHIKLMNPQRSTVWY"), 3) == 8    # 95 modes of one site are too wide
+    assert M.block_width(Space.regular(1, "AB"), 3) == 1 and M.block_width(Space.regular(3, "ACGT"), 3, spare=2) == 5
+
+
+def test_few_tasks_for_small_blocks(spark):
+    set_before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        walk = B.BlockWalk(Space.regular(8, "ACGT"), 0.2)
+        assert walk._dealt(spark.range(1).withColumnRenamed("id", "idx"), walk.blocks[0], 3 * 29).rdd.getNumPartitions() <= 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_before)
+
+
 def test_small_spaces(spark):
     space = Space.regular(1, "AB")
     _, nodes = landscape(spark, space, 3)
