@@ -206,7 +206,7 @@ def values_with_stop(spark, sf):
 @query(f"""WITH {CUSTOMER} SELECT a.row_id AS i, b.row_id AS j FROM customer_dna a JOIN customer_dna b ON hamming(a.seq, b.seq) = 1""")
 def mutation_self_join(spark, sf):
     """All pairs of customers one letter apart."""
-    return P.hamming_edges(customer_dna(spark, sf).withColumnRenamed("row_id", "idx"), CUSTOMER_LENGTH)
+    return P.hamming_edges(customer_dna(spark, sf).withColumnRenamed("row_id", "idx"), CUSTOMER_LENGTH, copies=True)
 
 
 @query(f"""WITH {CUSTOMER}, f AS (SELECT row_id, seq FROM customer_dna WHERE y > 9900)
@@ -215,7 +215,7 @@ def mutation_self_join(spark, sf):
     AND NOT EXISTS (SELECT 1 FROM f WHERE hamming(b.seq, f.seq) <= 1)""")
 def two_hop_neighbours(spark, sf):
     nodes = customer_dna(spark, sf).withColumnRenamed("row_id", "idx")
-    out = P.neighbourhood(P.hamming_edges(nodes, CUSTOMER_LENGTH), nodes.where("y > 9900"), 2)
+    out = P.neighbourhood(P.hamming_edges(nodes, CUSTOMER_LENGTH, copies=True), nodes.where("y > 9900"), 2)
     return out.select("idx", F.col("hops").cast("bigint").alias("hops"))
 
 

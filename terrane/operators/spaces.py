@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import prod
+from math import ceil, prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -214,19 +214,50 @@ def sequence_space(spark: SparkSession, values: DataFrame, space: Space | None =
 
 # --- graphs over arbitrary sequence lists ----------------------------------------------
 
-def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "seq") -> DataFrame:
+BLOCK_ROWS = 1024         # of one sequence that travel together
+TASK_PAIRS = 1 << 23      # that a task of a join with copies returns
+
+
+def _masked_cells(seq: str, length: int) -> Column:
+    return F.explode(F.array(*[
+        F.struct(mask_site(seq, s).alias("key"), F.lit(s).alias("site"), char_at(seq, s).alias("allele")) for s in range(length)
+    ])).alias("c")
+
+
+def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "seq", copies: bool = False) -> DataFrame:
     """Pairs at Hamming distance 1, by equality of masked sequences and different letters at the mask.
 
     Among distinct sequences a masked key is shared by at most one row per allele, so the self-join
-    cannot blow up.
+    cannot blow up. ``copies`` is for tables where many rows have one sequence: see :func:`_edges_of_copies`.
     """
-    cells = F.explode(F.array(*[
-        F.struct(mask_site(seq, s).alias("key"), F.lit(s).alias("site"), char_at(seq, s).alias("allele")) for s in range(length)
-    ])).alias("c")
+    if copies:
+        return _edges_of_copies(nodes, length, idx, seq)
+    cells = _masked_cells(seq, length)
     side = lambda k: nodes.select(F.col(idx).alias(k), cells).select(k, "c.key", "c.site", F.col("c.allele").alias(f"allele_{k}"))
     return side("i").join(side("j"), ["key", "site"]).where("allele_i <> allele_j").select("i", "j")
 
 
+def _edges_of_copies(nodes: DataFrame, length: int, idx: str, seq: str) -> DataFrame:
+    """The same pairs where sequences repeat: blocks of equal sequences are joined, dealt out, and only then taken apart.
+
+    The pairs grow with the product of the copies, so their number is counted first (from the distinct sequences) and decides
+    how many tasks return them. A frequent sequence is split into blocks by the hash of its ids.
+    """
+    cells = _masked_cells(seq, length)
+    words = nodes.groupBy(seq).agg(F.count(F.lit(1)).cast("double").alias("n")).select("n", cells)
+    groups = words.groupBy("c.key", "c.site").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max("n").alias("most"))
+    size = groups.where("key IS NOT NULL").agg(F.sum(F.col("n") * F.col("n") - F.col("own")).alias("pairs"), F.max("most").alias("most")).first()
+    block = F.pmod(F.xxhash64(F.col(idx)), int64(ceil((size.most or 1) / BLOCK_ROWS))).alias("block")
+    # in a struct, as collect_list leaves null out
+    blocks = nodes.select(F.col(idx).alias("id"), F.col(seq).alias("seq"), block).groupBy("seq", "block").agg(F.collect_list(F.struct("id")).alias("ids"))
+    side = lambda k: blocks.select(F.col("ids.id").alias(f"ids_{k}"), F.col("block").alias(f"block_{k}"), _masked_cells("seq", length)).select(
+        f"ids_{k}", f"block_{k}", "c.key", "c.site", F.col("c.allele").alias(f"allele_{k}"))
+    met = side("i").join(side("j"), ["key", "site"]).where("allele_i <> allele_j")
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil((size.pairs or 0) / TASK_PAIRS))
+    dealt = met.repartition(tasks, "key", "site", "allele_i", "block_i", "allele_j", "block_j")
+    return dealt.select(F.explode("ids_i").alias("i"), "ids_j").select("i", F.explode("ids_j").alias("j"))
+
+
 def hamming_ball(spark: SparkSession, centre: str, space: Space, d: int) -> DataFrame:
     """``(idx, seq, distance)`` of every sequence within ``d`` substitutions of ``centre``.
 

@@ -216,6 +216,24 @@ def test_hamming_ball(spark, d):
     assert degree[Space.regular(3, "ACGT").rank("ATG")] == 9
 
 
+@pytest.mark.parametrize("block_rows", [2, 1024])
+def test_edges_of_copies(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(P, "BLOCK_ROWS", block_rows)
+    rows = [(k, ("AC", "AG", "TC", "TG", "GT")[k * k % 5]) for k in range(30)] + [(3, "AC"), (3, "AC"), (None, "AG"), (None, "AC"), (40, None)]
+    nodes = frame(spark, rows, "idx bigint, seq string")
+    want = sorted(((a, b) for a, s in rows for b, t in rows if s and t and sum(x != y for x, y in zip(s, t)) == 1), key=str)
+    assert sorted(((r.i, r.j) for r in P.hamming_edges(nodes, 2, copies=True).collect()), key=str) == want
+    assert sorted(((r.i, r.j) for r in P.hamming_edges(nodes, 2).collect()), key=str) == want
+
+
+def test_pairs_of_copies_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_PAIRS", 1 << 14)
+    nodes = spark.range(2048).selectExpr("id AS idx", "substr('ACGT', CAST(id % 4 AS INT) + 1, 1) AS seq")
+    edges = P.hamming_edges(nodes.selectExpr("idx", "concat(seq, substr('ACGT', CAST(idx DIV 4 % 4 AS INT) + 1, 1)) AS seq"), 2, copies=True)
+    held = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 2048 * 6 * 128 and max(held) < sum(held) / 8
+
+
 def test_grid_space(spark):
     nodes, edges = P.grid_space(spark, 3, 2)
     assert edges.count() == 24 and [r.label for r in nodes.orderBy("idx").limit(4).collect()] == ["0-0", "0-1", "0-2", "1-0"]
