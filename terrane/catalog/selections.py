@@ -215,7 +215,7 @@ def mutation_self_join(spark, sf):
     AND NOT EXISTS (SELECT 1 FROM f WHERE hamming(b.seq, f.seq) <= 1)""")
 def two_hop_neighbours(spark, sf):
     nodes = customer_dna(spark, sf).withColumnRenamed("row_id", "idx")
-    out = P.neighbourhood(P.hamming_edges(nodes, CUSTOMER_LENGTH, copies=True), nodes.where("y > 9900"), 2)
+    out = P.neighbourhood(P.hamming_edges(nodes, CUSTOMER_LENGTH, listed=False), nodes.where("y > 9900"), 2)
     return out.select("idx", F.col("hops").cast("bigint").alias("hops"))
 
 

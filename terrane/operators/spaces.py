@@ -224,12 +224,34 @@ def _masked_cells(seq: str, length: int) -> Column:
     ])).alias("c")
 
 
-def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "seq", copies: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class UnlistedEdges:
+    """Edges between rows whose sequences repeat, held as the rows and the edges of the distinct sequences.
+
+    Their pairs grow with the product of the copies; which rows a set of rows is joined with needs none of them.
+    All joins merge: sets of rows and words may be large, and sizes guessed from compressed files would have them broadcast.
+    """
+
+    rows: DataFrame   # idx, seq
+    words: DataFrame  # i, j: sequences
+
+    def ends(self, frontier: DataFrame) -> DataFrame:
+        """Distinct ``idx`` of the rows that an edge leads to from a row of ``frontier``."""
+        left = self.rows.join(frontier.select("idx").hint("merge"), "idx", "left_semi").select(F.col("seq").alias("i")).distinct()
+        met = self.words.join(left.hint("merge"), "i", "left_semi").select(F.col("j").alias("seq")).distinct()
+        return self.rows.join(met.hint("merge"), "seq", "left_semi").select("idx").distinct()
+
+
+def hamming_edges(nodes: DataFrame, length: int, idx: str = "idx", seq: str = "seq", copies: bool = False, listed: bool = True) -> DataFrame | UnlistedEdges:
     """Pairs at Hamming distance 1, by equality of masked sequences and different letters at the mask.
 
     Among distinct sequences a masked key is shared by at most one row per allele, so the self-join
     cannot blow up. ``copies`` is for tables where many rows have one sequence: see :func:`_edges_of_copies`.
+    Without ``listed`` the same edges come as :class:`UnlistedEdges`, for searches that only ask where edges lead.
     """
+    if not listed:
+        rows = nodes.select(F.col(idx).alias("idx"), F.col(seq).alias("seq"))
+        return UnlistedEdges(rows, hamming_edges(rows.select("seq").distinct().hint("merge"), length, "seq"))
     if copies:
         return _edges_of_copies(nodes, length, idx, seq)
     cells = _masked_cells(seq, length)
@@ -405,13 +427,16 @@ def validity_report(nodes: DataFrame, edges: DataFrame, weight: str = "w", tol:
     return pair_checks.withColumn("orphans", orphans).withColumn("missing_y", missing)
 
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, max_distance: int) -> DataFrame:
+def neighbourhood(edges: DataFrame | UnlistedEdges, seeds: DataFrame, max_distance: int) -> DataFrame:
     """``(idx, hops)`` of every state within ``max_distance`` edges of the seeds."""
+    if isinstance(edges, UnlistedEdges):
+        ends = edges.ends
+    else:
+        ends = lambda frontier: frontier.join(edges, F.col("idx") == F.col("i")).select(F.col("j").alias("idx")).distinct()
     reached = seeds.select("idx").distinct().withColumn("hops", F.lit(0))
     frontier = reached
     for k in range(1, max_distance + 1):
-        step = frontier.join(edges, F.col("idx") == F.col("i")).select(F.col("j").alias("idx")).distinct()
-        frontier = step.join(reached, "idx", "left_anti").withColumn("hops", F.lit(k))
+        frontier = ends(frontier).join(reached.hint("merge"), "idx", "left_anti").withColumn("hops", F.lit(k))
         reached = reached.unionByName(frontier)
         if k % 3 == 0:
             reached = cut(reached)

@@ -234,6 +234,42 @@ def test_pairs_of_copies_are_dealt_to_many_tasks(spark, monkeypatch):
     assert sum(held) == 2048 * 6 * 128 and max(held) < sum(held) / 8
 
 
+def test_neighbourhood_without_listed_pairs(spark):
+    words = ("AC", "AG", "TC", "TG", "GT", "CA")
+    rows = [(k, words[k * k % 11 % 6]) for k in range(30)] + [(3, "AC"), (3, "AC"), (7, "CC"), (None, "AG"), (None, "TT"), (40, None), (None, None)]
+    nodes = frame(spark, rows, "idx bigint, seq string")
+    pairs = {(a, b) for a, s in rows for b, t in rows if s and t and sum(x != y for x, y in zip(s, t)) == 1}
+    for seeds in ([7, 7, 40, None], []):
+        want, last = Counter((i, 0) for i in set(seeds)), set(seeds)
+        for k in (1, 2, 3):
+            seen = {i for i, _ in want} - {None}  # null equals nothing: it is met anew
+            last = {b for a, b in pairs if a in last and a is not None} - seen
+            want.update((i, k) for i in last)
+        for edges in (P.hamming_edges(nodes, 2, listed=False), P.hamming_edges(nodes, 2, copies=True)):
+            got = P.neighbourhood(edges, frame(spark, [(i,) for i in seeds], "idx bigint"), 3)
+            assert Counter((r.idx, r.hops) for r in got.collect()) == want
+
+
+def test_two_hops_over_copies_list_no_pairs(spark, tmp_path):
+    from terrane.catalog.selections import two_hop_neighbours
+    keys = [65536 * k + w for k in range(500) for w in (0, 1, 2, 6, 22, 40)]
+    frame(spark, [(k, 9950.0 if k in (0, 65538) else 5.0) for k in keys], "c_custkey bigint, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    plan = two_hop_neighbours(spark, str(tmp_path))._jdf.queryExecution()
+    assert plan.toRdd().count() == 500 * 5
+
+    def counts(node):
+        kids = [f() for name, f in (("AdaptiveSparkPlanExec", lambda: node.executedPlan()), ("QueryStageExec", lambda: node.plan())) if node.getClass().getSimpleName().endswith(name)]
+        if node.metrics().contains("numOutputRows"):
+            yield node.metrics().apply("numOutputRows").value()
+        for kid in kids or [node.children().apply(i) for i in range(node.children().size())]:
+            yield from counts(kid)
+
+    found = list(counts(plan.executedPlan()))
+    assert len(found) > 9 and max(found) <= 2 * len(keys)  # there are 2.5 M pairs
+    hops = Counter((r.idx % 65536, r.hops) for r in two_hop_neighbours(spark, str(tmp_path)).collect())
+    assert hops == {(0, 0): 1, (2, 0): 1, (0, 1): 499, (1, 1): 500, (2, 1): 499, (6, 1): 500, (22, 2): 500}
+
+
 def test_grid_space(spark):
     nodes, edges = P.grid_space(spark, 3, 2)
     assert edges.count() == 24 and [r.label for r in nodes.orderBy("idx").limit(4).collect()] == ["0-0", "0-1", "0-2", "1-0"]
